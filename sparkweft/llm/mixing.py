@@ -91,7 +91,9 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: boo
 def _fly(land: bool):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         mark = lambda x: -1 if pd.isna(x) else int(x)
-        pdf = pdf.assign(_o=[zlib.crc32(b"%d" % mark(x)) for x in pdf["doc_id"]]).sort_values(["_o", "doc_id", "size"]).drop(columns="_o")
+        pdf = pdf.assign(_o=[zlib.crc32(b"%d" % mark(x)) for x in pdf["doc_id"]])
+        # the longest first, so what stays open to the end is short and landing it costs few words
+        pdf = pdf.sort_values(["size", "_o", "doc_id"], ascending=[False, True, True]).drop(columns="_o")
         seed = zlib.crc32(f"{key[0]}/{key[1]}/{len(pdf)}".encode())
         return pdf.assign(pi=flight(pdf["pi"].to_numpy(), pdf["size"].to_numpy(), np.random.default_rng(seed), land))
     return run
