@@ -3,8 +3,9 @@
 A text is cut by the tokenizer's pattern and every piece is merged on its own: the pair of
 neighbours with the lowest rank goes first, the leftmost of equals. A segment tree over byte
 positions holds the minimum rank of the pair that starts at each live position; a merge takes
-the root's leftmost minimum and updates two positions, so a piece of n bytes takes O(n log n)
-however long it is. Pieces repeat, so a task keeps what short ones became, up to a bound.
+the root's leftmost minimum and updates the positions of its live neighbours, so a piece of n
+bytes takes O(n log n) however long it is. Short pieces that a worker hasn't met go through
+their trees side by side, as rows of one array; it keeps what they became, up to a bound.
 """
 
 from __future__ import annotations
@@ -80,26 +81,94 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Coder(dict):
-    """Piece to the bytes of its ids, little-endian; holds up to ``most`` pieces."""
+    """Piece to the bytes of its ids, little-endian; holds up to ``most`` short pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 400_000, short: int = 64):
         super().__init__()
-        self.ranks, self.split, self.most = ranks, regex.compile(pattern).findall, most
+        self.ranks, self.split, self.most, self.short = ranks, regex.compile(pattern).findall, most, short
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        pairs = sorted((ranks[t[:k]] << 32 | ranks[t[k:]], rank) for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks)
+        self.pairs = np.array([k for k, _ in pairs] or [-1], np.int64)
+        self.merged = np.array([r for _, r in pairs] or [NONE], np.int64)
+        self.bytes = np.array([ranks.get(bytes([k]), 0) for k in range(256)], np.int64)
 
     def __missing__(self, piece: str) -> bytes:
         ids = merge(piece.encode(), self.ranks)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = packed
-        return packed
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text)))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of neighbouring ids, NONE where they don't merge."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.merged[at], NONE)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Merges short pieces side by side, by the width of their trees."""
+        if len(self) + len(pieces) > self.most:
+            self.clear()
+        by_width: dict[int, list[tuple[str, bytes]]] = {}
+        for piece in pieces:
+            data = piece.encode()
+            if (whole := self.ranks.get(data)) is not None:
+                self[piece] = struct.pack("<I", whole)
+            elif len(data) <= self.short:
+                by_width.setdefault(1 << (len(data) - 1).bit_length(), []).append((piece, data))
+        for width, group in by_width.items():
+            for k in range(0, len(group), 8192):
+                part = group[k : k + 8192]
+                self.update(zip((p for p, _ in part), self._side_by_side([d for _, d in part], width)))
+
+    def _side_by_side(self, pieces: list[bytes], width: int) -> list[bytes]:
+        m = len(pieces)
+        text = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in pieces), np.uint8).reshape(m, width)
+        size = np.array([len(x) for x in pieces])
+        place = np.arange(width)
+        ids, live = self.bytes[text], place < size[:, None]
+        after, before = np.tile(place + 1, (m, 1)), np.tile(place - 1, (m, 1))
+        tree = np.full((m, 2 * width), NONE, np.int64)
+        tree[:, width : 2 * width - 1] = np.where(live[:, 1:], self.rank_of(ids[:, :-1], ids[:, 1:]), NONE)
+        for k in range(width - 1, 0, -1):
+            tree[:, k] = np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1])
+
+        def put(rows: np.ndarray, k: np.ndarray, rank) -> None:
+            k = k + width
+            tree[rows, k] = rank
+            for _ in range(width.bit_length() - 1):
+                k = k >> 1
+                tree[rows, k] = np.minimum(tree[rows, 2 * k], tree[rows, 2 * k + 1])
+
+        rows = np.flatnonzero(tree[:, 1] < NONE)
+        while len(rows):
+            low, k = tree[rows, 1], np.ones(len(rows), np.int64)
+            for _ in range(width.bit_length() - 1):
+                k = 2 * k + (tree[rows, 2 * k] != low)
+            at = k - width
+            gone = after[rows, at]
+            end = after[rows, gone]
+            ids[rows, at], after[rows, at], live[rows, gone] = low, end, False
+            put(rows, gone, NONE)
+            more = end < size[rows]
+            rank = np.full(len(rows), NONE, np.int64)
+            r, a, e = rows[more], at[more], end[more]
+            before[r, e] = a
+            rank[more] = self.rank_of(ids[r, a], ids[r, e])
+            put(rows, at, rank)
+            left = before[rows, at]
+            r, a, b = rows[left >= 0], at[left >= 0], left[left >= 0]
+            put(r, b, self.rank_of(ids[r, b], ids[r, a]))
+            rows = rows[tree[rows, 1] < NONE]
+        flat, ends = ids[live].astype("<u4").tobytes(), np.cumsum(live.sum(1)) * 4
+        return [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        cut = [self.split(text) for text in texts]
+        new = {piece for pieces in cut for piece in pieces if piece not in self}
+        if new:
+            self.learn(list(new))
+        return [b"".join(map(self.__getitem__, pieces)) for pieces in cut]
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -129,8 +198,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
     def run(batch):
         coder = coder_of(path, pattern, held)
         out = {"doc_id": batch["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": []} if ids else {})
-        for text in batch["text"].to_pylist():
-            packed = coder.encode(text)
+        for packed in (x for k in range(0, batch.num_rows, 512) for x in coder.encode_all(batch["text"][k : k + 512].to_pylist())):
             out["n_tokens"].append(len(packed) // 4)
             out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(coder.decode(packed)).hexdigest())

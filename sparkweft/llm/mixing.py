@@ -7,8 +7,8 @@ documents and of words stay as they are while every move fixes at least one docu
 
 Flight runs in blocks of a bounded number of documents, so a hot source is many blocks; a block
 leaves at most two open documents. Open documents of a source meet again in blocks of the next
-round, until one block is left; its landing gives up the document total first and the word
-total last, so a source misses its target by less than one document.
+round, until one block is left. Its landing problem, those left open and twelve documents of all sizes,
+is settled by the choice that comes nearest to the totals, words before documents.
 """
 
 from __future__ import annotations
@@ -54,9 +54,28 @@ def targets(sized: DataFrame, weights: tuple[int, ...], max_repeat: int, scratch
     return sources.withColumn("target", F.least("most", F.col("weight") * level)).drop("weight", "most")
 
 
-def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
-    """Moves pi until at most two entries are open (none when ``land``)."""
-    pi, size = pi.astype(float).tolist(), size.astype(float).tolist()
+def landing(pi: np.ndarray, size: np.ndarray, held: list[int], words: float, documents: float) -> None:
+    """Settles the few entries ``held``: of all choices, the one that comes nearest the totals.
+
+    A word off counts as one, a document off as a hundredth of the mean size.
+    """
+    choices = (np.arange(1 << len(held))[:, None] >> np.arange(len(held))) & 1
+    rest = np.setdiff1d(np.arange(len(pi)), held)
+    off = np.abs(choices @ size[held] + pi[rest] @ size[rest] - words)
+    off += np.abs(choices.sum(1) + pi[rest].sum() - documents) * size.mean() / 100
+    pi[held] = choices[np.argmin(off)]
+
+
+def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool, kept: int = 12) -> np.ndarray:
+    """Moves pi until at most two entries are open.
+
+    With ``land`` none stays open: ``kept`` entries of all sizes don't fly but join the open ones
+    in the landing problem.
+    """
+    words, documents, all_size = float(pi @ size), float(pi.sum()), size.astype(float)
+    pi, size = pi.astype(float).tolist(), all_size.tolist()
+    opened = [k for k, x in enumerate(pi) if EPS < x < 1 - EPS]
+    saved = {opened[j] for j in np.linspace(0, len(opened) - 1, min(kept, len(opened))).astype(int)} if land and opened else set()
     coins = rng.random(2 * len(pi) + 8).tolist()
     held: list[int] = []
 
@@ -73,29 +92,29 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: boo
         if not EPS < pi[k] < 1 - EPS:
             pi[k] = float(round(pi[k]))
             continue
+        if k in saved:
+            continue
         held.append(k)
         if len(held) == 3:
             a, b, c = (size[i] for i in held)
             u = [c - b, a - c, b - a]  # sums to 0, and so do its products with the sizes
             top = max(map(abs, u))
             move([x / top for x in u] if top else [1.0, -1.0, 0.0])
-    if land:
-        if len(held) == 2:  # the document total goes, the word total stays
-            a, b = (size[i] for i in held)
-            move([1.0, -a / b] if b >= a else [-b / a, 1.0])
-        for k in held:
-            pi[k] = float(pi[k] >= 0.5)
-    return np.array(pi)
+    out = np.array(pi)
+    if land and (saved or held):
+        landing(out, all_size, sorted([*saved, *held]), words, documents)
+    return out
 
 
-def _fly(land: bool):
+def _fly(block_rows: int):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        """A block of a source; the only block of its source lands."""
         mark = lambda x: -1 if pd.isna(x) else int(x)
-        pdf = pdf.assign(_o=[zlib.crc32(b"%d" % mark(x)) for x in pdf["doc_id"]])
+        pdf = pdf.drop(columns="_block").assign(_o=[zlib.crc32(b"%d" % mark(x)) for x in pdf["doc_id"]])
         # the longest first, so what stays open to the end is short and landing it costs few words
         pdf = pdf.sort_values(["size", "_o", "doc_id"], ascending=[False, True, True]).drop(columns="_o")
-        seed = zlib.crc32(f"{key[0]}/{key[1]}/{len(pdf)}".encode())
-        return pdf.assign(pi=flight(pdf["pi"].to_numpy(), pdf["size"].to_numpy(), np.random.default_rng(seed), land))
+        rng = np.random.default_rng(zlib.crc32(f"{key[0]}/{key[1]}/{len(pdf)}".encode()))
+        return pdf.assign(pi=flight(pdf["pi"].to_numpy(), pdf["size"].to_numpy(), rng, pdf["n"].iloc[0] <= block_rows))
     return run
 
 
@@ -124,7 +143,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repea
         last = left <= block_rows
         block = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(k)), blocks)
         flown = units.withColumn("_block", block).groupBy("source", "_block")
-        flown = scratch.save(flown.applyInPandas(_fly_block(last), cols), f"round{k}")
+        flown = scratch.save(flown.applyInPandas(_fly(block_rows), cols), f"round{k}")
         is_open = (F.col("pi") > 0) & (F.col("pi") < 1)
         done = flown if last else flown.where(~is_open)
         settled = done if settled is None else settled.unionByName(done)
@@ -136,10 +155,3 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repea
     taken = F.col("size") * (F.col("whole") + F.round("pi").cast("long"))
     return settled.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
-
-def _fly_block(land: bool):
-    fly = _fly(land)
-
-    def run(key, pdf):
-        return fly(key, pdf.drop(columns=[c for c in pdf.columns if c == "_block"]))
-    return run
