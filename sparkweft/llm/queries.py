@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, ppm, recompression, simhash, urls, warc
+from . import ann, bpe, jaccard, mixing, ppm, recompression, simhash, toxicity, urls, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,10 +21,19 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
 def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     return ppm.score_documents(table(spark, sf_dir, "documents"), held_out)
@@ -49,7 +58,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_jaccard_join, op4_warc, op6_ppm, op7_bpe, op8_recompression, op9_url_filter, op10_simhash)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_jaccard_join, op3_toxicity, op4_warc, op5_nn_descent, op6_ppm, op7_bpe, op8_recompression, op9_url_filter, op10_simhash)}
 
 
 OP9_SQL = """
