@@ -186,7 +186,8 @@ def coder_of(path: str, pattern: str, held) -> Coder:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``ids`` the array itself.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``ids`` the ids as little-endian
+    unsigned 32-bit integers.
 
     Null texts count as empty: no tokens. Repeated rows stay. The ranks, a file of fixed size
     that doesn't grow with the data, are broadcast once; texts that the pattern leaves gaps in
@@ -203,8 +204,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
             out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(coder.decode(packed)).hexdigest())
             if ids:
-                out["ids"].append(np.frombuffer(packed, "<u4").tolist())
+                out["ids"].append(packed)
         return out
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>" if ids else "")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if ids else "")
     return map_rows(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), schema, run)

@@ -201,11 +201,11 @@ def _cut(window: int):
                 if starts.is_valid and len(starts.values):
                     gone = covered(len(words), starts.values.to_numpy(), window)
                     kept = [w for w, g in zip(words, gone.tolist()) if not g]
-                text = b" ".join(kept)
+                joined = b" ".join(kept)
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(kept))
-                digest.append(hashlib.sha256(text).hexdigest())
-                texts.append(text.decode())
+                digest.append(hashlib.sha256(joined).hexdigest())
+                texts.append((joined if len(kept) < len(words) else text).decode())
             yield pa.RecordBatch.from_arrays(
                 [batch["row"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), pa.array(texts, pa.string())] if "row" in batch.schema.names else
                 [batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest)],
@@ -231,7 +231,8 @@ def repeated_windows(docs: DataFrame, window: int, rounds: int, least: int) -> D
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, rounds: int = 3, least: int = 4, texts: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every document; with ``texts`` its row and kept text.
+    """doc_id, n_words, n_removed, kept_sha256 of every document; with ``texts`` its row
+    (without the text, but with text_is_null) and kept text, the text as it was where no word goes.
 
     A word goes if it lies under a window of ``window`` words of its document whose words also
     start in a document of a smaller doc_id; windows are judged on the input. Null and empty
@@ -245,7 +246,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, rounds: int = 3, least: in
     own = docs.select("doc_id", raw("text").alias("raw")).withColumn("text_key", F.xxhash64("raw"))
     starts = repeated_windows(own, window, rounds, least)
     if texts:
-        rows = docs.select("doc_id", raw("text").alias("raw"), F.xxhash64(raw("text")).alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+        rows = docs.select("doc_id", raw("text").alias("raw"), F.xxhash64(raw("text")).alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias("text_is_null")).alias("row"))
         kind = next(f.dataType.simpleString() for f in rows.schema if f.name == "row")
         return rows.join(starts, ["doc_id", "text_key"], "left").select("row", "raw", "starts").mapInArrow(_cut(window), f"row {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
     return own.join(starts, ["doc_id", "text_key"], "left").select("doc_id", "raw", "starts").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -1,11 +1,62 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns a DataFrame.
+
+All but the last keep the columns of ``docs``; the decisions of each hold for those after it.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe, jaccard, mixing, recompression, toxicity
+from .common import table
 
-def scratch_root(spark) -> str:
-    import tempfile
 
+def scratch_root(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't predicted to be toxic."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"), held_out, rows=True)
+    return scored.where("predicted = 0").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, that of the smallest doc_id."""
+    gone = jaccard.near_duplicates(docs).where("component_id != doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 50 words that a document before them has."""
+    cut = recompression.remove_repeats(docs, texts=True)
+    changed = F.col("n_removed") > 0
+    new = {"text": F.when(~F.col("row.text_is_null"), F.col("kept")), "n_chars": F.when(changed, F.length("kept")).otherwise(F.col("row.n_chars"))}
+    return cut.select(*[(new[c].alias(c) if c in new else F.col(f"row.`{c}`")) for c in docs.columns])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    mixed = mixing.mix_sources(docs).where("taken > 0")
+    times = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    return docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_k", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with the digests that show they decode to its text."""
+    import public_tokenizers
+
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=True)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("mixing", mix),
+    ("byte_bpe", encode),
+]

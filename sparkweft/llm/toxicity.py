@@ -87,8 +87,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int, bits:
 
 
 def score_documents(
-    docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 16384, bits: int = 20, alpha: float = 0.3,
-    beta: float = 1.0, l1: float = 1.5, l2: float = 0.01, epochs: int = 3, threshold: float = 0.3, rows: bool = False) -> DataFrame:
+    docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 16384, bits: int = 20, alpha: float = 1.0,
+    beta: float = 1.0, l1: float = 6.0, l2: float = 0.01, epochs: int = 5, threshold: float = 0.3, rows: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; with ``rows`` also the struct
     ``row`` of all its columns, whatever their names.
 
