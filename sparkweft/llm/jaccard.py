@@ -86,13 +86,28 @@ def sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _keys(size: int, percent: int):
+def _late(key: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which keys are among the common ones."""
+    if not len(common) or not len(key):
+        return np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(common, key), len(common) - 1)
+    return common[at] == key
+
+
+def _keys(size: int, percent: int, common):
+    """Keys of the first window in hash order; given the common ones of that, the keys behind it
+    that documents with such keys may take instead."""
     def run(batches):
+        late = common.value if common else None
         for batch in batches:
             parts = []
             for text in batch["raw"].to_pylist():
                 own = shingles(text, size)
-                parts.append(own[: window_size(len(own), percent)] >> 23)
+                end = window_size(len(own), percent)
+                if late is None:
+                    parts.append(own[:end] >> 23)
+                elif held := int(_late(own[:end] >> 23, late).sum()):
+                    parts.append(own[end : end + 4 * held + 8 if held * 4 <= end * 3 else None] >> 23)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))], names=["key"])
     return run
 
@@ -108,11 +123,9 @@ def _regions(size: int, percent: int, common):
                 n.append(len(own))
                 digest.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                 key = own >> 23
-                if len(late) and len(key):
-                    at = np.minimum(np.searchsorted(late, key), len(late) - 1)
-                    is_late = late[at] == key
-                    if is_late.any():
-                        key = np.concatenate([key[~is_late], key[is_late]])
+                is_late = _late(key, late)
+                if is_late.any():
+                    key = np.concatenate([key[~is_late], key[is_late]])
                 keys.append(np.unique(key[: window_size(len(own), percent)]))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
@@ -121,24 +134,28 @@ def _regions(size: int, percent: int, common):
     return run
 
 
-def common_keys(docs: DataFrame, size: int, percent: int, most: int) -> np.ndarray:
-    """The keys of the largest regions, sorted: as many as fit in ``most``, whole counts first.
+def common_keys(docs: DataFrame, size: int, percent: int, most: int, least: int = 16) -> np.ndarray:
+    """Keys of the largest regions, sorted, at most ``most``.
 
-    It only orders shingles, so results don't depend on it; its size bound is ``most`` longs.
+    Two counts over all documents: of the keys in windows by hash order, and of those that come
+    behind where a window holds common ones. They only order shingles, so results don't depend
+    on them; their size bound is ``most`` longs.
     """
-    counts = docs.select("raw").mapInArrow(_keys(size, percent), "key long").groupBy("key").count().where("count > 16")
-    counts = Scratch(docs.sparkSession, "jaccard").save(counts, "common")
-    by_size = sorted(counts.groupBy(F.floor(F.log2("count") * 4).alias("b")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["b"])
-    least, total = None, 0
-    for row in by_size:
-        total += row["n"]
-        if total > most:
+    scratch, found = Scratch(docs.sparkSession, "jaccard"), np.zeros(0, np.int64)
+    for k in range(2):
+        held = docs.sparkSession.sparkContext.broadcast(found) if k else None
+        counts = docs.select("raw").mapInArrow(_keys(size, percent, held), "key long").groupBy("key").count().where(F.col("count") > least)
+        counts = scratch.save(counts.withColumn("b", F.floor(F.log2("count") * 4)), f"common{k}")
+        enough, total = None, 0
+        for row in sorted(counts.groupBy("b").count().collect(), key=lambda r: -r["b"]):  # some hundred classes of size at most
+            total += row["count"]
+            if total > most // 2:
+                break
+            enough = row["b"]
+        if enough is None:
             break
-        least = row["b"]
-    if least is None:
-        return np.zeros(0, np.int64)
-    rows = counts.where(F.floor(F.log2("count") * 4) >= least).select("key").toArrow()
-    return np.sort(rows["key"].to_numpy())
+        found = np.union1d(found, counts.where(F.col("b") >= enough).select("key").toArrow()["key"].to_numpy())
+    return found
 
 
 def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
@@ -167,6 +184,34 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _share_enough(held, percent: int):
+    """Pairs (a, b) of a row and a pivot whose sizes fit and that share regions enough."""
+    def run(batches):
+        pivots, sizes, keys = held.value
+        flat, which = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        order = np.argsort(flat, kind="stable")
+        flat, which = flat[order], which[order]
+        for batch in batches:
+            a, b = [], []
+            for node, n, own in zip(batch["node"].to_pylist(), batch["n"].to_pylist(), batch["keys"]):
+                own = own.values.to_numpy()
+                low, high = np.searchsorted(flat, own), np.searchsorted(flat, own, side="right")
+                width = high - low
+                total = int(width.sum())
+                if not total:
+                    continue
+                at = np.repeat(low - np.cumsum(width) + width, width) + np.arange(total)
+                shared = np.bincount(which[at], minlength=len(pivots))
+                large, little = np.maximum(sizes, n), np.minimum(sizes, n)
+                need = np.maximum(1, -(-percent * (sizes + n) // (100 + percent)) + (-percent * large) // 100)
+                ok = (shared >= need) & (little * 100 >= large * percent) & (pivots != node)
+                b.append(pivots[ok])
+                a.append(np.full(len(b[-1]), node))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).astype(np.int64)), pa.array(np.concatenate(b).astype(np.int64))], names=["a", "b"])
+    return run
+
+
 class Join:
     """The state of a join: documents' texts, regions, components and home pivots."""
 
@@ -221,7 +266,7 @@ class Join:
         return self.save(own.join(apart, "key").select("key", "node", "n", "big", "comp"), "open")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, small: int = 32, common: int = 1 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, small: int = 32, common: int = 1 << 20, pivots_a_round: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
     Shingles are ``size`` consecutive words, A-Z lower-cased; documents link when their sets have
@@ -229,8 +274,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, small: in
     Null and empty texts have no shingles and link with nothing; texts with fewer words are one
     shingle. Equal sets are one node. Rows of equal doc_id are one document of either text, a null
     doc_id links with nothing and has no component. No rows, no result. Only doc_id and
-    text are read. ``small`` is the size to which regions are joined pair by pair and ``common``
-    bounds the broadcast list of shingles that come last; neither changes results.
+    text are read. ``small`` is the size to which regions are joined pair by pair, ``common`` bounds
+    the broadcast list of shingles that come last and ``pivots_a_round`` that of pivots; none
+    changes results.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -271,20 +317,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, small: in
     pairs = pairs.join(ha, "a", "left").join(hb, "b", "left").where(~F.coalesce(outside, F.lit(False)))
     join.link(pairs.select("a", "b"), "pairs")
 
-    # large regions, recursively
-    rest, many = hits.where(F.col("df") > small).select("key", "node"), 8
+    # large regions, recursively: pivots from the smallest components against all that share enough
+    rest, many = hits.where(F.col("df") > small).select("key", "node"), pivots_a_round
+    members = None
     while True:
         opened = join.open_regions(rest)
         if opened.isEmpty():
             break
+        if members is None:
+            inner = join.comp.where("big > 0").select(F.col("node").alias("doc_id"))
+            members = scratch.save(made.join(nodes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"]).join(inner, "doc_id").select(F.col("doc_id").alias("node"), "n", "keys"), "members")
         sizes = join.comp.groupBy("comp").agg(F.count("*").alias("members"))
-        order = W.partitionBy("key").orderBy("members", "node")
-        pivots = join.save(opened.join(sizes, "comp").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= many), "pivot-rows")
-        chosen = pivots.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("big").alias("bigb"), F.col("comp").alias("compb"))
-        pairs = opened.join(chosen, "key").where((F.col("comp") != F.col("compb")) & fit("n", "nb") & (F.least("big", "bigb") >= need("n", "nb")))
-        join.link(pairs.select(F.col("node").alias("a"), "b").distinct(), "large")
-        rest = join.save(opened.join(pivots.select("key", "node"), ["key", "node"], "left_anti").select("key", "node"), "rest")
-        many *= 4
+        chosen = opened.select("node", "comp").distinct().join(sizes, "comp").orderBy("members", "node").select("node").limit(many)
+        chosen = join.save(chosen, "chosen")
+        rows = members.join(F.broadcast(chosen), "node").toArrow()  # at most ``many`` rows of one window each
+        held = spark.sparkContext.broadcast((rows["node"].to_numpy(), rows["n"].to_numpy(), [k.values.to_numpy() for k in rows["keys"]]))
+        pairs = members.mapInArrow(_share_enough(held, percent), "a long, b long")
+        comps = join.comp.select("node", "comp")
+        pairs = pairs.join(comps.toDF("a", "ca"), "a").join(comps.toDF("b", "cb"), "b").where("ca != cb").select("a", "b")
+        join.link(pairs, "large")
+        rest = join.save(opened.join(chosen, "node", "left_anti").select("key", "node"), "rest")
+        many = min(4 * many, 16 * pivots_a_round)
 
     ids = made.select("doc_id", "n", "digest").join(nodes.select("digest", "node"), "digest", "left")
     placed = ids.join(join.comp.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node", "doc_id"))
