@@ -2,14 +2,460 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from ..functions import vectors as vx
+from ..operators import catalog, embedding, graph, ledger, retrieval
+from ..operators.scope import Scope, between, filtered
+from ..sources.binding import Bound
 
-def queries():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
 
+#: Prices by version and model for the bound ledger.
+PRICES = [
+    ("1990-01-01", "NF", 0.20, 0.60, 0.01, 0.005, False), ("1990-01-01", "*", 0.10, 0.30, 0.0, 0.001, False),
+    ("1997-01-01", "NO", 0.25, 0.70, 0.02, 0.002, False), ("1997-01-01", "RF", 0.0, 0.0, 0.0, 0.0, True), ("1997-01-01", "*", 0.15, 0.45, 0.01, 0.0, False),
+    ("1999-06-01", "NO", 0.30, 0.80, 0.02, 0.002, False), ("1999-06-01", "AF", 0.05, 0.10, 0.0, 0.0, False)]
 
-def oracle_sql():
-    return {}
+SOURCES = """s AS (SELECT o_orderkey AS id, o_custkey AS subject_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'processing' END AS status,
+  o_orderpriority AS type, CAST(round(o_totalprice * 100) AS bigint) AS size_bytes, o_orderdate AS created_at, c_nationkey AS application_id, n_regionkey AS tenant_id
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"""
+TREE = """t0 AS (SELECT c_custkey AS id, c_nationkey AS app, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n FROM customer),
+t AS (SELECT x.id, x.app, y.id AS parent FROM t0 x LEFT JOIN t0 y ON x.app = y.app AND x.n > 0 AND y.n = (x.n - 1) // 4)"""
+PRICE_SQL = "p(effective_from, model, i, o, img, call, free) AS (VALUES " + ", ".join(f"(DATE '{a}', '{m}', {b}e0, {c}e0, {d}e0, {e}e0, {str(f).lower()})" for a, m, b, c, d, e, f in PRICES) + ")"
+LEDGER = PRICE_SQL + """, l AS (SELECT l_orderkey AS extraction_id, l_returnflag || l_linestatus AS model, ['layout','vision','extract','graph'][l_linenumber % 4 + 1] AS role,
+  CAST(l_quantity AS bigint) AS pt, CAST(l_quantity * 3 AS bigint) AS ct, l_shipdate AS created_at FROM lineitem),
+v AS (SELECT l.*, (SELECT max(effective_from) FROM p WHERE effective_from <= CAST(l.created_at AS date)) AS version FROM l),
+r AS (SELECT v.*, coalesce(a.i, b.i) i, coalesce(a.o, b.o) o, coalesce(a.img, b.img) img, coalesce(a.call, b.call) call, coalesce(a.free, b.free) free
+  FROM v LEFT JOIN p a ON a.effective_from = version AND a.model = v.model LEFT JOIN p b ON b.effective_from = version AND b.model = '*'),
+c AS (SELECT *, CASE WHEN free THEN 0.0 ELSE round((pt * i + ct * o) / 1e6 + (CASE WHEN role IN ('layout','vision') THEN 1 ELSE 0 END) * img + call, 6) END AS cost FROM r)"""
+FACTS = """f AS (SELECT 'customer:' || c_custkey AS a, 'LOCATED_IN' AS relation, 'nation:' || c_nationkey AS b, 0 AS source_id, 0.9e0 AS confidence FROM customer
+ UNION ALL SELECT 'supplier:' || s_suppkey, 'LOCATED_IN', 'nation:' || s_nationkey, 0, 0.9e0 FROM supplier
+ UNION ALL SELECT 'nation:' || n_nationkey, 'PART_OF', 'region:' || n_regionkey, 0, 1.0e0 FROM nation
+ UNION ALL SELECT 'customer:' || o_custkey, 'PURCHASED', 'part:' || l_partkey, o_orderkey, round(1 - l_discount, 2) FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+m AS (SELECT a AS entity_id, source_id AS chunk_id, source_id FROM f UNION SELECT b, source_id, source_id FROM f)"""
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[Bound], DataFrame]) -> Callable[[Bound], DataFrame]:
+        _queries[f.__name__] = lambda spark, sf_dir: f(Bound(spark, sf_dir))
+        if sql:
+            _oracles[f.__name__] = sql
+        return f
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_oracles)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _queries["mmr_top10"](spark, sf_dir)
+
+
+# counts and dashboards
+
+@query("SELECT (SELECT count(*) FROM region) AS tenants, (SELECT count(*) FROM nation) AS applications, (SELECT count(*) FROM supplier) AS actors, (SELECT count(*) FROM customer) AS subjects, (SELECT count(*) FROM orders) AS sources")
+def dashboard_counts(b: Bound) -> DataFrame:
+    return catalog.totals(tenants=b.tenants, applications=b.applications, actors=b.actors, subjects=b.raw("customer"), sources=b.sources)
+
+
+@query(f"WITH {SOURCES} SELECT status, count(*) AS n FROM s GROUP BY 1")
+def sources_by_status(b: Bound) -> DataFrame:
+    return catalog.count_by(b.sources, "status")
+
+
+@query(f"WITH {SOURCES} SELECT type, count(*) AS n FROM s GROUP BY 1")
+def sources_by_type(b: Bound) -> DataFrame:
+    return catalog.count_by(b.sources, "type")
+
+
+@query("""SELECT CAST(d AS date) AS day, count(event_id) AS n FROM generate_series(DATE '2023-12-20', DATE '2024-02-17', INTERVAL 1 DAY) g(d)
+LEFT JOIN events ON CAST(ts AS date) = CAST(d AS date) GROUP BY 1""")
+def daily_activity_zero_filled(b: Bound) -> DataFrame:
+    return catalog.daily_counts(b.raw("events"), "ts", "2023-12-20", 60)
+
+
+@query("""WITH w AS (SELECT count(*) FILTER (ts >= TIMESTAMP '2024-01-16' AND ts < TIMESTAMP '2024-01-30') AS current, count(*) FILTER (ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-16') AS previous FROM events)
+SELECT current, previous, CASE WHEN previous > 0 THEN round((current - previous) * 100.0 / previous, 1) END AS delta_pct FROM w""")
+def activity_period_delta(b: Bound) -> DataFrame:
+    return catalog.period_delta(b.raw("events"), "ts", "2024-01-16", 14)
+
+
+@query(f"WITH {SOURCES} SELECT CAST(sum(size_bytes) AS bigint) AS total_bytes, max(size_bytes) AS largest_bytes, max(created_at) AS newest FROM s")
+def storage_summary(b: Bound) -> DataFrame:
+    return catalog.storage_summary(b.sources)
+
+
+@query(f"WITH {SOURCES} SELECT r_regionkey AS id, r_name AS name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS applications, (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = r_regionkey) AS subjects, (SELECT count(*) FROM s WHERE tenant_id = r_regionkey) AS sources FROM region")
+def tenant_counts(b: Bound) -> DataFrame:
+    subjects = b.raw("customer").join(b.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return catalog.with_counts(b.tenants, "id", applications=(b.applications, "tenant_id"), subjects=(subjects, "n_regionkey"), sources=(b.owned_sources, "tenant_id"))
+
+
+@query(f"WITH {SOURCES} SELECT n_nationkey AS id, n_regionkey AS tenant_id, n_name AS name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS actors, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS subjects, (SELECT count(*) FROM s WHERE application_id = n_nationkey) AS sources FROM nation")
+def application_counts(b: Bound) -> DataFrame:
+    return catalog.with_counts(b.applications, "id", actors=(b.actors, "application_id"), subjects=(b.raw("customer"), "c_nationkey"), sources=(b.owned_sources, "application_id"))
+
+
+@query("SELECT s_suppkey AS id, s_nationkey AS application_id, s_name AS name, (SELECT count(*) FROM customer WHERE c_custkey % 100 = s_suppkey) AS subjects FROM supplier")
+def actor_counts(b: Bound) -> DataFrame:
+    held = b.raw("customer").withColumn("actor_id", (F.col("c_custkey") % 100).cast("int"))
+    return catalog.with_counts(b.actors, "id", subjects=(held, "actor_id"))
+
+
+@query(f"WITH {TREE} SELECT x.id, (SELECT count(*) FROM orders WHERE o_custkey = x.id) AS sources, (SELECT count(*) FROM t y WHERE y.parent = x.id) AS folders FROM t x")
+def subject_counts(b: Bound) -> DataFrame:
+    return catalog.with_counts(b.subjects.select("id"), "id", sources=(b.sources, "subject_id"), folders=(b.subjects, "parent_subject_id"))
+
+
+@query(f"""WITH {SOURCES} SELECT s.*, r_name AS tenant_name, n_name AS application_name, c_name AS subject_name, s_name AS actor_name, CASE WHEN id % 3 = 0 THEN CAST(id % 100 AS int) END AS actor_id FROM s
+JOIN region ON r_regionkey = tenant_id JOIN nation ON n_nationkey = application_id JOIN customer ON c_custkey = subject_id LEFT JOIN supplier ON id % 3 = 0 AND s_suppkey = id % 100""")
+def source_detail(b: Bound) -> DataFrame:
+    sources = b.owned_sources.withColumn("actor_id", F.when(F.col("id") % 3 == 0, (F.col("id") % 100).cast("int")))
+    named = b.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return catalog.source_detail(sources, b.tenants, b.applications, named, b.actors)
+
+
+@query(f"WITH RECURSIVE {TREE}, up(id, depth) AS (SELECT parent, 1 FROM t WHERE id = (SELECT max(id) FROM t) AND parent IS NOT NULL UNION ALL SELECT parent, depth + 1 FROM up JOIN t ON t.id = up.id WHERE parent IS NOT NULL) SELECT id, depth FROM up")
+def subject_ancestors(b: Bound) -> DataFrame:
+    last = b.raw("customer").agg(F.max("c_custkey")).first()[0]
+    return catalog.ancestors(b.subjects.persist(), last)
+
+
+@query(f"WITH RECURSIVE {TREE}, down(id, depth) AS (SELECT id, 0 FROM t WHERE id = (SELECT min(id) FROM t) UNION ALL SELECT t.id, depth + 1 FROM down JOIN t ON t.parent = down.id) SELECT id, depth FROM down")
+def subject_subtree(b: Bound) -> DataFrame:
+    first = b.raw("customer").agg(F.min("c_custkey")).first()[0]
+    return catalog.subtree(b.subjects.persist(), first)
+
+
+@query(f"WITH RECURSIVE {TREE}, down(id) AS (SELECT id FROM t WHERE id = (SELECT min(id) FROM t) UNION ALL SELECT t.id FROM down JOIN t ON t.parent = down.id) SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT id FROM down)")
+def subtree_sources(b: Bound) -> DataFrame:
+    first = b.raw("customer").agg(F.min("c_custkey")).first()[0]
+    inside = catalog.subtree(b.subjects.persist(), first).select(F.col("id").alias("subject_id"))
+    return b.sources.join(inside, "subject_id", "left_semi").select("id")
+
+
+# scope
+
+@query(f"WITH {SOURCES} SELECT * FROM s WHERE tenant_id IN (1, 3)")
+def scope_console(b: Bound) -> DataFrame:
+    return Scope(tenants=(1, 3)).apply(b.owned_sources)
+
+
+@query(f"WITH {SOURCES} SELECT * FROM s WHERE tenant_id = (SELECT n_regionkey FROM nation WHERE n_nationkey = 7) AND application_id = 7")
+def scope_credential(b: Bound) -> DataFrame:
+    tenant = b.applications.where("id = 7").first()["tenant_id"]
+    return Scope(tenant_id=tenant, application_id=7).apply(b.owned_sources)
+
+
+@query(f"WITH {SOURCES} SELECT * FROM s WHERE false")
+def scope_empty(b: Bound) -> DataFrame:
+    return Scope(tenants=()).apply(b.owned_sources)
+
+
+@query(f"WITH {SOURCES} SELECT * FROM s WHERE tenant_id = 2 AND status = 'pending' AND created_at >= TIMESTAMP '1996-01-01' AND created_at < TIMESTAMP '1998-01-01'")
+def sources_filtered(b: Bound) -> DataFrame:
+    return between(filtered(b.owned_sources, tenant_id=2, status="pending", application_id=None), "created_at", "1996-01-01", "1998-01-01")
+
+
+# ledger
+
+def _ledger(b: Bound) -> DataFrame:
+    rates = ledger.price_table(b.spark, [(__import__("datetime").date.fromisoformat(r[0]), *r[1:]) for r in PRICES])
+    return ledger.priced(b.usage, rates).withColumn("cost_usd", ledger.call_cost())
+
+
+@query(f"WITH {LEDGER} SELECT CAST(created_at AS date) AS day, model, version AS effective_from, i AS input_per_1m, count(*) AS calls FROM c GROUP BY ALL")
+def price_as_of(b: Bound) -> DataFrame:
+    return _ledger(b).groupBy(F.to_date("created_at").alias("day"), "model", "effective_from", F.col("rate.input_per_1m").alias("input_per_1m")).agg(F.count("*").alias("calls"))
+
+
+@query(f"WITH {LEDGER} SELECT model, role, pt AS prompt_tokens, version AS effective_from, max(cost) AS cost_usd, count(*) - count(cost) AS unpriced FROM c GROUP BY ALL")
+def call_cost(b: Bound) -> DataFrame:
+    return _ledger(b).groupBy("model", "role", "prompt_tokens", "effective_from").agg(F.max("cost_usd").alias("cost_usd"), F.count_if(F.col("cost_usd").isNull()).alias("unpriced"))
+
+
+MEASURES = "count(DISTINCT extraction_id) AS runs, count(*) AS calls, CAST(sum(pt) AS bigint) AS prompt_tokens, CAST(sum(ct) AS bigint) AS completion_tokens, coalesce(round(sum(cost), 4), 0) AS cost_usd"
+
+
+@query(f"WITH {LEDGER} SELECT {MEASURES} FROM c")
+def usage_totals(b: Bound) -> DataFrame:
+    return ledger.usage_report(_ledger(b))
+
+
+@query(f"WITH {LEDGER} SELECT model, role, {MEASURES} FROM c GROUP BY 1, 2")
+def usage_by_model(b: Bound) -> DataFrame:
+    return ledger.usage_report(_ledger(b), "model", "role")
+
+
+@query(f"WITH {LEDGER} SELECT n_name AS application, {MEASURES} FROM c JOIN orders ON o_orderkey = extraction_id JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+def usage_by_application(b: Bound) -> DataFrame:
+    owners = b.owned_sources.join(b.applications.select(F.col("id").alias("application_id"), F.col("name").alias("application")), "application_id").select(F.col("id").alias("extraction_id"), "application")
+    return ledger.usage_report(_ledger(b).join(owners, "extraction_id"), "application")
+
+
+@query(f"WITH {LEDGER} SELECT CASE WHEN extraction_id % 4 = 0 THEN 'user:' || (extraction_id % 7) ELSE 'credential:' || (extraction_id % 5) END AS trigger, {MEASURES} FROM c GROUP BY 1")
+def usage_by_trigger(b: Bound) -> DataFrame:
+    by_user = F.col("extraction_id") % 4 == 0
+    calls = _ledger(b).withColumns({"kind": F.when(by_user, "user").otherwise("credential"), "user": F.when(by_user, F.col("extraction_id") % 7), "credential": F.when(~by_user, F.col("extraction_id") % 5)})
+    return ledger.usage_report(calls.withColumn("trigger", ledger.trigger_key("kind", "user", "credential")), "trigger")
+
+
+@query("SELECT l_orderkey AS id, max(l_linenumber) AS version FROM lineitem GROUP BY 1")
+def latest_version(b: Bound) -> DataFrame:
+    runs = b.raw("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("version"))
+    return catalog.latest(runs, "id", "version").select("id", "version")
+
+
+@query("SELECT o_custkey AS subject_id, count(*) + 1 AS next_version FROM orders GROUP BY 1")
+def next_version(b: Bound) -> DataFrame:
+    numbered = b.sources.withColumn("version", F.row_number().over(W.partitionBy("subject_id").orderBy("created_at", "id")))
+    return catalog.next_version(numbered, "subject_id", "version").withColumn("next_version", F.col("next_version").cast("long"))
+
+
+# embeddings and retrieval
+
+STRATEGY = embedding.Strategy("default", "hashing-64", "1", document_template="passage: {input}")
+
+
+def _documents(b: Bound) -> DataFrame:
+    return b.raw("documents").select(F.col("doc_id").alias("chunk_id"), "source", "lang", tx.embedding_text(F.array("lang", "source"), F.col("text")).alias("embedding_text"))
+
+
+def _queue(b: Bound) -> DataFrame:
+    """Rows of two thirds of the documents, of this and of an older hash."""
+    own = embedding.hashed(_documents(b), STRATEGY).select("chunk_id", "source", F.lit(STRATEGY.id).alias("strategy_id"), "input_hash", F.element_at(F.array(*[F.lit(x) for x in ("completed", "pending", "failed")]), (F.col("chunk_id") % 3 + 1).cast("int")).alias("embedding_status"), F.lit(0).alias("attempt_count"))
+    old = own.where("chunk_id % 4 = 1").withColumns({"input_hash": F.lit("older"), "embedding_status": F.lit("completed")})
+    return own.where("chunk_id % 4 != 1").unionByName(old)
+
+
+HASHED = """h AS (SELECT doc_id AS chunk_id, source, sha256('default|hashing-64|1|l2|passage: {input}|passage: Section: ' || lang || ' > ' || source || chr(10) || chr(10) || text) AS input_hash FROM documents)"""
+QUEUE = HASHED + """, q AS (SELECT chunk_id, source, CASE WHEN chunk_id % 4 = 1 THEN 'older' ELSE input_hash END AS input_hash, CASE WHEN chunk_id % 4 = 1 THEN 'completed' ELSE ['completed','pending','failed'][chunk_id % 3 + 1] END AS embedding_status FROM h)"""
+
+
+@query(f"WITH {HASHED} SELECT chunk_id, input_hash FROM h")
+def input_hash(b: Bound) -> DataFrame:
+    return embedding.hashed(_documents(b), STRATEGY).select("chunk_id", "input_hash")
+
+
+@query(f"WITH {QUEUE} SELECT chunk_id, input_hash, CASE WHEN input_hash = 'older' THEN 'stale' ELSE embedding_status END AS embedding_status FROM q UNION ALL SELECT chunk_id, input_hash, 'pending' FROM h WHERE chunk_id % 4 = 1")
+def enqueue_missing(b: Bound) -> DataFrame:
+    return embedding.enqueue(_documents(b), _queue(b).drop("source"), STRATEGY).select("chunk_id", "input_hash", "embedding_status")
+
+
+@query(f"WITH {QUEUE} SELECT embedding_status, count(*) AS n FROM q GROUP BY 1")
+def embedding_status_counts(b: Bound) -> DataFrame:
+    return embedding.status_counts(_queue(b))
+
+
+@query(f"WITH {QUEUE} SELECT source, count(DISTINCT chunk_id) AS chunks, count(DISTINCT CASE WHEN embedding_status = 'completed' THEN chunk_id END) AS completed, round(count(DISTINCT CASE WHEN embedding_status = 'completed' THEN chunk_id END) * 100.0 / count(DISTINCT chunk_id), 1) AS coverage_pct FROM q GROUP BY 1")
+def source_coverage(b: Bound) -> DataFrame:
+    return embedding.coverage(_queue(b), "source")
+
+
+@query(f"WITH {QUEUE} SELECT chunk_id, CASE WHEN embedding_status = 'failed' AND source IN ('src1', 'src2') THEN 'pending' ELSE embedding_status END AS embedding_status FROM q")
+def retry_failed(b: Bound) -> DataFrame:
+    scope = _documents(b).where(F.col("source").isin("src1", "src2"))
+    return embedding.retry_failed(_queue(b), scope).select("chunk_id", "embedding_status")
+
+
+@query()
+def embedding_sweep(b: Bound) -> DataFrame:
+    pending = embedding.hashed(_documents(b), STRATEGY)
+    return embedding.sweep(pending, STRATEGY, embedding.hashing_embedder(64)).select("chunk_id", "embedding_status", F.size("embedding").alias("dimension"))
+
+
+@query("SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS double) / sqrt(list_dot_product(CAST(embedding AS double[]), CAST(embedding AS double[]))), 5)) AS unit FROM embeddings")
+def l2_normalize(b: Bound) -> DataFrame:
+    return b.raw("embeddings").select("vec_id", F.transform(vx.l2_normalized(F.col("embedding")), lambda x: F.round(x, 5)).alias("unit"))
+
+
+@query("SELECT vec_id, list_transform(embedding[1:4], lambda x: printf('%.6f', CAST(x AS double))) || ['...'] || list_transform(embedding[-2:], lambda x: printf('%.6f', CAST(x AS double))) AS preview FROM embeddings")
+def vector_preview(b: Bound) -> DataFrame:
+    return b.raw("embeddings").select("vec_id", vx.preview(F.col("embedding")).alias("preview"))
+
+
+def _asked(b: Bound) -> DataFrame:
+    return b.raw("embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+KNN = """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(CAST(q.embedding AS double[]), CAST(c.embedding AS double[])) AS sim FROM embeddings q, embeddings c WHERE q.vec_id < 10 {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, round(sim, 4) AS similarity, CAST(rank AS int) AS rank FROM r WHERE rank <= {k}"""
+
+
+@query(KNN.format(where="", k=50))
+def knn_topk(b: Bound) -> DataFrame:
+    return retrieval.nearest_chunks(b.chunks, _asked(b), 50).withColumn("similarity", F.round("similarity", 4))
+
+
+@query(KNN.format(where="AND c.label IN (1, 2)", k=10))
+def knn_scoped(b: Bound) -> DataFrame:
+    return retrieval.nearest_chunks(b.chunks.where(F.col("subject_id").isin(1, 2)), _asked(b), 10).withColumn("similarity", F.round("similarity", 4))
+
+
+@query()
+def mmr_top10(b: Bound) -> DataFrame:
+    return retrieval.evidence(b.chunks, _asked(b))
+
+
+
+
+@query("""WITH pool AS (SELECT conv_id AS query_id, turn AS index, CASE WHEN turn % 2 = 0 THEN round(length(text) / 100.0, 2) END AS score FROM conversations),
+f AS (SELECT query_id, index, coalesce(score, coalesce(min(score) OVER (PARTITION BY query_id), 0) - 1) AS score FROM pool),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, index) AS rank FROM f) SELECT query_id, index, score, CAST(rank AS int) AS rank FROM r WHERE rank <= 5""")
+def rerank_fill(b: Bound) -> DataFrame:
+    pool = b.raw("conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("index"), F.length("text").alias("_n"))
+    scores = pool.where(F.col("index") % 2 == 0).select("query_id", "index", F.round(F.col("_n") / 100, 2).alias("score"))
+    return retrieval.reranked(pool.drop("_n"), scores)
+
+
+# text functions
+
+@query("SELECT doc_id, CASE WHEN length(text) > 0 THEN greatest(1, length(text) // 4) ELSE 0 END AS tokens, 'Section: ' || lang || ' > ' || source || chr(10) || chr(10) || text AS embedding_text FROM documents")
+def token_count(b: Bound) -> DataFrame:
+    return b.raw("documents").select("doc_id", tx.token_count(F.col("text")).alias("tokens"), tx.embedding_text(F.array("lang", "source"), F.col("text")).alias("embedding_text"))
+
+
+@query(r"SELECT page_id, CASE WHEN length(html) > 0 THEN round((length(html) - length(regexp_replace(regexp_replace(html, '\(cid:\d+\)', '', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFD}]', '', 'g'))) / length(html), 6) ELSE 0.0 END AS junk FROM pages")
+def junk_ratio(b: Bound) -> DataFrame:
+    return b.raw("pages").select("page_id", F.round(tx.junk_ratio(F.col("html")), 6).alias("junk"))
+
+
+@query("""WITH s AS (SELECT doc_id, n_chars AS text_chars, doc_id % 5 AS image_count, (doc_id % 40) / 100.0 AS image_ratio, CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS table_count, doc_id % 10 AS ruled_lines, (doc_id % 30) / 500.0 AS junk FROM documents),
+d AS (SELECT doc_id, CASE WHEN text_chars = 0 AND image_count = 0 AND ruled_lines = 0 THEN 'easy' WHEN junk > 0.05 OR table_count > 0 OR ruled_lines >= 8 OR image_ratio >= 0.15 THEN 'hard'
+ WHEN text_chars < 200 AND (image_count > 0 OR text_chars = 0) THEN 'hard' WHEN image_count > 2 THEN 'hard' WHEN image_count > 0 THEN 'medium' ELSE 'easy' END AS difficulty FROM s)
+SELECT doc_id, difficulty, CASE difficulty WHEN 'easy' THEN 'text' WHEN 'medium' THEN 'vision' ELSE 'layout' END AS route FROM d""")
+def triage(b: Bound) -> DataFrame:
+    i = F.col("doc_id")
+    signals = {"text_chars": F.col("n_chars"), "image_count": i % 5, "image_ratio": (i % 40) / 100, "table_count": F.when(i % 17 == 0, 1).otherwise(0), "ruled_lines": i % 10, "junk_ratio": (i % 30) / 500}
+    level = tx.difficulty(signals)
+    return b.raw("documents").select("doc_id", level.alias("difficulty"), tx.route(level).alias("route"))
+
+
+@query("""SELECT page_id, CASE regexp_extract(lower(url), '\\.([a-z0-9]+)$', 1) WHEN 'pdf' THEN 'pdf' ELSE 'text' END AS format FROM (SELECT page_id, 'page' || page_id || CASE WHEN page_id % 3 = 0 THEN '.PDF' WHEN page_id % 3 = 1 THEN '.html' ELSE '' END AS url FROM pages)""")
+def format_detect(b: Bound) -> DataFrame:
+    name = F.concat(F.lit("page"), "page_id", F.when(F.col("page_id") % 3 == 0, ".PDF").when(F.col("page_id") % 3 == 1, ".html").otherwise(""))
+    return b.raw("pages").select("page_id", tx.detected_format(F.when(F.col("page_id") % 3 == 2, F.lit("text/html; charset=utf-8")), name).alias("format"))
+
+
+@query(r"SELECT page_id, CASE WHEN n = '' THEN 'upload.bin' ELSE substr(n, 1, 200) END AS filename FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS n FROM pages)")
+def safe_filename(b: Bound) -> DataFrame:
+    return b.raw("pages").select("page_id", tx.safe_filename(F.col("url")).alias("filename"))
+
+
+@query("SELECT conv_id, string_agg('<!-- ' || role || ' ' || turn || ' -->' || chr(10) || text, chr(10) || chr(10) ORDER BY turn, text) AS content, count(*) AS turns FROM conversations GROUP BY 1")
+def chat_merge(b: Bound) -> DataFrame:
+    marked = F.concat(F.lit("<!-- "), "role", F.lit(" "), "turn", F.lit(" -->\n"), "text")
+    turns = F.sort_array(F.collect_list(F.struct("turn", "text", marked.alias("m"))))
+    return b.raw("conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["m"]), "\n\n").alias("content"), F.count("*").alias("turns"))
+
+
+@query("SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, CAST(sum(length(text)) AS bigint) AS chars FROM conversations GROUP BY 1")
+def conversations_turns(b: Bound) -> DataFrame:
+    return b.raw("conversations").groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def events_json_props(b: Bound) -> DataFrame:
+    return b.raw("events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(r"SELECT p_partkey, substr(upper(regexp_replace(regexp_replace(regexp_replace(p_type, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')), 1, 48) AS label FROM part")
+def normalize_label(b: Bound) -> DataFrame:
+    return b.raw("part").select("p_partkey", tx.label(F.col("p_type")).alias("label"))
+
+
+@query(r"SELECT s_suppkey, array_to_string(list_filter(regexp_split_to_array(lower(s_name), '\W+'), lambda w: w <> '' AND w <> '_'), '_') AS key FROM supplier")
+def canonical_key_ascii(b: Bound) -> DataFrame:
+    return b.raw("supplier").select("s_suppkey", graph.ascii_key(F.col("s_name")).alias("key"))
+
+
+@query("SELECT p_partkey, CASE WHEN len(w) >= 2 THEN array_to_string(list_transform(w, lambda x: x[1]), '') END AS acronym FROM (SELECT p_partkey, list_filter(string_split(lower(replace(p_name, ' ', '_')), '_'), lambda x: x <> '' AND x NOT IN ('of', 'and', 'the', 'for')) AS w FROM part)")
+def acronym(b: Bound) -> DataFrame:
+    return b.raw("part").select("p_partkey", tx.acronym(F.lower(F.replace("p_name", F.lit(" "), F.lit("_")))).alias("acronym"))
+
+
+# fixed values: relations, their synonyms and inverses used by the query
+RELATIONS, SYNONYMS, INVERSES = ["PURCHASED", "USES", "RELATED_TO"], {"BOUGHT": "PURCHASED", "UTILIZES": "USES"}, {"USED_BY": "USES"}
+
+
+@query("""SELECT event_type, CASE event_type WHEN 'purchase' THEN 'PURCHASED' WHEN 'view' THEN 'USES' WHEN 'click' THEN 'USES' ELSE 'RELATED_TO' END AS mapped, CASE event_type WHEN 'purchase' THEN 'BOUGHT' WHEN 'view' THEN NULL WHEN 'click' THEN 'USED_BY' ELSE upper(event_type) END AS mapped_raw, event_type = 'click' AS mapped_reversed, count(*) AS n FROM events GROUP BY 1""")
+def map_relation(b: Bound) -> DataFrame:
+    raw = F.when(F.col("event_type") == "purchase", "bought").when(F.col("event_type") == "view", "uses").when(F.col("event_type") == "click", "usedBy").otherwise(F.col("event_type"))
+    counts = b.raw("events").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("raw", raw)
+    return graph.mapped(counts, "raw", RELATIONS, SYNONYMS, "RELATED_TO", INVERSES).drop("raw")
+
+
+@query()
+def entity_id_uuid5(b: Bound) -> DataFrame:
+    tenant = F.lit("6ba7b810-9dad-11d1-80b4-00c04fd430c8")
+    return b.raw("supplier").select("s_suppkey", tx.entity_uuid(tenant, F.lit("COMPANY"), graph.canonical_key("s_name", F.lit("COMPANY"))).alias("entity_id"))
+
+
+# graph
+
+def _mentions(b: Bound) -> DataFrame:
+    f = b.facts
+    return f.select(F.col("a").alias("entity_id"), F.col("source_id").alias("chunk_id"), "source_id").unionByName(f.select(F.col("b").alias("entity_id"), F.col("source_id").alias("chunk_id"), "source_id")).distinct()
+
+
+@query(f"WITH {FACTS} SELECT entity_id, count(DISTINCT chunk_id) AS mentions FROM m GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
+def graph_top_entities(b: Bound) -> DataFrame:
+    return graph.top_entities(_mentions(b), 25)
+
+
+@query(f"WITH {FACTS} SELECT a, relation, b, source_id, confidence FROM f WHERE a IN ('nation:3', 'customer:1') OR b IN ('nation:3', 'customer:1')")
+def graph_facts_touching(b: Bound) -> DataFrame:
+    return graph.facts_touching(b.facts, b.spark.createDataFrame([("nation:3",), ("customer:1",)], "entity string"))
+
+
+@query(f"WITH {FACTS}, e AS (SELECT entity_id FROM m GROUP BY 1 ORDER BY count(DISTINCT chunk_id) DESC, 1 LIMIT 2000) SELECT a, relation, b, source_id, confidence FROM f WHERE a IN (FROM e) AND b IN (FROM e)")
+def graph_facts_among(b: Bound) -> DataFrame:
+    return graph.facts_among(b.facts, graph.top_entities(_mentions(b), 2000).select(F.col("entity_id").alias("entity")))
+
+
+@query(f"WITH {FACTS} SELECT a, relation, b, list_sort(list(DISTINCT source_id)) AS source_ids, max(confidence) AS confidence, count(*) AS edges FROM f GROUP BY 1, 2, 3")
+def graph_merge_facts(b: Bound) -> DataFrame:
+    return graph.merged_facts(b.facts)
+
+
+@query(f"WITH {FACTS} SELECT entity_id, list_sort(list(DISTINCT chunk_id))[1:20] AS chunk_ids, list_sort(list(DISTINCT source_id)) AS source_ids FROM m GROUP BY 1")
+def graph_entity_details(b: Bound) -> DataFrame:
+    return graph.entity_details(_mentions(b))
+
+
+@query(f"""WITH {FACTS}, e AS (SELECT DISTINCT a, b FROM f UNION SELECT DISTINCT b, a FROM f), h1 AS (SELECT DISTINCT b AS entity FROM e WHERE a = 'region:1' AND b <> 'region:1'),
+h2 AS (SELECT DISTINCT e.b AS entity FROM e JOIN h1 ON e.a = h1.entity WHERE e.b <> 'region:1' AND e.b NOT IN (FROM h1))
+SELECT 'region:1' AS entity, 0 AS hop UNION ALL SELECT entity, 1 FROM h1 UNION ALL SELECT entity, 2 FROM h2""")
+def graph_bfs_2hop(b: Bound) -> DataFrame:
+    return graph.reached(b.facts, b.spark.createDataFrame([("region:1",)], "entity string"), 2)
+
+
+@query(f"WITH {FACTS}, x AS (SELECT min(source_id) AS source_id FROM f WHERE source_id > 0) SELECT DISTINCT entity_id FROM m WHERE source_id = (FROM x) AND entity_id NOT IN (SELECT entity_id FROM m WHERE source_id <> (FROM x))")
+def graph_orphan_entities(b: Bound) -> DataFrame:
+    first = b.facts.where("source_id > 0").agg(F.min("source_id")).first()[0]
+    return graph.without_source(b.facts, _mentions(b), first)[2]
+
+
+@query(f"WITH {FACTS}, x AS (SELECT min(source_id) AS source_id FROM f WHERE source_id > 0) SELECT a, relation, b, source_id, confidence FROM f WHERE source_id <> (FROM x)")
+def graph_delete_source(b: Bound) -> DataFrame:
+    first = b.facts.where("source_id > 0").agg(F.min("source_id")).first()[0]
+    return graph.without_source(b.facts, _mentions(b), first)[0]
+
+
+@query()
+def graph_name_aliases(b: Bound) -> DataFrame:
+    names = b.raw("supplier").select(F.col("s_nationkey").alias("tenant_id"), F.lit("COMPANY").alias("entity_type"), graph.canonical_key("s_name", F.lit("COMPANY")).alias("key"), F.col("s_suppkey").alias("first"))
+    return graph.aliases_of(names)
