@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..chunking import blocks, units
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import catalog, embedding, graph, ledger, retrieval
@@ -459,3 +460,38 @@ def graph_delete_source(b: Bound) -> DataFrame:
 def graph_name_aliases(b: Bound) -> DataFrame:
     names = b.raw("supplier").select(F.col("s_nationkey").alias("tenant_id"), F.lit("COMPANY").alias("entity_type"), graph.canonical_key("s_name", F.lit("COMPANY")).alias("key"), F.col("s_suppkey").alias("first"))
     return graph.aliases_of(names)
+
+
+# chunking
+
+def _readings(b: Bound) -> DataFrame:
+    return b.raw("documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("reading"), F.lit(1).alias("page"), "text")
+
+
+def _chunks(b: Bound) -> DataFrame:
+    return blocks.chunks_of(blocks.blocks_of(units.with_paths(units.units_of(_readings(b)))))
+
+
+@query()
+def document_units(b: Bound) -> DataFrame:
+    return units.with_paths(units.units_of(_readings(b)))
+
+
+@query()
+def semantic_blocks(b: Bound) -> DataFrame:
+    return blocks.blocks_of(units.with_paths(units.units_of(_readings(b))))
+
+
+@query()
+def text_chunks(b: Bound) -> DataFrame:
+    return _chunks(b)
+
+
+@query()
+def chunk_qa(b: Bound) -> DataFrame:
+    return blocks.quality(_chunks(b))
+
+
+@query("SELECT doc_id AS doc, CAST(len(string_split(text, chr(10))) AS bigint) AS lines FROM documents")
+def reading_lines(b: Bound) -> DataFrame:
+    return units.lines_of(_readings(b)).groupBy("doc").agg(F.count("*").alias("lines"))
