@@ -83,7 +83,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Coder(dict):
     """Piece to the bytes of its ids, little-endian; holds up to ``most`` short pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 400_000, short: int = 64):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 300_000, short: int = 64):
         super().__init__()
         self.ranks, self.split, self.most, self.short = ranks, regex.compile(pattern).findall, most, short
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)

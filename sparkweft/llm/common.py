@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,21 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+class WordHashes(dict):
+    """Word to a 64-bit hash, for all tasks of a Python worker; forgets all when full."""
+
+    most = 250_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        key = self[word] = xxhash.xxh3_64_intdigest(word)
+        return key
+
+
+WORD_HASHES = WordHashes()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,10 +46,12 @@ class Scratch:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
         self.base = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -41,6 +59,12 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, *names: str) -> None:
+        """Frees all tables but these."""
+        for name in self.names:
+            if name not in names:
+                self.drop(name)
+
 
 def map_rows(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], Iterator[dict] | dict]) -> DataFrame:
     """``mapInArrow`` with a function from a record batch to columns (a dict), or to several."""

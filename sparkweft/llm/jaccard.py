@@ -9,6 +9,11 @@ replicates it to the regions of its next ones as far as a partner's region may l
 n - ceil(s * n) + 1. Two linked documents then share a region, and in fact at least
 ``least_shared`` of them.
 
+The parts of a partition of all shingles are pivots too, under the symmetric difference: a set's
+distances to them are its counts in the parts. By the triangle inequality the counts of two
+linked documents differ by no more than their sets do, that is e / (2 - e) of their sizes' sum;
+pairs that differ more are dropped before whole texts are fetched.
+
 Level 1. In a region, documents are pivots. Distances to pivots are exact; a document within e of
 one is linked to it. Regions whose documents are all one component are done. Two documents of one
 region whose distances to a common pivot differ by more than e can't be linked (triangle
@@ -29,28 +34,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, raw
+from .common import LOWER, WORD_HASHES, Scratch, raw
 
+PARTS = 256
 MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
-class Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        key = self[word] = xxhash.xxh3_64_intdigest(word)
-        return key
-
-
-WORDS = Words()
-
-
 def shingles(text: bytes, size: int) -> np.ndarray:
     """The distinct shingles of a text as sorted 63-bit hashes; a shorter text is one."""
     words = text.translate(LOWER).split()
     if not words:
         return np.zeros(0, np.int64)
-    h = np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - size + 1)
     mix = np.full(n, np.uint64(min(len(h), size)))
     for k in range(min(len(h), size)):
@@ -70,6 +65,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return both, len(a) + len(b) - both
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """How many shingles lie in each of PARTS parts of the universe, up to 255."""
+    return np.minimum(np.bincount((own >> 8) & (PARTS - 1), minlength=PARTS), 255).astype(np.uint8).tobytes()
+
+
 def window_size(n: int, percent: int) -> int:
     """Regions of a document of n shingles."""
     return n - -(-percent * n // 100) + 1 if n else 0
@@ -117,10 +117,11 @@ def _regions(size: int, percent: int, common):
     def run(batches):
         late = common.value
         for batch in batches:
-            n, digest, keys = [], [], []
+            n, digest, keys, counts = [], [], [], []
             for text in batch["raw"].to_pylist():
                 own = shingles(text, size)
                 n.append(len(own))
+                counts.append(sketch(own))
                 digest.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                 key = own >> 23
                 is_late = _late(key, late)
@@ -130,7 +131,7 @@ def _regions(size: int, percent: int, common):
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n", "digest", "keys"])
+                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(counts, pa.binary())], names=["doc_id", "n", "digest", "keys", "sketch"])
     return run
 
 
@@ -145,7 +146,7 @@ def common_keys(docs: DataFrame, size: int, percent: int, most: int, least: int
     for k in range(2):
         held = docs.sparkSession.sparkContext.broadcast(found) if k else None
         counts = docs.select("raw").mapInArrow(_keys(size, percent, held), "key long").groupBy("key").count().where(F.col("count") > least)
-        counts = scratch.save(counts.withColumn("b", F.floor(F.log2("count") * 4)), f"common{k}")
+        counts = scratch.save(counts.withColumn("b", F.floor(F.log2("count") * 4)), f"common{k}")  # few rows: keys of more than ``least``
         enough, total = None, 0
         for row in sorted(counts.groupBy("b").count().collect(), key=lambda r: -r["b"]):  # some hundred classes of size at most
             total += row["count"]
@@ -223,6 +224,21 @@ class Join:
         self.step += 1
         return self.scratch.save(df, f"{name}-{self.step}")
 
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose counts in the parts don't differ too much."""
+        percent = self.percent
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for c in ("sa", "sb"))
+                    apart = np.abs(x - y).sum(1, dtype=np.int64)
+                    size = batch["na"].to_numpy() + batch["nb"].to_numpy()
+                    yield batch.select(["a", "b"]).filter(pa.array(apart * (100 + percent) <= size * (100 - percent)))
+
+        x, y = (self.sketches.toDF(s, f"n{s}", f"s{s}") for s in "ab")
+        return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
     def distances(self, pairs: DataFrame) -> DataFrame:
         """a, b, both, union of the pairs' whole texts."""
         size = self.size
@@ -245,7 +261,8 @@ class Join:
 
     def link(self, pairs: DataFrame, name: str) -> int:
         """Verifies pairs, merges the components that they link; returns the number of pairs."""
-        found = self.save(self.distances(pairs), f"{name}-distances")
+        near = self.save(self.possible(pairs), f"{name}-possible")
+        found = self.save(self.distances(near), f"{name}-distances")
         stats = found.agg(F.count("*").alias("n"), F.sum((F.col("both") * 100 >= F.col("either") * self.percent).cast("long")).alias("linked")).first()
         if stats["linked"]:
             linked = found.where(F.col("both") * 100 >= F.col("either") * self.percent)
@@ -282,7 +299,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, small: in
     scratch = Scratch(spark, "jaccard")
     own = docs.select("doc_id", raw("text").alias("raw"))
     late = spark.sparkContext.broadcast(common_keys(own, size, percent, common))
-    made = scratch.save(own.mapInArrow(_regions(size, percent, late), "doc_id long, n long, digest binary, keys array<long>"), "regions")
+    made = scratch.save(own.mapInArrow(_regions(size, percent, late), "doc_id long, n long, digest binary, keys array<long>, sketch binary"), "regions")
     nodes = made.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"))
     nodes = scratch.save(nodes, "nodes")
     rows = made.where("doc_id is not null").select(F.explode("keys").alias("key"), "doc_id")
@@ -292,9 +309,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, small: in
     hits = scratch.save(hits, "hits")
     df = hits.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     hits = scratch.save(hits.join(df, "key"), "held")
-    scratch.drop("shared"), scratch.drop("hits")
+    scratch.drop("shared")
+    scratch.drop("hits")
     join = Join(docs, size, percent, scratch)
     join.comp = join.save(hits.groupBy("node").agg(F.first("n").alias("n"), F.sum((F.col("df") > small).cast("long")).alias("big")).withColumn("comp", F.col("node")), "comp")
+    join.sketches = scratch.save(made.join(join.comp.select(F.col("node").alias("doc_id")), "doc_id").groupBy("doc_id").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")), "sketches")
     texts = own.where("doc_id is not null").join(join.comp.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "raw")
     join.texts = scratch.save(texts, "texts")
     join.home = None
@@ -342,5 +361,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, small: in
     ids = made.select("doc_id", "n", "digest").join(nodes.select("digest", "node"), "digest", "left")
     placed = ids.join(join.comp.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node", "doc_id"))
     placed = scratch.save(placed.select("doc_id", "n", "comp"), "placed")
+    scratch.keep("placed")
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("component_id"))

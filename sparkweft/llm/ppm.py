@@ -20,11 +20,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, raw
+from .common import LOWER, WORD_HASHES, Scratch, raw
 from .simhash import _buckets
 
 END = b"\n"
@@ -34,25 +33,12 @@ PIECE = 4 << 20
 
 def word_key(word: bytes) -> int:
     """A negative long; trie nodes have keys from 0."""
-    return (xxhash.xxh3_64_intdigest(word) >> 1) + SIGN
+    return (WORD_HASHES[word] >> 1) + SIGN
 
 
 END_KEY = word_key(END)
 
 
-class WordKeys(dict):
-    """Word to key; forgets all when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        key = self[word] = word_key(word)
-        return key
-
-
-WORD_KEYS = WordKeys()
-
-
 def normal(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
@@ -224,7 +210,7 @@ def _score_block(order: int, total: int, distinct: int):
             texts = []
             for text in raws[a:b]:
                 words = normal(text)
-                seen = [counts.get(WORD_KEYS[w], 0) for w in words]
+                seen = [counts.get(word_key(w), 0) for w in words]
                 seen.append(counts.get(END_KEY, 0))
                 n_tokens.append(len(seen))
                 n_known.append(len(seen) - seen.count(0))

@@ -24,33 +24,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, raw
+from .common import WORD_HASHES, Scratch, raw
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 BASES = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95))
 
 
-class Words(dict):
-    """Word to its 64-bit hash; forgets all when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        key = self[word] = xxhash.xxh3_64_intdigest(word)
-        return key
-
-
-WORDS = Words()
-
-
-def symbols_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * M2
     x = (x ^ (x >> np.uint64(29))) * M3
@@ -121,7 +103,7 @@ class Batch:
         self.size = np.array([len(x) for x in words], np.int64)
         self.first = np.cumsum(self.size) - self.size
         self.owner = np.repeat(np.arange(len(words)), self.size)
-        self.base = np.fromiter((h for x in words for h in map(WORDS.__getitem__, x)), np.uint64, int(self.size.sum()))
+        self.base = np.fromiter((h for x in words for h in map(WORD_HASHES.__getitem__, x)), np.uint64, int(self.size.sum()))
         name, begin, end, self.run = recompress(self.base, self.owner, rounds)
         long = (end - begin >= least) & (self.size[self.owner[begin]] >= window) if len(name) else np.zeros(0, bool)
         self.name, self.begin, self.end = name[long].view(np.int64), begin[long], end[long]

@@ -28,7 +28,7 @@ MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(
 
 class Words(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) >= 150_000:
             self.clear()
         key = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return key
