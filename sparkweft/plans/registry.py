@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..chunking import blocks, units
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import catalog, embedding, graph, ledger, retrieval
+from ..operators import catalog, embedding, extraction, graph, ledger, readings, retrieval
 from ..operators.scope import Scope, between, filtered
 from ..sources.binding import Bound
 
@@ -495,3 +495,46 @@ def chunk_qa(b: Bound) -> DataFrame:
 @query("SELECT doc_id AS doc, CAST(len(string_split(text, chr(10))) AS bigint) AS lines FROM documents")
 def reading_lines(b: Bound) -> DataFrame:
     return units.lines_of(_readings(b)).groupBy("doc").agg(F.count("*").alias("lines"))
+
+
+# readings and the graph's text side
+
+@query()
+def graph_text_units(b: Bound) -> DataFrame:
+    contents = b.raw("documents").select(F.col("lang").alias("tenant_id"), F.col("doc_id").alias("source_id"), F.lit(1).alias("version"), F.col("text").alias("content"))
+    return extraction.units_of(contents)
+
+
+@query("""SELECT n_regionkey, '| name | key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) AS content FROM nation GROUP BY 1""")
+def nation_tables(b: Bound) -> DataFrame:
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda r: F.array(r["n_name"], r["n_nationkey"].cast("string")))
+    full = F.concat(F.array(F.array(F.lit("name"), F.lit("key"))), rows)
+    return b.raw("nation").groupBy("n_regionkey").agg(full.alias("rows")).select("n_regionkey", readings.markdown_table(F.col("rows")).alias("content"))
+
+
+@query("SELECT doc_id, 'report' AS document_type, source AS value, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id % 7 + 1 AS int) END AS page, round(CASE WHEN doc_id % 150 > 100 THEN 1.0 WHEN doc_id % 150 > 1 THEN (doc_id % 150) / 100.0 ELSE doc_id % 150 END, 4) AS confidence FROM documents")
+def lenient_answers(b: Bound) -> DataFrame:
+    page = F.when(F.col("doc_id") % 3 == 0, F.lit("none")).otherwise((F.col("doc_id") % 7 + 1).cast("string"))
+    fields = F.array(F.struct(F.lit("Source Name").alias("key"), F.col("source").alias("value"), page.alias("page"), (F.col("doc_id") % 150).alias("confidence")), F.struct(F.lit("empty").alias("key"), F.lit(" ").alias("value"), page.alias("page"), F.lit(1).cast("bigint").alias("confidence")))
+    answers = b.raw("documents").select("doc_id", F.to_json(F.struct(F.lit("report").alias("document_type"), fields.alias("fields"))).alias("answer"))
+    item = F.col("result.fields")[0]
+    return readings.validated(answers).select("doc_id", F.col("result.document_type").alias("document_type"), item["value"].alias("value"), item["page"].alias("page"), F.round(item["confidence"], 4).alias("confidence"))
+
+
+# fixed values: an ontology for the bound tables
+BOUND_ONTOLOGY = {
+    "types": ["COMPANY", "LOCATION", "CONCEPT"], "type_synonyms": {"VENDOR": "COMPANY", "COUNTRY": "LOCATION"}, "fallback_type": "CONCEPT", "relations": ["LOCATED_IN", "RELATED_TO"],
+    "relation_synonyms": {"BASED_IN": "LOCATED_IN"}, "inverse_relations": {}, "fallback_relation": "RELATED_TO"}
+
+
+@query("SELECT n_name AS place, count(*) AS links FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
+def graph_resolution(b: Bound) -> DataFrame:
+    """Suppliers' countries as extractions, resolved: every link stands under its country."""
+    rows = b.raw("supplier").join(b.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    name = F.sha1(F.col("s_suppkey").cast("string"))  # names unlike one another
+    entity = lambda n, kind: F.struct(n.alias("name"), F.lit(kind).alias("type"))
+    link = F.struct(name.alias("source"), F.lit("basedIn").alias("relation"), F.col("n_name").alias("target"))
+    units = rows.select(F.lit("6ba7b810-9dad-11d1-80b4-00c04fd430c8").alias("tenant_id"), F.concat(F.lit("u"), "s_suppkey").alias("id"), F.col("s_suppkey").alias("source_id"), F.col("s_suppkey").alias("index"),
+                        F.to_json(F.struct(F.array(entity(name, "vendor"), entity(F.col("n_name"), "Country")).alias("entities"), F.array(link).alias("relationships"))).alias("answer"))
+    entities, _, facts = extraction.resolved(extraction.extractions(units), BOUND_ONTOLOGY)
+    return facts.where("relation = 'LOCATED_IN'").join(entities.select(F.col("entity_id").alias("b"), F.col("display_name").alias("place")), "b").groupBy("place").agg(F.count("*").alias("links"))
