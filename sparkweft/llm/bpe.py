@@ -199,7 +199,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
     def run(batch):
         coder = coder_of(path, pattern, held)
         out = {"doc_id": batch["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": []} if ids else {})
-        for packed in (x for k in range(0, batch.num_rows, 512) for x in coder.encode_all(batch["text"][k : k + 512].to_pylist())):
+        for packed in coder.encode_all(batch["text"].to_pylist()):
             out["n_tokens"].append(len(packed) // 4)
             out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(coder.decode(packed)).hexdigest())

@@ -66,6 +66,13 @@ class Scratch:
                 self.drop(name)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that a task holds few texts as Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def map_rows(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], Iterator[dict] | dict]) -> DataFrame:
     """``mapInArrow`` with a function from a record batch to columns (a dict), or to several."""
     from pyspark.sql.types import _parse_datatype_string
@@ -74,11 +81,10 @@ def map_rows(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], Iterator[
     kinds = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                made = f(batch)
-                for cols in [made] if isinstance(made, dict) else made:
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[x.name], x.type) for x in kinds], schema=kinds)
+        for batch in small(batches):
+            made = f(batch)
+            for cols in [made] if isinstance(made, dict) else made:
+                yield pa.RecordBatch.from_arrays([pa.array(cols[x.name], x.type) for x in kinds], schema=kinds)
 
     return df.mapInArrow(run, schema)
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_HASHES, Scratch, raw
+from .common import LOWER, WORD_HASHES, Scratch, raw, small
 
 PARTS = 256
 MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -99,7 +99,7 @@ def _keys(size: int, percent: int, common):
     that documents with such keys may take instead."""
     def run(batches):
         late = common.value if common else None
-        for batch in batches:
+        for batch in small(batches):
             parts = []
             for text in batch["raw"].to_pylist():
                 own = shingles(text, size)
@@ -116,7 +116,7 @@ def _regions(size: int, percent: int, common):
     """A row for each document: its size, a digest of its set and its regions."""
     def run(batches):
         late = common.value
-        for batch in batches:
+        for batch in small(batches):
             n, digest, keys, counts = [], [], [], []
             for text in batch["raw"].to_pylist():
                 own = shingles(text, size)
@@ -247,7 +247,7 @@ class Join:
 
         def run(batches):
             held, made = None, None
-            for batch in batches:
+            for batch in small(batches):
                 inter, union = [], []
                 for p, q, b in zip(batch["raw_a"].to_pylist(), batch["raw_b"].to_pylist(), batch["b"].to_pylist()):
                     if held != b:

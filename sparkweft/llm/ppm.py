@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_HASHES, Scratch, raw
+from .common import LOWER, WORD_HASHES, Scratch, raw, small
 from .simhash import _buckets
 
 END = b"\n"
@@ -138,7 +138,7 @@ def _list_blocks(order: int):
                 part = slice(k, k + (1 << 18))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), block, np.int32)), pa.array(key[part]), pa.array(n[part])], names=["block", "key", "n"])
 
-        for batch in batches:
+        for batch in small(batches):
             for block, trains, text in zip(*(batch[c].to_pylist() for c in ("block", "trains", "raw"))):
                 if block not in held:
                     while len(held) >= 4:  # ranges come in order in a sorted table; a block may also be listed in parts

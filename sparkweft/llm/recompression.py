@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_HASHES, Scratch, raw
+from .common import WORD_HASHES, Scratch, raw, small
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 BASES = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95))
@@ -146,7 +146,7 @@ def _runs_of(texts: list[bytes], size: int = 2 << 20):
 
 def _name(window: int, rounds: int, least: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts, ids = batch["raw"].to_pylist(), batch["doc_id"].to_numpy()
             for part in _runs_of(texts):
                 own = Batch(texts[part], window, rounds, least)
@@ -158,7 +158,7 @@ def _name(window: int, rounds: int, least: int):
 
 def _windows(window: int, rounds: int, least: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts, ids, text_key, lists = batch["raw"].to_pylist(), batch["doc_id"].to_numpy(), batch["text_key"].to_numpy(), batch["names"]
             for part in _runs_of(texts):
                 own = Batch(texts[part], window, rounds, least)
@@ -175,7 +175,7 @@ def _windows(window: int, rounds: int, least: int):
 
 def _cut(window: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             n_words, n_removed, digest, texts = [], [], [], []
             for text, starts in zip(batch["raw"].to_pylist(), batch["starts"]):
                 words = text.split()
