@@ -78,5 +78,44 @@ FROM split s LEFT JOIN fits f ON f.page_id = s.page_id AND f.nth = 1
 """
 
 
+WORDS_SQL = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP2_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, {words} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * both_have >= 75 * (p.n + q.n - both_have)),
+ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(doc_id, met) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, y FROM reach r JOIN ways ON x = r.met)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.met) AS component_id
+FROM documents d JOIN reach r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+""".format(words=WORDS_SQL.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first_id FROM p GROUP BY 1),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: right('0000' || bin(strpos('0123456789abcdef', h[i]) - 1), 4)), '') AS bits FROM p JOIN f USING (h))
+SELECT page_id, CAST(strlen(payload) AS bigint) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * CAST(bits[5 * i + 1] AS int) + 8 * CAST(bits[5 * i + 2] AS int)
+    + 4 * CAST(bits[5 * i + 3] AS int) + 2 * CAST(bits[5 * i + 4] AS int) + CAST(bits[5 * i + 5] AS int)]), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM b
+"""
+
+OP8_SQL = """
+WITH w AS (SELECT doc_id, {words} AS w FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS pos, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h FROM w WHERE len(w) >= 50),
+firsts AS (SELECT h, min(doc_id) AS lo FROM windows GROUP BY 1),
+repeats AS (SELECT doc_id, pos FROM windows JOIN firsts USING (h) WHERE lo < doc_id),
+each_word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM w),
+judged AS (SELECT e.*, coalesce(bool_or(r.pos IS NOT NULL) OVER (PARTITION BY e.doc_id ORDER BY e.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM each_word e LEFT JOIN repeats r ON r.doc_id = e.doc_id AND r.pos = e.pos)
+SELECT d.doc_id, count(j.pos) AS n_words, count(*) FILTER (j.gone) AS n_removed, sha256(coalesce(string_agg(j.word, ' ' ORDER BY j.pos) FILTER (NOT j.gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN judged j USING (doc_id) GROUP BY d.doc_id
+""".format(words=WORDS_SQL.format(text="coalesce(text, '')"))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": OP9_SQL}
+    return {"op2_jaccard_join": OP2_SQL, "op4_warc": OP4_SQL, "op8_recompression": OP8_SQL, "op9_url_filter": OP9_SQL}
