@@ -116,9 +116,9 @@ def chunks_of(blocks: DataFrame, target: int = 500, soft: int = 600, hard: int =
 
 def quality(chunks: DataFrame, target: int = 500, soft: int = 600, hard: int = 1200) -> DataFrame:
     """One row of checks over chunks: counts by size, prefixes that lack, index gaps."""
-    gaps = chunks.groupBy("doc").agg((F.max("chunk_index") + 1 != F.count("*")).cast("int").alias("gap"))
     n = F.col("token_count")
-    one = chunks.agg(
-        F.count("*").alias("chunks"), F.count_if(n <= target).alias("in_target"), F.count_if(n > soft).alias("over_soft"), F.count_if(n > hard).alias("over_hard"),
-        F.count_if((F.size("path") > 0) & ~F.col("embedding_text").startswith("Section: ")).alias("without_prefix"))
-    return one.crossJoin(gaps.agg(F.coalesce(F.sum("gap"), F.lit(0)).alias("documents_with_gaps")))  # one row by one row
+    checks = {
+        "chunks": F.count("*"), "in_target": F.count_if(n <= target), "over_soft": F.count_if(n > soft), "over_hard": F.count_if(n > hard),
+        "without_prefix": F.count_if((F.size("path") > 0) & ~F.col("embedding_text").startswith("Section: ")), "documents_with_gaps": (F.max("chunk_index") + 1 != F.count("*")).cast("long")}
+    by_document = chunks.groupBy("doc").agg(*[c.alias(name) for name, c in checks.items()])
+    return by_document.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in checks])

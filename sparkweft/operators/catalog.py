@@ -47,11 +47,11 @@ def storage_summary(sources: DataFrame) -> DataFrame:
 
 def totals(**frames: DataFrame) -> DataFrame:
     """One row with the number of rows of each frame."""
-    out = None
+    counts = None
     for name, df in frames.items():
-        one = df.agg(F.count("*").alias(name))
-        out = one if out is None else out.crossJoin(one)  # one row by one row
-    return out
+        one = df.agg(F.count("*").alias("n")).withColumn("name", F.lit(name))
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in frames])
 
 
 def source_detail(sources: DataFrame, tenants: DataFrame, applications: DataFrame, subjects: DataFrame, actors: DataFrame) -> DataFrame:
