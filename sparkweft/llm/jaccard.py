@@ -94,20 +94,15 @@ def _late(key: np.ndarray, common: np.ndarray) -> np.ndarray:
     return common[at] == key
 
 
-def _keys(size: int, percent: int, common):
-    """Keys of the first window in hash order; given the common ones of that, the keys behind it
-    that documents with such keys may take instead."""
+def _keys(size: int, percent: int):
+    """Keys that windows may reach when common ones come last: half as many again as a window
+    has in hash order, and all of a document of up to 300 shingles."""
     def run(batches):
-        late = common.value if common else None
         for batch in small(batches):
             parts = []
             for text in batch["raw"].to_pylist():
                 own = shingles(text, size)
-                end = window_size(len(own), percent)
-                if late is None:
-                    parts.append(own[:end] >> 23)
-                elif held := int(_late(own[:end] >> 23, late).sum()):
-                    parts.append(own[end : end + 4 * held + 8 if held * 4 <= end * 3 else None] >> 23)
+                parts.append(own[: max(3 * window_size(len(own), percent) // 2, 300)] >> 23)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))], names=["key"])
     return run
 
@@ -135,27 +130,22 @@ def _regions(size: int, percent: int, common):
     return run
 
 
-def common_keys(docs: DataFrame, size: int, percent: int, most: int, least: int = 16) -> np.ndarray:
-    """Keys of the largest regions, sorted, at most ``most``.
+def common_keys(docs: DataFrame, size: int, percent: int, most: int, least: int = 4) -> np.ndarray:
+    """Keys that more than ``least`` documents reach, sorted; the commonest, if over ``most``.
 
-    Two counts over all documents: of the keys in windows by hash order, and of those that come
-    behind where a window holds common ones. They only order shingles, so results don't depend
-    on them; their size bound is ``most`` longs.
+    They only order shingles, so results don't depend on them; their size bound is ``most`` longs.
     """
-    scratch, found = Scratch(docs.sparkSession, "jaccard"), np.zeros(0, np.int64)
-    for k in range(2):
-        held = docs.sparkSession.sparkContext.broadcast(found) if k else None
-        counts = docs.select("raw").mapInArrow(_keys(size, percent, held), "key long").groupBy("key").count().where(F.col("count") > least)
-        counts = scratch.save(counts.withColumn("b", F.floor(F.log2("count") * 4)), f"common{k}")  # few rows: keys of more than ``least``
-        enough, total = None, 0
-        for row in sorted(counts.groupBy("b").count().collect(), key=lambda r: -r["b"]):  # some hundred classes of size at most
-            total += row["count"]
-            if total > most // 2:
-                break
-            enough = row["b"]
-        if enough is None:
+    counts = docs.select("raw").mapInArrow(_keys(size, percent), "key long").groupBy("key").count().where(F.col("count") > least)
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    counts = scratch.save(counts.withColumn("b", F.floor(F.log2("count") * 4)), "common")
+    enough, total = None, 0
+    for row in sorted(counts.groupBy("b").count().collect(), key=lambda r: -r["b"]):  # some hundred classes of size at most
+        total += row["count"]
+        if total > most:
             break
-        found = np.union1d(found, counts.where(F.col("b") >= enough).select("key").toArrow()["key"].to_numpy())
+        enough = row["b"]
+    found = np.zeros(0, np.int64) if enough is None else np.sort(counts.where(F.col("b") >= enough).select("key").toArrow()["key"].to_numpy())
+    scratch.keep()
     return found
 
 
@@ -283,7 +273,7 @@ class Join:
         return self.save(own.join(apart, "key").select("key", "node", "n", "big", "comp"), "open")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, small: int = 32, common: int = 1 << 20, pivots_a_round: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, small: int = 32, common: int = 1 << 21, pivots_a_round: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
     Shingles are ``size`` consecutive words, A-Z lower-cased; documents link when their sets have
