@@ -159,7 +159,7 @@ def _name(window: int, rounds: int, least: int):
 def _windows(window: int, rounds: int, least: int):
     def run(batches):
         for batch in small(batches):
-            texts, ids, text_key, lists = batch["raw"].to_pylist(), batch["doc_id"].to_numpy(), batch["text_key"].to_numpy(), batch["names"]
+            texts, ids, lists = batch["raw"].to_pylist(), batch["doc_id"].to_numpy(), batch["names"]
             for part in _runs_of(texts):
                 own = Batch(texts[part], window, rounds, least)
                 shared = np.unique(lists[part].flatten().to_numpy(zero_copy_only=False))
@@ -167,9 +167,9 @@ def _windows(window: int, rounds: int, least: int):
                 if len(at):
                     h, check = (x[at] for x in window_hashes(own.base, window))
                     doc = own.owner[at]
-                    cols = [ids[part][doc], text_key[part][doc], h.view(np.int64), check.view(np.int64).astype(np.int32), (at - own.first[doc]).astype(np.int32)]
+                    cols = [ids[part][doc], h.view(np.int64), check.view(np.int64).astype(np.int32), (at - own.first[doc]).astype(np.int32)]
                     for k in range(0, len(at), 1 << 17):
-                        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 17)]) for c in cols], names=["doc_id", "text_key", "h", "c", "start"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 17)]) for c in cols], names=["doc_id", "h", "c", "start"])
     return run
 
 
@@ -177,11 +177,14 @@ def _cut(window: int):
     def run(batches):
         for batch in small(batches):
             n_words, n_removed, digest, texts = [], [], [], []
-            for text, starts in zip(batch["raw"].to_pylist(), batch["starts"]):
+            for text, starts, is_copy in zip(batch["raw"].to_pylist(), batch["starts"], batch["is_copy"].to_pylist()):
                 words = text.split()
                 kept = words
-                if starts.is_valid and len(starts.values):
-                    gone = covered(len(words), starts.values.to_numpy(), window)
+                if is_copy and len(words) >= window:
+                    kept = []
+                elif starts.is_valid and len(starts.values):
+                    at = starts.values.to_numpy()
+                    gone = covered(len(words), at[at <= len(words) - window], window)
                     kept = [w for w, g in zip(words, gone.tolist()) if not g]
                 joined = b" ".join(kept)
                 n_words.append(len(words))
@@ -195,21 +198,33 @@ def _cut(window: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int, rounds: int, least: int) -> DataFrame:
-    """doc_id, text_key, starts: the starts of the windows that also start in a smaller doc_id.
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id of documents whose whole text a smaller doc_id has too."""
+    marked = docs.where("doc_id is not null").select("doc_id", F.md5("raw").alias("text_key"))
+    first = marked.groupBy("text_key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("text_key", "lo")
+    return marked.join(first, "text_key").where("doc_id > lo").select("doc_id").distinct()
 
-    ``docs`` has doc_id, raw and text_key, which tells texts of one doc_id apart. Minima are combined before the shuffle, so a passage of very
-    many documents is a few rows a task.
+
+def repeated_windows(docs: DataFrame, scratch: Scratch, window: int, rounds: int, least: int) -> DataFrame:
+    """doc_id, starts, is_copy: the starts of the windows that also start in a smaller doc_id.
+
+    ``docs`` has doc_id and raw. A whole copy has no starts but the mark: its windows are those of
+    its original, so they aren't listed again. Minima are combined before the shuffle, so a
+    passage of very many documents is a few rows a task.
     """
-    scratch = Scratch(docs.sparkSession, "recompression")
-    named = scratch.save(docs.where("doc_id is not null").mapInArrow(_name(window, rounds, least), "doc_id long, name long"), "named")
+    copied = scratch.save(copies(docs), "copies")
+    named = docs.where("doc_id is not null").mapInArrow(_name(window, rounds, least), "doc_id long, name long")
+    named = scratch.save(named.join(copied, "doc_id", "left_anti"), "named")
     spans = named.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name")
     shared = scratch.save(named.join(spans, "name").groupBy("doc_id").agg(F.collect_list("name").alias("names")), "shared")
-    with_names = docs.join(shared, "doc_id", "left").select("doc_id", "text_key", "raw", F.coalesce("names", F.array().cast("array<bigint>")).alias("names")).where("doc_id is not null")
-    found = with_names.mapInArrow(_windows(window, rounds, least), "doc_id long, text_key long, h long, c int, start int")
+    scratch.drop("named")
+    marks = shared.withColumn("is_copy", F.lit(False)).unionByName(copied.withColumn("names", F.lit(None).cast("array<bigint>")).withColumn("is_copy", F.lit(True)))
+    with_names = docs.join(marks, "doc_id", "left").where("doc_id is not null and not coalesce(is_copy, false)").select("doc_id", "raw", F.coalesce("names", F.array().cast("array<bigint>")).alias("names"))
+    found = with_names.mapInArrow(_windows(window, rounds, least), "doc_id long, h long, c int, start int")
     first = found.groupBy("h", "c").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "c", "lo")
     again = found.join(first, ["h", "c"]).where("doc_id > lo")
-    return again.groupBy("doc_id", "text_key").agg(F.collect_list("start").alias("starts"))
+    starts = again.groupBy("doc_id").agg(F.collect_list("start").alias("starts")).withColumn("is_copy", F.lit(False))
+    return starts.unionByName(copied.select("doc_id", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("is_copy")))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, rounds: int = 3, least: int = 4, texts: bool = False) -> DataFrame:
@@ -218,17 +233,17 @@ def remove_repeats(docs: DataFrame, window: int = 50, rounds: int = 3, least: in
 
     A word goes if it lies under a window of ``window`` words of its document whose words also
     start in a document of a smaller doc_id; windows are judged on the input. Null and empty
-    texts have no words; documents shorter than a window keep all. Rows of equal doc_id are
-    judged alike against smaller ids, never against each other; a row without an id keeps all
-    its words and removes none. With ``texts`` the columns of ``docs`` come back as struct
-    ``row``, so clashing names don't matter.
+    texts have no words; documents shorter than a window keep all. Rows of equal doc_id are one
+    document: a window that goes in one goes at that place in all, and they aren't judged against
+    each other. A row without an id keeps all its words and removes none. With ``texts`` the
+    columns of ``docs`` come back as struct ``row``, so clashing names don't matter.
     """
     if window < 2 * ((1 << rounds) - 1) + 1:
         raise ValueError("the window is too short for so many rounds")
-    own = docs.select("doc_id", raw("text").alias("raw")).withColumn("text_key", F.xxhash64("raw"))
-    starts = repeated_windows(own, window, rounds, least)
+    own = docs.select("doc_id", raw("text").alias("raw"))
+    starts = repeated_windows(own, Scratch(docs.sparkSession, "recompression"), window, rounds, least)
     if texts:
-        rows = docs.select("doc_id", raw("text").alias("raw"), F.xxhash64(raw("text")).alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias("text_is_null")).alias("row"))
+        rows = docs.select("doc_id", raw("text").alias("raw"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias("text_is_null")).alias("row"))
         kind = next(f.dataType.simpleString() for f in rows.schema if f.name == "row")
-        return rows.join(starts, ["doc_id", "text_key"], "left").select("row", "raw", "starts").mapInArrow(_cut(window), f"row {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
-    return own.join(starts, ["doc_id", "text_key"], "left").select("doc_id", "raw", "starts").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+        return rows.join(starts, "doc_id", "left").select("row", "raw", "starts", "is_copy").mapInArrow(_cut(window), f"row {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    return own.join(starts, "doc_id", "left").select("doc_id", "raw", "starts", "is_copy").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
