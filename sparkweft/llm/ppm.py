@@ -28,7 +28,7 @@ from .simhash import _buckets
 
 END = b"\n"
 SIGN = -(1 << 63)
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 def word_key(word: bytes) -> int:
@@ -192,7 +192,7 @@ def _score_block(order: int, total: int, distinct: int):
         cols = [nodes[c].to_numpy() for c in ("key", "cnt", "tot", "d", "x")]
         rank = np.argsort(cols[0])
         keys, values = cols[0][rank], [c[rank] for c in cols[1:]]
-        del cols
+        del cols, rank, nodes
 
         def node(want):
             if not len(keys):
@@ -201,21 +201,22 @@ def _score_block(order: int, total: int, distinct: int):
             hit = keys[at] == want
             return [np.where(hit, v[at], 0) for v in values]
 
-        n_words = np.searchsorted(keys, 0)
-        counts = dict(zip(keys[:n_words].tolist(), values[0][:n_words].tolist()))
-        base_of = {c: np.log10((c + 1) / (total + distinct + 1)) for c in {0, *counts.values()}}
         n_tokens, n_known, base, score = [], [], [], []
         raws = docs["raw"].to_pylist()
         for a, b in _pieces(raws):
-            texts = []
-            for text in raws[a:b]:
-                words = normal(text)
-                seen = [counts.get(word_key(w), 0) for w in words]
-                seen.append(counts.get(END_KEY, 0))
-                n_tokens.append(len(seen))
-                n_known.append(len(seen) - seen.count(0))
-                base.append(float(sum(base_of[c] for c in seen)))
-                texts.append(b" ".join(words) + END)
+            words = [normal(text) for text in raws[a:b]]
+            sizes = np.array([len(x) + 1 for x in words])
+            ends = np.cumsum(sizes) - 1
+            hashes = np.full(int(sizes.sum()), WORD_HASHES[END], np.uint64)
+            inner = np.ones(len(hashes), bool)
+            inner[ends] = False
+            hashes[inner] = np.fromiter((h for x in words for h in map(WORD_HASHES.__getitem__, x)), np.uint64, int(inner.sum()))
+            seen = node((hashes >> np.uint64(1)).astype(np.int64) + np.int64(SIGN))[0]
+            first = ends - sizes + 1
+            n_tokens += sizes.tolist()
+            n_known += np.add.reduceat((seen > 0).astype(np.int64), first).tolist()
+            base += np.add.reduceat(np.log10((seen + 1) / (total + distinct + 1)), first).tolist()
+            texts = [b" ".join(x) + END for x in words]
             strings, starts = grams(texts, order)
             own, at = np.unique(strings, return_inverse=True)
             score += np.add.reduceat(log_probabilities(own, order, node)[at], starts).tolist()
@@ -225,7 +226,7 @@ def _score_block(order: int, total: int, distinct: int):
     return run
 
 
-def score_documents(docs: DataFrame, held_out: Column, order: int = 4, block_bytes: int = 32 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, order: int = 4, block_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     Rows where ``held_out`` is true don't train (null counts as false). Null and empty texts are
