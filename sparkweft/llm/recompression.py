@@ -215,13 +215,13 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int, rounds: int
     copied = scratch.save(copies(docs), "copies")
     named = docs.where("doc_id is not null").mapInArrow(_name(window, rounds, least), "doc_id long, name long")
     named = scratch.save(named.join(copied, "doc_id", "left_anti"), "named")
-    spans = named.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name")
+    spans = named.groupBy("name").count().where("count > 1").select("name")
     shared = scratch.save(named.join(spans, "name").groupBy("doc_id").agg(F.collect_list("name").alias("names")), "shared")
     scratch.drop("named")
     marks = shared.withColumn("is_copy", F.lit(False)).unionByName(copied.withColumn("names", F.lit(None).cast("array<bigint>")).withColumn("is_copy", F.lit(True)))
     with_names = docs.join(marks, "doc_id", "left").where("doc_id is not null and not coalesce(is_copy, false)").select("doc_id", "raw", F.coalesce("names", F.array().cast("array<bigint>")).alias("names"))
     found = with_names.mapInArrow(_windows(window, rounds, least), "doc_id long, h long, c int, start int")
-    first = found.groupBy("h", "c").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "c", "lo")
+    first = found.groupBy("h", "c").agg(F.min("doc_id").alias("lo"), F.count("*").alias("n")).where("n > 1").select("h", "c", "lo")
     again = found.join(first, ["h", "c"]).where("doc_id > lo")
     starts = again.groupBy("doc_id").agg(F.collect_list("start").alias("starts")).withColumn("is_copy", F.lit(False))
     return starts.unionByName(copied.select("doc_id", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("is_copy")))
