@@ -187,6 +187,12 @@ def test_nearest_neighbours(spark):
     assert ann.nearest_neighbours(few.where("false"), lambda i: i == 0).count() == 0
 
 
+def test_links_are_the_nearest(spark):
+    graph = spark.createDataFrame([(0, b, float(100 - b)) for b in range(1, 33)] + [(b, 0, float(200 - b)) for b in range(33, 101)], "a long, b long, d float")
+    to = {b for a, b in ann.nearest_links(graph).collect() if a == 0}
+    assert to == set(sorted(range(1, 101), key=lambda b: 100 - b if b < 33 else 200 - b)[:64])
+
+
 # 6
 
 def test_ppm_is_a_probability():
