@@ -193,6 +193,23 @@ def test_links_are_the_nearest(spark):
     assert to == set(sorted(range(1, 101), key=lambda b: 100 - b if b < 33 else 200 - b)[:64])
 
 
+@pytest.mark.parametrize("case", ["huge", "near"])
+def test_nearest_neighbours_in_double_precision(spark, case):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(600, 8))
+    if case == "huge":
+        v[599, 3] = 1e12
+    else:
+        v[:500] = v[0] + 1e-6 * v[:500]
+    out = ann.nearest_neighbours(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), lambda i: i % 100 == 0).collect()
+    hits = 0
+    for q in range(0, 600, 100):
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len({r["vec_id"] for r in out if r["query_id"] == q} & set(np.argsort(d)[:10].tolist()))
+    assert len(out) == 60 and hits >= 57
+
+
 # 6
 
 def test_ppm_is_a_probability():
