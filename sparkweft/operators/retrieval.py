@@ -32,12 +32,13 @@ def nearest_chunks(chunks: DataFrame, queries: DataFrame, k: int = 50, query_blo
             qn = np.linalg.norm(q, axis=1)
             best = None
             for pdf in frames:
+                pdf = pdf.sort_values("chunk_id")  # a stable sort by similarity leaves ties by id
                 v = np.array(pdf["embedding"].tolist(), dtype=float)
                 if not len(v) or not len(q):
                     continue
                 scale = np.outer(np.linalg.norm(v, axis=1), qn)
                 sim = np.divide(v @ q.T, scale, out=np.zeros_like(scale), where=scale > 0)
-                at = np.argsort(-sim, axis=0, kind="stable")[: k + 8]
+                at = np.argsort(-sim, axis=0, kind="stable")[:k]
                 made = pd.DataFrame({"query_id": np.repeat(ids, len(at)), "chunk_id": pdf["chunk_id"].to_numpy()[at.T.ravel()], "similarity": np.take_along_axis(sim, at, 0).T.ravel()})
                 best = made if best is None else pd.concat([best, made])
                 best = best.sort_values(["query_id", "similarity", "chunk_id"], ascending=[True, False, True]).groupby("query_id").head(k)

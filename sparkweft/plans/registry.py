@@ -292,6 +292,10 @@ def _asked(b: Bound) -> DataFrame:
     return b.raw("embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
+def _all_asked(b: Bound) -> DataFrame:
+    return b.raw("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 KNN = """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(CAST(q.embedding AS double[]), CAST(c.embedding AS double[])) AS sim FROM embeddings q, embeddings c WHERE q.vec_id < 10 {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, round(sim, 4) AS similarity, CAST(rank AS int) AS rank FROM r WHERE rank <= {k}"""
 
@@ -308,7 +312,7 @@ def knn_scoped(b: Bound) -> DataFrame:
 
 @query()
 def mmr_top10(b: Bound) -> DataFrame:
-    return retrieval.evidence(b.chunks, _asked(b))
+    return retrieval.evidence(b.chunks, _all_asked(b))
 
 
 

@@ -56,6 +56,28 @@ def test_mmr_equals_its_naive_form():
         assert got == naive_mmr(sim, v, 6, weight) or weight == 0.0 and len(set(got)) == 6
 
 
+def test_nearest_equals_brute_force_with_ties(spark):
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, size=(400, 3)).astype(float)
+    ids = rng.permutation(400)
+    v[:40] = v[0]
+    chunks = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "chunk_id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids[:30], v)], "query_id long, vector array<double>")
+    got = sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in retrieval.nearest_chunks(chunks, asked, 5, query_block=8).collect())
+    want = []
+    for q, x in zip(ids[:30], v):
+        size = np.linalg.norm(v, axis=1) * np.linalg.norm(x)
+        sim = np.divide(v @ x, size, out=np.zeros(400), where=size > 0)
+        want += [(int(q), n + 1, int(ids[k])) for n, k in enumerate(np.lexsort((ids, -sim))[:5])]
+    assert got == sorted(want)
+
+
+def test_diverse_picks_of_all_queries(spark):
+    from sparkweft.plans import registry
+
+    assert {r["query_id"] for r in registry.queries()["mmr_top10"](spark, "/root/testdata/sf0.001").collect()} == set(range(0, 500, 100))
+
+
 def test_rerank_fills_missing_scores(spark):
     pool = spark.createDataFrame([(1, i) for i in range(4)], "query_id int, index int")
     scores = spark.createDataFrame([(1, 0, 1.5), (1, 2, -0.5)], "query_id int, index int, score double")
