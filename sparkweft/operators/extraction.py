@@ -120,7 +120,13 @@ def resolved(units: DataFrame, ontology: dict, tenant: str = "tenant_id", thresh
     order = firsts.withColumn("first", (F.col("at.index").cast("long") * 1_000_000 + F.col("at.late") * 500_000 + F.col("at.n")))
     given = named.select("tenant_id", "entity_type", F.col("key").alias("to"), F.explode("aliases").alias("alias")).withColumn("key", graph.canonical_key("alias", "entity_type")).where("key != '' and key != to")
     similar = graph.aliases_of(order.select("tenant_id", "entity_type", "key", "first"), threshold)
-    alias = given.select("tenant_id", "entity_type", "key", "to").unionByName(similar.select("tenant_id", "entity_type", "key", "to")).groupBy("tenant_id", "entity_type", "key").agg(F.min("to").alias("to"))
+    # a given alias and its entity are one: the later points to the earlier, as similar keys do
+    at = order.select("tenant_id", "entity_type", "key", "first")
+    given = given.select("tenant_id", "entity_type", "key", "to").distinct().join(at, ["tenant_id", "entity_type", "key"], "left").join(at.select("tenant_id", "entity_type", F.col("key").alias("to"), F.col("first").alias("to_first")), ["tenant_id", "entity_type", "to"])
+    turned = F.coalesce(F.struct("first", "key") < F.struct(F.col("to_first").alias("first"), F.col("to").alias("key")), F.lit(False)) & F.col("first").isNotNull()
+    given = given.select("tenant_id", "entity_type", F.when(turned, F.col("to")).otherwise(F.col("key")).alias("key"), F.when(turned, F.col("key")).otherwise(F.col("to")).alias("to"), F.when(turned, F.col("first")).otherwise(F.col("to_first")).alias("to_first"), F.lit(0).alias("late"))
+    both = given.unionByName(similar.withColumns({"to_first": F.lit(0).cast("long"), "late": F.lit(1)}))
+    alias = graph.rooted(both.groupBy("tenant_id", "entity_type", "key").agg(F.min_by("to", F.struct("late", "to_first", "to")).alias("to")))
 
     def canonical(df: DataFrame) -> DataFrame:
         return df.join(alias, ["tenant_id", "entity_type", "key"], "left").withColumn("key", F.coalesce("to", "key")).drop("to").withColumn("entity_id", entity_uuid(F.col("tenant_id").cast("string"), F.col("entity_type"), F.col("key")))

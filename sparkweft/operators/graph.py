@@ -95,29 +95,77 @@ def similarity(a, b) -> Column:
     return F.pandas_udf(_similarities, "double")(a, b)
 
 
+def _lost(q: int, h: float) -> float:
+    """The greatest share of a key's length that its q-grams lose against a partner.
+
+    At a ratio of 200 h the common subsequence has at least h of both lengths. A character that
+    only the key has takes q of its q-grams, one that only the partner has q - 1; the sum is
+    linear in the partner's length, so it is greatest at an end of what h allows.
+    """
+    return max(q + (q - 1) * r - (2 * q - 1) * h * (1 + r) for r in (h / (1 - h), (1 - h) / h))
+
+
+def _sharing(names: DataFrame, threshold: float) -> DataFrame:
+    """Pairs x, y of keys of a type, with all that reach the ratio.
+
+    A key that loses at most m of its q-grams shares one of its m + 1 rarest with the partner's
+    m + 1 rarest. Pairs of 16 characters and more meet by four, others by two.
+    """
+    kind, h = ["tenant_id", "entity_type"], threshold / 200
+    bound = F.abs(F.length("x.key") - F.length("y.key")) <= (1 - 2 * h) * (F.length("x.key") + F.length("y.key")) + 1e-9
+    if threshold < 90:  # the filter keeps too little then
+        return names.alias("x").join(names.alias("y"), kind).where(bound)
+    n = F.length("key")
+    sizes = F.filter(F.array(F.when((n < 16) | (n * (h / (1 - h)) < 16), 2), F.when(n >= 16, 4)), lambda q: q.isNotNull())
+    grams = names.select(*kind, "key", F.explode(sizes).alias("q")).select("*", F.posexplode(F.transform(F.sequence(F.lit(1), n - F.col("q") + 1), lambda i: F.col("key").substr(i, F.col("q")))).alias("pos", "gram"))
+    grams = grams.withColumn("nth", F.row_number().over(W.partitionBy(*kind, "q", "key", "gram").orderBy("pos")))
+    gram = [*kind, "q", "gram", "nth"]
+    counted = grams.join(grams.groupBy(*gram).agg(F.count("*").alias("n")), gram)
+    lost = F.floor(n * F.when(F.col("q") == 2, _lost(2, h)).otherwise(_lost(4, h)) + 1e-9)
+    rare = counted.withColumn("at", F.row_number().over(W.partitionBy(*kind, "q", "key").orderBy("n", "gram", "nth"))).where(F.col("at") <= lost + 1)
+    rare = rare.select(*gram, "key").join(names, [*kind, "key"])
+    return rare.alias("x").join(rare.alias("y"), gram).where(bound)
+
+
+def rooted(alias: DataFrame) -> DataFrame:
+    """tenant_id, entity_type, key, to: each key's last target, chains followed to their ends.
+
+    A round doubles the steps followed. Targets are earlier than keys, so there is no circle.
+    """
+    from ..llm.common import Scratch
+
+    scratch, name, k = Scratch(alias.sparkSession, "aliases"), ["tenant_id", "entity_type"], 0
+    now = scratch.save(alias, "to0")
+    while True:
+        ahead = now.select(*name, F.col("key").alias("to"), F.col("to").alias("beyond"))
+        found = now.join(ahead, [*name, "to"], "left").select(*name, "key", F.coalesce("beyond", "to").alias("to"), F.col("beyond").isNotNull().alias("moved"))
+        k += 1
+        found = scratch.save(found, f"to{k}")
+        now = found.drop("moved")
+        if found.where("moved").isEmpty():
+            return now
+
+
 def aliases_of(names: DataFrame, threshold: float = 92.0) -> DataFrame:
     """key, to: keys of a type that name the same entity as an earlier one.
 
     ``names`` has tenant_id, entity_type, key and first (its first position). An organisation's
     acronym of three letters or more joins the key it abbreviates; keys of five characters or
-    more join the earliest one that is similar enough. Candidates share the type and a block: at
-    the threshold, keys of up to twelve characters or so differ in one place, so their first or last
-    three characters agree; of longer ones, those that differ at both ends aren't met.
+    more join the most similar earlier one, the earliest of equals, if it is similar enough. No pair
+    at the threshold is left out of the candidates.
     """
     own = names.groupBy("tenant_id", "entity_type", "key").agg(F.min("first").alias("first"))
     organisations = own.where(F.col("entity_type").isin(*ORGANISATIONS))
     short = organisations.withColumn("short", acronym(F.col("key"))).where(F.length("short") >= 3).select("tenant_id", "entity_type", F.col("key").alias("long"), F.col("first").alias("first_long"), F.col("short").alias("key"))
     later = F.col("first") > F.col("first_long")
     by_letters = organisations.join(short, ["tenant_id", "entity_type", "key"]).select(
-        "tenant_id", "entity_type", F.when(later, F.col("key")).otherwise(F.col("long")).alias("key"), F.when(later, F.col("long")).otherwise(F.col("key")).alias("to"), F.lit(100.0).alias("score"))
+        "tenant_id", "entity_type", F.when(later, F.col("key")).otherwise(F.col("long")).alias("key"), F.when(later, F.col("long")).otherwise(F.col("key")).alias("to"), F.lit(100.0).alias("score"), F.least("first", "first_long").alias("to_first"))
     long = own.where(F.length("key") >= 5)
-    ends = F.array(F.concat(F.lit("<"), F.substring("key", 1, 3)), F.concat(F.lit(">"), F.substring("key", -3, 3)))
-    keyed = long.select("*", F.explode(ends).alias("end"))
-    near = keyed.alias("x").join(keyed.alias("y"), ["tenant_id", "entity_type", "end"]).where("y.first < x.first and abs(length(x.key) - length(y.key)) * 100 <= 8 * (length(x.key) + length(y.key))")
+    near = _sharing(long, threshold).where("y.first < x.first")
     near = near.select("tenant_id", "entity_type", F.col("x.key").alias("key"), F.col("y.key").alias("to"), F.col("y.first").alias("to_first")).distinct()
-    near = near.withColumn("score", similarity("key", "to")).where(F.col("score") >= threshold).select("tenant_id", "entity_type", "key", "to", "score")
+    near = near.withColumn("score", similarity("key", "to")).where(F.col("score") >= threshold).select("tenant_id", "entity_type", "key", "to", "score", "to_first")
     both = by_letters.unionByName(near)
-    return both.groupBy("tenant_id", "entity_type", "key").agg(F.max_by("to", "score").alias("to"))
+    return both.groupBy("tenant_id", "entity_type", "key").agg(F.max_by("to", F.struct("score", -F.col("to_first"))).alias("to"))
 
 
 def merged_facts(facts: DataFrame) -> DataFrame:

@@ -117,6 +117,31 @@ def test_aliases(spark):
     assert graph.question_keys("Who owns the Vela Corp?")[:2] == ["vela_corp", "vela"] or "vela" in graph.question_keys("Who owns the Vela Corp?")
 
 
+def test_aliases_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    keys = ["abcdefghijklm", "bcdefghijklmn"]
+    for n in (8, 13, 15, 16, 17, 18, 26, 40):
+        for _ in range(4):
+            key = "".join(rng.choice(list("abcd"), n))
+            keys.append(key)
+            for _ in range(3):
+                at = sorted(rng.choice(n, 2, replace=False))
+                keys += [key[: at[0]] + key[at[0] + 1 :], key[: at[0]] + "x" + key[at[0] :], "y" + key[:-1], key[: at[0]] + key[at[0] + 1 : at[1]] + "z" + key[at[1] :]]
+    keys = list(dict.fromkeys(keys))
+    got = {r["key"]: r["to"] for r in graph.aliases_of(spark.createDataFrame([(1, "CONCEPT", k, n) for n, k in enumerate(keys)], "tenant_id int, entity_type string, key string, first long")).collect()}
+    want = {}
+    for n, key in enumerate(keys):
+        best = max(((graph.indel_ratio(key, k), -m) for m, k in enumerate(keys[:n])), default=(0, 0))
+        if best[0] >= 92:
+            want[key] = keys[-best[1]]
+    assert want["bcdefghijklmn"] == "abcdefghijklm" and got == want
+
+
+def test_chains_of_aliases_are_followed(spark):
+    steps = spark.createDataFrame([(1, "CONCEPT", k, k - 1) for k in range(1, 8)], "tenant_id int, entity_type string, key int, to int")
+    assert {r["key"]: r["to"] for r in graph.rooted(steps).collect()} == dict.fromkeys(range(1, 8), 0)
+
+
 def test_stream_embeds_each_chunk_once(spark, tmp_path):
     from sparkweft.streaming.queue import embed_stream
 
