@@ -48,9 +48,10 @@ class Scratch:
         self.base = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.names: list[str] = []
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """Writes the rows, in a folder for each value of ``by``, and reads them again."""
         path = f"{self.base}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
         self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -1,43 +1,44 @@
-"""Exact n-gram Jaccard join as a metric-space join.
+"""Exact n-gram Jaccard join as a metric-space join: Voronoi regions, windows, recursion.
 
 The Jaccard distance is a metric. With similarity s the join asks for distance at most e = 1 - s.
 
-Level 0. Pivots are single shingles. A document's distance to {g} is below 1 only where it holds
-g, so its nearest pivots are its own shingles; ties go to the first in one order for all:
-hash order, the commonest last. A document's region is that of its first shingle, and its window
-replicates it to the regions of its next ones as far as a partner's region may lie: the first
-n - ceil(s * n) + 1. Two linked documents then share a region, and in fact at least
-``least_shared`` of them.
-
-The parts of a partition of all shingles are pivots too, under the symmetric difference: a set's
-distances to them are its counts in the parts. By the triangle inequality the counts of two
-linked documents differ by no more than their sets do, that is e / (2 - e) of their sizes' sum;
-pairs that differ more are dropped before whole texts are fetched.
-
-Level 1. In a region, documents are pivots. Distances to pivots are exact; a document within e of
-one is linked to it. Regions whose documents are all one component are done. Two documents of one
-region whose distances to a common pivot differ by more than e can't be linked (triangle
-inequality). What is left is joined pair by pair in small regions, after the count of shared
-regions, and in large ones recursively: again pivots, from the smallest components, more each
-round, until every region is one component or all its documents have been pivots.
-
-Components come from links that were verified on whole texts; a component takes as many links
-as join it, so no group's pairs are all written.
+Sets. Every distinct set of shingles is one node. Shingles are dealt by hash into parts of bounded
+size, packed as bytes; a part tells which of its shingles two nodes hold and how many do.
+What two nodes have in common is among those, so from here on a node is its shared shingles and
+its size, and distances are exact without its text. A node that shares too little to be linked
+with anything is settled.
+
+Regions. Of a linked pair's shingles, ordered from rare to common for all alike, the first
+n - ceil(s * n) + 1 of each have one in common. A shingle's pivot is the least node (node ids are
+hashes, so it is a random one) that holds it there, and a region is a pivot document with all
+nodes that hold one of its shingles there: linked nodes are together in a region.
+
+Recursion. A region of more than ``small`` nodes takes pivots from its nodes. Each node goes to
+the Voronoi region of its nearest pivot and, as partners may lie across the boundary, to those of
+all pivots within 2e of that distance: if x and y are linked and p is nearest to x, then
+d(y, p) <= d(x, p) + e <= d(x, q) + e <= d(y, q) + 2e for every pivot q. Nodes within e of a pivot
+are linked to it, and pivots, being compared with all of their region, leave it. A region that
+its windows don't make smaller stays whole and takes its next, more pivots, from its smallest
+components. Regions end when they are one component or small; small ones are joined in a task.
+
+Only links that join components are written, as chains, so no group's pairs are and no node has
+many; what a region holds besides its pivots is dealt into chunks of bounded size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_HASHES, Scratch, raw, small
+from .common import LOWER, WORD_HASHES, Scratch, raw, small as slices
 
-PARTS = 256
 MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+KEY = 6  # bytes of a shingle's hash that are kept within a part
+HELD = 3 << 20  # shingles that a task holds before it deals them out
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -53,100 +54,251 @@ def shingles(text: bytes, size: int) -> np.ndarray:
         mix ^= mix >> np.uint64(31)
     mix = (mix ^ (mix >> np.uint64(29))) * MULT[1]
     mix ^= mix >> np.uint64(32)
-    return np.unique((mix >> np.uint64(1)).astype(np.int64))
+    mix = np.sort((mix >> np.uint64(1)).astype(np.int64))
+    return mix[np.concatenate([[True], mix[1:] != mix[:-1]])]
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Sizes of the intersection and the union of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-    return both, len(a) + len(b) - both
+def window_size(n, percent: int):
+    """How many of n shingles come first, so that linked sets share one of them."""
+    return n - -(-percent * n // 100) + 1
 
 
-def sketch(own: np.ndarray) -> bytes:
-    """How many shingles lie in each of PARTS parts of the universe, up to 255."""
-    return np.minimum(np.bincount((own >> 8) & (PARTS - 1), minlength=PARTS), 255).astype(np.uint8).tobytes()
+def packed(keys: np.ndarray) -> np.ndarray:
+    """The low KEY bytes of each integer, a row each."""
+    return keys.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :KEY]
 
 
-def window_size(n: int, percent: int) -> int:
-    """Regions of a document of n shingles."""
-    return n - -(-percent * n // 100) + 1 if n else 0
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY, 8), np.uint8)
+    out[:, :KEY] = np.frombuffer(data, np.uint8).reshape(-1, KEY)
+    return out.view("<i8").ravel()
 
 
-def least_shared(a: Column, b: Column, percent: int) -> Column:
-    """Regions that linked documents of a and b shingles share at least, less one for keys that
-    stand for two shingles."""
-    overlap = F.ceil(F.lit(percent) * (a + b) / (100 + percent))
-    return F.greatest(F.lit(1), overlap - F.ceil(F.lit(percent) * F.greatest(a, b) / 100))
+ROWS, KEYS = 0, 1
+DEALT = "part int, kind int, a binary, b binary, c binary"
 
 
-def sizes_fit(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
-def _late(key: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Which keys are among the common ones."""
-    if not len(common) or not len(key):
-        return np.zeros(len(key), bool)
-    at = np.minimum(np.searchsorted(common, key), len(common) - 1)
-    return common[at] == key
-
-
-def _keys(size: int, percent: int):
-    """Keys that windows may reach when common ones come last: half as many again as a window
-    has in hash order, and all of a document of up to 300 shingles."""
+def _deal(size: int, parts: int):
+    """Rows of two kinds: documents (doc_id, n, node), and for each part the shingles that a
+    task's nodes have there (node, count and keys). A set that a task meets again isn't dealt again."""
     def run(batches):
-        for batch in small(batches):
-            parts = []
+        met: set[int] = set()
+        nodes, sets, held = [], [], 0
+
+        def flush():
+            flat, count = np.concatenate(sets), [len(s) for s in sets]
+            part = (flat >> 31) * parts >> 32
+            who = np.repeat(np.arange(len(sets)), count)
+            order = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            flat, who, ids = packed(flat[order]), who[order], np.array(nodes, np.int64)
+            a, b, c, at = [], [], [], []
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                own = who[cut[k] : cut[k + 1]]
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                at.append(k)
+                a.append(ids[own[first]].tobytes())
+                b.append(np.diff(np.append(first, len(own))).astype(np.int32).tobytes())
+                c.append(flat[cut[k] : cut[k + 1]].tobytes())
+            nodes.clear()
+            sets.clear()
+            for k in range(0, len(at), 64):
+                s = slice(k, k + 64)
+                yield pa.RecordBatch.from_arrays([pa.array(at[s], pa.int32()), pa.array([KEYS] * len(at[s]), pa.int32()), *(pa.array(x[s], pa.binary()) for x in (a, b, c))], names=["part", "kind", "a", "b", "c"])
+
+        for batch in slices(batches):
+            n, node = [], []
             for text in batch["raw"].to_pylist():
                 own = shingles(text, size)
-                parts.append(own[: max(3 * window_size(len(own), percent) // 2, 300)] >> 23)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))], names=["key"])
+                n.append(len(own))
+                node.append(xxhash.xxh3_64_intdigest(own.tobytes()) >> 1 if len(own) else -1)
+                if len(own) and node[-1] not in met:
+                    met.add(node[-1])
+                    nodes.append(node[-1])
+                    sets.append(own)
+                    held += len(own)
+            ids = batch["doc_id"].cast(pa.int64())
+            there = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), np.uint8)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([abs(node[0]) % parts], pa.int32()), pa.array([ROWS], pa.int32()), pa.array([ids.fill_null(0).to_numpy().tobytes() + there.tobytes()], pa.binary()),
+                pa.array([np.array(n, np.int64).tobytes()], pa.binary()), pa.array([np.array(node, np.int64).tobytes()], pa.binary())], names=["part", "kind", "a", "b", "c"])
+            if held >= HELD:
+                yield from flush()
+                held = 0
+        if sets:
+            yield from flush()
     return run
 
 
-def _regions(size: int, percent: int, common):
-    """A row for each document: its size, a digest of its set and its regions."""
+FOUND = "kind int, doc_id long, n long, node long, keys binary, ranks binary"
+
+
+def _find(table: pa.Table) -> pa.Table:
+    """Documents as rows again; of each node the shingles of this part that another node holds,
+    with a byte each for how many do (the logarithm in eighths)."""
+    rows = table.filter(pc.equal(table["kind"], ROWS))
+    tables = []
+    for a, b, c in zip(*(rows[x].to_pylist() for x in "abc")):
+        m = len(b) // 8
+        tables.append(pa.table({
+            "kind": pa.array(np.full(m, ROWS, np.int32)), "doc_id": pa.array(np.frombuffer(a[: 8 * m], np.int64), mask=np.frombuffer(a[8 * m :], np.uint8) == 0), "n": pa.array(np.frombuffer(b, np.int64)),
+            "node": pa.array(np.frombuffer(c, np.int64)), "keys": pa.nulls(m, pa.binary()), "ranks": pa.nulls(m, pa.binary())}))
+    dealt = table.filter(pc.equal(table["kind"], KEYS))
+    if dealt.num_rows:
+        a, b, c = (dealt[x].to_pylist() for x in "abc")
+        del table, rows, dealt
+        node = np.repeat(np.frombuffer(b"".join(a), np.int64), np.frombuffer(b"".join(b), np.int32))
+        keys = unpacked(b"".join(c))
+        del a, b, c
+        order = np.lexsort((node, keys))
+        keys, node = keys[order], node[order]
+        once = np.concatenate([[True], (keys[1:] != keys[:-1]) | (node[1:] != node[:-1])])  # a set may come from several tasks
+        keys, node = keys[once], node[once]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        holders = np.diff(np.append(first, len(keys)))
+        df = np.repeat(holders, holders)
+        keys, node, df = keys[df > 1], node[df > 1], df[df > 1]
+        if len(keys):
+            order = np.argsort(node, kind="stable")
+            keys, node, rank = packed(keys[order]), node[order], np.minimum(255, 8 * np.log2(df[order])).astype(np.uint8)
+            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            ends = np.append(first[1:], len(node))
+            m = len(first)
+            tables.append(pa.table({
+                "kind": pa.array(np.full(m, KEYS, np.int32)), "doc_id": pa.nulls(m, pa.int64()), "n": pa.nulls(m, pa.int64()), "node": pa.array(node[first]),
+                "keys": pa.array([keys[x:y].tobytes() for x, y in zip(first, ends)], pa.binary()), "ranks": pa.array([rank[x:y].tobytes() for x, y in zip(first, ends)], pa.binary())}))
+    kinds = [("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("keys", pa.binary()), ("ranks", pa.binary())]
+    return pa.concat_tables([pa.schema(kinds).empty_table(), *tables])
+
+
+def _live(percent: int):
+    """node, n, keys (shared, rare to common) and how many of them are in its window, of the
+    nodes that share enough to be linked with anything."""
     def run(batches):
-        late = common.value
-        for batch in small(batches):
-            n, digest, keys, counts = [], [], [], []
-            for text in batch["raw"].to_pylist():
-                own = shingles(text, size)
-                n.append(len(own))
-                counts.append(sketch(own))
-                digest.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                key = own >> 23
-                is_late = _late(key, late)
-                if is_late.any():
-                    key = np.concatenate([key[~is_late], key[is_late]])
-                keys.append(np.unique(key[: window_size(len(own), percent)]))
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(counts, pa.binary())], names=["doc_id", "n", "digest", "keys", "sketch"])
+        for batch in slices(batches):
+            nodes, sizes, sets, leads = [], [], [], []
+            for node, n, keys, ranks in zip(*(batch[c].to_pylist() for c in ("node", "n", "keys", "ranks"))):
+                own = unpacked(b"".join(keys))
+                lead = window_size(n, percent) - (n - len(own))
+                if lead > 0:
+                    nodes.append(node)
+                    sizes.append(n)
+                    leads.append(lead)
+                    sets.append(own[np.lexsort((own, np.frombuffer(b"".join(ranks), np.uint8)))])
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(leads, pa.int32()), _lists(sets)], names=["node", "n", "lead", "keys"])
     return run
 
 
-def common_keys(docs: DataFrame, size: int, percent: int, most: int, least: int = 4) -> np.ndarray:
-    """Keys that more than ``least`` documents reach, sorted; the commonest, if over ``most``.
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)), pa.array(flat))
 
-    They only order shingles, so results don't depend on them; their size bound is ``most`` longs.
-    """
-    counts = docs.select("raw").mapInArrow(_keys(size, percent), "key long").groupBy("key").count().where(F.col("count") > least)
-    scratch = Scratch(docs.sparkSession, "jaccard")
-    counts = scratch.save(counts.withColumn("b", F.floor(F.log2("count") * 4)), "common")
-    enough, total = None, 0
-    for row in sorted(counts.groupBy("b").count().collect(), key=lambda r: -r["b"]):  # some hundred classes of size at most
-        total += row["count"]
-        if total > most:
-            break
-        enough = row["b"]
-    found = np.zeros(0, np.int64) if enough is None else np.sort(counts.where(F.col("b") >= enough).select("key").toArrow()["key"].to_numpy())
-    scratch.keep()
-    return found
+
+class Sets:
+    """Some nodes' shared shingles, turned so that one set's common shingles with all are counted at once."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
+        self.sets, self.sizes = sets, np.asarray(sizes, np.int64)
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.who = flat[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+
+    def common(self, own: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.flat, own), np.searchsorted(self.flat, own, side="right")
+        width = high - low
+        at = np.repeat(low - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+        return np.bincount(self.who[at], minlength=len(self.sets))
+
+    def distances(self, own: np.ndarray, n: int) -> np.ndarray:
+        both = self.common(own)
+        return 1 - both / (self.sizes + n - both)
+
+    def linked(self, own: np.ndarray, n: int, percent: int) -> np.ndarray:
+        both = self.common(own)
+        return both * 100 >= (self.sizes + n - both) * percent
+
+
+def _forest(sets: Sets, nodes: np.ndarray, percent: int, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a small region that join its components, at most one fewer than it has nodes."""
+    label = np.unique(comp, return_inverse=True)[1]
+    edges = []
+    for k in range(len(nodes)):
+        other = label != label[k]
+        if not other.any():
+            continue
+        hit = np.flatnonzero(sets.linked(sets.sets[k], int(sets.sizes[k]), percent) & other)
+        for j in hit.tolist():
+            if label[j] != label[k]:
+                edges.append((int(nodes[k]), int(nodes[j])))
+                label[label == label[j]] = label[k]
+    return edges
+
+
+def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    x = np.array(edges, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+
+
+def _join_small(percent: int):
+    """Edges of regions that come one after another, sorted by region; none is large."""
+    def run(batches):
+        held, now = [], None
+
+        def done():
+            rows = pa.Table.from_batches(held)
+            nodes, comp = rows["node"].to_numpy(), rows["comp"].to_numpy()
+            if len(nodes) > 1 and (comp != comp[0]).any():
+                sets = [k.values.to_numpy() for k in rows["keys"]]
+                edges = _forest(Sets(sets, rows["n"].to_numpy()), nodes, percent, comp)
+                if edges:
+                    yield _edges(edges)
+
+        for batch in batches:
+            region = batch["region"].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(region[1:] != region[:-1]) + 1, [len(region)]])
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if x == y:
+                    continue
+                if region[x] != now and held:
+                    yield from done()
+                    held.clear()
+                now = region[x]
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield from done()
+    return run
+
+
+SPLIT = "region long, node long, sub long, a long, b long"
+
+
+def _split(percent: int):
+    """A chunk of a region's nodes against its pivots: the Voronoi regions that each node goes to
+    (region, node, sub), and links (a, b) as chains."""
+    reach = 2 * (1 - percent / 100) + 1e-9
+
+    def run(key, chunk: pa.Table, pivots: pa.Table) -> pa.Table:
+        region, node, sub, edges = [], [], [], []
+        if chunk.num_rows and pivots.num_rows:
+            own = Sets([k.values.to_numpy() for k in pivots["held"]], pivots["size"].to_numpy())
+            ids = pivots["pivot"].to_numpy()
+            last: dict[int, int] = {}
+            for x, n, keys in zip(chunk["node"].to_pylist(), chunk["n"].to_pylist(), chunk["keys"]):
+                d = own.distances(keys.values.to_numpy(), n)
+                links = np.flatnonzero(own.linked(keys.values.to_numpy(), n, percent) & (ids != x))
+                for p in ids[links].tolist():
+                    edges.append((last.get(p, p), x))
+                    last[p] = x
+                if x not in ids:
+                    near = ids[d <= d.min() + reach]
+                    node += [x] * len(near)
+                    sub += near.tolist()
+        m = len(node)
+        return pa.table({
+            "region": pa.array([key[0].as_py()] * m + [None] * len(edges), pa.int64()), "node": pa.array(node + [None] * len(edges), pa.int64()), "sub": pa.array(sub + [None] * len(edges), pa.int64()),
+            "a": pa.array([None] * m + [e[0] for e in edges], pa.int64()), "b": pa.array([None] * m + [e[1] for e in edges], pa.int64())})
+    return run
 
 
 def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
@@ -157,200 +309,141 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     now = scratch.save(now, f"{label}-0")
-    k = 0
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    k, before = 0, mark(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        after = scratch.save(small.where("a != b").distinct(), f"{label}-{k + 1}")
-        mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        done = mark(after) == mark(now)
+        hung = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        after = scratch.save(hung.where("a != b").distinct(), f"{label}-{k + 1}")
         scratch.drop(f"{label}-{k}")
-        now, k = after, k + 1
-        if done:
-            break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
-def _share_enough(held, percent: int):
-    """Pairs (a, b) of a row and a pivot whose sizes fit and that share regions enough."""
-    def run(batches):
-        pivots, sizes, keys = held.value
-        flat, which = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        order = np.argsort(flat, kind="stable")
-        flat, which = flat[order], which[order]
-        for batch in batches:
-            a, b = [], []
-            for node, n, own in zip(batch["node"].to_pylist(), batch["n"].to_pylist(), batch["keys"]):
-                own = own.values.to_numpy()
-                low, high = np.searchsorted(flat, own), np.searchsorted(flat, own, side="right")
-                width = high - low
-                total = int(width.sum())
-                if not total:
-                    continue
-                at = np.repeat(low - np.cumsum(width) + width, width) + np.arange(total)
-                shared = np.bincount(which[at], minlength=len(pivots))
-                large, little = np.maximum(sizes, n), np.minimum(sizes, n)
-                need = np.maximum(1, -(-percent * (sizes + n) // (100 + percent)) + (-percent * large) // 100)
-                ok = (shared >= need) & (little * 100 >= large * percent) & (pivots != node)
-                b.append(pivots[ok])
-                a.append(np.full(len(b[-1]), node))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).astype(np.int64)), pa.array(np.concatenate(b).astype(np.int64))], names=["a", "b"])
-    return run
+        now, k, held = after, k + 1, mark(after)
+        if held == before:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before = held
 
 
-class Join:
-    """The state of a join: documents' texts, regions, components and home pivots."""
+def _parts(volume: int) -> int:
+    """Parts of 64 MB of text; more and smaller ones of a small table, for even tasks."""
+    return max(1, -(-volume // (64 << 20)), min(192, volume // (1 << 20)))
 
-    def __init__(self, docs: DataFrame, size: int, percent: int, scratch: Scratch):
-        self.size, self.percent, self.scratch, self.step = size, percent, scratch, 0
-        self.spark = docs.sparkSession
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        self.step += 1
-        return self.scratch.save(df, f"{name}-{self.step}")
-
-    def possible(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose counts in the parts don't differ too much."""
-        percent = self.percent
-
-        def run(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for c in ("sa", "sb"))
-                    apart = np.abs(x - y).sum(1, dtype=np.int64)
-                    size = batch["na"].to_numpy() + batch["nb"].to_numpy()
-                    yield batch.select(["a", "b"]).filter(pa.array(apart * (100 + percent) <= size * (100 - percent)))
-
-        x, y = (self.sketches.toDF(s, f"n{s}", f"s{s}") for s in "ab")
-        return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
-
-    def distances(self, pairs: DataFrame) -> DataFrame:
-        """a, b, both, union of the pairs' whole texts."""
-        size = self.size
-        x = self.texts.select(F.col("node").alias("a"), F.col("raw").alias("raw_a"))
-        y = self.texts.select(F.col("node").alias("b"), F.col("raw").alias("raw_b"))
-
-        def run(batches):
-            held, made = None, None
-            for batch in small(batches):
-                inter, union = [], []
-                for p, q, b in zip(batch["raw_a"].to_pylist(), batch["raw_b"].to_pylist(), batch["b"].to_pylist()):
-                    if held != b:
-                        held, made = b, shingles(q, size)
-                    i, u = similarity(shingles(p, size), made)
-                    inter.append(i)
-                    union.append(u)
-                yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(inter, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "both", "either"])
-
-        return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "raw_a", "raw_b").mapInArrow(run, "a long, b long, both long, either long")
-
-    def link(self, pairs: DataFrame, name: str) -> int:
-        """Verifies pairs, merges the components that they link; returns the number of pairs."""
-        near = self.save(self.possible(pairs), f"{name}-possible")
-        found = self.save(self.distances(near), f"{name}-distances")
-        stats = found.agg(F.count("*").alias("n"), F.sum((F.col("both") * 100 >= F.col("either") * self.percent).cast("long")).alias("linked")).first()
-        if stats["linked"]:
-            linked = found.where(F.col("both") * 100 >= F.col("either") * self.percent)
-            own = self.comp.select("node", "comp")
-            edges = linked.join(own.withColumnRenamed("node", "a").withColumnRenamed("comp", "ca"), "a").join(own.withColumnRenamed("node", "b").withColumnRenamed("comp", "cb"), "b").where("ca != cb")
-            roots = components(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b")), self.scratch, f"{name}-{self.step}")
-            merged = self.comp.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("node", "n", "big", F.coalesce("root", "comp").alias("comp"))
-            self.comp = self.save(merged, "comp")
-        if name == "pivots":
-            home = found.groupBy(F.col("a").alias("node")).agg(F.min_by(F.struct(F.col("b").alias("home"), (1 - F.col("both") / F.col("either")).alias("away")), 1 - F.col("both") / F.col("either")).alias("h"))
-            self.home = self.save(home.select("node", "h.home", "h.away"), "home")
-        return stats["n"]
-
-    def open_regions(self, regions: DataFrame) -> DataFrame:
-        """key, node, n, big, comp of regions that still hold two components."""
-        own = regions.join(self.comp, "node")
-        apart = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        return self.save(own.join(apart, "key").select("key", "node", "n", "big", "comp"), "open")
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, small: int = 32, common: int = 1 << 21, pivots_a_round: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, small: int = 256, pivots: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
     Shingles are ``size`` consecutive words, A-Z lower-cased; documents link when their sets have
     a Jaccard similarity of ``percent`` or more. component_id is the smallest doc_id reachable.
-    Null and empty texts have no shingles and link with nothing; texts with fewer words are one
-    shingle. Equal sets are one node. Rows of equal doc_id are one document of either text, a null
-    doc_id links with nothing and has no component. No rows, no result. Only doc_id and
-    text are read. ``small`` is the size to which regions are joined pair by pair, ``common`` bounds
-    the broadcast list of shingles that come last and ``pivots_a_round`` that of pivots; none
-    changes results.
+    Null and empty texts have no shingles, link with nothing and are their own component; texts
+    with fewer words are one shingle. Equal sets are one node. Rows of equal doc_id are judged each
+    by its own text; a row without a doc_id is judged too, but lends its component no id (null
+    where no other row does). No rows, no result. Only doc_id and text are read.
+
+    ``small`` is the size to which regions are joined in one task, ``pivots`` how many a larger one
+    takes at first; neither changes results. Sets are told apart by 63-bit hashes, shingles by 48
+    bits within their part.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    own = docs.select("doc_id", raw("text").alias("raw"))
-    late = spark.sparkContext.broadcast(common_keys(own, size, percent, common))
-    made = scratch.save(own.mapInArrow(_regions(size, percent, late), "doc_id long, n long, digest binary, keys array<long>, sketch binary"), "regions")
-    nodes = made.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"))
-    nodes = scratch.save(nodes, "nodes")
-    rows = made.where("doc_id is not null").select(F.explode("keys").alias("key"), "doc_id")
-    twice = rows.groupBy("key").count().where("count > 1").select("key")
-    shared = scratch.save(rows.join(twice, "key"), "shared")
-    hits = shared.join(nodes.select(F.col("node").alias("doc_id"), "n"), "doc_id").select("key", F.col("doc_id").alias("node"), "n").distinct()
-    hits = scratch.save(hits, "hits")
-    df = hits.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    hits = scratch.save(hits.join(df, "key"), "held")
-    scratch.drop("shared")
-    scratch.drop("hits")
-    join = Join(docs, size, percent, scratch)
-    join.comp = join.save(hits.groupBy("node").agg(F.first("n").alias("n"), F.sum((F.col("df") > small).cast("long")).alias("big")).withColumn("comp", F.col("node")), "comp")
-    join.sketches = scratch.save(made.join(join.comp.select(F.col("node").alias("doc_id")), "doc_id").groupBy("doc_id").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")), "sketches")
-    texts = own.where("doc_id is not null").join(join.comp.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "raw")
-    join.texts = scratch.save(texts, "texts")
-    join.home = None
-    fit = lambda a, b: sizes_fit(F.col(a), F.col(b), percent)
-    need = lambda a, b: least_shared(F.col(a), F.col(b), percent)
-
-    # a pivot for each region: its smallest node; documents that share enough of its regions
-    pivots = hits.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("n").alias("nb")), "node").alias("p")).select("key", "p.b", "p.nb")
-    star = hits.join(pivots, "key").where((F.col("node") != F.col("b")) & fit("n", "nb")).groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("nb").alias("nb"))
-    join.link(star.where(F.col("shared") * 2 >= need("n", "nb")), "pivots")
-
-    # small regions, pair by pair
-    opened = join.open_regions(hits.where(F.col("df") <= small).select("key", "node"))
-    left, right = (opened.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("node", "n", "big", "comp")]) for s in "ab")
-    pairs = left.join(right, "key").where((F.col("nodea") < F.col("nodeb")) & (F.col("compa") != F.col("compb")) & fit("na", "nb"))
-    pairs = pairs.groupBy(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).agg(F.count("*").alias("shared"), *[F.first(c).alias(c) for c in ("na", "nb", "biga", "bigb")])
-    pairs = pairs.where(F.col("shared") + F.least("biga", "bigb") >= need("na", "nb"))
-    ha, hb = (join.home.select(F.col("node").alias(s), F.col("home").alias(f"home{s}"), F.col("away").alias(f"away{s}")) for s in "ab")
-    outside = (F.col("homea") == F.col("homeb")) & (F.abs(F.col("awaya") - F.col("awayb")) > 1 - percent / 100 + 1e-9)
-    pairs = pairs.join(ha, "a", "left").join(hb, "b", "left").where(~F.coalesce(outside, F.lit(False)))
-    join.link(pairs.select("a", "b"), "pairs")
-
-    # large regions, recursively: pivots from the smallest components against all that share enough
-    rest, many = hits.where(F.col("df") > small).select("key", "node"), pivots_a_round
-    members = None
-    while True:
-        opened = join.open_regions(rest)
-        if opened.isEmpty():
-            break
-        if members is None:
-            inner = join.comp.where("big > 0").select(F.col("node").alias("doc_id"))
-            members = scratch.save(made.join(nodes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"]).join(inner, "doc_id").select(F.col("doc_id").alias("node"), "n", "keys"), "members")
-        sizes = join.comp.groupBy("comp").agg(F.count("*").alias("members"))
-        chosen = opened.select("node", "comp").distinct().join(sizes, "comp").orderBy("members", "node").select("node").limit(many)
-        chosen = join.save(chosen, "chosen")
-        rows = members.join(F.broadcast(chosen), "node").toArrow()  # at most ``many`` rows of one window each
-        held = spark.sparkContext.broadcast((rows["node"].to_numpy(), rows["n"].to_numpy(), [k.values.to_numpy() for k in rows["keys"]]))
-        pairs = members.mapInArrow(_share_enough(held, percent), "a long, b long")
-        comps = join.comp.select("node", "comp")
-        pairs = pairs.join(comps.toDF("a", "ca"), "a").join(comps.toDF("b", "cb"), "b").where("ca != cb").select("a", "b")
-        join.link(pairs, "large")
-        rest = join.save(opened.join(chosen, "node", "left_anti").select("key", "node"), "rest")
-        many = min(4 * many, 16 * pivots_a_round)
-
-    ids = made.select("doc_id", "n", "digest").join(nodes.select("digest", "node"), "digest", "left")
-    placed = ids.join(join.comp.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node", "doc_id"))
-    placed = scratch.save(placed.select("doc_id", "n", "comp"), "placed")
-    scratch.keep("placed")
-    least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("component_id"))
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw("text").alias("raw"))
+    parts = _parts(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    dealt = own.mapInArrow(_deal(size, parts), DEALT)
+    found = scratch.save(dealt.groupBy("part").applyInArrow(_find, FOUND), "found", "kind")
+    rows = found.where(f"kind = {ROWS}").select("doc_id", "n", "node")
+    nodes = rows.where("node >= 0").groupBy("node").agg(F.max("n").alias("n"))
+    shared = found.where(f"kind = {KEYS}").groupBy("node").agg(F.collect_list(F.struct("keys", "ranks")).alias("l")).select("node", F.col("l.keys").alias("keys"), F.col("l.ranks").alias("ranks"))
+    live = scratch.save(shared.join(nodes, "node").select("node", "n", "keys", "ranks").mapInArrow(_live(percent), "node long, n long, lead int, keys array<long>"), "live")
+
+    first = live.select("node", F.explode(F.slice("keys", F.lit(1), F.col("lead"))).alias("key"))
+    least = first.groupBy("key").agg(F.min("node").alias("region"), F.count("*").alias("many")).where("many > 1").select("key", "region")
+    regions = scratch.save(first.join(least, "key").select("region", "node").distinct(), "regions")
+    join = _Join(live, percent, small, scratch)
+    join.run(regions, pivots)
+
+    roots = join.comp.select("node", "comp") if join.comp is not None else None
+    placed = rows.select("doc_id", "n", "node")
+    placed = placed.join(roots, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if roots is not None else placed.withColumn("comp", F.col("node"))
+    least = placed.where("comp >= 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    out = placed.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    scratch.keep("found", *join.kept)
+    return out
+
+
+class _Join:
+    """Regions of nodes, and the components that their links have made so far."""
+
+    def __init__(self, live: DataFrame, percent: int, small: int, scratch: Scratch):
+        self.live, self.percent, self.small, self.scratch = live, percent, small, scratch
+        self.comp, self.kept, self.step = None, [], 0
+
+    def _save(self, df: DataFrame, name: str) -> DataFrame:
+        self.step += 1
+        self.last = f"{name}-{self.step}"
+        return self.scratch.save(df, self.last)
+
+    def _merge(self, edges: DataFrame) -> None:
+        """Components of all nodes that have had a link: those of before and the new links."""
+        if self.comp is not None:
+            edges = edges.unionByName(self.comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+        made = components(edges, self.scratch, f"comp-{self.step}").select("node", F.col("root").alias("comp"))
+        self.comp = self._save(made, "comp")
+        self.kept = [self.last]
+
+    def _with_comp(self, df: DataFrame) -> DataFrame:
+        if self.comp is None:
+            return df.withColumn("comp", F.col("node"))
+        return df.join(self.comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def _open(self, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Regions that hold two components: small ones and large ones (region, node, comp, m)."""
+        own = self._with_comp(regions)
+        many = own.groupBy("region").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("region", "m")
+        own = self._save(own.join(many, "region").select("region", "node", "comp", "m"), "open")
+        return own.where(F.col("m") <= self.small), own.where(F.col("m") > self.small)
+
+    def _join_small(self, few: DataFrame) -> None:
+        full = few.select("region", "node", "comp").join(self.live.select("node", "n", "keys"), "node").select("region", "node", "comp", "n", "keys")
+        edges = self._save(full.repartition("region").sortWithinPartitions("region").mapInArrow(_join_small(self.percent), "a long, b long"), "edges")
+        if not edges.isEmpty():
+            self._merge(edges)
+
+    def run(self, regions: DataFrame, pivots: int) -> None:
+        while True:
+            few, many = self._open(regions)
+            self._join_small(few)
+            if many.isEmpty():
+                return
+            large = many.select("region", "node")
+            # pivots: nodes of a region's smallest components, in order of node ids, which are hashes
+            own = self._with_comp(large)
+            sized = own.join(own.groupBy("region", "comp").agg(F.count("*").alias("size")), ["region", "comp"])
+            chosen = _least(sized, pivots)
+            chosen = self._save(chosen, "chosen")
+            sets = self.live.select("node", "n", "keys")
+            chunks = F.greatest(F.lit(1), F.ceil(F.col("m") / self.small)).cast("int")
+            sides = chosen.select("region", "m", F.explode("p").alias("node")).join(sets, "node").select(F.explode(F.sequence(F.lit(0), chunks - 1)).alias("side_chunk"), F.col("region").alias("side_region"), F.col("node").alias("pivot"), F.col("n").alias("size"), F.col("keys").alias("held"))
+            members = large.join(chosen.select("region", "m"), "region").join(sets, "node").select("region", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), "node", "n", "keys")
+            made = self._save(members.groupBy("region", "chunk").cogroup(sides.groupBy("side_region", "side_chunk")).applyInArrow(_split(self.percent), SPLIT), "split")
+            edges = made.where("a is not null").select("a", "b")
+            if not edges.isEmpty():
+                self._merge(edges)
+            # a region is split where no part has more than half of it, and all have twice as much as it; else it stays, without its pivots
+            placed = made.where("node is not null")
+            parts = placed.groupBy("region", "sub").agg(F.count("*").alias("part")).groupBy("region").agg(F.max("part").alias("most"), F.sum("part").alias("all"))
+            m = F.col("m")
+            fits = parts.join(chosen.select("region", "m"), "region").select("region", ((F.col("most") * 2 <= m) & (F.col("all") <= 2 * m)).alias("fits"))
+            both = placed.join(fits, "region")
+            split = both.where("fits").select(F.xxhash64("region", "sub").alias("region"), "node")
+            regions = self._save(split.unionByName(both.where("not fits").select("region", "node").distinct()), "next")
+            pivots = min(4 * pivots, 512)
+
+
+def _least(sized: DataFrame, pivots: int) -> DataFrame:
+    """region, p (nodes of the ``pivots`` smallest (size, node)), m; combined before the shuffle."""
+    from pyspark.sql import Window as W
+
+    spread = sized.withColumn("_s", F.spark_partition_id())
+    near = spread.withColumn("_k", F.row_number().over(W.partitionBy("region", "_s").orderBy("size", "node"))).where(F.col("_k") <= pivots)
+    best = near.groupBy("region").agg(F.slice(F.sort_array(F.collect_list(F.struct("size", "node"))), 1, pivots).alias("p"))
+    return best.join(sized.groupBy("region").agg(F.count("*").alias("m")), "region").select("region", F.col("p.node").alias("p"), "m")

@@ -101,7 +101,7 @@ def brute_components(rows, size=5, percent=75):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 1, "pivots_a_round": 2}])
+@pytest.mark.parametrize("options", [{}, {"small": 2, "pivots": 2}])
 def test_jaccard(docs, rows, options):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs, **options).collect()}
     assert got == brute_components(rows)
@@ -116,7 +116,7 @@ def test_jaccard_of_many_near_copies(spark):
         for _ in range(rng.choice([1, 1, 2, 3])):
             own[rng.randrange(60)] = f"e{i}"
         rows.append((i, " ".join(own), "en", "s", 0))
-    made = jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA), small=4, pivots_a_round=3)
+    made = jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA), small=4, pivots=3)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in made.collect()} == brute_components(rows)
 
 
