@@ -29,16 +29,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, WORD_HASHES, Scratch, raw, small as slices
+from .parts import DEALT, KEY, deal, gathered, heads, held_twice, longs, packed, part_count, part_of, unpacked
 
 MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-KEY = 6  # bytes of a shingle's hash that are kept within a part
-HELD = 3 << 20  # shingles that a task holds before it deals them out
+HELD = 2 << 20  # shingles that a task holds before it deals them out
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -63,65 +62,70 @@ def window_size(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-def packed(keys: np.ndarray) -> np.ndarray:
-    """The low KEY bytes of each integer, a row each."""
-    return keys.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :KEY]
+#: kinds of dealt rows: documents, sizes of nodes, shingles by part, hot shingles by node
+ROWS, SIZES, KEYS, HOT = range(4)
+RANKED = np.dtype([("key", "u1", KEY), ("rank", "u1")])
+FOUND = "kind int, part int, a binary, b binary, c binary"
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // KEY, 8), np.uint8)
-    out[:, :KEY] = np.frombuffer(data, np.uint8).reshape(-1, KEY)
-    return out.view("<i8").ravel()
+def node_of(own: np.ndarray) -> int:
+    """A set's node, a 63-bit hash; -1 if it is empty."""
+    return xxhash.xxh3_64_intdigest(own.tobytes()) >> 1 if len(own) else -1
 
 
-ROWS, KEYS = 0, 1
-DEALT = "part int, kind int, a binary, b binary, c binary"
+def hot_keys(docs: DataFrame, size: int, rows: int, sample: int, least: int = 8) -> np.ndarray:
+    """Shingles that ``least`` sets of a sample of some ``sample`` documents hold, sorted.
 
+    They are dealt by node instead of by shingle, so that none fills a part; that changes no
+    result. There are at most sample / least times a document's shingles of them.
+    """
+    def run(batches):
+        for batch in slices(batches):
+            sets = [shingles(text, size) for text in batch["raw"].to_pylist()]
+            nodes = np.repeat(np.array([node_of(s) for s in sets], np.int64), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(nodes)], names=["key", "node"])
+
+    some = docs.where(F.pmod(F.xxhash64("raw"), F.lit(-(-rows // sample))) == 0)
+    found = some.mapInArrow(run, "key long, node long").distinct().groupBy("key").count().where(F.col("count") >= least)
+    return np.sort(found.select("key").toArrow()["key"].to_numpy())
 
-def _deal(size: int, parts: int):
-    """Rows of two kinds: documents (doc_id, n, node), and for each part the shingles that a
-    task's nodes have there (node, count and keys). A set that a task meets again isn't dealt again."""
+
+def _deal(size: int, parts: int, hot):
+    """Documents (doc_id, n, node) and nodes' sizes, many a row; for each part the shingles that
+    a task's nodes have there; nodes' hot shingles. A set that a task meets again isn't dealt again."""
     def run(batches):
         met: set[int] = set()
-        nodes, sets, held = [], [], 0
+        nodes, sets, held, late = [], [], 0, hot.value
 
         def flush():
-            flat, count = np.concatenate(sets), [len(s) for s in sets]
-            part = (flat >> 31) * parts >> 32
-            who = np.repeat(np.arange(len(sets)), count)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
-            flat, who, ids = packed(flat[order]), who[order], np.array(nodes, np.int64)
-            a, b, c, at = [], [], [], []
-            for k in np.flatnonzero(np.diff(cut)).tolist():
-                own = who[cut[k] : cut[k + 1]]
-                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                at.append(k)
-                a.append(ids[own[first]].tobytes())
-                b.append(np.diff(np.append(first, len(own))).astype(np.int32).tobytes())
-                c.append(flat[cut[k] : cut[k + 1]].tobytes())
+            flat, size_of, ids = np.concatenate(sets), np.array([len(s) for s in sets], np.int64), np.array(nodes, np.int64)
+            who, owners, home = np.repeat(np.arange(len(sets)), size_of), ids.view(np.uint8).reshape(-1, 8), part_of(ids, parts)
+            yield from deal(home, np.arange(len(sets)), owners, size_of.view(np.uint8).reshape(-1, 8), SIZES)
+            is_hot = np.zeros(len(flat), bool)
+            if len(late):
+                is_hot = late[np.minimum(np.searchsorted(late, flat), len(late) - 1)] == flat
+            if is_hot.any():
+                yield from deal(home[who[is_hot]], who[is_hot], owners, packed(flat[is_hot]), HOT)
+            if not is_hot.all():
+                yield from deal(part_of(flat[~is_hot], parts), who[~is_hot], owners, packed(flat[~is_hot]), KEYS)
             nodes.clear()
             sets.clear()
-            for k in range(0, len(at), 64):
-                s = slice(k, k + 64)
-                yield pa.RecordBatch.from_arrays([pa.array(at[s], pa.int32()), pa.array([KEYS] * len(at[s]), pa.int32()), *(pa.array(x[s], pa.binary()) for x in (a, b, c))], names=["part", "kind", "a", "b", "c"])
 
         for batch in slices(batches):
             n, node = [], []
             for text in batch["raw"].to_pylist():
                 own = shingles(text, size)
                 n.append(len(own))
-                node.append(xxhash.xxh3_64_intdigest(own.tobytes()) >> 1 if len(own) else -1)
+                node.append(node_of(own))
                 if len(own) and node[-1] not in met:
                     met.add(node[-1])
                     nodes.append(node[-1])
                     sets.append(own)
                     held += len(own)
-            ids = batch["doc_id"].cast(pa.int64())
+            ids = batch["doc_id"]
             there = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), np.uint8)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([abs(node[0]) % parts], pa.int32()), pa.array([ROWS], pa.int32()), pa.array([ids.fill_null(0).to_numpy().tobytes() + there.tobytes()], pa.binary()),
-                pa.array([np.array(n, np.int64).tobytes()], pa.binary()), pa.array([np.array(node, np.int64).tobytes()], pa.binary())], names=["part", "kind", "a", "b", "c"])
+            cols = ids.fill_null(0).to_numpy().tobytes() + there.tobytes(), np.array(n, np.int64).tobytes(), np.array(node, np.int64).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([abs(node[0]) % parts], pa.int32()), pa.array([ROWS], pa.int32()), *(pa.array([x], pa.binary()) for x in cols)], names=["part", "kind", "a", "b", "c"])
             if held >= HELD:
                 yield from flush()
                 held = 0
@@ -130,69 +134,84 @@ def _deal(size: int, parts: int):
     return run
 
 
-FOUND = "kind int, doc_id long, n long, node long, keys binary, ranks binary"
-
-
-def _find(table: pa.Table) -> pa.Table:
-    """Documents as rows again; of each node the shingles of this part that another node holds,
-    with a byte each for how many do (the logarithm in eighths)."""
-    rows = table.filter(pc.equal(table["kind"], ROWS))
-    tables = []
-    for a, b, c in zip(*(rows[x].to_pylist() for x in "abc")):
-        m = len(b) // 8
-        tables.append(pa.table({
-            "kind": pa.array(np.full(m, ROWS, np.int32)), "doc_id": pa.array(np.frombuffer(a[: 8 * m], np.int64), mask=np.frombuffer(a[8 * m :], np.uint8) == 0), "n": pa.array(np.frombuffer(b, np.int64)),
-            "node": pa.array(np.frombuffer(c, np.int64)), "keys": pa.nulls(m, pa.binary()), "ranks": pa.nulls(m, pa.binary())}))
-    dealt = table.filter(pc.equal(table["kind"], KEYS))
-    if dealt.num_rows:
-        a, b, c = (dealt[x].to_pylist() for x in "abc")
-        del table, rows, dealt
-        node = np.repeat(np.frombuffer(b"".join(a), np.int64), np.frombuffer(b"".join(b), np.int32))
-        keys = unpacked(b"".join(c))
-        del a, b, c
-        order = np.lexsort((node, keys))
-        keys, node = keys[order], node[order]
-        once = np.concatenate([[True], (keys[1:] != keys[:-1]) | (node[1:] != node[:-1])])  # a set may come from several tasks
-        keys, node = keys[once], node[once]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        holders = np.diff(np.append(first, len(keys)))
-        df = np.repeat(holders, holders)
-        keys, node, df = keys[df > 1], node[df > 1], df[df > 1]
-        if len(keys):
-            order = np.argsort(node, kind="stable")
-            keys, node, rank = packed(keys[order]), node[order], np.minimum(255, 8 * np.log2(df[order])).astype(np.uint8)
-            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-            ends = np.append(first[1:], len(node))
-            m = len(first)
-            tables.append(pa.table({
-                "kind": pa.array(np.full(m, KEYS, np.int32)), "doc_id": pa.nulls(m, pa.int64()), "n": pa.nulls(m, pa.int64()), "node": pa.array(node[first]),
-                "keys": pa.array([keys[x:y].tobytes() for x, y in zip(first, ends)], pa.binary()), "ranks": pa.array([rank[x:y].tobytes() for x, y in zip(first, ends)], pa.binary())}))
-    kinds = [("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("keys", pa.binary()), ("ranks", pa.binary())]
-    return pa.concat_tables([pa.schema(kinds).empty_table(), *tables])
+def _rows(batches):
+    """doc_id, n, node of the documents that are packed in rows."""
+    for batch in batches:
+        for a, b, c in zip(*(batch[x].to_pylist() for x in "abc")):
+            m = len(b) // 8
+            ids = pa.array(np.frombuffer(a[: 8 * m], np.int64), mask=np.frombuffer(a[8 * m :], np.uint8) == 0)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.frombuffer(b, np.int64)), pa.array(np.frombuffer(c, np.int64))], names=["doc_id", "n", "node"])
+
+
+def _find(parts: int):
+    """Documents and sizes as they are; of each node the shingles of this part that another node
+    holds, with a byte each for how many do (the logarithm in eighths; 255 for hot ones), dealt
+    by node."""
+    def run(table: pa.Table) -> pa.Table:
+        kind = table["kind"].to_numpy()
+        out = [table.filter(pa.array((kind == ROWS) | (kind == SIZES))).select(["kind", "part", "a", "b", "c"])]
+        for which in (KEYS, HOT):
+            dealt = table.filter(pa.array(kind == which))
+            if not dealt.num_rows:
+                continue
+            owners, records = gathered(dealt, 8, KEY)
+            node, key = longs(owners), longs(records)
+            del owners, records
+            if which == KEYS:
+                node, key, many = held_twice(node, key)
+                rank = np.minimum(254, 8 * np.log2(many)).astype(np.uint8)
+            else:
+                order = np.lexsort((key, node))
+                order = order[heads(node[order], key[order])]
+                node, key, rank = node[order], key[order], np.full(len(order), 255, np.uint8)
+            if len(node):
+                first = heads(node)
+                own, record = node[first], np.zeros(len(node), RANKED)
+                record["key"], record["rank"] = packed(key), rank
+                made = deal(part_of(node, parts), np.cumsum(first) - 1, own.view(np.uint8).reshape(-1, 8), record.view(np.uint8).reshape(-1, RANKED.itemsize), KEYS)
+                out.append(pa.Table.from_batches(made).select(["kind", "part", "a", "b", "c"]))
+        return pa.concat_tables(out)
+    return run
+
+
+LIVE = "node long, n long, lead int, keys binary"
 
 
 def _live(percent: int):
     """node, n, keys (shared, rare to common) and how many of them are in its window, of the
     nodes that share enough to be linked with anything."""
-    def run(batches):
-        for batch in slices(batches):
-            nodes, sizes, sets, leads = [], [], [], []
-            for node, n, keys, ranks in zip(*(batch[c].to_pylist() for c in ("node", "n", "keys", "ranks"))):
-                own = unpacked(b"".join(keys))
-                lead = window_size(n, percent) - (n - len(own))
-                if lead > 0:
-                    nodes.append(node)
-                    sizes.append(n)
-                    leads.append(lead)
-                    sets.append(own[np.lexsort((own, np.frombuffer(b"".join(ranks), np.uint8)))])
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(leads, pa.int32()), _lists(sets)], names=["node", "n", "lead", "keys"])
+    def run(table: pa.Table) -> pa.Table:
+        kind = table["kind"].to_numpy()
+        out = pa.table({"node": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "lead": pa.array([], pa.int32()), "keys": pa.array([], pa.binary())})
+        dealt = table.filter(pa.array(kind == KEYS))
+        if not dealt.num_rows:
+            return out
+        owners, sizes = gathered(table.filter(pa.array(kind == SIZES)), 8, 8)
+        known, at = np.unique(longs(owners), return_index=True)
+        sizes = longs(sizes)[at]
+        owners, records = gathered(dealt, 8, RANKED.itemsize)
+        node, record = longs(owners), records.reshape(-1).view(RANKED)
+        key = longs(record["key"])
+        order = np.lexsort((key, record["rank"], node))
+        node, key = node[order], key[order]
+        cuts = np.append(np.flatnonzero(heads(node)), len(node))
+        node, count = node[cuts[:-1]], np.diff(cuts)
+        n = sizes[np.searchsorted(known, node)]
+        lead = window_size(n, percent) - (n - count)
+        stay = np.flatnonzero(lead > 0)
+        keys = packed(key)
+        return pa.table({
+            "node": pa.array(node[stay]), "n": pa.array(n[stay]), "lead": pa.array(lead[stay].astype(np.int32)),
+            "keys": pa.array([keys[cuts[k] : cuts[k + 1]].tobytes() for k in stay.tolist()], pa.binary())})
     return run
 
 
-def _lists(sets: list[np.ndarray]) -> pa.ListArray:
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)), pa.array(flat))
+def _windows(batches):
+    """node and key for each shingle in a node's window."""
+    for batch in slices(batches):
+        keys = [unpacked(k[: KEY * lead]) for k, lead in zip(batch["keys"].to_pylist(), batch["lead"].to_pylist())]
+        node = np.repeat(batch["node"].to_numpy(), [len(k) for k in keys])
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["node", "key"])
 
 
 class Sets:
@@ -249,7 +268,7 @@ def _join_small(percent: int):
             rows = pa.Table.from_batches(held)
             nodes, comp = rows["node"].to_numpy(), rows["comp"].to_numpy()
             if len(nodes) > 1 and (comp != comp[0]).any():
-                sets = [k.values.to_numpy() for k in rows["keys"]]
+                sets = [unpacked(k) for k in rows["keys"].to_pylist()]
                 edges = _forest(Sets(sets, rows["n"].to_numpy()), nodes, percent, comp)
                 if edges:
                     yield _edges(edges)
@@ -270,34 +289,37 @@ def _join_small(percent: int):
     return run
 
 
-SPLIT = "region long, node long, sub long, a long, b long"
+SPLIT = "region long, node long, subs array<long>, many long, a long, b long"
 
 
 def _split(percent: int):
-    """A chunk of a region's nodes against its pivots: the Voronoi regions that each node goes to
-    (region, node, sub), and links (a, b) as chains."""
+    """A chunk of a region's nodes against its pivots: a row (region, node, subs) with the Voronoi
+    regions that each node goes to, how many go to each (region, node, many), and links (a, b) as
+    chains."""
     reach = 2 * (1 - percent / 100) + 1e-9
 
     def run(key, chunk: pa.Table, pivots: pa.Table) -> pa.Table:
-        region, node, sub, edges = [], [], [], []
+        node, subs, edges = [], [], []
         if chunk.num_rows and pivots.num_rows:
-            own = Sets([k.values.to_numpy() for k in pivots["held"]], pivots["size"].to_numpy())
+            own = Sets([unpacked(k) for k in pivots["held"].to_pylist()], pivots["size"].to_numpy())
             ids = pivots["pivot"].to_numpy()
             last: dict[int, int] = {}
-            for x, n, keys in zip(chunk["node"].to_pylist(), chunk["n"].to_pylist(), chunk["keys"]):
-                d = own.distances(keys.values.to_numpy(), n)
-                links = np.flatnonzero(own.linked(keys.values.to_numpy(), n, percent) & (ids != x))
-                for p in ids[links].tolist():
+            for x, n, keys in zip(chunk["node"].to_pylist(), chunk["n"].to_pylist(), chunk["keys"].to_pylist()):
+                both = own.common(unpacked(keys))
+                either = own.sizes + n - both
+                for p in ids[(both * 100 >= either * percent) & (ids != x)].tolist():
                     edges.append((last.get(p, p), x))
                     last[p] = x
                 if x not in ids:
-                    near = ids[d <= d.min() + reach]
-                    node += [x] * len(near)
-                    sub += near.tolist()
-        m = len(node)
+                    d = 1 - both / either
+                    node.append(x)
+                    subs.append(ids[d <= d.min() + reach].tolist())
+        sub, many = np.unique([p for x in subs for p in x], return_counts=True)
+        m, k, e = len(node), len(sub), len(edges)
+        none = lambda count: [None] * count
         return pa.table({
-            "region": pa.array([key[0].as_py()] * m + [None] * len(edges), pa.int64()), "node": pa.array(node + [None] * len(edges), pa.int64()), "sub": pa.array(sub + [None] * len(edges), pa.int64()),
-            "a": pa.array([None] * m + [e[0] for e in edges], pa.int64()), "b": pa.array([None] * m + [e[1] for e in edges], pa.int64())})
+            "region": pa.array([key[0].as_py()] * (m + k) + none(e), pa.int64()), "node": pa.array(node + sub.astype(np.int64).tolist() + none(e), pa.int64()), "subs": pa.array(subs + none(k + e), pa.list_(pa.int64())),
+            "many": pa.array(none(m) + many.tolist() + none(e), pa.int64()), "a": pa.array(none(m + k) + [x for x, _ in edges], pa.int64()), "b": pa.array(none(m + k) + [x for _, x in edges], pa.int64())})
     return run
 
 
@@ -326,12 +348,7 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
         before = held
 
 
-def _parts(volume: int) -> int:
-    """Parts of 64 MB of text; more and smaller ones of a small table, for even tasks."""
-    return max(1, -(-volume // (64 << 20)), min(192, volume // (1 << 20)))
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, small: int = 256, pivots: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, small: int = 256, pivots: int = 32, sample: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
     Shingles are ``size`` consecutive words, A-Z lower-cased; documents link when their sets have
@@ -342,20 +359,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, small: in
     where no other row does). No rows, no result. Only doc_id and text are read.
 
     ``small`` is the size to which regions are joined in one task, ``pivots`` how many a larger one
-    takes at first; neither changes results. Sets are told apart by 63-bit hashes, shingles by 48
+    takes at first, ``sample`` from how many documents the hot shingles are known; none of them
+    changes results. Sets are told apart by 63-bit hashes, shingles by 48
     bits within their part.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw("text").alias("raw"))
-    parts = _parts(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    dealt = own.mapInArrow(_deal(size, parts), DEALT)
-    found = scratch.save(dealt.groupBy("part").applyInArrow(_find, FOUND), "found", "kind")
-    rows = found.where(f"kind = {ROWS}").select("doc_id", "n", "node")
-    nodes = rows.where("node >= 0").groupBy("node").agg(F.max("n").alias("n"))
-    shared = found.where(f"kind = {KEYS}").groupBy("node").agg(F.collect_list(F.struct("keys", "ranks")).alias("l")).select("node", F.col("l.keys").alias("keys"), F.col("l.ranks").alias("ranks"))
-    live = scratch.save(shared.join(nodes, "node").select("node", "n", "keys", "ranks").mapInArrow(_live(percent), "node long, n long, lead int, keys array<long>"), "live")
-
-    first = live.select("node", F.explode(F.slice("keys", F.lit(1), F.col("lead"))).alias("key"))
+    size_of = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    parts = part_count(size_of["bytes"] or 0)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_keys(own, size, max(1, size_of["rows"]), sample))
+    dealt = own.mapInArrow(_deal(size, parts, hot), DEALT)
+    found = scratch.save(dealt.groupBy("part").applyInArrow(_find(parts), FOUND), "found", "kind")
+    rows = found.where(f"kind = {ROWS}").select("a", "b", "c").mapInArrow(_rows, "doc_id long, n long, node long")
+    live = found.where(f"kind != {ROWS}").groupBy("part").applyInArrow(_live(percent), LIVE)
+    live = scratch.save(live, "live")
+
+    first = live.select("node", "lead", "keys").mapInArrow(_windows, "node long, key long")
     least = first.groupBy("key").agg(F.min("node").alias("region"), F.count("*").alias("many")).where("many > 1").select("key", "region")
     regions = scratch.save(first.join(least, "key").select("region", "node").distinct(), "regions")
     join = _Join(live, percent, small, scratch)
@@ -429,13 +448,12 @@ class _Join:
             if not edges.isEmpty():
                 self._merge(edges)
             # a region is split where no part has more than half of it, and all have twice as much as it; else it stays, without its pivots
-            placed = made.where("node is not null")
-            parts = placed.groupBy("region", "sub").agg(F.count("*").alias("part")).groupBy("region").agg(F.max("part").alias("most"), F.sum("part").alias("all"))
+            parts = made.where("many is not null").groupBy("region", "node").agg(F.sum("many").alias("part")).groupBy("region").agg(F.max("part").alias("most"), F.sum("part").alias("all"))
             m = F.col("m")
             fits = parts.join(chosen.select("region", "m"), "region").select("region", ((F.col("most") * 2 <= m) & (F.col("all") <= 2 * m)).alias("fits"))
-            both = placed.join(fits, "region")
-            split = both.where("fits").select(F.xxhash64("region", "sub").alias("region"), "node")
-            regions = self._save(split.unionByName(both.where("not fits").select("region", "node").distinct()), "next")
+            both = made.where("subs is not null").select("region", "node", "subs").join(fits, "region")
+            after = F.when(F.col("fits"), F.transform("subs", lambda sub: F.xxhash64("region", sub))).otherwise(F.array("region"))
+            regions = self._save(both.select(F.explode(after).alias("region"), "node"), "next")
             pivots = min(4 * pivots, 512)
 
 
