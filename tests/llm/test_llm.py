@@ -295,9 +295,9 @@ def brute_repeats(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window,rounds", [(50, 3), (31, 2), (7, 1)])
-def test_repeats(docs, rows, window, rounds):
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in recompression.remove_repeats(docs, window, rounds).collect()}
+@pytest.mark.parametrize("window,levels,least", [(50, (3, 4), 4), (31, (2, 3), 2), (7, (1,), 2), (20, (1, 2, 3), 1)])
+def test_repeats(docs, rows, window, levels, least):
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in recompression.remove_repeats(docs, window, levels, least).collect()}
     assert got == brute_repeats(rows, window)
 
 
@@ -308,6 +308,35 @@ def test_repeats_of_runs_and_nothing(spark, nothing):
     assert recompression.remove_repeats(nothing).count() == 0
 
 
+def test_inner_symbols_stand_in_every_occurrence():
+    """Whatever stands around a window, its inner symbols are the same: small alphabets, so that
+    runs and pairs cross the borders in every way."""
+    rng = random.Random(8)
+    for _ in range(400):
+        inner = [rng.randrange(rng.choice([2, 3, 8])) for _ in range(40)]
+        seen = []
+        for _ in range(3):
+            before, after = ([rng.randrange(3) for _ in range(rng.randrange(9))] for _ in "ab")
+            names = recompression.mixed(np.array([*before, *inner, *after], np.uint64) + np.uint64(5))
+            made = recompression.Parse(names, np.zeros(len(names), np.int64))
+            for _ in range(3):
+                made.up()
+            own = range(int(made.low[len(before)]), int(made.high[len(before) + 40]))
+            seen.append([(int(made.names[j]), int(made.begin[j]) - len(before)) for j in own])
+        assert seen[0] == seen[1] == seen[2]
+
+
+def test_repeats_of_shared_ids_and_hot_windows(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(words(rng, 70)) for _ in range(3))
+    rows = [(3, a, "", "", 0), (5, a, "", "", 0), (5, b, "", "", 0), (None, a, "", "", 0), (None, None, "", "", 0), (7, c + " " + b, "", "", 0)]
+    hot = " ".join(words(rng, 60))
+    rows += [(20 + i, " ".join(words(rng, 8)) + f" p{i} " + hot, "", "", 0) for i in range(30)] + [(90, hot + " " + "long " * 30_000 + b, "", "", 0)]
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"]) for r in recompression.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect())
+    want = [(-1, 0, 0), (-1, 70, 0), (3, 70, 0), (5, 70, 0), (5, 70, 70), (7, 140, 70), (20, 69, 0), *((20 + i, 69, 60) for i in range(1, 30)), (90, 30_130, 130)]
+    assert got == sorted(want)
+
+
 # 9
 
 def test_urls(spark):
