@@ -105,3 +105,43 @@ def coverage(queue: DataFrame, *by: str) -> DataFrame:
     """Chunks, completed ones and their share in percent to one place."""
     out = queue.groupBy(*by).agg(F.countDistinct("chunk_id").alias("chunks"), F.countDistinct(F.when(F.col("embedding_status") == "completed", F.col("chunk_id"))).alias("completed"))
     return out.withColumn("coverage_pct", F.round(F.col("completed") * 100.0 / F.col("chunks"), 1))
+
+
+# strategies and the queue's worker
+
+def new_strategies(payload: DataFrame, models: DataFrame) -> DataFrame:
+    """Strategy rows: provider, dimension and normalization are the model's; templates default to
+    the model's own, and those of a model without one to the bare input."""
+    own = models.select(F.col("id").alias("model_id"), "provider", "dimension", "normalization", F.col("document_template").alias("_d"), F.col("query_template").alias("_q"))
+    bare = F.lit("{input}")
+    return payload.join(own, "model_id").withColumns({
+        "document_template": F.coalesce("document_template", "_d", bare), "query_template": F.coalesce("query_template", "_q", bare), "is_active": F.coalesce("is_active", F.lit(True))}).drop("_d", "_q")
+
+
+def updated_strategies(strategies: DataFrame, changes: DataFrame) -> DataFrame:
+    """Names and activity may change; what vectors were made with may not."""
+    given = changes.select("id", F.col("name").alias("_name"), F.col("is_active").alias("_active"))
+    return strategies.join(given, "id", "left").withColumns({"name": F.coalesce("_name", "name"), "is_active": F.coalesce("_active", "is_active")}).select(*strategies.columns)
+
+
+def claimed(queue: DataFrame, strategy_id, limit: int = 500) -> DataFrame:
+    """The queue with its oldest pending rows of a strategy, at most ``limit``, processing, and one
+    more attempt each. The limit is the size of a claim; the next one takes the next rows."""
+    mine = (F.col("strategy_id") == strategy_id) & (F.col("embedding_status") == "pending")
+    key = ["chunk_id", "strategy_id", "input_hash"]
+    first = queue.where(mine).orderBy("created_at", *key).limit(limit).select(*key, F.lit(True).alias("_claimed"))
+    taken = F.coalesce("_claimed", F.lit(False))
+    return queue.join(first, key, "left").withColumns({
+        "embedding_status": F.when(taken, "processing").otherwise(F.col("embedding_status")), "attempt_count": F.col("attempt_count") + taken.cast("int")}).select(*queue.columns)
+
+
+def sweep_counters(swept: DataFrame) -> DataFrame:
+    return swept.agg(F.count("*").alias("claimed"), F.count_if(F.col("embedding_status") == "completed").alias("completed"), F.count_if(F.col("embedding_status") == "failed").alias("failed"))
+
+
+def drained(queue: DataFrame, inputs: DataFrame, s: Strategy, embed: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """The queue after its worker: claimed rows (processing) have their vector and status."""
+    key = ["chunk_id", "input_hash"]
+    going = queue.where("embedding_status = 'processing'").select(*key).join(inputs, key)
+    done = sweep(going, s, embed).select(*key, F.col("embedding_status").alias("_status"), "embedding", "error_message")
+    return queue.join(done, key, "left").withColumn("embedding_status", F.when(F.col("embedding_status") == "processing", F.coalesce("_status", "embedding_status")).otherwise(F.col("embedding_status"))).drop("_status")

@@ -5,65 +5,77 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import confidence, entity_uuid
 from . import graph
 from .readings import item_field, json_items
 
-#: A page marker line of a merged text.
-MARKER = re.compile(r"(?m)^<!--\s*[A-Za-z]+\s+(\d+)\b[^\n]*?-->[ \t]*$")
+#: A page marker line of a merged text, or a gap of blank lines.
+GAP = re.compile(r"(?m)^<!--\s*[A-Za-z]+\s+(?P<page>\d+)\b[^\n]*?-->[ \t]*$|\n(?:[ \t]*\n)+")
 
-def paragraphs(content: str, limit: int) -> Iterator[tuple[int, int, int | None]]:
-    """begin, end, page of the text's paragraphs, none longer than ``limit``."""
-    marks = [(0, 0, None), *((m.start(), m.end(), int(m[1])) for m in MARKER.finditer(content)), (len(content), len(content), None)]
-    for (_, begin, page), (end, *_rest) in zip(marks, marks[1:]):
-        for part in re.finditer(r"(?:(?!\n[ \t]*\n).)+", content[begin:end], re.S):
-            at, stop = begin + part.start(), begin + part.end()
-            while stop - at > limit:
-                window = content[at : at + limit]
-                cut = next((c for c in (window.rfind("\n"), max(window.rfind(" "), window.rfind("\t"))) if c > limit // 4), limit)
-                yield from stripped(content, at, at + cut, page)
-                at += cut
-            yield from stripped(content, at, stop, page)
 
+def spans(content: str, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """begin, end, page (0: none) of the text between gaps, in pieces of at most ``limit``
+    characters. A longer one is cut at its last newline, else at its last blank, if that leaves more
+    than a quarter of ``limit``; else at ``limit``."""
+    gaps = [(m.start(), m.end(), int(m["page"] or 0)) for m in GAP.finditer(content)]
+    begin = np.array([0, *(g[1] for g in gaps)])
+    end = np.array([*(g[0] for g in gaps), len(content)])
+    marks = np.array([0, *(g[2] for g in gaps)])
+    page = marks[np.maximum.accumulate(np.where(marks > 0, np.arange(len(marks)), 0))]
+    chars = np.array(list(content))
+    lines, blanks, solid = (np.flatnonzero(x) for x in (chars == "\n", (chars == " ") | (chars == "\t"), ~np.char.isspace(chars) if len(chars) else np.zeros(0, bool)))
 
-def stripped(content: str, begin: int, end: int, page: int | None) -> Iterator[tuple[int, int, int | None]]:
-    text = content[begin:end]
-    if text.strip():
-        yield begin + len(text) - len(text.lstrip()), begin + len(text.rstrip()), page
+    def trimmed(b, e, p):
+        first, last = np.searchsorted(solid, b), np.searchsorted(solid, e) - 1
+        there = first <= last
+        return solid[first[there]], solid[last[there]] + 1, p[there]
+
+    out = []
+    for x, y, p in zip(*(v.tolist() for v in trimmed(begin, end, page))):
+        while y - x > limit:
+            room = ((at[np.searchsorted(at, x + limit) - 1] if np.searchsorted(at, x + limit) else -1) for at in (lines, blanks))
+            cut = next((int(c) for c in room if c - x > limit // 4), x + limit)
+            out.append((x, cut, p))
+            x = cut
+        out.append((x, y, p))
+    return trimmed(*np.array(out, int).reshape(-1, 3).T)
 
 
 def text_units(content: str, size: int = 3000, overlap: int = 300) -> list[dict]:
-    """Units of up to ``size`` characters that begin with the end of the one before."""
+    """Units of up to ``size`` characters (no less than 200) of pieces joined by blank lines. A unit
+    begins with the last pieces of the one before, if they have at most ``overlap`` characters, or
+    with the end of its last piece, from a word on; without either where the next piece wouldn't fit.
+    """
     size = max(200, size)
     overlap = max(0, min(overlap, size // 2))
-    length = lambda parts: sum(b - a for a, b, _ in parts) + 2 * max(0, len(parts) - 1)
-    groups, held, new = [], [], False
-    for part in paragraphs(content or "", size):
-        if new and length([*held, part]) > size:
-            groups.append(held)
-            tail: list = []
-            for old in reversed(held):
-                if length([old, *tail]) > overlap:
-                    break
-                tail = [old, *tail]
-            if not tail and overlap:
-                a, b, page = held[-1]
-                a = max(a, b - overlap)
-                space = content.find(" ", a, b)
-                tail = list(stripped(content, space if space >= 0 else a, b, page))
-            held = tail if length([*tail, part]) <= size else []
-        held = [*held, part]
-        new = True
-    if new:
-        groups.append(held)
-    out = []
-    for group in groups:
-        pages = [p for *_, p in group if p is not None]
-        out.append({"text": "\n\n".join(content[a:b] for a, b, _ in group), "char_start": group[0][0], "char_end": group[-1][1], "page_start": min(pages, default=None), "page_end": max(pages, default=None)})
+    content = content or ""
+    begin, end, page = spans(content, size)
+    upto = np.concatenate([[0], np.cumsum(end - begin + 2)])  # lengths with the blank line after
+    out, lead, start, fresh = [], None, 0, 0
+    while fresh < len(begin):
+        held = lead[1] - lead[0] + 2 if lead else 0
+        stop = max(fresh + 1, int(np.searchsorted(upto, size + 2 - held + upto[start], side="right")) - 1)
+        pieces = ([lead] if lead else []) + list(zip(begin[start:stop].tolist(), end[start:stop].tolist(), page[start:stop].tolist()))
+        pages = [p for *_, p in pieces if p]
+        out.append({
+            "text": "\n\n".join(content[a:b] for a, b, _ in pieces), "char_start": pieces[0][0], "char_end": pieces[-1][1],
+            "page_start": min(pages, default=None), "page_end": max(pages, default=None)})
+        # what the next unit repeats
+        back = max(start, int(np.searchsorted(upto, upto[stop] - overlap - 2)))
+        whole = lead if lead and back == start and held + upto[stop] - upto[start] - 2 <= overlap else None
+        if back == stop and overlap:
+            a, b, p = pieces[-1]
+            a = max(a, b - overlap)
+            word = re.compile(r"\s*(\S(?:.*\S)?)", re.S).match(content, max(content.find(" ", a, b), a), b)
+            whole = (word.start(1), word.end(1), p) if word else None
+        repeat = (whole[1] - whole[0] + 2 if whole else 0) + int(upto[stop] - upto[back])
+        fits = stop < len(begin) and repeat + end[stop] - begin[stop] <= size
+        lead, start, fresh = (whole, back, stop) if fits else (None, stop, stop)
     return out
 
 
@@ -83,15 +95,41 @@ def units_of(contents: DataFrame, size: int = 3000, overlap: int = 300) -> DataF
     return made.withColumn("id", F.concat_ws(":", "source_id", "version", "index"))
 
 
-def extractions(units: DataFrame, answers: str = "answer") -> DataFrame:
-    """Adds the entities and relationships that an answer holds in usable form; others go."""
+def strings(value: Column, most: int = 20) -> Column:
+    """A list of a JSON text's strings: a lone one is a list of one; trimmed, blanks left out."""
+    listed = F.from_json(value, "array<string>")
+    return F.slice(F.filter(F.transform(F.coalesce(listed, F.array(value)), F.trim), lambda x: F.coalesce(x != "", F.lit(False))), 1, most)
+
+
+def extractions(units: DataFrame, answers: str = "answer", most: int = 200) -> DataFrame:
+    """Adds the entities and relationships that an answer holds in usable form, and how many items
+    were dropped (``skipped``).
+
+    The model's lists have ``most`` items at most: what comes after isn't read. Names are trimmed,
+    an item without a name or with one over 300 characters goes; types and relations are cut to 64
+    characters, descriptions to 1000; an item has 20 aliases at most.
+    """
     answer = F.col(answers)
-    named = lambda x: F.coalesce(F.trim(x) != "", F.lit(False))
-    texts = lambda x, names: [item_field(x, n).alias(n) for n in names]
-    entities = F.filter(F.transform(json_items(answer, "entities"), lambda x: F.struct(*texts(x, ("name", "type", "description")), item_field(x, "aliases", "array<string>").alias("aliases"))), lambda e: named(e["name"]))
-    links = F.transform(json_items(answer, "relationships"), lambda x: F.struct(*texts(x, ("source", "source_type", "relation", "target", "target_type", "description", "confidence"))))
-    links = F.filter(links, lambda r: named(r["source"]) & named(r["target"]) & named(r["relation"]))
-    return units.withColumns({"entities": entities, "relationships": links})
+    named = lambda x: F.coalesce((x != "") & (F.length(x) <= 300), F.lit(False))
+    field = lambda x, n, size=None: (F.trim(item_field(x, n)) if size is None else F.substring(F.trim(item_field(x, n)), 1, size)).alias(n)
+    items = lambda name: F.slice(F.coalesce(json_items(answer, name), F.array().cast("array<string>")), 1, most)
+    made = F.transform(items("entities"), lambda x: F.struct(field(x, "name"), field(x, "type", 64), field(x, "description", 1000), strings(item_field(x, "aliases")).alias("aliases")))
+    linked = F.transform(items("relationships"), lambda x: F.struct(
+        field(x, "source"), field(x, "source_type", 64), field(x, "relation", 64), field(x, "target"), field(x, "target_type", 64), field(x, "description", 1000), item_field(x, "confidence").alias("confidence")))
+    read = units.withColumns({"_e": made, "_r": linked})
+    entities = F.filter("_e", lambda e: named(e["name"]))
+    links = F.filter("_r", lambda r: named(r["source"]) & named(r["target"]) & F.coalesce(r["relation"] != "", F.lit(False)))
+    out = read.withColumns({"entities": entities, "relationships": links})
+    return out.withColumn("skipped", F.size("_e") - F.size("entities") + F.size("_r") - F.size("relationships")).drop("_e", "_r")
+
+
+def counters(read: DataFrame, entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """One row of a build's counts: units, items read and skipped, entities made, and mentions that
+    met an entity that was there already."""
+    items = read.agg(F.count("*").alias("units"), F.sum(F.size("entities")).alias("extracted"), F.sum(F.size("relationships")).alias("relationships"), F.sum("skipped").alias("skipped"))
+    made = entities.agg(F.count("*").alias("created"))
+    met = mentions.agg(F.count("*").alias("mentions"))
+    return items.join(made).join(met).withColumn("matched", F.col("mentions") - F.col("created"))
 
 
 def resolved(units: DataFrame, ontology: dict, tenant: str = "tenant_id", threshold: float = 92.0) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import acronym, label
+from ..scratch import Scratch
 
 # fixed values: legal forms at the end of organisations' names, honorifics before people's
 LEGAL_FORMS = set("inc incorporated corp corporation co company ltd limited llc llp lp plc pvt private pte gmbh ag sa sas bv nv oy ab kk srl spa".split())
@@ -26,22 +27,20 @@ STOP_WORDS = set(
     "related tell show list give find much many please other others".split())
 
 
+_FORMS = re.compile(rf"(?<=.)(?: (?:{'|'.join(sorted(LEGAL_FORMS))}))+$")
+_TITLES = re.compile(rf"^(?:(?:{'|'.join(sorted(HONORIFICS))}) )+")
+
+
 def name_key(name: str | None, kind: str | None = None) -> str:
     """The identity of a name: folded words joined by ``_``, without legal forms or honorifics."""
     folded = unicodedata.normalize("NFKC", name or "").casefold().replace("&", " and ")
-    words = [w for w in re.findall(r"\w+", re.sub(r"\b[.'’]\b", "", folded)) if w != "_"]
+    plain = re.sub(r"\b[.'’]\b", "", folded)
+    words = " ".join(w for w in re.split(r"\W+", plain) if w not in ("", "_"))
     if kind in ORGANISATIONS:
-        first = 1 if words[:1] == ["the"] and len(words) > 1 else 0
-        last = len(words)
-        while last - first > 1 and words[last - 1] in LEGAL_FORMS:
-            last -= 1
-        words = words[first:last]
+        words = _FORMS.sub("", re.sub("^the (?=.)", "", words))
     elif kind == "PERSON":
-        first = 0
-        while first < len(words) - 1 and words[first] in HONORIFICS:
-            first += 1
-        words = words[first:]
-    return "_".join(words)
+        words = _TITLES.sub("", words)
+    return words.replace(" ", "_")
 
 
 def _name_keys(name: pd.Series, kind: pd.Series) -> pd.Series:
@@ -132,8 +131,6 @@ def rooted(alias: DataFrame) -> DataFrame:
 
     A round doubles the steps followed. Targets are earlier than keys, so there is no circle.
     """
-    from ..llm.common import Scratch
-
     scratch, name, k = Scratch(alias.sparkSession, "aliases"), ["tenant_id", "entity_type"], 0
     now = scratch.save(alias, "to0")
     while True:
@@ -212,38 +209,82 @@ def without_source(facts: DataFrame, mentions: DataFrame, source_id) -> tuple[Da
     return facts.where(F.col("source_id") != source_id), left, gone
 
 
-def question_keys(question: str) -> list[str]:
-    """Keys of the phrases of one to four words, longest first, that a question may name."""
-    words = [t for t in re.findall(r"[^\W_]+", question.casefold()) if len(t) > 1]
-    spans = [words[i : i + n] for n in range(4, 0, -1) for i in range(len(words) - n + 1)]
-    kept = [" ".join(s) for s in spans if s[0] not in STOP_WORDS and s[-1] not in STOP_WORDS]
-    return list(dict.fromkeys(k for s in kept for k in sorted({name_key(s), name_key(s, "COMPANY")}) if k))
-
-
-def budgeted_search(facts: DataFrame, seeds: list[str], hops: int = 2, max_entities: int = 20, max_facts: int = 50) -> tuple[list[str], list]:
-    """Entities and facts met by at most three hops under two budgets, best facts first.
-
-    The budgets bound what reaches the driver: a hop takes at most the facts still allowed.
+def question_words(text: Column) -> Column:
+    """A question's words of two characters or more, lower-cased."""
+    return F.filter(F.split(F.lower(text), r"[\W_]+"), lambda w: F.length(w) > 1)
+
+
+def fulltext_words(text: Column) -> Column:
+    """The words that a full-text search looks for: distinct ones that aren't stop words."""
+    return F.array_distinct(F.filter(question_words(text), lambda w: ~w.isin(*sorted(STOP_WORDS))))
+
+
+def fulltext_query(text: Column) -> Column:
+    return F.array_join(fulltext_words(text), "|")
+
+
+def question_keys(questions: DataFrame, longest: int = 4) -> DataFrame:
+    """question_id, nth, key: keys of the phrases of one to ``longest`` words that a question may
+    name, longest phrases first; as a free name and as an organisation's. ``questions`` has
+    question_id and question; a null question names nothing."""
+    stop = sorted(STOP_WORDS)
+    worded = questions.select("question_id", question_words(F.col("question")).alias("w"))
+    sizes = F.filter(F.sequence(F.lit(longest), F.lit(1), F.lit(-1)), lambda n: n <= F.size("w"))
+    spans = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))))
+    kept = F.filter(spans, lambda p: ~F.element_at(p, 1).isin(*stop) & ~F.element_at(p, -1).isin(*stop))
+    phrases = worded.select("question_id", F.posexplode(F.transform(kept, lambda p: F.array_join(p, " "))).alias("nth", "phrase"))
+    kinds = F.explode(F.array(F.lit(""), F.lit("COMPANY"))).alias("kind")
+    keyed = phrases.select("question_id", "nth", "phrase", kinds).select("question_id", "nth", canonical_key("phrase", "kind").alias("key"))
+    return keyed.where("key != ''").groupBy("question_id", "key").agg(F.min("nth").alias("nth")).select("question_id", "nth", "key")
+
+
+def _within(max_entities: int):
+    """A question's facts of a hop, best first: those that fit its budget of entities, and what
+    they reach. A hop has at most as many facts as the question may still take."""
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("nth")
+        met, kept, added = set(pdf["visited"].iloc[0]), [], []
+        for a, b in zip(pdf["a"], pdf["b"]):
+            new = {a, b} - met
+            fits = len(met) + len(new) <= max_entities
+            kept.append(fits)
+            if fits:
+                added += sorted(new, key=[a, b].index)
+                met |= new
+        return pd.DataFrame({
+            "question_id": [key[0]] * len(pdf), "a": pdf["a"].to_numpy(), "relation": pdf["relation"].to_numpy(), "b": pdf["b"].to_numpy(), "source_id": pdf["source_id"].to_numpy(), "confidence": pdf["confidence"].to_numpy(),
+            "kept": kept, "added": [added if k == 0 else [] for k in range(len(pdf))]})
+    return run
+
+
+def budgeted_search(facts: DataFrame, seeds: DataFrame, hops: int = 2, max_entities: int = 20, max_facts: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Entities (question_id, entity, hop) and facts (question_id, hop, a, relation, b, source_id,
+    confidence) that each question meets within one to three hops of its seeds (question_id,
+    entity), under two budgets. A hop's best facts come first; facts over a budget are left out,
+    and a fact of no new entity still fits a full budget of entities.
+
+    All questions go a hop at once: a join of their frontiers with the facts.
     """
-    spark = facts.sparkSession
-    visited, rows, seen, frontier = list(seeds), [], set(), list(seeds)
-    for _ in range(max(1, min(hops, 3))):
-        if not frontier or len(rows) >= max_facts:
-            break
-        level = facts_touching(facts, spark.createDataFrame([(e,) for e in frontier], "entity string"))
-        best = level.orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "a", "relation", "b", "source_id").limit(max_facts - len(rows)).collect()
-        added: list[str] = []
-        for row in best:
-            edge = (row["a"], row["relation"], row["b"], row["source_id"])
-            new = [e for e in dict.fromkeys((row["a"], row["b"])) if e not in visited and e not in added]
-            if edge not in seen and len(visited) + len(added) + len(new) <= max_entities:
-                seen.add(edge)
-                rows.append(row)
-                added += new
-        visited += added
-        frontier = added
-    return visited, rows
-
-
-def mention_counts(mentions: DataFrame) -> DataFrame:
-    return mentions.withColumn("n", F.count("*").over(W.partitionBy("entity_id")))
+    scratch = Scratch(facts.sparkSession, "search")
+    kinds = {f.name: f.dataType.simpleString() for f in (*seeds.schema, *facts.schema)}
+    cols = ["a", "relation", "b", "source_id", "confidence"]
+    schema = f"question_id {kinds['question_id']}, " + ", ".join(f"{c} {kinds[c]}" for c in cols) + f", kept boolean, added array<{kinds['entity']}>"
+    met = scratch.save(seeds.select("question_id", "entity").distinct().withColumn("hop", F.lit(0)), "met0")
+    taken = None
+    for hop in range(1, max(1, min(hops, 3)) + 1):
+        ends = met.where(F.col("hop") == hop - 1).select("question_id", "entity")
+        touching = ends.join(facts.select(*cols), F.col("entity") == F.col("a")).unionByName(ends.join(facts.select(*cols), F.col("entity") == F.col("b"))).select("question_id", *cols).distinct()
+        if taken is not None:
+            touching = touching.join(taken.select("question_id", "a", "relation", "b", "source_id"), ["question_id", "a", "relation", "b", "source_id"], "left_anti")
+            used = taken.groupBy("question_id").agg(F.count("*").alias("used"))
+            touching = touching.join(used, "question_id", "left").withColumn("room", max_facts - F.coalesce("used", F.lit(0))).drop("used")
+        else:
+            touching = touching.withColumn("room", F.lit(max_facts))
+        order = W.partitionBy("question_id").orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "a", "relation", "b", "source_id")
+        best = touching.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max_facts).where(F.col("nth") <= F.col("room"))
+        visited = met.groupBy("question_id").agg(F.collect_list("entity").alias("visited"))
+        made = scratch.save(best.join(visited, "question_id").groupBy("question_id").applyInPandas(_within(max_entities), schema), f"hop{hop}")
+        now = made.where("kept").select("question_id", F.lit(hop).alias("hop"), *cols)
+        taken = now if taken is None else taken.unionByName(now)
+        met = met.unionByName(made.select("question_id", F.explode("added").alias("entity"), F.lit(hop).alias("hop")))
+    return met, taken

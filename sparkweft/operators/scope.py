@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -57,8 +56,3 @@ def in_application(rows: DataFrame, actors: DataFrame) -> DataFrame:
     """Rows whose actor is of another application than they are."""
     other = actors.select(F.col("id").alias("actor_id"), F.col("application_id").alias("_owner"))
     return rows.join(other, "actor_id", "left").where(~F.coalesce(F.col("_owner") == F.col("application_id"), F.lit(False))).drop("_owner")
-
-
-def any_of(column: str, values: Iterable) -> Column:
-    values = list(values)
-    return F.col(column).isin(values) if values else F.lit(False)

@@ -289,14 +289,10 @@ def vector_preview(b: Bound) -> DataFrame:
 
 
 def _asked(b: Bound) -> DataFrame:
-    return b.raw("embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-
-
-def _all_asked(b: Bound) -> DataFrame:
     return b.raw("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-KNN = """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(CAST(q.embedding AS double[]), CAST(c.embedding AS double[])) AS sim FROM embeddings q, embeddings c WHERE q.vec_id < 10 {where}),
+KNN = """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(CAST(q.embedding AS double[]), CAST(c.embedding AS double[])) AS sim FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, round(sim, 4) AS similarity, CAST(rank AS int) AS rank FROM r WHERE rank <= {k}"""
 
 
@@ -312,9 +308,7 @@ def knn_scoped(b: Bound) -> DataFrame:
 
 @query()
 def mmr_top10(b: Bound) -> DataFrame:
-    return retrieval.evidence(b.chunks, _all_asked(b))
-
-
+    return retrieval.evidence(b.chunks, _asked(b))
 
 
 @query("""WITH pool AS (SELECT conv_id AS query_id, turn AS index, CASE WHEN turn % 2 = 0 THEN round(length(text) / 100.0, 2) END AS score FROM conversations),
@@ -360,11 +354,13 @@ def safe_filename(b: Bound) -> DataFrame:
     return b.raw("pages").select("page_id", tx.safe_filename(F.col("url")).alias("filename"))
 
 
-@query("SELECT conv_id, string_agg('<!-- ' || role || ' ' || turn || ' -->' || chr(10) || text, chr(10) || chr(10) ORDER BY turn, text) AS content, count(*) AS turns FROM conversations GROUP BY 1")
+@query("""WITH d AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations) SELECT conv_id AS doc, string_agg('<!-- ' || role || ' ' || turn || ' · easy · text -->' || chr(10) || text, chr(10) || chr(10) ORDER BY turn, role, text) AS content,
+CASE WHEN bool_and(turn % 5 = 4) THEN 'failed' WHEN bool_or(turn % 5 = 4) THEN 'partial' ELSE 'completed' END AS status FROM d GROUP BY 1""")
 def chat_merge(b: Bound) -> DataFrame:
-    marked = F.concat(F.lit("<!-- "), "role", F.lit(" "), "turn", F.lit(" -->\n"), "text")
-    turns = F.sort_array(F.collect_list(F.struct("turn", "text", marked.alias("m"))))
-    return b.raw("conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["m"]), "\n\n").alias("content"), F.count("*").alias("turns"))
+    """Conversations as documents of readings; every fifth turn counts as failed."""
+    turns = b.raw("conversations").select("conv_id", "turn", "role", "text").distinct()
+    rows = turns.select(F.col("conv_id").alias("doc"), F.struct("turn", "role", "text").alias("reading"), F.col("role").alias("kind"), F.col("turn").alias("page"), F.lit("easy").alias("difficulty"), F.lit("text").alias("route"), "text", F.when(F.col("turn") % 5 == 4, "failed").otherwise("completed").alias("status"))
+    return readings.merged_readings(rows)
 
 
 @query("SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, CAST(sum(length(text)) AS bigint) AS chars FROM conversations GROUP BY 1")
@@ -403,7 +399,9 @@ def map_relation(b: Bound) -> DataFrame:
     return graph.mapped(counts, "raw", RELATIONS, SYNONYMS, "RELATED_TO", INVERSES).drop("raw")
 
 
-@query()
+@query(r"""WITH k AS (SELECT s_suppkey, array_to_string(list_filter(regexp_split_to_array(lower(s_name), '\W+'), lambda w: w <> '' AND w <> '_'), '_') AS key FROM supplier),
+h AS (SELECT s_suppkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('COMPANY:' || key)) AS h FROM k)
+SELECT s_suppkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab'[(strpos('0123456789abcdef', h[17]) - 1) % 4 + 1] || h[18:20] || '-' || h[21:32] AS entity_id FROM h""")
 def entity_id_uuid5(b: Bound) -> DataFrame:
     tenant = F.lit("6ba7b810-9dad-11d1-80b4-00c04fd430c8")
     return b.raw("supplier").select("s_suppkey", tx.entity_uuid(tenant, F.lit("COMPANY"), graph.canonical_key("s_name", F.lit("COMPANY"))).alias("entity_id"))
@@ -531,14 +529,16 @@ BOUND_ONTOLOGY = {
     "relation_synonyms": {"BASED_IN": "LOCATED_IN"}, "inverse_relations": {}, "fallback_relation": "RELATED_TO"}
 
 
-@query("SELECT sha1('n' || s_nationkey) AS place, count(*) AS links FROM supplier GROUP BY 1")
+@query()
 def graph_resolution(b: Bound) -> DataFrame:
-    """Suppliers' countries as extractions, resolved: every link stands under its country."""
-    rows = b.raw("supplier")
-    name, place = F.sha1(F.col("s_suppkey").cast("string")), F.sha1(F.concat(F.lit("n"), "s_nationkey"))  # names unlike one another
-    entity = lambda n, kind: F.struct(n.alias("name"), F.lit(kind).alias("type"))
-    link = F.struct(name.alias("source"), F.lit("basedIn").alias("relation"), place.alias("target"))
+    """Suppliers' countries as extractions, resolved by their names: links by country."""
+    rows = b.raw("supplier").join(b.raw("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    entity = lambda n, kind: F.struct(F.col(n).alias("name"), F.lit(kind).alias("type"))
+    link = F.struct(F.col("s_name").alias("source"), F.lit("basedIn").alias("relation"), F.col("n_name").alias("target"))
     units = rows.select(F.lit("6ba7b810-9dad-11d1-80b4-00c04fd430c8").alias("tenant_id"), F.concat(F.lit("u"), "s_suppkey").alias("id"), F.col("s_suppkey").alias("source_id"), F.col("s_suppkey").alias("index"),
-                        F.to_json(F.struct(F.array(entity(name, "vendor"), entity(place, "Country")).alias("entities"), F.array(link).alias("relationships"))).alias("answer"))
+                        F.to_json(F.struct(F.array(entity("s_name", "vendor"), entity("n_name", "Country")).alias("entities"), F.array(link).alias("relationships"))).alias("answer"))
     entities, _, facts = extraction.resolved(extraction.extractions(units), BOUND_ONTOLOGY)
     return facts.where("relation = 'LOCATED_IN'").join(entities.select(F.col("entity_id").alias("b"), F.col("display_name").alias("place")), "b").groupBy("place").agg(F.count("*").alias("links"))
+
+
+from . import catalogue_queries, graph_queries  # noqa: E402, F401  they register their queries here
