@@ -5,19 +5,14 @@ All but the last keep the columns of ``docs``; the decisions of each hold for th
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_root
 from . import bpe, jaccard, mixing, recompression, toxicity
 from .common import table
 
 
-def scratch_root(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
-
-
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted to be toxic."""
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
