@@ -298,7 +298,7 @@ def _split(percent: int):
     chains."""
     reach = 2 * (1 - percent / 100) + 1e-9
 
-    def run(key, chunk: pa.Table, pivots: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], chunk: pa.Table, pivots: pa.Table) -> pa.Table:
         node, subs, edges = [], [], []
         if chunk.num_rows and pivots.num_rows:
             own = Sets([unpacked(k) for k in pivots["held"].to_pylist()], pivots["size"].to_numpy())

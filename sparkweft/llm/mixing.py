@@ -17,7 +17,7 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,14 +107,17 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: boo
 
 
 def _fly(block_rows: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
         """A block of a source; the only block of its source lands."""
-        mark = lambda x: -1 if pd.isna(x) else int(x)
-        pdf = pdf.drop(columns="_block").assign(_o=[zlib.crc32(b"%d" % mark(x)) for x in pdf["doc_id"]])
+        block = block.drop_columns("_block").combine_chunks()
+        ids, size = block["doc_id"].to_pylist(), block["size"].to_numpy()
+        coin = np.array([zlib.crc32(b"%d" % (-1 if x is None else x)) for x in ids], np.int64)
         # the longest first, so what stays open to the end is short and landing it costs few words
-        pdf = pdf.sort_values(["size", "_o", "doc_id"], ascending=[False, True, True]).drop(columns="_o")
-        rng = np.random.default_rng(zlib.crc32(f"{key[0]}/{key[1]}/{len(pdf)}".encode()))
-        return pdf.assign(pi=flight(pdf["pi"].to_numpy(), pdf["size"].to_numpy(), rng, pdf["n"].iloc[0] <= block_rows))
+        order = np.lexsort((block["doc_id"].fill_null(-(1 << 63)).to_numpy(), coin, -size))
+        rng = np.random.default_rng(zlib.crc32(f"{key[0].as_py()}/{key[1].as_py()}/{len(ids)}".encode()))
+        block = block.take(pa.array(order))
+        pi = flight(block["pi"].to_numpy(), size[order], rng, block["n"][0].as_py() <= block_rows)
+        return block.set_column(block.schema.get_field_index("pi"), "pi", pa.array(pi, pa.float64()))
     return run
 
 
@@ -122,7 +125,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repea
     """doc_id, source, size, source_size, target, taken for every row of ``docs``.
 
     Sources in order of code points, null last, weigh ``weights`` in turn. Null and empty texts
-    have size 0 and are taken 0 times; equal rows count each for itself; an empty table gives an
+    have size 0 and are taken 0 times; equal rows count each for itself; a null doc_id is a row like others; an empty table gives an
     empty result. Only doc_id, source and text are read, so other columns can't clash. Reruns
     agree: coins are drawn from a seed made of source, block and rows.
     """
@@ -143,7 +146,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repea
         last = left <= block_rows
         block = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(k)), blocks)
         flown = units.withColumn("_block", block).groupBy("source", "_block")
-        flown = scratch.save(flown.applyInPandas(_fly(block_rows), cols), f"round{k}")
+        flown = scratch.save(flown.applyInArrow(_fly(block_rows), cols), f"round{k}")
         is_open = (F.col("pi") > 0) & (F.col("pi") < 1)
         done = flown if last else flown.where(~is_open)
         settled = done if settled is None else settled.unionByName(done)

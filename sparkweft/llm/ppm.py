@@ -136,7 +136,7 @@ def _list_blocks(order: int):
             key, n = held.pop(block).rows()
             for k in range(0, len(key), 1 << 18):
                 part = slice(k, k + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), block, np.int32)), pa.array(key[part]), pa.array(n[part])], names=["block", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), block, np.int64)), pa.array(key[part]), pa.array(n[part])], names=["block", "key", "n"])
 
         for batch in small(batches):
             for block, trains, text in zip(*(batch[c].to_pylist() for c in ("block", "trains", "raw"))):
@@ -243,7 +243,7 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 4, block_byt
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     block = _buckets(docs, "doc_id", max(1, rows // max(1, -(-volume // block_bytes))))
     dealt = docs.select("doc_id", raw("text").alias("raw"), (~F.coalesce(held_out, F.lit(False))).cast("int").alias("trains"), block.alias("block"))
-    listed = scratch.save(dealt.select("block", "trains", "raw").mapInArrow(_list_blocks(order), "block int, key long, n long"), "listed")
+    listed = scratch.save(dealt.select("block", "trains", "raw").mapInArrow(_list_blocks(order), "block long, key long, n long"), "listed")
     trie = scratch.save(_trie(listed), "trie")
     known = trie.where("key < 0").agg(F.sum("cnt").alias("total"), F.count("*").alias("n")).first()
     nodes = listed.select("block", "key").join(trie, "key")

@@ -81,20 +81,45 @@ def near_fingerprints(fps: DataFrame, radius: int = 3, blocks: int = 6) -> DataF
     return pairs.withColumn("distance", F.bit_count(differ)).where((F.col("distance") <= radius) & (first == F.col("t"))).select("a", "b", "distance")
 
 
-def _buckets(docs: DataFrame, key: str, rows: int) -> Column:
-    """The number of the key's range, of about ``rows`` documents each; nulls go to the last."""
-    n = docs.count()
-    many = min(4096, max(1, n // rows))
-    bounds = sorted(set(docs.approxQuantile(key, [k / many for k in range(1, many)], 0.25 / many))) if many > 1 else []
-    listed = F.array(*[F.lit(int(x)) for x in bounds]) if bounds else F.array().cast("array<bigint>")
-    return F.when(F.col(key).isNull(), len(bounds)).otherwise(F.size(F.filter(listed, lambda b: b <= F.col(key)))).cast("int")
+def _buckets(docs: DataFrame, key: str, rows: int, most: int = 4096) -> Column:
+    """The number of the key's range, of about ``rows`` documents each; nulls go to the last.
+
+    At most ``most`` ranges are cut at quantiles; each of them is cut evenly by value into as many
+    as it needs, so ranges keep their size however many documents there are.
+    """
+    size = docs.agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    wanted = max(1, -(-size["n"] // rows))
+    outer = min(most, wanted)
+    inner = -(-wanted // outer)
+    if size["lo"] is None or wanted == 1:
+        return F.lit(0)
+    cuts = docs.approxQuantile(key, [k / outer for k in range(1, outer)], 0.25 / outer) if outer > 1 else []
+    bounds = sorted({size["lo"], *map(int, cuts)})
+    ends = F.array(*[F.lit(x) for x in [*bounds[1:], size["hi"] + 1]])
+    begins = F.array(*[F.lit(x) for x in bounds])
+    nth = F.greatest(F.lit(1), F.size(F.filter(begins, lambda x: x <= F.col(key))))
+    lo, hi = F.element_at(begins, nth), F.element_at(ends, nth)
+    within = F.least(F.lit(inner - 1), F.floor((F.col(key) - lo) / (hi - lo) * inner)) if inner > 1 else F.lit(0)
+    return F.when(F.col(key).isNull(), len(bounds) * inner).otherwise((nth - 1) * inner + within).cast("long")
+
+
+def near_counts(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """fp, n_near: how many other rows of ``fps`` have a fingerprint within the radius.
+
+    Rows of one fingerprint are counted first, so copies meet as one row.
+    """
+    counts = Scratch(fps.sparkSession, "fingerprints").save(fps.groupBy("fp").agg(F.count("*").alias("n")), "counts")
+    pairs = near_fingerprints(counts, radius).select("a", "b")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnRenamed("b", "fp").join(counts, "fp")
+    others = both.groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("others"))
+    return counts.join(others, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
 
 
-def edited_fingerprints(docs: DataFrame, bucket_rows: int = 1024) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, bucket_rows: int = 1024, radius: int = 3) -> DataFrame:
     """Fingerprints of every whole text and of its edited text; see the contract of query op10.
 
-    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for
-    each row. Null texts count as empty; rows of equal doc_id follow one another by text, null
+    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and
+    n_near, the number of other rows whose fingerprint is within ``radius`` bits, for each row. Null texts count as empty; rows of equal doc_id follow one another by text, null
     doc_ids come last; the last row's next is the first. One row is its own next. An empty table
     gives an empty result. Documents go once, whole, to ranges of doc_id; the first document of a
     range visits the range before it, so each range sees its last document's successor.
@@ -120,6 +145,7 @@ def edited_fingerprints(docs: DataFrame, bucket_rows: int = 1024) -> DataFrame:
         F.coalesce(F.lag("_bucket").over(W.orderBy("_bucket")), F.max("_bucket").over(W.partitionBy())).alias("_bucket"), F.col("fp").alias("_after"))
     follow = F.lead("fp").over(W.partitionBy("_bucket").orderBy("_nth"))
     out = made.withColumn("_lead", follow).join(first, "_bucket", "left").withColumn("_lead", F.coalesce("_lead", "_after"))
+    out = out.join(near_counts(made.select("fp"), radius), "fp")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("efp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("_lead")).alias("near_next"))
+        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("_lead")).alias("near_next"), "n_near")

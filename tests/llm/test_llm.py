@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sparkweft.llm import ann, bpe, jaccard, mixing, ppm, recompression, simhash, toxicity, urls, warc
@@ -71,6 +73,14 @@ def test_mixing(spark, docs, rows, nothing, block_rows):
     assert mixing.mix_sources(nothing).count() == 0
 
 
+def test_mixing_keeps_ids(spark):
+    """Ids beyond doubles and a null id share a block."""
+    ids = [2**60 + 1, 2**60 + 3, None, -(2**62) - 1]
+    df = spark.createDataFrame([(i, "a b c", "s") for i in ids], "doc_id long, text string, source string")
+    got = mixing.mix_sources(df).collect()
+    assert sorted(map(repr, (r["doc_id"] for r in got))) == sorted(map(repr, ids)) and {r["size"] for r in got} == {3}
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(0)
     size = rng.integers(1, 900, 500).astype(float)
@@ -354,6 +364,28 @@ def test_urls(spark):
 
 # 10
 
+def xxh64_chain(parts):
+    """A hash of several strings, each hashed with the last one's hash as seed, as the engine does."""
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p.encode(), h)
+    return h
+
+
+def plain_simhash(text):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
+    terms = [w[k : k + 5] for k in range(max(1, len(w) - 4))] if w else []
+    hashes = [xxh64_chain(t) for t in terms]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def test_ranges_keep_order_and_size(spark):
+    df = spark.range(5000).select((F.col("id") * 7 - 900).alias("doc_id"))
+    made = sorted(map(tuple, df.select("doc_id", simhash._buckets(df, "doc_id", 10, most=16).alias("b")).collect()))
+    assert [b for _, b in made] == sorted(b for _, b in made) and max(Counter(b for _, b in made).values()) <= 25
+    assert {r["b"] for r in df.where("false").select(simhash._buckets(df.where("false"), "doc_id", 10).alias("b")).collect()} == set()
+
+
 def test_edited_fingerprints(docs, rows, nothing):
     out = {r["doc_id"]: r for r in simhash.edited_fingerprints(docs, bucket_rows=7).collect()}
     texts = [t or "" for _, t, *_ in rows]
@@ -367,6 +399,12 @@ def test_edited_fingerprints(docs, rows, nothing):
         near += r["near_edited"]
         following += r["near_next"]
     assert near > following + 3
+    fps = {i: int(r["fingerprint"], 16) for i, r in out.items()}
+    assert fps == {i: plain_simhash(t) for i, t in enumerate(texts)}
+    assert all(int(out[i]["edited_fingerprint"], 16) == plain_simhash(t[: len(t) - len(t) // 4] + texts[(i + 1) % len(texts)][: len(t) // 4]) for i, t in enumerate(texts))
+    assert {i: r["n_near"] for i, r in out.items()} == {i: sum(bin(x ^ y).count("1") <= 3 for j, y in fps.items() if j != i) for i, x in fps.items()}
+    one = {r["doc_id"]: r["edited_sha256"] for r in simhash.edited_fingerprints(docs, bucket_rows=1).collect()}
+    assert one == {i: r["edited_sha256"] for i, r in out.items()}
     assert simhash.edited_fingerprints(nothing).count() == 0
 
 
