@@ -1,17 +1,22 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
 A document's symbols are its words, A-Z lower-cased and joined by single spaces, and one end
-(a newline, which no word holds). The model is a byte-context trie: the counts of all strings
-of up to order + 1 symbols in the training documents. A symbol is looked for in the longest
-context seen; where it is absent there the model escapes to the next shorter one, without the
-symbols that the longer one had (symbol exclusion), and at last to a uniform choice of the
-bytes left. Escapes are estimated by method D: with n occurrences of d symbols in a context, a
-symbol seen c times has (2c - 1) / 2n and the escape d / 2n.
-
-The trie grows with the corpus, so it is a Spark table and never broadcast. Documents are dealt
-into blocks, ranges of doc_id. A block lists the distinct strings and words it holds, with their
-counts in its training documents; sums over blocks give the trie and the word counts; a join
-takes each block the nodes that it listed, and the block scores its documents against them.
+(a newline, which no word holds). The model is a byte-context trie: the strings of up to order + 1
+symbols of the training documents. A symbol is looked for in the longest context; where it is
+absent there the model escapes to the next shorter one, without the symbols that the longer one
+had (symbol exclusion), and at last to a uniform choice of the bytes left.
+
+Counts. The longest strings count as often as they occur, shorter ones as often as a different
+symbol stands before them (update exclusion). Escapes are estimated from the trie itself: contexts
+of an order with alike totals and numbers of symbols are a class, and a class's escape is how
+often its contexts, with one occurrence left out, wouldn't know it, with method D's estimate as
+four occurrences more. In a context the known symbols share the rest by their counts.
+
+The trie grows with the corpus, so it is Spark tables, a level each, and never broadcast but for
+contexts of at most one byte. Documents are dealt into blocks, ranges of doc_id. A block lists the
+distinct longest strings and words that it holds, with their counts in its training documents; the
+last symbol's probability is a property of a longest string, so it is computed once for each
+distinct one, and a join takes each block those that it listed.
 """
 
 from __future__ import annotations
@@ -59,10 +64,6 @@ def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return out[own], np.cumsum(size) - size
 
 
-def node_key(strings: np.ndarray, length: int) -> np.ndarray:
-    return (strings & ((1 << 8 * length) - 1)) | (length << 56)
-
-
 def _sum_by_key(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     key, at = np.unique(np.concatenate(keys), return_inverse=True)
     return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
@@ -112,16 +113,11 @@ class Listing:
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
         self._count()
-        keys, counts = [], []
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if self.top:
             string, n = _sum_by_key(*zip(*self.top))
-            for length in range(self.order + 1, 0, -1):
-                string, n = _sum_by_key([string & ((1 << 8 * length) - 1)], [n])
-                keys.append(node_key(string, length))
-                counts.append(n)
-            starts = np.array([node_key(np.int64(int.from_bytes(END * k)), k) for k in range(self.order + 1)], np.int64)
-            keys.append(starts)  # contexts of a first symbol, and the empty one
-            counts.append(np.zeros(len(starts), np.int64))
+            keys.append(string)
+            counts.append(n)
         if self.words:
             keys.append(np.fromiter(map(word_key, self.words), np.int64, len(self.words)))
             counts.append(np.fromiter(self.words.values(), np.int64, len(self.words)))
@@ -150,56 +146,91 @@ def _list_blocks(order: int):
     return run
 
 
-def _trie(listed: DataFrame) -> DataFrame:
-    """key, cnt, tot, d, x of every node: its count as a string; as a context its total, its
-    distinct symbols and what those count in the next shorter context. Words have cnt only."""
-    edges = listed.groupBy("key").agg(F.sum("n").alias("cnt")).where("cnt > 0")
-    length, string = F.shiftright("key", 56), F.col("key").bitwiseAND(F.lit((1 << 56) - 1))
-    nodes = edges.where("key >= 0")
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), ((length - 1) * 8).cast("int")) - 1
-    up = F.call_function("shiftleft", length - 1, F.lit(56))
-    links = nodes.select("cnt", up.bitwiseOR(F.shiftright(string, 8)).alias("ctx"), F.when(length > 1, up.bitwiseOR(string.bitwiseAND(mask))).alias("shorter"))
-    links = links.join(nodes.select(F.col("key").alias("shorter"), F.col("cnt").alias("low")), "shorter", "left")
-    contexts = links.groupBy("ctx").agg(F.sum("cnt").alias("tot"), F.count("*").alias("d"), F.coalesce(F.sum("low"), F.lit(0)).alias("x"))
-    zero = F.lit(0).cast("long")
-    both = edges.select("key", "cnt", zero.alias("tot"), zero.alias("d"), zero.alias("x")).unionByName(contexts.select(F.col("ctx").alias("key"), zero.alias("cnt"), "tot", "d", "x"))
-    return both.groupBy("key").agg(*[F.max(c).alias(c) for c in ("cnt", "tot", "d", "x")])
+KINDS, TOTALS = 64, 41  # classes of escapes: numbers of symbols, and totals by half powers of two
+
+
+def _contexts(strings: DataFrame) -> DataFrame:
+    """ctx, tot, d, once, syms (sym, cnt) of strings (s, cnt): a context for each string without its
+    last symbol; a string of count 0 is one to be judged and counts for nothing."""
+    known = F.col("cnt") > 0
+    return strings.groupBy(F.shiftright("s", 8).alias("ctx")).agg(
+        F.sum("cnt").alias("tot"), F.count_if(known).alias("d"), F.count_if(F.col("cnt") == 1).alias("once"), F.collect_list(F.struct(F.col("s").bitwiseAND(F.lit(255)).cast("int").alias("sym"), "cnt")).alias("syms"))
+
+
+def _kinds(d: Column) -> Column:
+    return F.least(d, F.lit(KINDS - 1)).cast("int")
+
 
+def _totals(n: Column) -> Column:
+    return F.least(F.floor(F.log2(F.greatest(n, F.lit(1))) * 2), F.lit(TOTALS - 1)).cast("int")
 
-def log_probabilities(strings: np.ndarray, order: int, node) -> np.ndarray:
-    """log10 of the probability of each string's last symbol after the others.
 
-    ``node(keys)`` gives cnt, tot, d, x as arrays, zeros where there is no such node.
+def _escapes(contexts: DataFrame) -> np.ndarray:
+    """The escape of each class of a level, by (kinds, totals); a bounded table."""
+    counted = contexts.where("tot > 1").groupBy(_kinds(F.col("d")).alias("i"), _totals(F.col("tot") - 1).alias("j")).agg(
+        F.sum("once").alias("once"), F.sum(F.col("tot") - F.col("once")).alias("more")).toArrow()
+    escaped, met = np.zeros((KINDS, TOTALS)), np.zeros((KINDS, TOTALS))
+    i, j, once, more = (counted[c].to_numpy().astype(int) for c in ("i", "j", "once", "more"))
+    for at in (escaped, met):
+        np.add.at(at, (np.maximum(i - 1, 0), j), once)  # left out, the context has a symbol less
+    np.add.at(met, (i, j), more)
+    method_d = np.minimum(0.95, np.arange(KINDS)[:, None] / (2 * 2 ** (np.arange(TOTALS) / 2)))
+    return np.clip((escaped + 4 * method_d) / (met + 4), 1e-6, 0.98)
+
+
+def _escape(table: np.ndarray, d: Column, tot: Column) -> Column:
+    held = F.split(F.lit(",".join(map(repr, table.ravel().tolist()))), ",").cast("array<double>")
+    return F.element_at(held, _kinds(d) * TOTALS + _totals(tot) + 1)
+
+
+def string_scores(strings: DataFrame, order: int, scratch: Scratch) -> DataFrame:
+    """s, value: log10 of the probability of each string's last symbol after the others.
+
+    ``strings`` has distinct strings s of order + 1 symbols and cnt, their training count.
     """
-    out = np.zeros(len(strings))
-    left = np.ones(len(strings), bool)
-    d_above = np.zeros(len(strings), np.int64)
-    x_above = np.zeros(len(strings), np.int64)
+    level = strings
+    tables, escapes = [], []
     for length in range(order, -1, -1):
-        _, tot, d, x = node(node_key(strings >> 8, length))
-        cnt = node(node_key(strings, length + 1))[0]
-        n, kinds = tot - x_above, d - d_above
-        found, there = left & (cnt > 0), left & (tot > 0) & (kinds > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out = np.where(found, out + np.log10((2 * cnt - 1) / (2 * n)), np.where(there, out + np.log10(kinds / (2 * n)), out))
-        left &= ~found
-        d_above, x_above = d, x
-    return np.where(left, out - np.log10(256 - d_above), out)
+        # at the top the strings to be judged stand in their contexts; below, requests join them
+        made = scratch.save(_contexts(level), f"contexts{length}")
+        tables.append(made)
+        escapes.append(_escapes(made))
+        if length:
+            level = level.where("cnt > 0").groupBy(F.col("s").bitwiseAND(F.lit((1 << 8 * length) - 1)).alias("s")).agg(F.count("*").alias("cnt"))
+    e = _escape(escapes[0], F.col("d"), F.col("tot"))
+    seen = F.transform(F.filter("syms", lambda x: x["cnt"] > 0), lambda x: x["sym"])
+    top = tables[0].select("ctx", "tot", "d", e.alias("e"), seen.alias("above"), F.explode("syms").alias("x"))
+    s = F.call_function("shiftleft", F.col("ctx"), F.lit(8)).bitwiseOR(F.col("x.sym").cast("long"))
+    found = top.where("x.cnt > 0").select(s.alias("s"), F.log10((1 - F.col("e")) * F.col("x.cnt") / F.col("tot")).alias("value"))
+    none = F.array().cast("array<int>")
+    left = top.where("x.cnt = 0").select(s.alias("s"), F.when(F.col("d") > 0, F.log10("e")).otherwise(0.0).alias("value"), "above")
+    left = scratch.save(left, f"left{order}")
+    for length in range(order - 1, -1, -1):
+        table = tables[order - length].select("ctx", "tot", "d", _escape(escapes[order - length], F.col("d"), F.col("tot")).alias("e"), "syms")
+        # contexts of at most one byte are 257 rows of 256 symbols at most
+        table = F.broadcast(table) if length < 2 else table
+        asked = left.withColumn("ctx", F.shiftright("s", 8).bitwiseAND(F.lit((1 << 8 * length) - 1)))
+        both = asked.join(table, "ctx", "left").withColumn("open", F.filter(F.coalesce("syms", F.array().cast("array<struct<sym:int,cnt:bigint>>")), lambda x: ~F.array_contains("above", x["sym"])))
+        own = F.filter("open", lambda x: x["sym"] == F.col("s").bitwiseAND(F.lit(255)).cast("int"))
+        both = both.withColumns({"cnt": F.coalesce(F.try_element_at(own, F.lit(1))["cnt"], F.lit(0).cast("long")), "rest": F.aggregate("open", F.lit(0).cast("long"), lambda t, x: t + x["cnt"])})
+        both = scratch.save(both.select(
+            "s", "cnt", F.when(F.col("cnt") > 0, F.col("value") + F.log10((1 - F.col("e")) * F.col("cnt") / F.col("rest"))).when(F.col("rest") > 0, F.col("value") + F.log10("e")).otherwise(F.col("value")).alias("value"),
+            F.coalesce(F.transform("syms", lambda x: x["sym"]), none).alias("above")), f"asked{length}")
+        found = found.unionByName(both.where("cnt > 0").select("s", "value"))
+        left = both.where("cnt = 0").select("s", "value", "above")
+    return found.unionByName(left.select("s", (F.col("value") - F.log10(256 - F.size("above"))).alias("value")))
 
 
 def _score_block(order: int, total: int, distinct: int):
     def run(docs: pa.Table, nodes: pa.Table) -> pa.Table:
-        cols = [nodes[c].to_numpy() for c in ("key", "cnt", "tot", "d", "x")]
-        rank = np.argsort(cols[0])
-        keys, values = cols[0][rank], [c[rank] for c in cols[1:]]
-        del cols, rank, nodes
-
-        def node(want):
-            if not len(keys):
-                return [np.zeros(len(want), np.int64)] * 4
+        keys, values = nodes["key"].to_numpy(), nodes["value"].to_numpy()
+        rank = np.argsort(keys)
+        keys, values = keys[rank], values[rank]
+        del rank, nodes
+
+        def value(want):
             at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            hit = keys[at] == want
-            return [np.where(hit, v[at], 0) for v in values]
+            return np.where(keys[at] == want, values[at], 0)
 
         n_tokens, n_known, base, score = [], [], [], []
         raws = docs["raw"].to_pylist()
@@ -211,22 +242,20 @@ def _score_block(order: int, total: int, distinct: int):
             inner = np.ones(len(hashes), bool)
             inner[ends] = False
             hashes[inner] = np.fromiter((h for x in words for h in map(WORD_HASHES.__getitem__, x)), np.uint64, int(inner.sum()))
-            seen = node((hashes >> np.uint64(1)).astype(np.int64) + np.int64(SIGN))[0]
+            seen = value((hashes >> np.uint64(1)).astype(np.int64) + np.int64(SIGN))
             first = ends - sizes + 1
             n_tokens += sizes.tolist()
             n_known += np.add.reduceat((seen > 0).astype(np.int64), first).tolist()
             base += np.add.reduceat(np.log10((seen + 1) / (total + distinct + 1)), first).tolist()
-            texts = [b" ".join(x) + END for x in words]
-            strings, starts = grams(texts, order)
-            own, at = np.unique(strings, return_inverse=True)
-            score += np.add.reduceat(log_probabilities(own, order, node)[at], starts).tolist()
+            strings, starts = grams([b" ".join(x) + END for x in words], order)
+            score += np.add.reduceat(value(strings), starts).tolist()
         return pa.table({
             "doc_id": docs["doc_id"].cast(pa.int64()), "held_out": docs["trains"].to_numpy(zero_copy_only=False) == 0, "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
             "train_tokens": pa.array([total] * len(raws), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
     return run
 
 
-def score_documents(docs: DataFrame, held_out: Column, order: int = 4, block_bytes: int = 24 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, order: int = 5, block_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     Rows where ``held_out`` is true don't train (null counts as false). Null and empty texts are
@@ -237,15 +266,17 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 4, block_byt
         raise ValueError("order is 1 to 6")
     spark = docs.sparkSession
     scratch = Scratch(spark, "ppm")
-    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = docs.count()
-    if not rows:
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if not size["n"]:
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    block = _buckets(docs, "doc_id", max(1, rows // max(1, -(-volume // block_bytes))))
+    block = _buckets(docs, "doc_id", max(1, size["n"] // max(1, -(-(size["bytes"] or 0) // block_bytes))))
     dealt = docs.select("doc_id", raw("text").alias("raw"), (~F.coalesce(held_out, F.lit(False))).cast("int").alias("trains"), block.alias("block"))
     listed = scratch.save(dealt.select("block", "trains", "raw").mapInArrow(_list_blocks(order), "block long, key long, n long"), "listed")
-    trie = scratch.save(_trie(listed), "trie")
-    known = trie.where("key < 0").agg(F.sum("cnt").alias("total"), F.count("*").alias("n")).first()
-    nodes = listed.select("block", "key").join(trie, "key")
+    counts = scratch.save(listed.groupBy("key").agg(F.sum("n").alias("cnt")), "counts")
+    words = counts.where("key < 0")
+    known = words.where("cnt > 0").agg(F.sum("cnt").alias("total"), F.count("*").alias("n")).first()
+    scored = string_scores(counts.where("key >= 0").select(F.col("key").alias("s"), "cnt"), order, scratch)
+    values = words.select("key", F.col("cnt").cast("double").alias("value")).unionByName(scored.select(F.col("s").alias("key"), "value"))
+    nodes = listed.select("block", "key").join(values, "key")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("block").cogroup(nodes.groupBy("block")).applyInArrow(_score_block(order, known["total"] or 0, known["n"]), schema)

@@ -222,26 +222,56 @@ def test_nearest_neighbours_in_double_precision(spark, case):
 
 # 6
 
-def test_ppm_is_a_probability():
-    """After any context, the probabilities of all bytes sum to 1."""
+def plain_ppm(texts, order):
+    """A function of a context and a byte: log10 of its probability, by dictionaries alone."""
+    levels = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        t = ppm.END * order + t
+        levels[order].update(t[k - order : k + 1] for k in range(order, len(t)))
+    for k in range(order, 0, -1):
+        levels[k - 1].update(s[1:] for s in levels[k])
+    contexts = [{} for _ in levels]
+    for k, level in enumerate(levels):
+        for s, n in level.items():
+            contexts[k].setdefault(s[:-1], {})[s[-1]] = n
+    j = lambda n: min(int(np.floor(np.log2(max(n, 1)) * 2)), 40)
+    escape = []
+    for level in contexts:
+        gone, met = Counter(), Counter()
+        for syms in level.values():
+            n, d, once = sum(syms.values()), min(len(syms), 63), sum(c == 1 for c in syms.values())
+            if n > 1:
+                gone[max(d - 1, 0), j(n - 1)] += once
+                met[max(d - 1, 0), j(n - 1)] += once
+                met[d, j(n - 1)] += n - once
+        escape.append(lambda d, n, gone=gone, met=met: min(0.98, max(1e-6, (gone[min(d, 63), j(n)] + 4 * min(0.95, min(d, 63) / (2 * 2 ** (j(n) / 2)))) / (met[min(d, 63), j(n)] + 4))))
+
+    def probability(context, symbol):
+        out, above = 0.0, set()
+        for k in range(order, -1, -1):
+            syms = contexts[k].get(context[len(context) - k :], {})
+            rest = sum(n for x, n in syms.items() if x not in above)
+            e = escape[k](len(syms), sum(syms.values()))
+            if symbol in syms and symbol not in above:
+                return out + np.log10((1 - e) * syms[symbol] / rest)
+            out += np.log10(e) if rest else 0.0
+            above = set(syms)
+        return out - np.log10(256 - len(above))
+    return probability
+
+
+def test_ppm_is_a_probability(spark, tmp_path):
+    """After any context the probabilities of all bytes sum to 1, and equal the plain form's."""
     texts = [b" ".join(ppm.normal(t)) + ppm.END for t in (b"abracadabra abra", b"banana band", b"cab")]
-    order, counts = 3, Counter()
-    for s in ppm.grams(texts, order)[0].tolist():
-        for length in range(1, order + 2):
-            counts[length, s & ((1 << 8 * length) - 1)] += 1
-    tot, kinds, low = Counter(), Counter(), Counter()
-    for (length, s), n in counts.items():
-        ctx = (length - 1, s >> 8)
-        tot[ctx] += n
-        kinds[ctx] += 1
-        low[ctx] += counts[length - 1, s & ((1 << 8 * (length - 1)) - 1)] if length > 1 else 0
-
-    def node(keys):
-        pairs = [(int(k) >> 56, int(k) & ((1 << 56) - 1)) for k in keys]
-        return [np.array([table.get(p, 0) for p in pairs]) for table in (counts, tot, kinds, low)]
-    for context in (b"\n\n\n", b"abr", b"ban", b"zzz", b"zab", b"and"):
-        keys = np.array([int.from_bytes(context + bytes([c]), "big") for c in range(256)], np.int64)
-        assert abs((10 ** ppm.log_probabilities(keys, order, node)).sum() - 1) < 1e-9
+    plain = plain_ppm(texts, 3)
+    counts = Counter(ppm.grams(texts, 3)[0].tolist())
+    asked = [context + bytes([c]) for context in (b"\n\n\n", b"abr", b"ban", b"zzz", b"zab", b"and") for c in range(256)]
+    rows = [(k, counts[k]) for k in {*counts, *(int.from_bytes(a, "big") for a in asked)}]
+    got = dict(map(tuple, ppm.string_scores(spark.createDataFrame(rows, "s long, cnt long"), 3, ppm.Scratch(spark, "test")).collect()))
+    assert len(got) == len(rows)
+    for k in range(0, len(asked), 256):
+        own = [got[int.from_bytes(a, "big")] for a in asked[k : k + 256]]
+        assert abs(sum(10**x for x in own) - 1) < 1e-9 and np.allclose(own, [plain(a[:3], a[3]) for a in asked[k : k + 256]], atol=1e-9)
 
 
 def test_ppm_scores(docs, rows, nothing):
@@ -256,7 +286,11 @@ def test_ppm_scores(docs, rows, nothing):
         tokens = [*ppm.normal((t or "").encode()), ppm.END]
         r = out[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i % 5 == 2, len(tokens), sum(counts[x] > 0 for x in tokens), total)
-        assert abs(r["base_score"] - sum(np.log10((counts[x] + 1) / (total + distinct + 1)) for x in tokens)) < 1e-6 and r["score"] < 0
+        assert abs(r["base_score"] - sum(np.log10((counts[x] + 1) / (total + distinct + 1)) for x in tokens)) < 1e-6
+    plain = plain_ppm([b" ".join(ppm.normal((t or "").encode())) + ppm.END for i, t, *_ in rows if i % 5 != 2], 5)
+    for i, t, *_ in rows:
+        text = ppm.END * 5 + b" ".join(ppm.normal((t or "").encode())) + ppm.END
+        assert abs(out[i]["score"] - sum(plain(text[k - 5 : k], text[k]) for k in range(5, len(text)))) < 1e-6
     assert ppm.score_documents(nothing, held).count() == 0
     alone = ppm.score_documents(docs, F.lit(True)).where("doc_id = 3").first()
     assert abs(alone["score"] + 4 * np.log10(256)) < 1e-9
