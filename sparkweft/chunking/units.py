@@ -48,21 +48,25 @@ def _tabular_rows(lines: Column) -> Column:
 
 def lines_of(readings: DataFrame) -> DataFrame:
     """doc, pos, page, line of readings (doc, reading, page, text), LaTeX tables rewritten."""
-    raw = readings.select("doc", "reading", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\n")).alias("nth", "line"))
+    split = lambda df: df.select("doc", "reading", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\n")).alias("nth", "line"))
+    latex = F.col("text").rlike(TABULAR)
+    # a document without tables has nothing to rewrite; a table may end in a later reading
+    with_tables = readings.where(F.coalesce(latex, F.lit(False))).select("doc").distinct()
+    plain = split(readings.join(with_tables, "doc", "left_anti")).withColumn("sub", F.lit(0))
+    raw = split(readings.join(with_tables, "doc", "left_semi"))
     order = W.partitionBy("doc").orderBy("reading", "nth")
-    raw = raw.withColumn("pos", F.row_number().over(order))
-    starts = F.col("line").rlike(TABULAR).cast("int")
+    at = F.struct("reading", "nth")
+    starts = F.col("line").rlike(TABULAR)
     # a table lasts from a begin to the first end after it, or to the document's end
-    marked = raw.withColumn("begun", F.sum(starts).over(order)).withColumn("ended", F.max(F.when(F.col("line").rlike(END_TABULAR), F.col("pos"))).over(order.rowsBetween(W.unboundedPreceding, -1)))
-    opened = F.max(F.when(starts == 1, F.col("pos"))).over(order)
-    marked = marked.withColumn("opened", opened)
-    inside = (F.col("begun") > 0) & (F.col("opened") > F.coalesce("ended", F.lit(0)))
-    plain = marked.where(~inside).select("doc", "pos", F.lit(0).alias("sub"), "page", unescaped(F.col("line")).alias("line"))
-    tables = marked.where(inside).groupBy("doc", F.coalesce("ended", F.lit(0)).alias("_since")).agg(
-        F.min("pos").alias("pos"), F.max("page").alias("page"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"))
-    tables = tables.select("doc", "pos", "page", F.posexplode(_tabular_rows(F.col("lines"))).alias("sub", "line")).select("doc", "pos", "sub", "page", "line")
-    both = plain.unionByName(tables)
-    return both.select("doc", F.row_number().over(W.partitionBy("doc").orderBy("pos", "sub")).alias("pos"), "page", "line")
+    marked = raw.withColumn("ended", F.max(F.when(F.col("line").rlike(END_TABULAR), at)).over(order.rowsBetween(W.unboundedPreceding, -1))).withColumn("opened", F.max(F.when(starts, at)).over(order))
+    inside = F.col("opened").isNotNull() & (F.col("ended").isNull() | (F.col("opened") > F.col("ended")))
+    outside = marked.where(~inside).select("doc", "reading", "nth", F.lit(0).alias("sub"), "page", "line")
+    tables = marked.where(inside).groupBy("doc", "ended").agg(
+        F.min(at).alias("at"), F.max("page").alias("page"), F.transform(F.sort_array(F.collect_list(F.struct("reading", "nth", "line"))), lambda x: x["line"]).alias("lines"))
+    tables = tables.select("doc", "at.*", "page", F.posexplode(_tabular_rows(F.col("lines"))).alias("sub", "line")).select("doc", "reading", "nth", "sub", "page", "line")
+    text = plain.select(*outside.columns).unionByName(outside).withColumn("line", unescaped(F.col("line")))
+    both = text.unionByName(tables)
+    return both.select("doc", F.row_number().over(W.partitionBy("doc").orderBy("reading", "nth", "sub")).alias("pos"), "page", "line")
 
 
 def units_of(readings: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def _buckets(docs: DataFrame, key: str, rows: int, most: int = 4096) -> Column:
     outer = min(most, wanted)
     inner = -(-wanted // outer)
     if size["lo"] is None or wanted == 1:
-        return F.lit(0)
+        return F.lit(0).cast("long")
     cuts = docs.approxQuantile(key, [k / outer for k in range(1, outer)], 0.25 / outer) if outer > 1 else []
     bounds = sorted({size["lo"], *map(int, cuts)})
     ends = F.array(*[F.lit(x) for x in [*bounds[1:], size["hi"] + 1]])

@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import norm
-
 
 def nearest_chunks(chunks: DataFrame, queries: DataFrame, k: int = 50, query_block: int = 256) -> DataFrame:
     """query_id, chunk_id, similarity, rank: each query's k chunks of greatest cosine.
@@ -105,8 +103,3 @@ def evidence(chunks: DataFrame, queries: DataFrame, pool: int = 50, picks: int =
     near = nearest_chunks(chunks, queries, pool)
     full = near.join(chunks.select("chunk_id", "embedding"), "chunk_id")
     return diversified(full, picks, weight).withColumn("similarity", F.round("similarity", 4))
-
-
-def is_unit(vector: str, dim: int):
-    """Whether a vector has the strategy's dimension and isn't zero."""
-    return (F.size(vector) == dim) & (norm(F.col(vector)) > 0)

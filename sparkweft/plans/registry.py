@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import catalog, embedding, extraction, graph, ledger, readings, retrieval
 from ..operators.scope import Scope, between, filtered
+from ..sources import files
 from ..sources.binding import Bound
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -523,6 +524,34 @@ def lenient_answers(b: Bound) -> DataFrame:
     return readings.validated(answers).select("doc_id", F.col("result.document_type").alias("document_type"), item["value"].alias("value"), item["page"].alias("page"), F.round(item["confidence"], 4).alias("confidence"))
 
 
+@query("SELECT doc_id, least(length(text), 1000)::int AS seen, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN 'page ' || doc_id ELSE 'pages ' || doc_id || '-' || (doc_id + 2) END AS label FROM documents")
+def model_views(b: Bound) -> DataFrame:
+    """How much of a text a model sees, and how its pages are named."""
+    i = F.col("doc_id")
+    return b.raw("documents").select("doc_id", F.length(readings.for_model(F.col("text"), 1000)).alias("seen"), tx.page_label(F.when(i % 3 > 0, i), F.when(i % 3 == 2, i + 2).otherwise(i)).alias("label"))
+
+
+@query(r"""SELECT page_id, 't' || page_id % 5 || '/s' || page_id % 50 || '/' || replace('ab-' || page_id || '-cd', '-', '') || '-' || CASE WHEN n = '' THEN 'upload.bin' ELSE substr(n, 1, 200) END AS key FROM
+(SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS n FROM pages)""")
+def storage_keys(b: Bound) -> DataFrame:
+    i = F.col("page_id")
+    return b.raw("pages").select("page_id", files.storage_key(F.concat(F.lit("t"), i % 5), F.concat(F.lit("s"), i % 50), F.col("url"), F.concat(F.lit("ab-"), i, F.lit("-cd"))).alias("key"))
+
+
+@query("SELECT o_custkey AS doc, o_orderkey AS position, greatest(n - 6, 0) AS dropped FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 3, o_orderkey) AS nth, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE nth <= 6")
+def kept_images(b: Bound) -> DataFrame:
+    images = b.raw("orders").select(F.col("o_custkey").alias("doc"), (F.col("o_orderkey") % 3).alias("page"), F.col("o_orderkey").alias("position"))
+    return readings.kept_images(images, 6).select("doc", "position", "dropped")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE '{"n": ' || doc_id || '}' END AS reply FROM documents""")
+def reply_objects(b: Bound) -> DataFrame:
+    """Model replies with thoughts and fences around a JSON object, or none."""
+    i = F.col("doc_id")
+    fenced = F.concat(F.lit("<think>{no}</think>\n```json\n{\"n\": "), i, F.lit("}\n```"))
+    return b.raw("documents").select("doc_id", tx.json_object(F.when(i % 3 == 0, fenced).when(i % 3 == 1, F.concat(F.lit('So: {"n": '), i, F.lit("} done"))).otherwise("nothing")).alias("reply"))
+
+
 # fixed values: an ontology for the bound tables
 BOUND_ONTOLOGY = {
     "types": ["COMPANY", "LOCATION", "CONCEPT"], "type_synonyms": {"VENDOR": "COMPANY", "COUNTRY": "LOCATION"}, "fallback_type": "CONCEPT", "relations": ["LOCATED_IN", "RELATED_TO"],
