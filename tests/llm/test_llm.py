@@ -453,19 +453,95 @@ def test_near_fingerprints(spark):
 
 # extra columns and the pipeline's stages
 
-def test_clashing_columns(docs):
-    more = docs.withColumns({c: F.lit(1) for c in ("size", "key", "node", "n", "h", "start", "raw", "comp", "block", "row", "names", "score", "_bucket", "pi")})
-    for made in (mixing.mix_sources(more), jaccard.near_duplicates(more), recompression.remove_repeats(more), simhash.edited_fingerprints(more), ppm.score_documents(more, F.lit(False)), recompression.remove_repeats(more, texts=True)):
+def test_clashing_columns(spark, docs):
+    names = ("size", "key", "node", "n", "h", "start", "raw", "comp", "block", "row", "names", "score", "_bucket", "pi", "k", "part", "a", "b", "c", "ids", "predicted", "toxic", "fp", "region")
+    more = docs.withColumns({c: F.lit(1) for c in names})
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int").withColumns({"text": F.lit("x"), "score": F.lit(2)})
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    for made in (mixing.mix_sources(more), jaccard.near_duplicates(more), recompression.remove_repeats(more), simhash.edited_fingerprints(more), ppm.score_documents(more, F.lit(False)), recompression.remove_repeats(more, texts=True),
+                 toxicity.score_documents(more, labels, F.lit(False)), bpe.encode_documents(more, path, P.PATTERN)):
         assert made.count() == docs.count()
+    pages = spark.createDataFrame([(1, "http://org/a", "x"), (2, None, None)], "page_id long, url string, html string").withColumns({c: F.lit("1") for c in ("host", "path", "rule", "verdict", "payload", "payload_digest", "digest", "refers_to")})
+    assert warc.round_trip(pages).count() == 2 and urls.judge_urls(pages, urls.rule_table(spark, urls.RULES)).count() == 2
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("q", "v", "node", "d", "rank", "i")})
+    assert ann.nearest_neighbours(vectors, lambda i: i == 0).count() == 4
+
+
+def test_ties_of_neighbours(spark):
+    """Equal distances go to the smaller id, and copies of a vector count each."""
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(40)]
+    out = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 10 == 0, k=3).collect()]
+    assert sorted(out) == sorted((q, n + 1, v) for q in (0, 10, 20, 30) for n, v in enumerate([v for v in range(0, 40, 2) if v != q][:3]))
+
+
+def test_long_texts_and_null_ids(spark):
+    rng = random.Random(6)
+    long = " ".join(words(rng, 60_000))
+    rows = [(1, long, "", "s", 0), (2, long + " tail", "", "s", 0), (None, long, "", "s", 0), (None, None, "", None, 0), (3, "", "", "s", 0), (4, "lone words", "", "s", 0), (4, "lone words", "", "s", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    made = sorted((r["doc_id"] or -1, r["n_shingles"] > 50_000, r["component_id"]) for r in jaccard.near_duplicates(df).collect() if r["component_id"] is not None)
+    assert made == [(-1, True, 1), (1, True, 1), (2, True, 1), (3, False, 3), (4, False, 4), (4, False, 4)]
+    assert {(r["doc_id"], r["n_removed"]) for r in recompression.remove_repeats(df).collect()} == {(1, 0), (2, 60_000), (None, 0), (3, 0), (4, 0)}
+    scored = ppm.score_documents(df, F.lit(False)).collect()
+    assert sorted(r["n_tokens"] for r in scored) == [1, 1, 3, 3, 60_001, 60_001, 60_002] and all(r["n_known"] == r["n_tokens"] for r in scored)
+    assert simhash.edited_fingerprints(df).count() == len(rows)
 
 
-def test_stages(spark, docs, rows, tmp_path):
+def test_toxicity_of_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, "bad", "", "", 0), (1, None, "", "", 0), (1, "bad", "", "", 0)], SCHEMA)
+    labels = spark.createDataFrame([(None, 1), (1, 1), (1, 0), (2, None)], "doc_id long, toxic int")
+    assert toxicity.score_documents(docs, labels, F.col("doc_id") == 9).count() == 3
+
+
+def staged(spark, docs, path):
     from sparkweft.llm import stages
 
-    spark.createDataFrame([(i, int(i == 3)) for i in range(9)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    made = docs
-    for name, stage in stages.STAGES[:-1]:
-        made = stage(spark, made, str(tmp_path))
-        assert made.columns == docs.columns, name
-    assert {r["doc_id"] for r in made.collect()} <= {i for i, *_ in rows}
-    assert stages.STAGES[-1][1](spark, made, str(tmp_path)).count() == made.count()
+    out, made = {}, docs
+    for name, stage in stages.STAGES:
+        made = stage(spark, made, str(path))
+        out[name] = made
+    return out
+
+
+@pytest.fixture(scope="module")
+def labels_dir(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("sf")
+    spark.createDataFrame([(i, int(i == 3)) for i in range(9)], "doc_id long, toxic int").write.parquet(str(path / "labels.parquet"))
+    return path
+
+
+def test_stages_equal_brute_force(spark, docs, rows, labels_dir):
+    """Each stage's decisions on what its predecessor kept."""
+    made = {k: v.collect() for k, v in staged(spark, docs, labels_dir).items()}
+    for name in list(made)[:-1]:
+        assert list(made[name][0].asDict()) == docs.columns, name
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    fine = {r["doc_id"] for r in toxicity.score_documents(docs, spark.read.parquet(str(labels_dir / "labels.parquet")), held).collect() if not r["predicted"]}
+    left = [r for r in rows if r[0] in fine]
+    assert {r["doc_id"] for r in made["toxicity"]} == fine and len(fine) > 20
+    first = {i for i, (_, c) in brute_components(left).items() if i == c}
+    left = [r for r in left if r[0] in first]
+    assert {r["doc_id"] for r in made["near_duplicates"]} == first and len(first) < len(fine)
+    cut = brute_repeats(left, 50)
+    for r in made["substring_dedup"]:
+        n, gone, digest = cut[r["doc_id"]]
+        text = dict((i, t) for i, t, *_ in left)[r["doc_id"]]
+        assert r["text"] == text if not gone else hashlib.sha256(r["text"].encode()).hexdigest() == digest
+        assert r["n_chars"] == (len(r["text"]) if gone else len(text or ""))
+    assert len(made["substring_dedup"]) == len(left) and sum(g > 0 for _, g, _ in cut.values()) > 3
+    assert {r["doc_id"] for r in made["mixing"]} <= first and max(Counter(r["doc_id"] for r in made["mixing"]).values()) <= 3
+    by = Counter(r["source"] for r in made["mixing"])
+    assert set(by) == {r[3] for r in left}
+    assert Counter(r["doc_id"] for r in made["byte_bpe"]) == Counter(r["doc_id"] for r in made["mixing"])
+    texts = {r["doc_id"]: r["text"] for r in made["mixing"]}
+    assert all(r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest() for r in made["byte_bpe"])
+
+
+def test_stages_of_nothing_and_of_odd_rows(spark, nothing, labels_dir):
+    assert {k: v.count() for k, v in staged(spark, nothing, labels_dir).items()} == dict.fromkeys(("toxicity", "near_duplicates", "substring_dedup", "mixing", "byte_bpe"), 0)
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", None, None, 0), (1, "", None, None, 0), (2, "w " * 60, "en", "s", 120), (None, "w " * 60, "en", "s", 120)], SCHEMA).withColumns({"row": F.lit(1), "starts": F.lit("x"), "_k": F.lit(2), "_times": F.lit(1), "size": F.lit(1)})
+    made = staged(spark, odd, labels_dir)
+    assert made["substring_dedup"].columns == odd.columns and made["substring_dedup"].count() == 5
+    assert {(r["doc_id"], r["text"]) for r in made["mixing"].collect()} <= {(2, "w " * 60), (None, "w " * 60)}
