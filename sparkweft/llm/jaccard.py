@@ -37,7 +37,7 @@ from .common import LOWER, WORD_HASHES, Scratch, raw, small as slices
 from .parts import DEALT, KEY, deal, gathered, heads, held_twice, longs, packed, part_count, part_of, unpacked
 
 MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-HELD = 2 << 20  # shingles that a task holds before it deals them out
+HELD = 1 << 20  # shingles that a task holds before it deals them out
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:

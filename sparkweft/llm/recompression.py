@@ -37,7 +37,7 @@ from .parts import DEALT, KEY, by_owner, deal, gathered, heads, held_twice, long
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 BASES = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95))
-HELD = 2 << 20  # numbers that a task holds before it deals them out
+HELD = 1 << 19  # numbers that a task holds before it deals them out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
