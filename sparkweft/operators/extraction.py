@@ -98,7 +98,7 @@ def units_of(contents: DataFrame, size: int = 3000, overlap: int = 300) -> DataF
 def strings(value: Column, most: int = 20) -> Column:
     """A list of a JSON text's strings: a lone one is a list of one; trimmed, blanks left out."""
     listed = F.from_json(value, "array<string>")
-    return F.slice(F.filter(F.transform(F.coalesce(listed, F.array(value)), F.trim), lambda x: F.coalesce(x != "", F.lit(False))), 1, most)
+    return F.slice(F.filter(F.transform(F.coalesce(listed, F.array(value)), lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False))), 1, most)
 
 
 def extractions(units: DataFrame, answers: str = "answer", most: int = 200) -> DataFrame:

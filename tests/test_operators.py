@@ -104,8 +104,12 @@ def test_graph(spark):
     assert sorted(map(tuple, graph.reached(facts, seeds, 2).collect())) == [("l", 2), ("o", 0), ("v", 1)]
     merged = {(r["a"], r["b"]): (r["source_ids"], r["confidence"]) for r in graph.merged_facts(facts).collect()}
     assert merged["v", "l"] == ([2, 3], 0.8)
-    assert graph.budgeted_search(facts, ["o"], hops=1)[0] == ["o", "v"]
-    assert graph.budgeted_search(facts, ["o"], hops=2, max_entities=2)[0] == ["o", "v"]
+    asked = spark.createDataFrame([(1, "o"), (2, "o"), (2, "i")], "question_id int, entity string")
+    met, taken = graph.budgeted_search(facts, asked, hops=1)
+    assert sorted((r["question_id"], r["entity"], r["hop"]) for r in met.collect()) == [(1, "o", 0), (1, "v", 1), (2, "i", 0), (2, "o", 0), (2, "v", 1), (2, "z", 1)] and taken.count() == 3
+    met, taken = graph.budgeted_search(facts, asked.where("question_id = 1"), hops=2, max_entities=2)
+    assert {r["entity"] for r in met.collect()} == {"o", "v"} and [r["b"] for r in taken.collect()] == ["v"]
+    assert graph.budgeted_search(facts, asked.where("question_id = 1"), hops=3, max_facts=2)[1].count() == 2
     mentions = facts.selectExpr("a as entity_id", "source_id as chunk_id", "source_id").union(facts.selectExpr("b", "source_id", "source_id"))
     assert sorted(r[0] for r in graph.without_source(facts, mentions, 4)[2].collect()) == ["i", "z"]
 
@@ -114,7 +118,15 @@ def test_aliases(spark):
     names = spark.createDataFrame([(1, "COMPANY", "international_business_machines", 0), (1, "COMPANY", "ibm", 1), (1, "COMPANY", "microsoft", 2), (1, "COMPANY", "microsofft", 3), (1, "PERSON", "microsoft", 4)], "tenant_id int, entity_type string, key string, first int")
     got = {(r["entity_type"], r["key"]): r["to"] for r in graph.aliases_of(names).collect()}
     assert got == {("COMPANY", "ibm"): "international_business_machines", ("COMPANY", "microsofft"): "microsoft"}
-    assert graph.question_keys("Who owns the Vela Corp?")[:2] == ["vela_corp", "vela"] or "vela" in graph.question_keys("Who owns the Vela Corp?")
+    asked = spark.createDataFrame([(1, "Who owns the Vela Corp?"), (2, "and the of"), (3, None)], "question_id int, question string")
+    assert {(r["question_id"], r["key"]) for r in graph.question_keys(asked).collect()} == {(1, k) for k in ("owns", "owns_the_vela", "owns_the_vela_corp", "vela", "vela_corp", "corp")}
+    assert [r[0] for r in asked.select(graph.fulltext_query("question")).collect()] == ["owns|vela|corp", "", None]
+
+
+@pytest.mark.parametrize("name,kind,key", [
+    ("The Vela Corp.", "COMPANY", "vela"), ("Inc Ltd", "COMPANY", "inc"), ("A.B.C. & Co", "COMPANY", "abc_and"), ("Dr. Mr Smith", "PERSON", "smith"), ("Mr", "PERSON", "mr"), ("O'Neil_x _", None, "oneil_x"), (None, "PERSON", "")])
+def test_name_keys(name, kind, key):
+    assert graph.name_key(name, kind) == key
 
 
 def test_aliases_equal_brute_force(spark):
@@ -150,3 +162,119 @@ def test_stream_embeds_each_chunk_once(spark, tmp_path):
     q = embed_stream(spark, str(tmp_path / "in"), "chunk_id int, embedding_text string", str(tmp_path / "out"), str(tmp_path / "cp"), s, embedding.hashing_embedder(4))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_text_units():
+    from sparkweft.operators.extraction import text_units
+
+    words = lambda n: " ".join(["word"] * n)
+    assert text_units("") == [] and text_units(None) == [] and text_units("\n<!-- page 1 -->\n ") == []
+    one = text_units("<!-- page 2 -->\nalpha\n\n<!-- page 3 -->\nbeta")
+    assert one == [{"text": "alpha\n\nbeta", "char_start": 16, "char_end": 43, "page_start": 2, "page_end": 3}]
+    # 49 characters a piece: four fit 200 with their gaps, the last one is repeated
+    many = text_units("\n\n".join(words(10) for _ in range(9)), size=210, overlap=60)
+    assert [u["text"].count("word") for u in many] == [40, 40, 30] and all(len(u["text"]) <= 210 for u in many)
+    assert many[1]["char_start"] < many[0]["char_end"]
+    # a long word is cut at the size, a long text at its last line or blank
+    assert [len(u["text"]) for u in text_units("x" * 450, size=200, overlap=0)] == [200, 200, 50]
+    assert [u["text"] for u in text_units("a" * 150 + "\n" + "b c" * 40, size=200, overlap=0)] == ["a" * 150, "b c" * 40]
+    # a word-aligned tail where no whole piece is short enough
+    tail = text_units(words(39) + "\n\n" + words(30), size=200, overlap=20)
+    assert tail[1]["text"].startswith("word word") and tail[1]["text"].split("\n\n")[0].count("word") == 4
+
+
+def test_text_units_lose_no_word():
+    from sparkweft.operators.extraction import text_units
+
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        parts = [["w%d " % k * int(rng.integers(1, 40)), "\n\n", "<!-- page %d -->\n" % k, "\n", "z" * int(rng.integers(1, 260))][int(rng.integers(5))] for k in range(int(rng.integers(1, 40)))]
+        content = "\n".join(parts)
+        units = text_units(content, 200, int(rng.integers(0, 90)))
+        assert all(len(u["text"]) <= 200 and content[u["char_start"] : u["char_end"]].strip() for u in units)
+        held = " ".join(u["text"] for u in units)
+        assert all(w in held for w in content.split() if w[0] == "w") and sorted(u["char_end"] for u in units) == [u["char_end"] for u in units]
+
+
+def test_extraction_caps(spark):
+    from sparkweft.operators import extraction
+
+    answer = '{"entities": [{"name": " A ", "type": "t", "aliases": "one"}, {"name": ""}, 7, {"name": "B", "aliases": [" x ", "", 5]}], "relationships": [{"source": "A", "target": "B", "relation": "r", "confidence": 90}, {"source": "A"}]}'
+    row = extraction.extractions(spark.createDataFrame([(answer,), ("none",), (None,)], "answer string")).collect()
+    assert [(e["name"], e["aliases"]) for e in row[0]["entities"]] == [("A", ["one"]), ("B", ["x", "5"])] and row[0]["skipped"] == 3 and len(row[0]["relationships"]) == 1
+    assert [(r["entities"], r["skipped"]) for r in row[1:]] == [([], 0)] * 2
+
+
+def test_resolution_of_variants_acronyms_and_chains(spark):
+    """One entity for a name's variants, whichever way they are near, and its facts under it."""
+    from sparkweft.operators import extraction
+    from sparkweft.plans.registry import BOUND_ONTOLOGY
+
+    names = ["International Business Machines", "IBM", "Internationale Business Machines Corp.", "Internationales Business Machines", "Vela Systems", "Vela System"]
+    units = spark.createDataFrame([(f"u{k}", k, f'{{"entities": [{{"name": "{n}", "type": "company"}}], "relationships": [{{"source": "{n}", "relation": "based in", "target": "Oslo", "target_type": "location"}}]}}') for k, n in enumerate(names)], "id string, source_id int, answer string")
+    units = units.withColumns({"tenant_id": units["id"].isNull().cast("string"), "index": units["source_id"]})
+    from pyspark.sql import functions as F
+
+    units = units.withColumn("tenant_id", F.lit("6ba7b810-9dad-11d1-80b4-00c04fd430c8"))
+    entities, _, facts = extraction.resolved(extraction.extractions(units), BOUND_ONTOLOGY)
+    shown = {r["display_name"]: r["entity_id"] for r in entities.collect()}
+    assert set(shown) == {"International Business Machines", "Vela Systems", "Oslo"}
+    assert {(r["a"], r["source_id"]) for r in facts.collect()} == {(shown[names[0]], k) for k in range(4)} | {(shown["Vela Systems"], k) for k in (4, 5)}
+
+
+def test_answers(spark):
+    from sparkweft.operators import answers
+
+    s = embedding.Strategy("s", "m", dimension=16)
+    embed = embedding.hashing_embedder(16)
+    rows = [(1, 1, "red apples", 1, 2), (2, 1, "green pears", 3, 3), (3, 2, "blue plums", None, None)]
+    vectors = embed([r[2] for r in rows])
+    chunks = spark.createDataFrame([(*r[:2], v.tolist(), r[2], None, ["Fruit"], *r[3:]) for r, v in zip(rows, vectors)], "chunk_id int, source_id int, embedding array<double>, content string, embedding_text string, path array<string>, page_start int, page_end int")
+    asked = spark.createDataFrame([(1, " red apples "), (2, ""), (3, "x" * 4001)], "query_id int, question string")
+    sources = spark.createDataFrame([(1, "a.txt")], "id int, filename string")
+    seen = []
+    out, final = answers.answered(asked, chunks, sources, s, embed, answer=lambda prompts: [p.splitlines()[2] for p in prompts], k=2)
+    row = out.collect()
+    assert [(r["query_id"], r["answer"], r["candidates"], r["final"], r["reranker_used"]) for r in row] == [(1, "[Chunk 1] Section: Fruit (page 1–2)", 3, 2, True)]
+    assert [(r["rank"], r["chunk_id"], r["filename"]) for r in final.orderBy("rank").collect()][0] == (1, 1, "a.txt")
+    none, _ = answers.answered(asked, chunks.where("false"), sources, s, embed)
+    assert [r["answer"] for r in none.collect()] == [answers.NOTHING_FOUND]
+    plain, order = answers.answered(asked, chunks, sources, s, embed, rerank=None)
+    assert [(r["answer"], r["reranker_used"]) for r in plain.collect()] == [("", False)] and order.count() == 3 and not seen
+
+
+def test_index_by_cells_finds_most(spark):
+    from sparkweft.operators import ivf
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(12, 16))[rng.integers(0, 12, 900)] + 0.4 * rng.normal(size=(900, 16))
+    chunks = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(2000, None)], "chunk_id int, embedding array<double>")
+    centre = ivf.centres(chunks, 12)
+    asked = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 900, 30)], "query_id int, vector array<double>")
+    got = {(r["query_id"], r["chunk_id"]) for r in ivf.search(ivf.placed(chunks, "embedding", centre, 1), asked, centre, probes=5).collect()}
+    want = {(r["query_id"], r["chunk_id"]) for r in retrieval.nearest_chunks(chunks.where("embedding is not null"), asked, 10).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_changes_refuse_what_they_must(spark):
+    from sparkweft.operators import mutations
+
+    rows = spark.createDataFrame([(1, 1, 1)], "id int, tenant_id int, application_id int")
+    assert mutations.owned(rows, 1, Scope(tenants=(1,))).count() == 1
+    with pytest.raises(mutations.NotFound):
+        mutations.owned(rows, 1, Scope(tenants=(2,)))
+    tree = spark.createDataFrame([(1, 1, None), (2, 1, 1), (3, 1, 2), (9, 2, None)], "id int, application_id int, parent_subject_id int")
+    moves = spark.createDataFrame([(1, 3), (2, 2), (3, None), (2, 9), (1, 77)], "id int, to int")
+    made, refused = mutations.moved(tree, moves.where("id = 3"))
+    assert {(r["id"], r["parent_subject_id"]) for r in made.collect()} == {(1, None), (2, 1), (3, None), (9, None)} and refused.count() == 0
+    assert {(r["id"], r["reason"]) for r in mutations.moved(tree, moves)[1].collect()} == {(1, "inside its own subtree"), (2, "its own parent"), (2, "another application"), (1, "no such parent")}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from sparkweft.scratch import scratch_root
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError):
+        scratch_root(far)
