@@ -115,10 +115,24 @@ def chunks_of(blocks: DataFrame, target: int = 500, soft: int = 600, hard: int =
 
 
 def quality(chunks: DataFrame, target: int = 500, soft: int = 600, hard: int = 1200) -> DataFrame:
-    """One row of checks over chunks: counts by size, prefixes that lack, index gaps."""
+    """One row of checks over chunks: counts by size, prefixes that lack, index gaps, empty chunks,
+    pages out of order, token counts that don't fit their text."""
     n = F.col("token_count")
     checks = {
         "chunks": F.count("*"), "in_target": F.count_if(n <= target), "over_soft": F.count_if(n > soft), "over_hard": F.count_if(n > hard),
-        "without_prefix": F.count_if((F.size("path") > 0) & ~F.col("embedding_text").startswith("Section: ")), "documents_with_gaps": (F.max("chunk_index") + 1 != F.count("*")).cast("long")}
+        "without_prefix": F.count_if((F.size("path") > 0) & ~F.col("embedding_text").startswith("Section: ")), "empty": F.count_if(F.trim("content") == ""), "pages_reversed": F.count_if(F.col("page_end") < F.col("page_start")), "wrong_counts": F.count_if(n != token_count(F.col("embedding_text"))), "documents_with_gaps": (F.max("chunk_index") + 1 != F.count("*")).cast("long")}
     by_document = chunks.groupBy("doc").agg(*[c.alias(name) for name, c in checks.items()])
     return by_document.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in checks])
+
+
+def type_histogram(chunks: DataFrame) -> DataFrame:
+    return chunks.groupBy("content_type").agg(F.count("*").alias("n"))
+
+
+def content_coverage(chunks: DataFrame, blocks: DataFrame, least: float = 0.92) -> DataFrame:
+    """doc, share, enough: how much of a document's block text its chunks hold."""
+    solid = lambda c: F.sum(F.length(F.regexp_replace(c, r"\s+", "")))
+    held = chunks.groupBy("doc").agg(solid("content").alias("held"))
+    both = blocks.groupBy("doc").agg(solid("content").alias("all")).join(held, "doc", "left")
+    share = F.when(F.col("all") > 0, F.coalesce("held", F.lit(0)) / F.col("all")).otherwise(1.0)
+    return both.select("doc", F.round(share, 4).alias("share"), (share >= least).alias("enough"))

@@ -166,8 +166,14 @@ def aliases_of(names: DataFrame, threshold: float = 92.0) -> DataFrame:
 
 
 def merged_facts(facts: DataFrame) -> DataFrame:
-    """One row for each (a, relation, b): sorted distinct sources, greatest confidence, edges."""
-    return facts.groupBy("a", "relation", "b").agg(F.sort_array(F.collect_set("source_id")).alias("source_ids"), F.max("confidence").alias("confidence"), F.count("*").alias("edges"))
+    """One row for each (a, relation, b): sorted distinct sources, greatest confidence, edges; where
+    facts have them, all chunk ids and the description of the first source that gives one."""
+    extra = []
+    if "chunk_ids" in facts.columns:
+        extra.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunk_ids")))).alias("chunk_ids"))
+    if "description" in facts.columns:
+        extra.append(F.min_by("description", F.when(F.trim("description") != "", F.struct("source_id", "description"))).alias("description"))
+    return facts.groupBy("a", "relation", "b").agg(F.sort_array(F.collect_set("source_id")).alias("source_ids"), F.max("confidence").alias("confidence"), F.count("*").alias("edges"), *extra)
 
 
 def facts_touching(facts: DataFrame, frontier: DataFrame) -> DataFrame:
@@ -198,8 +204,15 @@ def top_entities(mentions: DataFrame, k: int) -> DataFrame:
     return mentions.groupBy("entity_id").agg(F.countDistinct("chunk_id").alias("mentions")).orderBy(F.desc("mentions"), "entity_id").limit(k)
 
 
-def entity_details(mentions: DataFrame, k: int = 20) -> DataFrame:
-    return mentions.groupBy("entity_id").agg(F.slice(F.sort_array(F.collect_set("chunk_id")), 1, k).alias("chunk_ids"), F.sort_array(F.collect_set("source_id")).alias("source_ids"))
+def entity_details(mentions: DataFrame, k: int = 20, sources: DataFrame | None = None, words: int = 3) -> DataFrame:
+    """entity_id, chunk_ids (the first ``k``), source_ids; with descriptions among the mentions, the
+    first ``words`` of them by chunk. ``sources`` (source_id) are those in scope, if given."""
+    own = mentions if sources is None else mentions.join(sources.select("source_id").distinct(), "source_id", "left_semi")
+    extra = []
+    if "description" in mentions.columns:
+        told = F.sort_array(F.collect_set(F.when(F.trim("description") != "", F.struct("chunk_id", "description"))))
+        extra.append(F.slice(F.array_distinct(F.transform(told, lambda x: x["description"])), 1, words).alias("descriptions"))
+    return own.groupBy("entity_id").agg(F.slice(F.sort_array(F.collect_set("chunk_id")), 1, k).alias("chunk_ids"), F.sort_array(F.collect_set("source_id")).alias("source_ids"), *extra)
 
 
 def without_source(facts: DataFrame, mentions: DataFrame, source_id) -> tuple[DataFrame, DataFrame, DataFrame]:

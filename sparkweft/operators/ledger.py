@@ -16,6 +16,8 @@ def price_table(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
     bad = rates.where("least(input_per_1m, output_per_1m, per_image, per_call) < 0 or effective_from is null")
     if not bad.isEmpty():
         raise ValueError("a price is negative or has no date")
+    if not rates.groupBy("effective_from", "model").count().where("count > 1").isEmpty():
+        raise ValueError("a model has two prices from one day")
     return rates
 
 

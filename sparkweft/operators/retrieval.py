@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,37 +16,42 @@ def nearest_chunks(chunks: DataFrame, queries: DataFrame, k: int = 50, query_blo
 
     ``queries`` has query_id and vector. A block of queries, bounded by ``query_block``, is
     broadcast against all chunks as matrix products; each task keeps its own k for each query, so
-    what meets in the last step is k rows a task and query. Zero vectors have similarity 0.
+    what meets in the last step is k rows a task and query. Zero vectors have similarity 0; chunks and
+    queries whose vector is null, holds nulls or has another dimension take no part.
     """
     spark = chunks.sparkSession
     numbered = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    parts = -(-numbered.count() // query_block) or 1
+    size = numbered.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    usable = lambda c: (F.size(c) == (size["dim"] or 0)) & ~F.exists(c, lambda x: x.isNull())
+    numbered, chunks = numbered.where(usable("vector")), chunks.where(usable("embedding"))
+    parts = -(-size["n"] // query_block) or 1
     out = None
     for part in range(parts):
         block = numbered if parts == 1 else numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
         rows = block.toPandas()  # bounded by query_block on average
         held = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), np.array(rows["vector"].tolist(), dtype=float).reshape(len(rows), -1)))
 
-        def run(frames, held=held):
+        def run(batches, held=held):
             ids, q = held.value
             qn = np.linalg.norm(q, axis=1)
             best = None
-            for pdf in frames:
-                pdf = pdf.sort_values("chunk_id")  # a stable sort by similarity leaves ties by id
-                v = np.array(pdf["embedding"].tolist(), dtype=float)
-                if not len(v) or not len(q):
+            for batch in batches:
+                if not batch.num_rows or not len(q):
                     continue
+                batch = batch.take(pc.sort_indices(batch["chunk_id"]))  # a stable sort by similarity leaves ties by id
+                v = batch["embedding"].flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
                 scale = np.outer(np.linalg.norm(v, axis=1), qn)
                 sim = np.divide(v @ q.T, scale, out=np.zeros_like(scale), where=scale > 0)
                 at = np.argsort(-sim, axis=0, kind="stable")[:k]
-                made = pd.DataFrame({"query_id": np.repeat(ids, len(at)), "chunk_id": pdf["chunk_id"].to_numpy()[at.T.ravel()], "similarity": np.take_along_axis(sim, at, 0).T.ravel()})
+                near = batch["chunk_id"].take(pa.array(at.T.ravel())).to_pandas()
+                made = pd.DataFrame({"query_id": np.repeat(ids, len(at)), "chunk_id": near, "similarity": np.take_along_axis(sim, at, 0).T.ravel()})
                 best = made if best is None else pd.concat([best, made])
                 best = best.sort_values(["query_id", "similarity", "chunk_id"], ascending=[True, False, True]).groupby("query_id").head(k)
             if best is not None:
-                yield best
+                yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 
         kinds = {f.name: f.dataType.simpleString() for f in (*chunks.schema, *queries.schema)}
-        made = chunks.select("chunk_id", "embedding").mapInPandas(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, similarity double")
+        made = chunks.select("chunk_id", "embedding").mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, similarity double")
         out = made if out is None else out.unionByName(made)
     order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

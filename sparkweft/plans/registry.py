@@ -495,6 +495,18 @@ def chunk_qa(b: Bound) -> DataFrame:
     return blocks.quality(_chunks(b))
 
 
+@query()
+def chunk_types(b: Bound) -> DataFrame:
+    return blocks.type_histogram(_chunks(b))
+
+
+@query("SELECT doc_id AS doc, true AS enough FROM documents WHERE regexp_matches(text, '[^\\s]')")
+def chunk_coverage(b: Bound) -> DataFrame:
+    """Every document's chunks hold at least 0.92 of its blocks' text."""
+    made = blocks.blocks_of(units.with_paths(units.units_of(_readings(b))))
+    return blocks.content_coverage(blocks.chunks_of(made), made).select("doc", "enough")
+
+
 @query("SELECT doc_id AS doc, CAST(len(string_split(text, chr(10))) AS bigint) AS lines FROM documents")
 def reading_lines(b: Bound) -> DataFrame:
     return units.lines_of(_readings(b)).groupBy("doc").agg(F.count("*").alias("lines"))

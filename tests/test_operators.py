@@ -33,6 +33,8 @@ def test_prices(spark):
     assert got == {1: 0.715, 2: 0.0, 3: 1.0, 4: None, 5: None}
     with pytest.raises(ValueError):
         ledger.price_table(spark, [(d(2024, 1, 1), "m", -1.0, 0.0, 0.0, 0.0, False)])
+    with pytest.raises(ValueError):
+        ledger.price_table(spark, [(d(2024, 1, 1), "m", 1.0, 0.0, 0.0, 0.0, False)] * 2)
 
 
 def naive_mmr(sim, vectors, k, weight):
@@ -72,6 +74,22 @@ def test_nearest_equals_brute_force_with_ties(spark):
     assert got == sorted(want)
 
 
+def test_odd_vectors_take_no_part(spark):
+    chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, [1.0]), (5, [0.0, 0.0]), (6, [])], "chunk_id int, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [])], "query_id int, vector array<double>")
+    assert sorted((r["query_id"], r["chunk_id"], r["similarity"]) for r in retrieval.nearest_chunks(chunks, asked, 5).collect()) == [(1, 1, 1.0), (1, 5, 0.0)]
+    assert retrieval.nearest_chunks(chunks, asked.where("false"), 5).count() == 0
+
+
+def test_merged_facts_and_details_with_texts(spark):
+    facts = spark.createDataFrame([("a", "R", "b", 2, 0.5, ["c3", "c1"], "later"), ("a", "R", "b", 1, None, ["c1"], "first"), ("a", "R", "b", 0, 0.2, [], " ")], "a string, relation string, b string, source_id int, confidence double, chunk_ids array<string>, description string")
+    row = graph.merged_facts(facts).first()
+    assert (row["source_ids"], row["confidence"], row["edges"], row["chunk_ids"], row["description"]) == ([0, 1, 2], 0.5, 3, ["c1", "c3"], "first")
+    mentions = spark.createDataFrame([("e", "c1", 1, "x"), ("e", "c2", 1, "x"), ("e", "c3", 2, "y")], "entity_id string, chunk_id string, source_id int, description string")
+    assert graph.entity_details(mentions).first()["descriptions"] == ["x", "y"]
+    assert graph.entity_details(mentions, sources=mentions.where("source_id = 2").select("source_id")).first()["chunk_ids"] == ["c3"]
+
+
 def test_diverse_picks_of_all_queries(spark):
     from sparkweft.plans import registry
 
