@@ -29,7 +29,7 @@ def nearest_chunks(chunks: DataFrame, queries: DataFrame, k: int = 50, query_blo
     for part in range(parts):
         block = numbered if parts == 1 else numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
         rows = block.toPandas()  # bounded by query_block on average
-        held = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), np.array(rows["vector"].tolist(), dtype=float).reshape(len(rows), -1)))
+        held = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), np.array(rows["vector"].tolist(), dtype=float).reshape(len(rows), size["dim"] or 0)))
 
         def run(batches, held=held):
             ids, q = held.value
