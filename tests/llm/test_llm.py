@@ -73,6 +73,31 @@ def test_mixing(spark, docs, rows, nothing, block_rows):
     assert mixing.mix_sources(nothing).count() == 0
 
 
+def plain_targets(sizes, weights=(1, 2, 3), most=3):
+    """Shares by weight of all sizes; what is over a source's limit is shared again among the rest."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    target, rest, open_ = dict.fromkeys(sizes, 0.0), float(sum(sizes.values())), set(sizes)
+    while rest > 1e-9 and open_:
+        share = {s: rest * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        rest = 0.0
+        for s, x in share.items():
+            target[s] += x
+            if target[s] > most * sizes[s]:
+                rest += target[s] - most * sizes[s]
+                target[s] = float(most * sizes[s])
+                open_.discard(s)
+    return target
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 10, None: 10}, {"a": 900, "b": 5, "c": 3, "d": 80, None: 1}, {"a": 0, "b": 7}, {"x": 4}])
+def test_mixing_targets(spark, sizes):
+    df = spark.createDataFrame([(k, " ".join(["w"] * n), s) for k, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    got = {r["source"]: (r["source_size"], r["target"]) for r in mixing.mix_sources(df).collect()}
+    want = plain_targets(sizes)
+    assert all(got[s][0] == n and abs(got[s][1] - want[s]) < 1e-6 for s, n in sizes.items())
+
+
 def test_mixing_keeps_ids(spark):
     """Ids beyond doubles and a null id share a block."""
     ids = [2**60 + 1, 2**60 + 3, None, -(2**62) - 1]
@@ -151,6 +176,37 @@ def test_toxicity(spark, nothing):
     assert toxicity.score_documents(nothing, labels, held).count() == 0
 
 
+def test_toxicity_equals_plain_ftrl(spark):
+    """Coordinate by coordinate, on the same documents in the same order."""
+    rng = random.Random(12)
+    rows = [(i, " ".join([*words(rng, 12), *(["awful"] if i % 3 == 0 else [])])) for i in range(60)]
+    labels = {i: int(i % 3 == 0) for i in range(50)}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    bits, alpha, beta, l1, l2 = 12, 0.5, 1.0, 0.4, 0.01
+    out = toxicity.score_documents(docs, spark.createDataFrame([*labels.items()], "doc_id long, toxic int"), F.col("doc_id") % 4 == 2, bits=bits, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=2)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    order = sorted((i for i in labels if i % 4 != 2), key=lambda i: (signed(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42)), i))
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        shrink = 0.0 if k == 0 else l1
+        return 0.0 if abs(z[k]) <= shrink else -(z[k] - np.sign(z[k]) * shrink) / ((beta + np.sqrt(n[k])) / alpha + l2)
+
+    def score(text):
+        return 1 / (1 + np.exp(-sum(weight(k) for k in set(toxicity.features(text, bits).tolist()))))
+
+    texts = dict(rows)
+    for _ in range(2):
+        for i in order:
+            g, at = score(texts[i]) - labels[i], set(toxicity.features(texts[i], bits).tolist())
+            held = {k: weight(k) for k in at}
+            for k in at:
+                step = (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / alpha
+                z[k] += g - step * held[k]
+                n[k] += g * g
+    assert all(abs(r["score"] - score(texts[r["doc_id"]])) < 1e-9 for r in out.collect())
+
+
 # 4
 
 def test_warc(spark):
