@@ -308,6 +308,15 @@ def claimed_queue(b: Bound) -> DataFrame:
     return embedding.claimed(queue, STRATEGY.id).select("chunk_id", "embedding_status", "attempt_count")
 
 
+@query(f"WITH {QUEUE} SELECT chunk_id, CASE WHEN embedding_status = 'pending' THEN 'completed' ELSE embedding_status END AS embedding_status, CASE WHEN embedding_status = 'pending' THEN 64 END AS dimension FROM q")
+def drained_queue(b: Bound) -> DataFrame:
+    """All pending rows claimed and embedded; other rows stay as they are."""
+    queue = _queue(b).withColumn("embedding_status", F.when(F.col("embedding_status") == "pending", "processing").otherwise(F.col("embedding_status")))
+    inputs = embedding.hashed(_documents(b), STRATEGY).select("chunk_id", "input_hash", "input")
+    done = embedding.drained(queue, inputs, STRATEGY, embedding.hashing_embedder(64))
+    return done.select("chunk_id", "embedding_status", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dimension"))
+
+
 @query("SELECT count(*) AS claimed, count(*) AS completed, 0 AS failed FROM documents")
 def sweep_counters(b: Bound) -> DataFrame:
     return embedding.sweep_counters(embedding.sweep(embedding.hashed(_documents(b), STRATEGY), STRATEGY, embedding.hashing_embedder(64)))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import answers, embedding, extraction, graph, ivf, memory
+from ..operators import answers, embedding, extraction, graph, ivf, memory, mutations
 from ..sources.binding import Bound
-from .registry import FACTS, _mentions, query
+from .registry import FACTS, TREE, _mentions, query
 
 #: Entities of the bound graph, with an alias key each.
 ENTITIES = FACTS + """, e AS (SELECT DISTINCT entity_id AS id, split_part(entity_id, ':', 1) AS kind, split_part(entity_id, ':', 2) AS number FROM m WHERE entity_id NOT LIKE 'part:%'),
@@ -76,6 +76,34 @@ def subject_view(b: Bound) -> DataFrame:
     return memory.view(b.facts, _mentions(b), b.facts.where("source_id % 3 = 0").select("source_id"))[1]
 
 
+@query(f"""WITH RECURSIVE {TREE}, {FACTS}, down(id) AS (SELECT id FROM t WHERE id = (SELECT min(id) FROM t) UNION ALL SELECT t.id FROM down JOIN t ON t.parent = down.id), own AS (SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (FROM down)),
+top AS (SELECT entity_id FROM m WHERE source_id IN (FROM own) GROUP BY 1 ORDER BY count(DISTINCT chunk_id) DESC, 1 LIMIT 100)
+SELECT a, relation, b, list_sort(list(DISTINCT source_id)) AS source_ids, max(confidence) AS confidence, count(*) AS edges FROM f WHERE source_id IN (FROM own) AND a IN (FROM top) AND b IN (FROM top) GROUP BY 1, 2, 3 ORDER BY confidence DESC, a, relation, b LIMIT 200""")
+def subject_graph(b: Bound) -> DataFrame:
+    """The view of a subject and all below it."""
+    first = b.raw("customer").agg(F.min("c_custkey").alias("id"))
+    inside = mutations.below(b.subjects, first).select(F.col("id").alias("subject_id"))
+    return memory.view(b.facts, _mentions(b), b.sources.join(inside, "subject_id", "left_semi").select(F.col("id").alias("source_id")))[1]
+
+
+@query("SELECT s_suppkey AS id, n_regionkey AS tenant_id, CASE WHEN s_suppkey % 2 = 0 THEN 'COMPANY' ELSE 'PERSON' END AS entity_type FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 1 AND s_suppkey % 2 = 0")
+def known_entities(b: Bound) -> DataFrame:
+    rows = b.actors.join(b.applications.select(F.col("id").alias("application_id"), "tenant_id"), "application_id")
+    return memory.known_entities(rows.select("id", "tenant_id", F.when(F.col("id") % 2 == 0, "COMPANY").otherwise("PERSON").alias("entity_type")), 1, ["COMPANY", "LOCATION"])
+
+
+@query("""SELECT count(*) AS units, CAST(sum(doc_id % 4) AS bigint) AS extracted, 0 AS relationships, count(*) AS skipped, CAST(max(doc_id % 4) AS bigint) AS created,
+CAST(sum(doc_id % 4) AS bigint) AS mentions, CAST(sum(doc_id % 4) - 3 AS bigint) AS matched FROM documents""")
+def build_counters(b: Bound) -> DataFrame:
+    """Each document names up to three things, always the same three, and one thing without a name."""
+    i = F.col("doc_id")
+    things = F.transform(F.filter(F.array(*[F.lit(k) for k in (1, 2, 3)]), lambda k: k <= i % 4), lambda k: F.struct(F.concat(F.lit("thing"), k).alias("name")))
+    units = b.raw("documents").select("doc_id", F.to_json(F.struct(F.concat(things, F.array(F.struct(F.lit("").alias("name")))).alias("entities"))).alias("answer"))
+    read = extraction.extractions(units)
+    mentions = read.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.name")
+    return extraction.counters(read, mentions.select("name").distinct(), mentions)
+
+
 @query(f"WITH {FACTS} SELECT DISTINCT chunk_id, source_id FROM m WHERE chunk_id % 5 = 0 AND source_id % 2 = 0")
 def chunks_in_scope(b: Bound) -> DataFrame:
     chunks = _mentions(b).select("chunk_id", "source_id").distinct()
@@ -192,6 +220,12 @@ def answer_prompts(b: Bound) -> DataFrame:
     return answers.prompts(rows.select(i.alias("query_id"), F.concat(F.lit("why "), i).alias("question")), final)
 
 
+@query("SELECT conv_id AS query_id, 64 AS dimension FROM conversations WHERE role = 'user' GROUP BY 1")
+def query_vectors(b: Bound) -> DataFrame:
+    asked = b.raw("conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("query_id")).agg(F.min(F.substring("text", 1, 4000)).alias("question"))
+    return answers.embedded_questions(asked, STRATEGY, embedding.hashing_embedder(64)).select("query_id", F.size("vector").alias("dimension"))
+
+
 @query()
 def knn_ivf(b: Bound) -> DataFrame:
     """Approximate nearest chunks by cells, for all queries of vec_id divisible by 100."""
