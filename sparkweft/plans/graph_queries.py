@@ -86,10 +86,10 @@ def subject_graph(b: Bound) -> DataFrame:
     return memory.view(b.facts, _mentions(b), b.sources.join(inside, "subject_id", "left_semi").select(F.col("id").alias("source_id")))[1]
 
 
-@query("SELECT s_suppkey AS id, n_regionkey AS tenant_id, CASE WHEN s_suppkey % 2 = 0 THEN 'COMPANY' ELSE 'PERSON' END AS entity_type FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 1 AND s_suppkey % 2 = 0")
+@query("SELECT s_suppkey AS id, n_regionkey AS tenant_id, CASE WHEN s_suppkey % 2 = 0 THEN 'COMPANY' ELSE 'PERSON' END AS entity_type FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 4 AND s_suppkey % 2 = 0")
 def known_entities(b: Bound) -> DataFrame:
     rows = b.actors.join(b.applications.select(F.col("id").alias("application_id"), "tenant_id"), "application_id")
-    return memory.known_entities(rows.select("id", "tenant_id", F.when(F.col("id") % 2 == 0, "COMPANY").otherwise("PERSON").alias("entity_type")), 1, ["COMPANY", "LOCATION"])
+    return memory.known_entities(rows.select("id", "tenant_id", F.when(F.col("id") % 2 == 0, "COMPANY").otherwise("PERSON").alias("entity_type")), 4, ["COMPANY", "LOCATION"])
 
 
 @query("""SELECT count(*) AS units, CAST(sum(doc_id % 4) AS bigint) AS extracted, 0 AS relationships, count(*) AS skipped, CAST(max(doc_id % 4) AS bigint) AS created,
