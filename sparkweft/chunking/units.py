@@ -49,7 +49,7 @@ def _tabular_rows(lines: Column) -> Column:
 def lines_of(readings: DataFrame) -> DataFrame:
     """doc, pos, page, line of readings (doc, reading, page, text), LaTeX tables rewritten."""
     split = lambda df: df.select("doc", "reading", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\n")).alias("nth", "line"))
-    latex = F.col("text").rlike(TABULAR)
+    latex = F.col("text").rlike("(?m)" + TABULAR)
     # a document without tables has nothing to rewrite; a table may end in a later reading
     with_tables = readings.where(F.coalesce(latex, F.lit(False))).select("doc").distinct()
     plain = split(readings.join(with_tables, "doc", "left_anti")).withColumn("sub", F.lit(0))
