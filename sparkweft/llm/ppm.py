@@ -137,7 +137,7 @@ def _list_blocks(order: int):
         for batch in small(batches):
             for block, trains, text in zip(*(batch[c].to_pylist() for c in ("block", "trains", "raw"))):
                 if block not in held:
-                    while len(held) >= 4:  # ranges come in order in a sorted table; a block may also be listed in parts
+                    while len(held) >= 2:  # ranges come in order in a sorted table; a block may also be listed in parts
                         yield from emit(next(iter(held)))
                     held[block] = Listing(order)
                 held[block].add(text, trains)
@@ -197,6 +197,7 @@ def string_scores(strings: DataFrame, order: int, scratch: Scratch) -> DataFrame
         escapes.append(_escapes(made))
         if length:
             level = level.where("cnt > 0").groupBy(F.col("s").bitwiseAND(F.lit((1 << 8 * length) - 1)).alias("s")).agg(F.count("*").alias("cnt"))
+            level = scratch.save(level, f"level{length}")
     e = _escape(escapes[0], F.col("d"), F.col("tot"))
     seen = F.transform(F.filter("syms", lambda x: x["cnt"] > 0), lambda x: x["sym"])
     top = tables[0].select("ctx", "tot", "d", e.alias("e"), seen.alias("above"), F.explode("syms").alias("x"))
@@ -221,17 +222,47 @@ def string_scores(strings: DataFrame, order: int, scratch: Scratch) -> DataFrame
     return found.unionByName(left.select("s", (F.col("value") - F.log10(256 - F.size("above"))).alias("value")))
 
 
-def _score_block(order: int, total: int, distinct: int):
-    def run(docs: pa.Table, nodes: pa.Table) -> pa.Table:
-        keys, values = nodes["key"].to_numpy(), nodes["value"].to_numpy()
-        rank = np.argsort(keys)
-        keys, values = keys[rank], values[rank]
-        del rank, nodes
+class Values:
+    """A value for each of many distinct integers, in an open hash table that is looked up by arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(3 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, SIGN, np.int64), np.zeros(1 << bits)
+        left, at = np.arange(len(keys)), self._first(keys)
+        while len(left):
+            free = self.keys[at] == SIGN
+            self.keys[at[free]] = keys[left[free]]
+            won = self.keys[at] == keys[left]
+            self.values[at[won]] = values[left[won]]
+            left, at = left[~won], at[~won] + 1 & self.mask
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' values, 0 for unknown ones."""
+        at = self._first(keys)
+        out = self.values[at]
+        met = self.keys[at]
+        left = np.flatnonzero(met != keys)
+        out[left] = 0
+        left = left[met[left] != SIGN]
+        at = at[left]
+        while len(left):
+            at = at + 1 & self.mask
+            met = self.keys[at]
+            hit = met == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (met != SIGN)
+            left, at = left[on], at[on]
+        return out
 
-        def value(want):
-            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            return np.where(keys[at] == want, values[at], 0)
 
+def _score_block(order: int, total: int, distinct: int):
+    def run(docs: pa.Table, nodes: pa.Table) -> pa.Table:
+        value = Values(nodes["key"].to_numpy(), nodes["value"].to_numpy()).of
+        del nodes
         n_tokens, n_known, base, score = [], [], [], []
         raws = docs["raw"].to_pylist()
         for a, b in _pieces(raws):
