@@ -198,6 +198,8 @@ def string_scores(strings: DataFrame, order: int, scratch: Scratch) -> DataFrame
         if length:
             level = level.where("cnt > 0").groupBy(F.col("s").bitwiseAND(F.lit((1 << 8 * length) - 1)).alias("s")).agg(F.count("*").alias("cnt"))
             level = scratch.save(level, f"level{length}")
+    for length in range(1, order + 1):
+        scratch.drop(f"level{length}")
     e = _escape(escapes[0], F.col("d"), F.col("tot"))
     seen = F.transform(F.filter("syms", lambda x: x["cnt"] > 0), lambda x: x["sym"])
     top = tables[0].select("ctx", "tot", "d", e.alias("e"), seen.alias("above"), F.explode("syms").alias("x"))
@@ -226,7 +228,7 @@ class Values:
     """A value for each of many distinct integers, in an open hash table that is looked up by arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(3 * len(keys)).bit_length())
+        bits = max(4, int(3 * len(keys) // 2).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.full(1 << bits, SIGN, np.int64), np.zeros(1 << bits)
         left, at = np.arange(len(keys)), self._first(keys)
