@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, mixing, ppm, recompression, simhash, toxicity, urls, warc
+from . import ann, bpe, jaccard, mixing, ppm, recompression, sharding, simhash, toxicity, urls, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,8 +57,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_jaccard_join, op3_toxicity, op4_warc, op5_nn_descent, op6_ppm, op7_bpe, op8_recompression, op9_url_filter, op10_simhash)}
+    return {f.__name__: f for f in (
+        op1_mix_sources, op2_jaccard_join, op3_toxicity, op4_warc, op5_nn_descent, op6_ppm, op7_bpe, op8_recompression, op9_url_filter, op10_simhash, op11_external_shuffle)}
 
 
 OP9_SQL = """
