@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, mixing, ppm, recompression, sharding, simhash, toxicity, urls, warc
+from . import ann, bpe, centroids, jaccard, mixing, ppm, prefixes, recompression, sharding, simhash, toxicity, urls, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,9 +61,18 @@ def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_mix_sources, op2_jaccard_join, op3_toxicity, op4_warc, op5_nn_descent, op6_ppm, op7_bpe, op8_recompression, op9_url_filter, op10_simhash, op11_external_shuffle)}
+        op1_mix_sources, op2_jaccard_join, op3_toxicity, op4_warc, op5_nn_descent, op6_ppm, op7_bpe, op8_recompression, op9_url_filter, op10_simhash, op11_external_shuffle,
+        op12_shallot, op13_prefix_trie)}
 
 
 OP9_SQL = """
@@ -122,5 +131,55 @@ FROM documents d LEFT JOIN judged j USING (doc_id) GROUP BY d.doc_id
 """.format(words=WORDS_SQL.format(text="coalesce(text, '')"))
 
 
+
+def _op12_sql(k: int = 40, rounds: int = 5, width: int = 64) -> str:
+    """Plain rounds: every vector against every centroid, distances and means in whole numbers."""
+    steps = [f"""
+v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(CAST(x AS double) * 256)) AS q FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: isfinite(x))) = {width}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, q) - 1 AS j, q AS c FROM v QUALIFY j < {k})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (SELECT rid, any_value(vec_id) AS vec_id, any_value(q) AS q,
+  min(CAST(list_dot_product(q, q) - 2 * list_dot_product(q, c) + list_dot_product(c, c) AS hugeint) * {k} + j) AS best FROM v, c{n} GROUP BY rid)""")
+        if n < rounds:
+            steps.append(f"""
+e{n} AS (SELECT best % {k} AS j, unnest(q) AS x, unnest(range({width})) AS place FROM a{n}),
+s{n} AS (SELECT j, place, CAST(sum(x) AS hugeint) AS s, count(*) AS n FROM e{n} GROUP BY 1, 2),
+m{n} AS (SELECT j, list(CAST((s - (s % n + n) % n) // n AS double) ORDER BY place) AS c FROM s{n} GROUP BY 1),
+c{n + 1} AS MATERIALIZED (SELECT o.j, coalesce(m.c, o.c) AS c FROM c{n} o LEFT JOIN m{n} m USING (j))""")
+    return "WITH " + ",".join(steps) + f"""
+SELECT vec_id, CAST(best % {k} AS int) AS cluster, CAST(best // {k} AS bigint) AS distance,
+  CAST(sum(best // {k}) OVER (PARTITION BY best % {k}) AS bigint) AS cluster_inertia, CAST(sum(best // {k}) OVER () AS bigint) AS inertia,
+  sha256(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS bigint) AS varchar)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON j = best % {k}
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
+OP13_SQL = """
+WITH RECURSIVE steps(i, k, v) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END) FROM steps WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
+digits(c, s, crc, n) AS (SELECT DISTINCT conv_id, CAST(conv_id AS varchar), CAST(4294967295 AS bigint), 0 FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT c, s, xor(crc >> 8, t[xor(crc & 255, ascii(s[n + 1])) + 1]), n + 1 FROM digits, crc_table WHERE n < length(s)),
+heads AS (SELECT c, xor(crc, 4294967295) % 4 AS h FROM digits WHERE n = length(s)),
+turns AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS l FROM turns GROUP BY 1),
+built AS (SELECT o.c, list_concat(coalesce(b.l[1:h], []), o.l[h + 1:]) AS l FROM own o JOIN heads USING (c) LEFT JOIN own b ON b.c = o.c - o.c % 20),
+pre AS (SELECT c, len(l) AS n, unnest(range(0, len(l) + 1)) AS d, l FROM built),
+m AS MATERIALIZED (SELECT c, n, d, l[d].text AS last, min(c) OVER w AS rep, count(*) OVER w AS n_convs, max(n) OVER w AS longest FROM pre WINDOW w AS (PARTITION BY d, l[1:d])),
+nodes AS MATERIALIZED (SELECT rep, d, n_convs, longest = d AS leaf, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len({words}) END AS own FROM m WHERE c = rep),
+below AS (SELECT m.rep, m.d, sum(CAST(leaf AS int)) AS n_leaves, sum(own) AS saved FROM nodes x JOIN m ON m.c = x.rep AND m.d <= x.d GROUP BY 1, 2),
+up AS (SELECT x.rep, x.d, m.rep AS parent FROM nodes x JOIN m ON m.c = x.rep AND m.d = x.d - 1),
+kids AS (SELECT parent AS rep, d - 1 AS d, count(*) AS n FROM up GROUP BY 1, 2),
+ends AS (SELECT rep, d, string_agg(CAST(c AS varchar), ',' ORDER BY c) AS ids FROM m WHERE n = d GROUP BY 1, 2)
+SELECT rep AS conv_id, CAST(d AS bigint) AS depth, parent AS parent_conv_id, n_convs, coalesce(k.n, 0) AS n_children, CAST(n_leaves AS bigint) AS n_leaves,
+  CAST(saved AS bigint) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes JOIN below USING (rep, d) LEFT JOIN up USING (rep, d) LEFT JOIN kids k USING (rep, d) LEFT JOIN ends USING (rep, d)
+""".format(words=WORDS_SQL.format(text="last"))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": OP2_SQL, "op4_warc": OP4_SQL, "op8_recompression": OP8_SQL, "op9_url_filter": OP9_SQL}
+    return {"op13_prefix_trie": OP13_SQL, "op12_shallot": OP12_SQL, "op2_jaccard_join": OP2_SQL, "op4_warc": OP4_SQL, "op8_recompression": OP8_SQL, "op9_url_filter": OP9_SQL}
