@@ -69,7 +69,8 @@ def shuffled_shards(df: DataFrame, path: str, shards: int = 24, seed: int = 0, b
     keys = scratch.save(keyed.groupBy("_k1", "_k2").agg(F.count("*").alias("_copies"), F.first(size).alias("_size")), "keys")
     total = keys.agg(F.sum("_copies").alias("rows"), F.sum(F.col("_copies") * F.col("_size")).alias("bytes")).first()
     rows, buckets = total["rows"] or 0, max(1, -(-(total["bytes"] or 0) // bucket_bytes))
-    hot = keys.where((F.col("_copies") > 1) & (F.col("_copies") * F.col("_size") > bucket_bytes // 16))
+    # written, so that its size is known where it is joined: at most 16 rows a bucket
+    hot = scratch.save(keys.where((F.col("_copies") > 1) & (F.col("_copies") * F.col("_size") > bucket_bytes // 16)), "hot")
     own = F.pmod(F.xxhash64("_k1", "_k2"), F.lit(buckets))
     # a hot row's copies: so many in each bucket, and one more in as many as are left over, from its own bucket on
     spread = hot.withColumn("_from", own).withColumn("_bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
