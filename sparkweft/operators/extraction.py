@@ -133,7 +133,19 @@ def counters(read: DataFrame, entities: DataFrame, mentions: DataFrame) -> DataF
 
 
 def resolved(units: DataFrame, ontology: dict, tenant: str = "tenant_id", threshold: float = 92.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entities, mentions and facts of extractions, deduplicated in a tenant.
+    """Entities, mentions and facts of extractions, deduplicated in a tenant; see ``resolved_keys``."""
+    return resolved_keys(units, ontology, tenant, threshold)[:3]
+
+
+def resolved_keys(units: DataFrame, ontology: dict, tenant: str = "tenant_id", threshold: float = 92.0, known: graph.KeyIndex | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Entities, mentions and facts of extractions, deduplicated in a tenant, and the keys met
+    (tenant_id, entity_type, key, to: the key of its entity, first).
+
+    Positions go by source, unit index, place in the answer, unit id and key, so no two keys of
+    a type are at one position. ``known`` holds the keys of earlier batches: these are earlier than
+    all of this one's and none of them changes, so sources that come batch by batch in ascending
+    order give the entities that they give at once, unless an alias is given for two of the known
+    ones, which stay two. The keys returned are this batch's own, to be added to ``known``.
 
     Names with one key and type are one entity, and so are keys that ``graph.aliases_of`` joins;
     an alias names the entity that it is given for. Endpoints resolve by the unit's own names,
@@ -152,19 +164,28 @@ def resolved(units: DataFrame, ontology: dict, tenant: str = "tenant_id", thresh
         one = one.join(local, ["tenant_id", "unit", "fold"], "left").select("tenant_id", "unit", "source_id", "index", "rel", F.lit(side).alias("side"), "shown", F.coalesce("own.key", "key").alias("key"), F.coalesce("own.entity_type", "entity_type").alias("entity_type"))
         points = one if points is None else points.unionByName(one)
     points = points.where("key != ''")
-    every = named.select("tenant_id", "entity_type", "key", "shown", "unit", "source_id", F.struct("index", F.lit(0).alias("late"), F.col("nth").alias("n")).alias("at"), "description").unionByName(
-        points.select("tenant_id", "entity_type", "key", "shown", "unit", "source_id", F.struct("index", F.lit(1).alias("late"), F.col("rel").alias("n")).alias("at"), F.lit(None).cast("string").alias("description")))
+    every = named.select("tenant_id", "entity_type", "key", "shown", "unit", "source_id", F.struct("source_id", "index", F.lit(0).alias("late"), F.col("nth").alias("n"), "unit").alias("at"), "description").unionByName(
+        points.select("tenant_id", "entity_type", "key", "shown", "unit", "source_id", F.struct("source_id", "index", F.lit(1).alias("late"), F.col("rel").alias("n"), "unit").alias("at"), F.lit(None).cast("string").alias("description")))
     firsts = every.groupBy("tenant_id", "entity_type", "key").agg(F.min("at").alias("at"))
-    order = firsts.withColumn("first", (F.col("at.index").cast("long") * 1_000_000 + F.col("at.late") * 500_000 + F.col("at.n")))
+    order = firsts.withColumn("first", F.struct("at.*", "key"))
+    if known is not None:
+        order = order.join(known.keys.select("tenant_id", "entity_type", "key"), ["tenant_id", "entity_type", "key"], "left_anti")
     given = named.select("tenant_id", "entity_type", F.col("key").alias("to"), F.explode("aliases").alias("alias")).withColumn("key", graph.canonical_key("alias", "entity_type")).where("key != '' and key != to")
-    similar = graph.aliases_of(order.select("tenant_id", "entity_type", "key", "first"), threshold)
+    similar = graph.aliases_of(order.select("tenant_id", "entity_type", "key", "first"), threshold, known)
     # a given alias and its entity are one: the later points to the earlier, as similar keys do
-    at = order.select("tenant_id", "entity_type", "key", "first")
+    at = order.select("tenant_id", "entity_type", "key", F.struct(F.lit(1).alias("age"), "first").alias("first"))
+    if known is not None:
+        at = at.unionByName(known.keys.select("tenant_id", "entity_type", "key", F.struct(F.lit(0).alias("age"), "first").alias("first")))
     given = given.select("tenant_id", "entity_type", "key", "to").distinct().join(at, ["tenant_id", "entity_type", "key"], "left").join(at.select("tenant_id", "entity_type", F.col("key").alias("to"), F.col("first").alias("to_first")), ["tenant_id", "entity_type", "to"])
-    turned = F.coalesce(F.struct("first", "key") < F.struct(F.col("to_first").alias("first"), F.col("to").alias("key")), F.lit(False)) & F.col("first").isNotNull()
+    given = given.where(F.coalesce(F.greatest("first", "to_first")["age"] == 1, F.lit(True)) | F.col("first").isNull())
+    turned = F.coalesce(F.col("first") < F.col("to_first"), F.lit(False))
     given = given.select("tenant_id", "entity_type", F.when(turned, F.col("to")).otherwise(F.col("key")).alias("key"), F.when(turned, F.col("key")).otherwise(F.col("to")).alias("to"), F.when(turned, F.col("first")).otherwise(F.col("to_first")).alias("to_first"), F.lit(0).alias("late"))
-    both = given.unionByName(similar.withColumns({"to_first": F.lit(0).cast("long"), "late": F.lit(1)}))
-    alias = graph.rooted(both.groupBy("tenant_id", "entity_type", "key").agg(F.min_by("to", F.struct("late", "to_first", "to")).alias("to")))
+    both = given.unionByName(similar.withColumns({"to_first": F.lit(None).cast(at.schema["first"].dataType), "late": F.lit(1)}))
+    alias = both.groupBy("tenant_id", "entity_type", "key").agg(F.min_by("to", F.struct("late", "to_first", "to")).alias("to"))
+    if known is not None:  # a known key leads to its entity, whatever this batch says of it
+        old = known.keys.where("key != to").select("tenant_id", "entity_type", "key", "to")
+        alias = alias.join(known.keys.select("tenant_id", "entity_type", "key"), ["tenant_id", "entity_type", "key"], "left_anti").unionByName(old)
+    alias = graph.rooted(alias)
 
     def canonical(df: DataFrame) -> DataFrame:
         return df.join(alias, ["tenant_id", "entity_type", "key"], "left").withColumn("key", F.coalesce("to", "key")).drop("to").withColumn("entity_id", entity_uuid(F.col("tenant_id").cast("string"), F.col("entity_type"), F.col("key")))
@@ -175,8 +196,13 @@ def resolved(units: DataFrame, ontology: dict, tenant: str = "tenant_id", thresh
     placed = canonical(points).groupBy("tenant_id", "unit", "rel").agg(F.max(F.when(F.col("side") == "source", F.col("entity_id"))).alias("s"), F.max(F.when(F.col("side") == "target", F.col("entity_id"))).alias("t"))
     links = graph.mapped(ends.select("tenant_id", "unit", "source_id", "index", "rel", F.col("relation").alias("label"), "description", confidence(F.col("confidence")).alias("confidence")), "label", ontology["relations"], ontology["relation_synonyms"], ontology["fallback_relation"], ontology["inverse_relations"], out="relation")
     both = links.join(placed, ["tenant_id", "unit", "rel"]).withColumns({"a": F.when(F.col("relation_reversed"), F.col("t")).otherwise(F.col("s")), "b": F.when(F.col("relation_reversed"), F.col("s")).otherwise(F.col("t"))})
-    both = both.where("a is not null and b is not null and a != b").withColumn("at", F.struct("index", "rel"))
+    both = both.where("a is not null and b is not null and a != b").withColumn("at", F.struct("index", "rel", "unit"))
     facts = both.groupBy("tenant_id", "a", "relation", "b", "source_id").agg(
         F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("at", "unit"))), lambda x: x["unit"])).alias("chunk_ids"), F.min_by("description", F.when(F.trim("description") != "", F.col("at"))).alias("description"),
         F.max("confidence").alias("confidence"), F.min_by("relation_raw", "at").alias("raw_relation"))
-    return entities, mentions, facts
+    keys = order.select("tenant_id", "entity_type", "key", "first").join(alias, ["tenant_id", "entity_type", "key"], "left").select("tenant_id", "entity_type", "key", F.coalesce("to", "key").alias("to"), "first")
+    # a name that was only given as an alias leads to its entity as well
+    given_only = alias.join(order.select("tenant_id", "entity_type", "key"), ["tenant_id", "entity_type", "key"], "left_anti").select("tenant_id", "entity_type", "key", "to", F.lit(None).cast(order.schema["first"].dataType).alias("first"))
+    if known is not None:
+        given_only = given_only.join(known.keys.select("tenant_id", "entity_type", "key"), ["tenant_id", "entity_type", "key"], "left_anti")
+    return entities, mentions, facts, keys.unionByName(given_only)

@@ -76,14 +76,18 @@ def mapped(df: DataFrame, raw: str, allowed: list[str], synonyms: dict[str, str]
 
 
 def indel_ratio(a: str, b: str) -> float:
-    """100 * (1 - insertions and deletions over both lengths)."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for k, y in enumerate(b, 1):
-            row[k], left = (left + 1 if x == y else max(row[k], row[k - 1])), row[k]
+    """100 * (1 - insertions and deletions over both lengths), from the longest common subsequence:
+    a whole number holds a bit for each character of ``a``, so a step covers all of them."""
+    places: dict[str, int] = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    every = (1 << len(a)) - 1
+    free = every
+    for y in b:
+        hit = free & places.get(y, 0)
+        free = (free + hit | free - hit) & every
     total = len(a) + len(b)
-    return 100.0 * 2 * row[-1] / total if total else 100.0
+    return 100.0 * 2 * (len(a) - free.bit_count()) / total if total else 100.0
 
 
 def _similarities(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -104,26 +108,77 @@ def _lost(q: int, h: float) -> float:
     return max(q + (q - 1) * r - (2 * q - 1) * h * (1 + r) for r in (h / (1 - h), (1 - h) / h))
 
 
-def _sharing(names: DataFrame, threshold: float) -> DataFrame:
-    """Pairs x, y of keys of a type, with all that reach the ratio.
+def key_grams(names: DataFrame, threshold: float) -> DataFrame:
+    """The q-grams of each key, with how often a key has had one (nth). Keys of 16 characters and
+    more have four letters to a gram, those that may meet shorter ones two as well."""
+    h, n = threshold / 200, F.length("key")
+    sizes = F.filter(F.array(F.when((n < 16) | (n * (h / (1 - h)) < 16), 2), F.when(n >= 16, 4)), lambda q: q.isNotNull())
+    grams = names.select("tenant_id", "entity_type", "key", F.explode(sizes).alias("q")).select("*", F.posexplode(F.transform(F.sequence(F.lit(1), n - F.col("q") + 1), lambda i: F.col("key").substr(i, F.col("q")))).alias("pos", "gram"))
+    return grams.withColumn("nth", F.row_number().over(W.partitionBy("tenant_id", "entity_type", "q", "key", "gram").orderBy("pos"))).drop("pos")
+
+
+GRAM = ["tenant_id", "entity_type", "q", "gram", "nth"]
+
+
+def rare_grams(names: DataFrame, threshold: float, counts: DataFrame | None = None) -> DataFrame:
+    """The rarest grams of each key, as many as a partner at the threshold can't all lack.
+
+    ``counts`` (GRAM, n) says what is rare, for any two tables that are to meet the same; a gram
+    that it lacks is the rarest. Without it the names' own counts do.
+    """
+    h, n = threshold / 200, F.length("key")
+    grams = key_grams(names, threshold)
+    counts = grams.groupBy(*GRAM).agg(F.count("*").alias("n")) if counts is None else counts
+    counted = grams.join(counts, GRAM, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    lost = F.floor(n * F.when(F.col("q") == 2, _lost(2, h)).otherwise(_lost(4, h)) + 1e-9)
+    rare = counted.withColumn("at", F.row_number().over(W.partitionBy("tenant_id", "entity_type", "q", "key").orderBy("n", "gram", "nth"))).where(F.col("at") <= lost + 1)
+    return rare.select(*GRAM, "key").join(names, ["tenant_id", "entity_type", "key"])
+
+
+def _sharing(names: DataFrame, threshold: float, known=None) -> DataFrame:
+    """Pairs x, y of keys of a type, x of ``names``, with all that reach the ratio.
 
     A key that loses at most m of its q-grams shares one of its m + 1 rarest with the partner's
-    m + 1 rarest. Pairs of 16 characters and more meet by four, others by two.
+    m + 1 rarest. Pairs of 16 characters and more meet by four, others by two. With ``known`` (a
+    ``KeyIndex``) y may be one of its keys as well, whose rare grams are stored.
     """
-    kind, h = ["tenant_id", "entity_type"], threshold / 200
+    h = threshold / 200
     bound = F.abs(F.length("x.key") - F.length("y.key")) <= (1 - 2 * h) * (F.length("x.key") + F.length("y.key")) + 1e-9
     if threshold < 90:  # the filter keeps too little then
-        return names.alias("x").join(names.alias("y"), kind).where(bound)
-    n = F.length("key")
-    sizes = F.filter(F.array(F.when((n < 16) | (n * (h / (1 - h)) < 16), 2), F.when(n >= 16, 4)), lambda q: q.isNotNull())
-    grams = names.select(*kind, "key", F.explode(sizes).alias("q")).select("*", F.posexplode(F.transform(F.sequence(F.lit(1), n - F.col("q") + 1), lambda i: F.col("key").substr(i, F.col("q")))).alias("pos", "gram"))
-    grams = grams.withColumn("nth", F.row_number().over(W.partitionBy(*kind, "q", "key", "gram").orderBy("pos")))
-    gram = [*kind, "q", "gram", "nth"]
-    counted = grams.join(grams.groupBy(*gram).agg(F.count("*").alias("n")), gram)
-    lost = F.floor(n * F.when(F.col("q") == 2, _lost(2, h)).otherwise(_lost(4, h)) + 1e-9)
-    rare = counted.withColumn("at", F.row_number().over(W.partitionBy(*kind, "q", "key").orderBy("n", "gram", "nth"))).where(F.col("at") <= lost + 1)
-    rare = rare.select(*gram, "key").join(names, [*kind, "key"])
-    return rare.alias("x").join(rare.alias("y"), gram).where(bound)
+        every = names if known is None else names.unionByName(known.keys.select(*names.columns))
+        return names.alias("x").join(every.alias("y"), ["tenant_id", "entity_type"]).where(bound)
+    rare = rare_grams(names, threshold, known and known.counts)
+    every = rare if known is None else rare.unionByName(known.rare.select(*rare.columns))
+    return rare.alias("x").join(every.alias("y"), GRAM).where(bound)
+
+
+class KeyIndex:
+    """The keys that a graph has already, with the rare grams that a new batch meets them by.
+
+    Tables under ``path``: keys (tenant_id, entity_type, key, to: the entity's own key, first: the
+    position), rare (grams of keys) and counts (what is rare, as of the first batch, so the order is
+    one for all batches). A batch is a folder; adding one writes its keys only.
+    """
+
+    def __init__(self, spark, path: str, threshold: float = 92.0):
+        self.spark, self.path, self.threshold = spark, path, threshold
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.path}/{name}")
+
+    keys = property(lambda self: self._read("keys"))
+    rare = property(lambda self: self._read("rare"))
+    counts = property(lambda self: self._read("counts"))
+
+    def add(self, keys: DataFrame, batch: int) -> None:
+        """Writes the keys of a batch (those of ``resolved_keys`` that are new)."""
+        keys = keys.select("tenant_id", "entity_type", "key", "to", "first")
+        keys.write.mode("overwrite").parquet(f"{self.path}/keys/{batch}")
+        own = self.spark.read.parquet(f"{self.path}/keys/{batch}")
+        long = own.where((F.length("key") >= 5) & F.col("first").isNotNull()).select("tenant_id", "entity_type", "key", "first")
+        if batch == 0:
+            key_grams(long, self.threshold).groupBy(*GRAM).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.path}/counts")
+        rare_grams(long, self.threshold, self.counts).write.mode("overwrite").parquet(f"{self.path}/rare/{batch}")
 
 
 def rooted(alias: DataFrame) -> DataFrame:
@@ -143,26 +198,36 @@ def rooted(alias: DataFrame) -> DataFrame:
             return now
 
 
-def aliases_of(names: DataFrame, threshold: float = 92.0) -> DataFrame:
+def aliases_of(names: DataFrame, threshold: float = 92.0, known: KeyIndex | None = None) -> DataFrame:
     """key, to: keys of a type that name the same entity as an earlier one.
 
-    ``names`` has tenant_id, entity_type, key and first (its first position). An organisation's
-    acronym of three letters or more joins the key it abbreviates; keys of five characters or
-    more join the most similar earlier one, the earliest of equals, if it is similar enough. No pair
-    at the threshold is left out of the candidates.
+    ``names`` has tenant_id, entity_type, key and first, its first position: of any type that has
+    an order, and no two keys of a type at one position. An organisation's acronym of three letters
+    or more joins the key it abbreviates; keys of five characters or more join the most similar
+    earlier one, the earliest of equals, if it is similar enough. No pair at the threshold is left
+    out of the candidates. Keys of ``known`` are earlier than all names and stay as they are.
     """
-    own = names.groupBy("tenant_id", "entity_type", "key").agg(F.min("first").alias("first"))
-    organisations = own.where(F.col("entity_type").isin(*ORGANISATIONS))
-    short = organisations.withColumn("short", acronym(F.col("key"))).where(F.length("short") >= 3).select("tenant_id", "entity_type", F.col("key").alias("long"), F.col("first").alias("first_long"), F.col("short").alias("key"))
-    later = F.col("first") > F.col("first_long")
-    by_letters = organisations.join(short, ["tenant_id", "entity_type", "key"]).select(
-        "tenant_id", "entity_type", F.when(later, F.col("key")).otherwise(F.col("long")).alias("key"), F.when(later, F.col("long")).otherwise(F.col("key")).alias("to"), F.lit(100.0).alias("score"), F.least("first", "first_long").alias("to_first"))
-    long = own.where(F.length("key") >= 5)
-    near = _sharing(long, threshold).where("y.first < x.first")
-    near = near.select("tenant_id", "entity_type", F.col("x.key").alias("key"), F.col("y.key").alias("to"), F.col("y.first").alias("to_first")).distinct()
-    near = near.withColumn("score", similarity("key", "to")).where(F.col("score") >= threshold).select("tenant_id", "entity_type", "key", "to", "score", "to_first")
+    own = names.groupBy("tenant_id", "entity_type", "key").agg(F.min("first").alias("first")).withColumn("age", F.lit(1))
+    every = own if known is None else own.unionByName(known.keys.select("tenant_id", "entity_type", "key", "first").withColumn("age", F.lit(0)))
+    place = lambda side="": F.struct(F.col(f"{side}age").alias("age"), F.col(f"{side}first").alias("first"))
+    organisations = every.where(F.col("entity_type").isin(*ORGANISATIONS)).select("tenant_id", "entity_type", "key", place().alias("at"))
+    short = organisations.withColumn("short", acronym(F.col("key"))).where(F.length("short") >= 3).select("tenant_id", "entity_type", F.col("key").alias("long"), F.col("at").alias("at_long"), F.col("short").alias("key"))
+    later = F.col("at") > F.col("at_long")
+    by_letters = organisations.join(short, ["tenant_id", "entity_type", "key"]).where(F.greatest("at", "at_long")["age"] == 1).select(
+        "tenant_id", "entity_type", F.when(later, F.col("key")).otherwise(F.col("long")).alias("key"), F.when(later, F.col("long")).otherwise(F.col("key")).alias("to"), F.lit(100.0).alias("score"), F.least("at", "at_long").alias("to_at"))
+    long = own.where(F.length("key") >= 5).select("tenant_id", "entity_type", "key", "first")
+    near = _sharing(long.withColumn("age", F.lit(1)), threshold, known and _Aged(known)).where(place("y.") < place("x."))
+    near = near.select("tenant_id", "entity_type", F.col("x.key").alias("key"), F.col("y.key").alias("to"), place("y.").alias("to_at")).distinct()
+    near = near.withColumn("score", similarity("key", "to")).where(F.col("score") >= threshold).select("tenant_id", "entity_type", "key", "to", "score", "to_at")
     both = by_letters.unionByName(near)
-    return both.groupBy("tenant_id", "entity_type", "key").agg(F.max_by("to", F.struct("score", -F.col("to_first"))).alias("to"))
+    return both.groupBy("tenant_id", "entity_type", "key").agg(F.min_by("to", F.struct(-F.col("score"), "to_at", "to")).alias("to"))
+
+
+class _Aged:
+    """An index whose keys are marked as older than a batch's."""
+
+    def __init__(self, index: KeyIndex):
+        self.keys, self.rare, self.counts = index.keys.withColumn("age", F.lit(0)), index.rare.withColumn("age", F.lit(0)), index.counts
 
 
 def merged_facts(facts: DataFrame) -> DataFrame:
