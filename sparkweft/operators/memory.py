@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import graph
+from . import fulltext, graph
 
 
 def tenant_graphs(entities: DataFrame) -> DataFrame:
@@ -101,11 +101,20 @@ def by_words(questions: DataFrame, entities: DataFrame, counts: DataFrame, limit
     return met.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit)
 
 
-def seeds(questions: DataFrame, entities: DataFrame, counts: DataFrame, limit: int = 5) -> DataFrame:
+def by_score(questions: DataFrame, index: fulltext.FullText, counts: DataFrame, limit: int = 5) -> DataFrame:
+    """question_id, entity_id, score, nth: entities of greatest full-text score (BM25) for the words
+    of a question, of equal ones those of most mentions first. ``index`` is of entities (id, text:
+    the search text); entities that ``counts`` lacks don't come."""
+    asked = questions.select(F.col("question_id").alias("query_id"), graph.fulltext_words(F.col("question")).alias("words"))
+    found, _ = fulltext.search(index, asked, limit, prior=counts.select(F.col("entity_id").alias("id"), F.col("mentions").alias("prior")))
+    return found.select(F.col("query_id").alias("question_id"), F.col("id").alias("entity_id"), "score", F.col("rank").alias("nth"))
+
+
+def seeds(questions: DataFrame, entities: DataFrame, counts: DataFrame, limit: int = 5, index: fulltext.FullText | None = None) -> DataFrame:
     """question_id, entity, rank: at most ``limit`` entities a question starts from: named ones
-    first, then those that the full text finds."""
+    first, then those that the full text finds: by score where there is an index, else by words."""
     keyed = by_keys(questions, entities, counts, limit).select("question_id", "entity_id", F.struct(F.lit(0).alias("way"), "nth").alias("at"))
-    worded = by_words(questions, entities, counts, limit).select("question_id", "entity_id", F.struct(F.lit(1).alias("way"), "nth").alias("at"))
+    worded = (by_words(questions, entities, counts, limit) if index is None else by_score(questions, index, counts, limit)).select("question_id", "entity_id", F.struct(F.lit(1).alias("way"), "nth").alias("at"))
     first = keyed.unionByName(worded).groupBy("question_id", "entity_id").agg(F.min("at").alias("at"))
     ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy("at")))
     return ranked.where(F.col("rank") <= limit).select("question_id", F.col("entity_id").alias("entity"), "rank")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import answers, embedding, extraction, graph, ivf, memory, mutations
+from ..operators import answers, embedding, extraction, fulltext, graph, ivf, memory, mutations, small_world
 from ..sources.binding import Bound
 from .registry import FACTS, TREE, _mentions, query
 
@@ -233,3 +233,73 @@ def knn_ivf(b: Bound) -> DataFrame:
     centre = ivf.centres(chunks, cells=32)
     asked = b.raw("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
     return ivf.search(ivf.placed(chunks.select("chunk_id", "embedding"), "embedding", centre, 1), asked, centre, probes=16)
+
+
+def _small_world(b: Bound, scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    from ..scratch import Scratch
+
+    index = small_world.build(b.chunks, Scratch(b.spark, "small_world_index").base)
+    asked = b.raw("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return small_world.search(index, b.chunks, asked, scope=scope)
+
+
+@query()
+def graph_index_search(b: Bound) -> DataFrame:
+    """Nearest chunks by the small-world graph, for all queries of vec_id divisible by 100."""
+    return _small_world(b)[0]
+
+
+@query()
+def graph_index_scoped(b: Bound) -> DataFrame:
+    """The same among the chunks of a tenth of all subjects, with the vectors that each query compared."""
+    near, took = _small_world(b, b.chunks.where("subject_id % 10 = 3"))
+    return near.join(took, "query_id")
+
+
+BM25 = """t AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+total AS (SELECT count(*) AS n, avg(len(w)) AS length FROM t), p AS (SELECT id, len(any_value(w)) AS size, word, count(*) AS tf FROM (SELECT id, w, unnest(w) AS word FROM t) GROUP BY id, word),
+df AS (SELECT word, count(*) AS df FROM p GROUP BY 1), asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS word FROM benchmark),
+scores AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * size / length))), 9) AS score FROM asked JOIN p USING (word) JOIN df USING (word), total GROUP BY 1, 2),
+best AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scores)"""
+
+
+def _bm25(b: Bound) -> tuple[DataFrame, DataFrame]:
+    from ..scratch import Scratch
+
+    index = fulltext.build(b.raw("documents").select(F.col("doc_id").alias("id"), "text"), Scratch(b.spark, "fulltext_index").base, per_block=128)
+    return fulltext.search(index, b.raw("benchmark").select(F.col("item_id").alias("query_id"), fulltext.text_words(F.col("text")).alias("words")))
+
+
+@query(f"WITH {BM25} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS int) AS rank FROM best WHERE rank <= 10")
+def fulltext_documents(b: Bound) -> DataFrame:
+    """The ten documents of greatest score for every benchmark item."""
+    return _bm25(b)[0].withColumn("score", F.round("score", 6))
+
+
+@query()
+def fulltext_blocks(b: Bound) -> DataFrame:
+    """How many of its words' blocks each benchmark item read for that."""
+    return _bm25(b)[1]
+
+
+SCORED = f"""WITH {ENTITIES}, {PHRASES}, named AS (SELECT question_id, id, 0 AS way, row_number() OVER (PARTITION BY question_id ORDER BY mentions DESC, id) AS nth FROM
+  (SELECT DISTINCT question_id, id FROM keys JOIN k ON key IN (canonical_key, alias_key)) JOIN n ON entity_id = id),
+t AS (SELECT id, list_filter(string_split_regex(lower(search_text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM k), total AS (SELECT count(*) AS n, avg(len(w)) AS length FROM t),
+held AS (SELECT id, len(any_value(w)) AS size, word, count(*) AS tf FROM (SELECT id, w, unnest(w) AS word FROM t) GROUP BY id, word), df AS (SELECT word, count(*) AS df FROM held GROUP BY 1),
+asked AS (SELECT DISTINCT question_id, unnest(list_filter(w, lambda x: x NOT IN {STOPPED})) AS word FROM w),
+scores AS (SELECT question_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * size / length))), 9) AS score FROM asked JOIN held USING (word) JOIN df USING (word), total GROUP BY 1, 2),
+worded AS (SELECT question_id, id, 1 AS way, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, mentions DESC, id) AS nth FROM scores JOIN n ON entity_id = id),
+u AS (SELECT question_id, id, min((way, nth)) AS best FROM (SELECT * FROM named WHERE nth <= 5 UNION ALL SELECT * FROM worded WHERE nth <= 5) GROUP BY 1, 2),
+r AS (SELECT question_id, id AS entity, CAST(row_number() OVER (PARTITION BY question_id ORDER BY best) AS int) AS rank FROM u)
+SELECT * FROM r WHERE rank <= 5"""
+
+
+@query(SCORED)
+def question_seeds_scored(b: Bound) -> DataFrame:
+    """Seeds of questions where the full text goes by score instead of by the number of words."""
+    from ..scratch import Scratch
+
+    scratch = Scratch(b.spark, "entities")
+    entities, counts = scratch.save(_entities(b), "entities"), scratch.save(memory.mentioned(_mentions(b), b.facts.select("source_id")), "counts")
+    index = fulltext.build(entities.select("id", F.col("search_text").alias("text")), f"{scratch.base}/index")
+    return memory.seeds(_questions(b), entities, counts, index=index)
