@@ -63,28 +63,30 @@ def source_detail(sources: DataFrame, tenants: DataFrame, applications: DataFram
     return out.join(named(actors, "actor"), "actor_id", "left")
 
 
-def ancestors(subjects: DataFrame, subject_id, most: int = 64) -> DataFrame:
+def ancestors(subjects: DataFrame, subject_id) -> DataFrame:
     """id, depth of the folders above a subject, nearest first (depth 1)."""
-    return _walk(subjects, subject_id, up=True, most=most).where("depth > 0")
+    return _walk(subjects, subject_id, up=True).where("depth > 0")
 
 
-def subtree(subjects: DataFrame, subject_id, most: int = 64) -> DataFrame:
+def subtree(subjects: DataFrame, subject_id) -> DataFrame:
     """id, depth of a subject (0) and of all below it."""
-    return _walk(subjects, subject_id, up=False, most=most)
+    return _walk(subjects, subject_id, up=False)
 
 
-def _walk(subjects: DataFrame, subject_id, up: bool, most: int) -> DataFrame:
-    """A level at a time: a frontier joins the tree once for each level it has."""
-    edges = subjects.where("parent_subject_id is not null").select(F.col("id" if up else "parent_subject_id").alias("at"), F.col("parent_subject_id" if up else "id").alias("to"))
-    level = subjects.where(F.col("id") == subject_id).select("id", F.lit(0).alias("depth"))
-    found, depth = level, 0
-    while depth < most:
+def _walk(subjects: DataFrame, subject_id, up: bool) -> DataFrame:
+    """A level at a time, each a written table: a frontier joins the tree once for each level it has.
+    On a cycle it ends where it would come back. Deep trees are better numbered once (``intervals``)."""
+    from ..scratch import Scratch
+
+    scratch, depth = Scratch(subjects.sparkSession, "walk"), 0
+    edges = subjects.where("parent_subject_id is not null").select(F.col("id" if up else "parent_subject_id").alias("id"), F.col("parent_subject_id" if up else "id").alias("to"))
+    level = found = scratch.save(subjects.where(F.col("id") == subject_id).select("id", F.lit(0).alias("depth")), "level0")
+    while not level.isEmpty():
         depth += 1
-        level = level.join(edges, level["id"] == edges["at"]).select(F.col("to").alias("id"), F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            return found
+        step = level.select("id").join(edges, "id").select(F.col("to").alias("id")).distinct().join(found, "id", "left_anti")
+        level = scratch.save(step.select("id", F.lit(depth).alias("depth")), f"level{depth}")
         found = found.unionByName(level)
-    raise ValueError("the tree is deeper than most, or has a cycle")
+    return found
 
 
 def latest(df: DataFrame, by: str, version: str, *order: Column) -> DataFrame:

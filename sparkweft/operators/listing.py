@@ -28,7 +28,7 @@ def folders_first(folders: DataFrame, files: DataFrame) -> DataFrame:
     return both.orderBy((F.col("kind") == "file").cast("int"), "name", "id")
 
 
-def folder_paths(subjects: DataFrame, most: int = 1_000_000) -> DataFrame:
+def folder_paths(subjects: DataFrame) -> DataFrame:
     """id, path: the names from the root to each folder. A level is a join; a cycle's folders, which
     no root reaches, aren't listed."""
     from ..scratch import Scratch
@@ -36,7 +36,7 @@ def folder_paths(subjects: DataFrame, most: int = 1_000_000) -> DataFrame:
     scratch, depth = Scratch(subjects.sparkSession, "paths"), 0
     level = scratch.save(subjects.where("parent_subject_id is null").select("id", F.array("name").alias("path")), "level0")
     found = level
-    while depth < most and not level.isEmpty():
+    while not level.isEmpty():
         depth += 1
         up = level.select(F.col("id").alias("parent_subject_id"), F.col("path").alias("above"))
         level = scratch.save(subjects.join(up, "parent_subject_id").select("id", F.array_append("above", F.col("name")).alias("path")), f"level{depth}")

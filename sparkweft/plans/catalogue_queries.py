@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import catalog, embedding, ledger, listing, mutations
+from ..operators import catalog, embedding, intervals, ledger, listing, mutations
 from ..operators.scope import Scope, in_application
 from ..sources.binding import Bound
 from .registry import LEDGER, QUEUE, SOURCES, STRATEGY, TREE, _documents, _ledger, _queue, query
@@ -335,3 +335,27 @@ def attributed_calls(b: Bound) -> DataFrame:
     rows = b.usage.select("extraction_id")
     both = rows.where(i % 4 == 0).withColumns({c: F.concat(v, i % 7) if c.endswith("_id") else v for c, v in user.items()}).unionByName(rows.where(i % 4 != 0).withColumns({c: F.concat(v, i % 5) if c.endswith("_id") else v for c, v in credential.items()}))
     return both.groupBy(ledger.trigger_key("triggered_by_kind", "triggered_by_user_id", "triggered_by_credential_id").alias("trigger")).agg(F.count("*").alias("n"))
+
+
+PAIRS = f"""WITH RECURSIVE {TREE}, pairs(root, id, d) AS (SELECT id, id, 0 FROM t UNION ALL SELECT root, t.id, d + 1 FROM pairs JOIN t ON t.parent = pairs.id)"""
+
+
+@query(f"{PAIRS}, up AS (SELECT id, max(d) AS depth FROM pairs GROUP BY 1) SELECT root AS id, any_value(depth) AS depth, count(*) AS size FROM pairs JOIN up ON up.id = root GROUP BY 1")
+def tree_numbers(b: Bound) -> DataFrame:
+    """Depth and size of every subject's subtree, from its interval."""
+    return intervals.numbered(b.subjects).select("id", "depth", (F.col("last") - F.col("first") + 1).alias("size"))
+
+
+@query(f"{PAIRS} SELECT root, id FROM pairs")
+def tree_below(b: Bound) -> DataFrame:
+    """Every subject with each subject of its subtree, by a join of dyadic blocks."""
+    numbers = intervals.numbered(b.subjects)
+    return intervals.below(numbers, numbers)
+
+
+@query(f"{PAIRS}, moves AS (SELECT id, (SELECT min(id) FROM t) + id % 7 AS \"to\" FROM t) SELECT m.id, m.to FROM moves m JOIN pairs p ON p.root = m.id AND p.id = m.to")
+def tree_refused_moves(b: Bound) -> DataFrame:
+    """Of a move for each subject, those that would close a cycle."""
+    least = b.raw("customer").agg(F.min("c_custkey").alias("_least"))
+    moves = b.subjects.select("id").join(F.broadcast(least)).select("id", (F.col("_least") + F.col("id") % 7).alias("to"))
+    return intervals.refused(intervals.numbered(b.subjects), moves)

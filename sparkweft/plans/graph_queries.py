@@ -266,7 +266,7 @@ best AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id OR
 def _bm25(b: Bound) -> tuple[DataFrame, DataFrame]:
     from ..scratch import Scratch
 
-    index = fulltext.build(b.raw("documents").select(F.col("doc_id").alias("id"), "text"), Scratch(b.spark, "fulltext_index").base, per_block=128)
+    index = fulltext.build(b.raw("documents").select(F.col("doc_id").alias("id"), "text"), Scratch(b.spark, "fulltext_index").base)
     return fulltext.search(index, b.raw("benchmark").select(F.col("item_id").alias("query_id"), fulltext.text_words(F.col("text")).alias("words")))
 
 
