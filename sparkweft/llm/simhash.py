@@ -94,12 +94,13 @@ def _buckets(docs: DataFrame, key: str, rows: int, most: int = 4096) -> Column:
     if size["lo"] is None or wanted == 1:
         return F.lit(0).cast("long")
     cuts = docs.approxQuantile(key, [k / outer for k in range(1, outer)], 0.25 / outer) if outer > 1 else []
-    bounds = sorted({size["lo"], *map(int, cuts)})
-    ends = F.array(*[F.lit(x) for x in [*bounds[1:], size["hi"] + 1]])
+    bounds = sorted({size["lo"], *(min(max(int(c), size["lo"]), size["hi"]) for c in cuts)})
+    ends = F.array(*[F.lit(x) for x in [*bounds[1:], size["hi"]]])
     begins = F.array(*[F.lit(x) for x in bounds])
     nth = F.greatest(F.lit(1), F.size(F.filter(begins, lambda x: x <= F.col(key))))
-    lo, hi = F.element_at(begins, nth), F.element_at(ends, nth)
-    within = F.least(F.lit(inner - 1), F.floor((F.col(key) - lo) / (hi - lo) * inner)) if inner > 1 else F.lit(0)
+    # as doubles: ids at both ends of a long are too far apart for one
+    lo, hi = (F.element_at(x, nth).cast("double") for x in (begins, ends))
+    within = F.least(F.lit(inner - 1), F.floor((F.col(key).cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)) * inner)) if inner > 1 else F.lit(0)
     return F.when(F.col(key).isNull(), len(bounds) * inner).otherwise((nth - 1) * inner + within).cast("long")
 
 
@@ -128,8 +129,10 @@ def edited_fingerprints(docs: DataFrame, bucket_rows: int = 1024, radius: int =
     scratch = Scratch(spark, "simhash")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_bucket", _buckets(docs, "doc_id", bucket_rows))
     heads = rows.groupBy("_bucket").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text")).alias("_head"))
+    # a range's predecessor is found among the ranges' numbers alone, a long each
     before = F.coalesce(F.lag("_bucket").over(W.orderBy("_bucket")), F.max("_bucket").over(W.partitionBy()))
-    visits = heads.select(before.alias("_bucket"), F.col("_head.doc_id").alias("doc_id"), F.col("_head.text").alias("text"), F.lit(1).alias("_visit"))
+    ranges = scratch.save(rows.select("_bucket").distinct().select("_bucket", before.alias("_before")), "ranges")
+    visits = heads.join(ranges, "_bucket").select(F.col("_before").alias("_bucket"), F.col("_head.doc_id").alias("doc_id"), F.col("_head.text").alias("text"), F.lit(1).alias("_visit"))
     order = W.partitionBy("_bucket").orderBy("_visit", F.asc_nulls_last("doc_id"), "text")
     placed = rows.withColumn("_visit", F.lit(0)).unionByName(visits).select(
         "_bucket", "_visit", "doc_id", "text", F.row_number().over(order).alias("_nth"), F.lead("text").over(order).alias("_next")).where("_visit = 0")
@@ -141,8 +144,7 @@ def edited_fingerprints(docs: DataFrame, bucket_rows: int = 1024, radius: int =
     made = made.groupBy("_bucket", "_nth", "doc_id", "n_chars", "edited_sha256").agg(
         F.max(F.when(F.col("_which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("_which") == 1, F.col("fp"))).alias("efp"))
     made = scratch.save(made, "fingerprints")
-    first = made.where("_nth = 1").select(
-        F.coalesce(F.lag("_bucket").over(W.orderBy("_bucket")), F.max("_bucket").over(W.partitionBy())).alias("_bucket"), F.col("fp").alias("_after"))
+    first = made.where("_nth = 1").join(ranges, "_bucket").select(F.col("_before").alias("_bucket"), F.col("fp").alias("_after"))
     follow = F.lead("fp").over(W.partitionBy("_bucket").orderBy("_nth"))
     out = made.withColumn("_lead", follow).join(first, "_bucket", "left").withColumn("_lead", F.coalesce("_lead", "_after"))
     out = out.join(near_counts(made.select("fp"), radius), "fp")

@@ -152,3 +152,45 @@ def test_trie_of_many_copies_and_of_a_long_one(spark):
     assert got[1000, 0]["n_children"] == 2 and got[1000, 0]["saved_tokens"] == 3 * 299 * 2 and got[1000, 0]["n_leaves"] == 2
     assert got[20_000, 500]["n_children"] == 0 and got[20_000, 500]["parent_conv_id"] == 20_000 and len(got) == 1 + 3 + 500
     assert prefixes.conversation_trie(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+# what earlier operators do with ids at both ends of a long and with vectors of several lengths
+
+def test_ids_at_both_ends_of_a_long(spark):
+    from sparkweft.llm import ppm, simhash
+
+    lo, hi = -(1 << 63), (1 << 63) - 1
+    ids = [lo, lo + 1, -5, 0, 1, 2, 3, hi - 1, hi, None, 7, 7, 7]
+    rows = [(i, f"some words of text {k} and more of them here", "s") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = simhash.edited_fingerprints(df, bucket_rows=2).collect()
+    one = simhash.edited_fingerprints(df, bucket_rows=1000).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, one)) and len(got) == len(rows)
+    small = ppm.score_documents(df, F.lit(False), block_bytes=100).collect()
+    whole = ppm.score_documents(df, F.lit(False)).collect()
+    key = lambda rows: sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 9)) for r in rows)
+    assert key(small) == key(whole)
+
+
+def test_vectors_of_another_length_take_no_part(spark):
+    from sparkweft.llm import ann
+
+    rng = np.random.default_rng(0)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(30)] + [(100, [1.0] * 8), (200, [1.0] * 3)]
+    got = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 10 == 0, k=3).collect()
+    assert {r["query_id"] for r in got} == {0, 10, 20} and {r["vec_id"] for r in got} <= set(range(30)) and len(got) == 9
+
+
+@pytest.mark.parametrize("name", ["op4_warc", "op8_recompression", "op9_url_filter", "op11_external_shuffle", "op12_shallot", "op13_prefix_trie"])
+def test_queries_on_a_given_table(spark, name):
+    """The registered query on the smallest tables, against its SQL where it has one."""
+    sf = "/root/testdata/sf0.001"
+    rows = queries.queries()[name](spark, sf)
+    got = sorted(repr(tuple(r[c] for c in sorted(rows.columns))) for r in rows.collect())
+    assert got
+    if sql := queries.oracle_sql().get(name):
+        con = duckdb.connect()
+        for t in ("documents", "embeddings", "pages", "conversations"):
+            con.sql(f"create view {t} as from '{sf}/{t}.parquet'")
+        r = con.sql(sql)
+        assert got == sorted(repr(tuple(x[r.columns.index(c)] for c in sorted(r.columns))) for x in r.fetchall())
