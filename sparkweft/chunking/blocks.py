@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -48,68 +49,109 @@ def blocks_of(units: DataFrame) -> DataFrame:
         F.flatten(F.transform("parts", lambda p: F.transform(p["u"], lambda x: x["unit"]))).alias("units"), "page_start", "page_end")
 
 
-def packed(parts: list[str], sep: str, room: int, split=None) -> Iterator[str]:
-    """Joins parts up to ``room`` characters; a part that starts a group and is too long itself
-    goes to ``split``, if it says so, but for the first of all."""
-    held: list[str] = []
-    for part in parts:
-        if held and len(sep.join([*held, part])) > room:
-            yield sep.join(held)
-            held = []
-            pieces = split(part) if split else None
-            if pieces is not None:
-                yield from pieces
-                continue
-        held.append(part)
-    if held:
-        yield sep.join(held)
-
-
-def split_block(content: str, kind: str, prefix: int, target: int, soft: int, hard: int) -> list[tuple[str, str]]:
-    """Chunks of a block that is too large as a whole; sizes are in tokens of four characters."""
+def runs(size: np.ndarray, between: int, room: int) -> np.ndarray:
+    """For each part, where a run that begins with it ends: as many parts as ``room`` holds with
+    ``between`` characters from one to the next, one at least."""
+    end = np.cumsum(size + between) - between
+    return np.maximum(np.searchsorted(end, end - size + room, side="right"), np.arange(1, len(size) + 1))
+
+
+def packed(parts: list[str], sep: str, room: int, split=None, always: bool = False) -> Iterator[str]:
+    """Runs of parts of ``room`` characters at most. A part goes to ``split`` instead, which may
+    leave it whole, if it would begin a run right after another one, or ``always``."""
+    stop, at, after_run = runs(np.array([len(x) for x in parts], int), len(sep), room), 0, False
+    while at < len(parts):
+        pieces = split(parts[at]) if split and (always or after_run) else None
+        if pieces is None:
+            yield sep.join(parts[at : stop[at]])
+        else:
+            yield from pieces
+        at, after_run = (stop[at], True) if pieces is None else (at + 1, False)
+
+
+def cut(text: str, room: int) -> list[str]:
+    """The text in pieces of ``room`` characters at most, between words; only a word that is longer is
+    cut itself. What stands between the words of a piece stays."""
+    room = max(room, 1)
+    spans = [(b, min(b + room, m.end())) for m in re.finditer(r"\S+", text) for b in range(m.start(), m.end(), room)]
+    if not spans:
+        return []
+    begin, end = np.array(spans).T
+    stop, at, out = np.maximum(np.searchsorted(end, begin + room, side="right"), np.arange(1, len(end) + 1)), 0, []
+    while at < len(end):
+        out.append(text[begin[at] : end[stop[at] - 1]])
+        at = stop[at]
+    return out
+
+
+def split_block(content: str, kind: str, prefix: int, target: int, soft: int, hard: int, strict: bool = False) -> list[tuple[str, str]]:
+    """Chunks of a block that is too large as a whole; sizes are in tokens of four characters.
+
+    As the survey has it, a paragraph or sentence that comes first stays whole, and words are
+    counted where tokens are meant, so chunks may be over ``hard``; ``strict`` holds every chunk to it.
+    """
     room = lambda tokens: 4 * tokens + 3 - prefix  # noqa: E731  longest content of so many tokens
     lines = content.strip().split("\n")
-    if kind == "figure":
-        return [(content, kind)]
-    if kind == "key_value":
-        return [(content, kind)] if len(content) <= room(hard) else [(c, kind) for c in packed(lines, "\n", room(target))]
-    if kind == "table" and len(lines) > 2 and re.match(ROW, lines[0]) and re.match(RULE, lines[1]):
-        head = "\n".join(lines[:2])
-        return [(f"{head}\n{rows}", kind) for rows in packed(lines[2:], "\n", room(target) - len(head) - 1)]
 
     def by_words(text: str):
+        if len(text) <= room(hard):
+            return None
         words = text.split()
-        return [" ".join(words[k : k + 4 * target]) for k in range(0, len(words), 4 * target)] if len(text) > room(hard) else None
+        return cut(text, room(target)) if strict else [" ".join(words[k : k + 4 * target]) for k in range(0, len(words), 4 * target)]
 
     def by_sentences(text: str):
         sentences = [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
-        return list(packed(sentences, " ", room(target), by_words)) if len(text) > room(soft) else None
+        return list(packed(sentences, " ", room(target), by_words, strict)) if len(text) > room(soft) else None
 
-    paragraphs = [p.strip() for p in re.split(r"\n\s*\n", content) if p.strip()]
-    return [(c, "text") for c in packed(paragraphs, "\n\n", room(target), by_sentences)]
+    if kind == "figure" or kind == "key_value" and len(content) <= room(hard):
+        made = [(content, kind)]
+    elif kind == "key_value":
+        made = [(c, kind) for c in packed(lines, "\n", room(target))]
+    elif kind == "table" and len(lines) > 2 and re.match(ROW, lines[0]) and re.match(RULE, lines[1]):
+        head = "\n".join(lines[:2])
+        wide = max(room(target) - len(head) - 1, 1)
+        rows = packed(lines[2:], "\n", wide, lambda row: cut(row, wide) if len(row) > wide else None, True) if strict and wide > 1 else packed(lines[2:], "\n", room(target) - len(head) - 1)
+        made = [(f"{head}\n{r}", kind) for r in rows]
+    else:
+        paragraphs = [p.strip() for p in re.split(r"\n\s*\n", content) if p.strip()]
+        made = [(c, "text") for c in packed(paragraphs, "\n\n", room(target), by_sentences, strict)]
+    return [(piece, k) for c, k in made for piece in (cut(c, room(target)) if strict and len(c) > room(hard) else [c])]
 
 
-def chunks_of(blocks: DataFrame, target: int = 500, soft: int = 600, hard: int = 1200) -> DataFrame:
+def chunks_of(blocks: DataFrame, target: int = 500, soft: int = 600, hard: int = 1200, strict: bool = False) -> DataFrame:
     """doc, chunk_index, block, content, embedding_text, token_count, content_type, path, units,
     page_start, page_end. Whole blocks up to ``soft`` tokens stay in the engine; only larger ones
     go through the Python splitter, a row at a time.
+
+    With ``strict`` no chunk has more than ``hard`` tokens and none of the content's words is lost:
+    what is too long is cut between words, and a word that is itself too long within it. A path of
+    more than a quarter of ``hard`` is shortened in the embedding text; ``path`` keeps it whole.
     """
+    most = max(hard, 16)  # characters, a quarter of so many tokens
+
+    def text_of(path, content):
+        if not strict:
+            return embedding_text(path, content)
+        short = F.transform(path, lambda t: F.substring(t, F.lit(1), F.greatest(F.floor(F.lit(most) / F.greatest(F.size(path), F.lit(1))).cast("int") - 3, F.lit(1))))
+        kept = F.slice(short, F.greatest(F.size(path) - most // 8, F.lit(0)) + 1, F.lit(most // 8))
+        return embedding_text(F.when(F.length(F.array_join(path, " > ")) > most, kept).otherwise(path), content)
+
     body = F.array_except("kinds", F.array(F.lit("heading")))
     kind = F.when((F.size(body) == 1) & body[0].isin("table", "key_value", "figure"), body[0]).otherwise("mixed")
-    sized = blocks.where("trim(content) != ''").withColumn("content_type", kind).withColumn("n", token_count(embedding_text(F.col("path"), F.col("content"))))
-    prefix = F.length(embedding_text(F.col("path"), F.lit("")))
+    sized = blocks.where("trim(content) != ''").withColumn("content_type", kind).withColumn("n", token_count(text_of(F.col("path"), F.col("content"))))
+    prefix = F.length(text_of(F.col("path"), F.lit("")))
     cols = ["doc", "block", "part", "content", "content_type", "path", "units", "page_start", "page_end"]
     whole = sized.where(F.col("n") <= soft).withColumn("part", F.lit(0)).select(*cols)
     large = sized.where(F.col("n") > soft).withColumn("part", F.lit(0)).withColumn("prefix", prefix).select(*cols, "prefix")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [row | {"content": c, "content_type": k, "part": n} for row in pdf.to_dict("records") for n, (c, k) in enumerate(split_block(row["content"], row["content_type"], row["prefix"], target, soft, hard))]
+            rows = [row | {"content": c, "content_type": k, "part": n} for row in pdf.to_dict("records") for n, (c, k) in enumerate(split_block(row["content"], row["content_type"], row["prefix"], target, soft, hard, strict))]
             yield pd.DataFrame(rows, columns=[*cols, "prefix"]).drop(columns="prefix")
 
     schema = whole.schema
     out = whole.unionByName(large.mapInPandas(run, schema))
-    text = embedding_text(F.col("path"), F.col("content"))
+    text = text_of(F.col("path"), F.col("content"))
     return out.select("doc", (F.row_number().over(W.partitionBy("doc").orderBy("block", "part")) - 1).alias("chunk_index"), "block", "content", text.alias("embedding_text"),
                       token_count(text).alias("token_count"), "content_type", "path", "units", "page_start", "page_end")
 

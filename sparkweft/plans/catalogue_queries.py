@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import catalog, embedding, intervals, ledger, listing, mutations
 from ..operators.scope import Scope, in_application
+from ..scratch import Scratch
 from ..sources.binding import Bound
+from ..streaming import leases
 from .registry import LEDGER, QUEUE, SOURCES, STRATEGY, TREE, _documents, _ledger, _queue, query
 
 OWNED_TREE = TREE + ", o AS (SELECT t.*, n_regionkey AS tenant FROM t JOIN nation ON n_nationkey = app)"
@@ -359,3 +361,21 @@ def tree_refused_moves(b: Bound) -> DataFrame:
     least = b.raw("customer").agg(F.min("c_custkey").alias("_least"))
     moves = b.subjects.select("id").join(F.broadcast(least)).select("id", (F.col("_least") + F.col("id") % 7).alias("to"))
     return intervals.refused(intervals.numbered(b.subjects), moves)
+
+
+@query("""SELECT doc_id AS chunk_id, CASE doc_id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'pending' ELSE 'failed' END AS embedding_status, CASE doc_id % 4 WHEN 3 THEN 3 ELSE 1 END AS attempt_count,
+CASE doc_id % 4 WHEN 2 THEN 'refused' WHEN 3 THEN 'lease lost' END AS error FROM documents""")
+def queue_leases(b: Bound) -> DataFrame:
+    """The queue of all documents as a stream of events: some are done, some refused, some are
+    claimed once or thrice by workers that are never heard of again."""
+    scratch = Scratch(b.spark, "queue")
+    i = F.col("doc_id")
+    event = lambda kind, second: F.struct(F.lit(kind).alias("kind"), F.timestamp_seconds(F.lit(1_700_000_000 + second)).alias("at"))
+    ending = F.when(i % 4 == 0, F.array(event("done", 20))).when(i % 4 == 2, F.array(event("failed", 20))).when(i % 4 == 3, F.array(event("claimed", 1000), event("claimed", 2000))).otherwise(F.array().cast("array<struct<kind:string,at:timestamp>>"))
+    own = b.raw("documents").select(i.alias("chunk_id"), F.explode(F.concat(F.array(event("enqueued", 0), event("claimed", 10)), ending)).alias("e"))
+    last = b.spark.range(1).select(F.lit(-1).cast("long").alias("chunk_id"), event("enqueued", 100_000).alias("e"))  # a later time, by which all leases have ended
+    events = own.unionByName(last).select("chunk_id", F.lit("s").alias("strategy_id"), "e.kind", F.lit("h").alias("input_hash"), "e.at", F.when(F.col("e.kind") == "failed", "refused").alias("error"))
+    scratch.save(events, "events")
+    leases.lease_stream(b.spark, f"{scratch.base}/events", f"{scratch.base}/changes", f"{scratch.base}/state").awaitTermination()
+    changes = b.spark.read.option("basePath", f"{scratch.base}/changes").parquet(f"{scratch.base}/changes")
+    return leases.queue_of(changes).where("chunk_id >= 0").select("chunk_id", "embedding_status", "attempt_count", "error")

@@ -507,6 +507,17 @@ def chunk_coverage(b: Bound) -> DataFrame:
     return blocks.content_coverage(blocks.chunks_of(made), made).select("doc", "enough")
 
 
+@query("SELECT doc_id AS doc, CAST(0 AS bigint) AS over_hard, CAST(0 AS bigint) AS lost_words FROM documents WHERE regexp_matches(text, '[^\\s]')")
+def chunks_strict(b: Bound) -> DataFrame:
+    """Small strict chunks: none is over the hard size, and no word of a block is lost."""
+    made = blocks.blocks_of(units.with_paths(units.units_of(_readings(b))))
+    cut = blocks.chunks_of(made, 50, 60, 120, strict=True)
+    words = lambda c: F.sum(F.regexp_count(c, F.lit(r"\S+")))
+    held = cut.groupBy("doc").agg(F.count_if(F.col("token_count") > 120).alias("over_hard"), words("content").alias("held"))
+    whole = made.groupBy("doc").agg(words("content").alias("whole"))
+    return held.join(whole, "doc").select("doc", "over_hard", F.greatest(F.col("whole") - F.col("held"), F.lit(0)).cast("long").alias("lost_words"))
+
+
 @query("SELECT doc_id AS doc, CAST(len(string_split(text, chr(10))) AS bigint) AS lines FROM documents")
 def reading_lines(b: Bound) -> DataFrame:
     return units.lines_of(_readings(b)).groupBy("doc").agg(F.count("*").alias("lines"))

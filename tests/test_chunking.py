@@ -1,3 +1,5 @@
+import random
+
 from sparkweft.chunking import blocks, units
 
 RECORD = "# Staff Record\n## Profile\nName: Dana Roe\nCity: Pune\n\n## Job\nEmployer: Northwind"
@@ -49,3 +51,57 @@ def test_large_blocks_split(spark):
     chunks = blocks.chunks_of(blocks.blocks_of(parsed(spark, f"# T\n{text}"))).collect()
     assert sum(len(c["content"].split()) for c in chunks) == 1800
     assert sorted(c["chunk_index"] for c in chunks) == list(range(len(chunks)))
+
+
+def strict(content, kind="mixed", prefix=0, target=50, soft=60, hard=120):
+    got = blocks.split_block(content, kind, prefix, target, soft, hard, strict=True)
+    assert all(len(c) <= 4 * hard + 3 - prefix for c, _ in got), [len(c) for c, _ in got]
+    return [c for c, _ in got]
+
+
+def test_strict_sizes():
+    rng = random.Random(4)
+    sentence = " ".join(f"w{k}" for k in range(6000))
+    assert " ".join(strict(sentence)) == sentence and len(blocks.split_block(sentence, "mixed", 0, 50, 60, 120)) == 1
+    assert "".join(strict("x" * 5000)) == "x" * 5000
+    rows = [f"| {k} | {'long cell ' * (200 if k == 3 else 2)}|" for k in range(20)]
+    table = strict("\n".join(["| a | b |", "|---|---|", *rows]), "table")
+    assert all(c.startswith("| a | b |\n|---|---|\n") for c in table) and sum(c.count("cell") for c in table) == 19 * 2 + 200
+    for kind in ("figure", "key_value"):
+        text = "[Figure: " + "very " * 400 + "]\n" + "Name: " + "value " * 300
+        assert [w for c in strict(text, kind) for w in c.split()] == text.split()
+    for _ in range(60):
+        text = "".join(rng.choice(["a", "bb ", "ccc. ", "dd! ", "\n", "\n\n", "e" * 300]) for _ in range(rng.randrange(0, 300)))
+        assert "".join(w for c in strict(text, prefix=rng.randrange(0, 100)) for w in c.split()) == "".join(text.split())
+
+
+def plain_packed(parts, sep, room, split=None):
+    held = []
+    for part in parts:
+        if held and len(sep.join([*held, part])) > room:
+            yield sep.join(held)
+            held, pieces = [], split(part) if split else None
+            if pieces is not None:
+                yield from pieces
+                continue
+        held.append(part)
+    if held:
+        yield sep.join(held)
+
+
+def test_packing_is_that_of_a_plain_scan():
+    rng = random.Random(5)
+    halves = lambda x: [x[:9], x[9:]] if len(x) > 9 else None
+    for _ in range(400):
+        parts = ["y" * rng.randrange(0, 15) for _ in range(rng.randrange(0, 12))]
+        for split in (None, halves):
+            assert list(blocks.packed(parts, ", ", 12, split)) == list(plain_packed(parts, ", ", 12, split))
+
+
+def test_strict_chunks_with_a_long_path(spark):
+    text = f"# {'title ' * 300}\n## {'more ' * 10}\n" + "word " * 3000
+    made = blocks.blocks_of(parsed(spark, text))
+    got = blocks.chunks_of(made, 50, 60, 120, strict=True).collect()
+    assert max(r["token_count"] for r in got) <= 120 and sum(r["content"].count("word") for r in got) == 3000
+    assert all(r["embedding_text"].startswith("Section: ") and len(r["path"][0]) > 1000 for r in got)
+    assert max(r["token_count"] for r in blocks.chunks_of(made, 50, 60, 120).collect()) > 120
