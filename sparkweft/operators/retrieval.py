@@ -11,12 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def nearest_chunks(chunks: DataFrame, queries: DataFrame, k: int = 50, query_block: int = 256) -> DataFrame:
+def nearest_chunks(chunks: DataFrame, queries: DataFrame, k: int = 50, query_block: int = 4096) -> DataFrame:
     """query_id, chunk_id, similarity, rank: each query's k chunks of greatest cosine.
 
-    ``queries`` has query_id and vector. A block of queries, bounded by ``query_block``, is
-    broadcast against all chunks as matrix products; each task keeps its own k for each query, so
-    what meets in the last step is k rows a task and query. Zero vectors have similarity 0; chunks and
+    ``queries`` has query_id and vector. A scan of all chunks takes ``query_block`` queries,
+    which are broadcast, as matrix products of 256 of them; each task keeps its own k for each
+    query, so what meets in the last step is k rows a task and query. With many queries the
+    chunks should be a written table, as each block reads them. Zero vectors have similarity 0; chunks and
     queries whose vector is null, holds nulls or has another dimension take no part.
     """
     spark = chunks.sparkSession
@@ -40,13 +41,16 @@ def nearest_chunks(chunks: DataFrame, queries: DataFrame, k: int = 50, query_blo
                     continue
                 batch = batch.take(pc.sort_indices(batch["chunk_id"]))  # a stable sort by similarity leaves ties by id
                 v = batch["embedding"].flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
-                scale = np.outer(np.linalg.norm(v, axis=1), qn)
-                sim = np.divide(v @ q.T, scale, out=np.zeros_like(scale), where=scale > 0)
-                at = np.argsort(-sim, axis=0, kind="stable")[:k]
-                near = batch["chunk_id"].take(pa.array(at.T.ravel())).to_pandas()
-                made = pd.DataFrame({"query_id": np.repeat(ids, len(at)), "chunk_id": near, "similarity": np.take_along_axis(sim, at, 0).T.ravel()})
-                best = made if best is None else pd.concat([best, made])
-                best = best.sort_values(["query_id", "similarity", "chunk_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+                vn = np.linalg.norm(v, axis=1)
+                made = [best] if best is not None else []
+                for x in range(0, len(q), 256):
+                    some, size = slice(x, x + 256), qn[x : x + 256]
+                    scale = np.outer(vn, size)
+                    sim = np.divide(v @ q[some].T, scale, out=np.zeros_like(scale), where=scale > 0)
+                    at = np.argsort(-sim, axis=0, kind="stable")[:k]
+                    near = batch["chunk_id"].take(pa.array(at.T.ravel())).to_pandas()
+                    made.append(pd.DataFrame({"query_id": np.repeat(ids[some], len(at)), "chunk_id": near, "similarity": np.take_along_axis(sim, at, 0).T.ravel()}))
+                best = pd.concat(made).sort_values(["query_id", "similarity", "chunk_id"], ascending=[True, False, True]).groupby("query_id").head(k)
             if best is not None:
                 yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 

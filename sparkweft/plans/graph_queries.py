@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import answers, embedding, extraction, fulltext, graph, ivf, memory, mutations, small_world
+from ..scratch import Scratch
 from ..sources.binding import Bound
-from .registry import FACTS, TREE, _mentions, query
+from .registry import FACTS, TREE, _chunks, _mentions, query
 
 #: Entities of the bound graph, with an alias key each.
 ENTITIES = FACTS + """, e AS (SELECT DISTINCT entity_id AS id, split_part(entity_id, ':', 1) AS kind, split_part(entity_id, ':', 2) AS number FROM m WHERE entity_id NOT LIKE 'part:%'),
@@ -63,10 +64,11 @@ def question_seeds(b: Bound) -> DataFrame:
 
 @query()
 def question_search(b: Bound) -> DataFrame:
-    """What every tenth question meets within two hops and its budgets."""
-    some = _questions(b).where("question_id % 10 = 0")
-    found = memory.seeds(some, _entities(b), memory.mentioned(_mentions(b), b.facts.select("source_id")))
-    return graph.budgeted_search(b.facts, found.select("question_id", "entity"))[1]
+    """What every question meets within two hops and its budgets. The facts are written once, as each
+    hop joins them."""
+    facts = Scratch(b.spark, "facts").save(b.facts, "facts")
+    found = memory.seeds(_questions(b), _entities(b), memory.mentioned(_mentions(b), facts.select("source_id")))
+    return graph.budgeted_search(facts, found.select("question_id", "entity"))[1]
 
 
 @query(f"""WITH {FACTS}, inside AS (SELECT * FROM m WHERE source_id % 3 = 0), t AS (SELECT entity_id, count(DISTINCT chunk_id) AS mentions FROM inside GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100)
@@ -195,35 +197,39 @@ STRATEGY = embedding.Strategy("words", "hashing-64", "1", query_template="query:
 
 
 def _passages(b: Bound) -> DataFrame:
-    """Documents of 400 characters at most as live chunks, embedded by the offline model."""
-    docs = b.raw("documents").where("n_chars between 1 and 400")
-    rows = docs.select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 50).alias("source_id"), F.col("text").alias("content"), F.col("text").alias("embedding_text"), F.array("lang", "source").alias("path"), (F.col("doc_id") % 9 + 1).cast("int").alias("page_start"), (F.col("doc_id") % 9 + 1 + F.col("doc_id") % 2).cast("int").alias("page_end"))
+    """The chunks of all documents as live ones, embedded by the offline model; written, as each block
+    of questions reads them."""
+    made = _chunks(b).select((F.col("doc") * 1_000_000 + F.col("chunk_index")).cast("long").alias("chunk_id"), (F.col("doc") % 50).alias("source_id"), "content", "embedding_text", "path", "page_start", "page_end")
+    rows = Scratch(b.spark, "passages").save(made, "rows")
     own = embedding.sweep(embedding.hashed(rows, STRATEGY), STRATEGY, embedding.hashing_embedder(64)).where("embedding_status = 'completed'").select("chunk_id", "embedding")
-    return rows.join(own, "chunk_id")
+    return Scratch(b.spark, "passages").save(rows.join(own, "chunk_id"), "embedded")
+
+
+def _turns(b: Bound) -> DataFrame:
+    """Every turn of a user as a question, whole; ``wrong_text`` refuses the overlong ones."""
+    return b.raw("conversations").where("role = 'user'").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
 
 
 @query()
 def answers_with_evidence(b: Bound) -> DataFrame:
     """Every user turn as a question: nearest, diverse, reranked chunks and the prompt's answer."""
-    asked = b.raw("conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("query_id")).agg(F.min(F.substring("text", 1, 4000)).alias("question"))
     sources = b.sources.select("id", F.concat(F.lit("order-"), "id").alias("filename"))
-    out, evidence = answers.answered(asked, _passages(b), sources, STRATEGY, embedding.hashing_embedder(64), answer=lambda prompts: [str(len(p)) for p in prompts])
+    out, evidence = answers.answered(_turns(b), _passages(b), sources, STRATEGY, embedding.hashing_embedder(64), answer=lambda prompts: [str(len(p)) for p in prompts])
     return out.drop("question").join(evidence.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"].cast("string")), ",").alias("chunks")), "query_id", "left")
 
 
 @query("""SELECT doc_id AS query_id, 'Context chunks:' || chr(10) || chr(10) || '[Chunk 1] Section: ' || lang || ' › ' || source || ' (page ' || (doc_id % 9 + 1) || CASE WHEN doc_id % 2 = 1 THEN '–' || (doc_id % 9 + 2) ELSE '' END || ')' || chr(10) || text
-|| chr(10) || chr(10) || 'Question: why ' || doc_id || chr(10) || chr(10) || 'Answer the question using only the context above.' AS prompt FROM documents WHERE n_chars BETWEEN 1 AND 400""")
+|| chr(10) || chr(10) || 'Question: why ' || doc_id || chr(10) || chr(10) || 'Answer the question using only the context above.' AS prompt FROM documents""")
 def answer_prompts(b: Bound) -> DataFrame:
-    rows = b.raw("documents").where("n_chars between 1 and 400")
+    rows = b.raw("documents")
     i = F.col("doc_id")
     final = rows.select(i.alias("query_id"), F.lit(1).alias("rank"), F.col("text").alias("content"), F.array("lang", "source").alias("path"), (i % 9 + 1).cast("int").alias("page_start"), (i % 9 + 1 + i % 2).cast("int").alias("page_end"))
     return answers.prompts(rows.select(i.alias("query_id"), F.concat(F.lit("why "), i).alias("question")), final)
 
 
-@query("SELECT conv_id AS query_id, 64 AS dimension FROM conversations WHERE role = 'user' GROUP BY 1")
+@query("SELECT conv_id * 100000 + turn AS query_id, 64 AS dimension FROM conversations WHERE role = 'user' AND length(text) <= 4000 AND trim(text) <> ''")
 def query_vectors(b: Bound) -> DataFrame:
-    asked = b.raw("conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("query_id")).agg(F.min(F.substring("text", 1, 4000)).alias("question"))
-    return answers.embedded_questions(asked, STRATEGY, embedding.hashing_embedder(64)).select("query_id", F.size("vector").alias("dimension"))
+    return answers.embedded_questions(_turns(b), STRATEGY, embedding.hashing_embedder(64)).select("query_id", F.size("vector").alias("dimension"))
 
 
 @query()
@@ -236,8 +242,6 @@ def knn_ivf(b: Bound) -> DataFrame:
 
 
 def _small_world(b: Bound, scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    from ..scratch import Scratch
-
     index = small_world.build(b.chunks, Scratch(b.spark, "small_world_index").base)
     asked = b.raw("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
     return small_world.search(index, b.chunks, asked, scope=scope)
@@ -264,8 +268,6 @@ best AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id OR
 
 
 def _bm25(b: Bound) -> tuple[DataFrame, DataFrame]:
-    from ..scratch import Scratch
-
     index = fulltext.build(b.raw("documents").select(F.col("doc_id").alias("id"), "text"), Scratch(b.spark, "fulltext_index").base)
     return fulltext.search(index, b.raw("benchmark").select(F.col("item_id").alias("query_id"), fulltext.text_words(F.col("text")).alias("words")))
 
@@ -297,8 +299,6 @@ SELECT * FROM r WHERE rank <= 5"""
 @query(SCORED)
 def question_seeds_scored(b: Bound) -> DataFrame:
     """Seeds of questions where the full text goes by score instead of by the number of words."""
-    from ..scratch import Scratch
-
     scratch = Scratch(b.spark, "entities")
     entities, counts = scratch.save(_entities(b), "entities"), scratch.save(memory.mentioned(_mentions(b), b.facts.select("source_id")), "counts")
     index = fulltext.build(entities.select("id", F.col("search_text").alias("text")), f"{scratch.base}/index")
