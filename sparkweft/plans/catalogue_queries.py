@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..operators import catalog, embedding, intervals, ledger, listing, mutations
 from ..operators.scope import Scope, in_application
 from ..scratch import Scratch
+from ..sources import store
 from ..sources.binding import Bound
 from ..streaming import leases
 from .registry import LEDGER, QUEUE, SOURCES, STRATEGY, TREE, _documents, _ledger, _queue, query
@@ -379,3 +380,15 @@ def queue_leases(b: Bound) -> DataFrame:
     leases.lease_stream(b.spark, f"{scratch.base}/events", f"{scratch.base}/changes", f"{scratch.base}/state").awaitTermination()
     changes = b.spark.read.option("basePath", f"{scratch.base}/changes").parquet(f"{scratch.base}/changes")
     return leases.queue_of(changes).where("chunk_id >= 0").select("chunk_id", "embedding_status", "attempt_count", "error")
+
+
+@query("SELECT 'documents/' || doc_id AS key, CAST(strlen(text) AS bigint) AS size, sha256(text) AS sha256 FROM documents WHERE doc_id % 5 <> 0")
+def store_round_trip(b: Bound) -> DataFrame:
+    """All documents put into the store, a fifth of them deleted again, and what is there read back."""
+    b.spark.dataSource.register(store.ObjectStore)
+    path = f"{Scratch(b.spark, 'store').base}/objects"
+    key = F.concat(F.lit("documents/"), "doc_id").alias("key")
+    put = lambda df: df.write.format("sparkweft_store").option("path", path).mode("append").save()
+    put(b.raw("documents").select(key, F.col("text").cast("binary").alias("content")))
+    put(b.raw("documents").where("doc_id % 5 = 0").select(key, F.lit(None).cast("binary").alias("content")))
+    return b.spark.read.format("sparkweft_store").option("path", path).load().select("key", "size", "sha256")
