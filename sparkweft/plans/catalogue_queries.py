@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import catalog, embedding, intervals, ledger, listing, mutations
+from ..operators import catalog, embedding, intervals, ledger, listing, mutations, sketches
 from ..operators.scope import Scope, in_application
 from ..scratch import Scratch
 from ..sources import store
@@ -392,3 +392,15 @@ def store_round_trip(b: Bound) -> DataFrame:
     put(b.raw("documents").select(key, F.col("text").cast("binary").alias("content")))
     put(b.raw("documents").where("doc_id % 5 = 0").select(key, F.lit(None).cast("binary").alias("content")))
     return b.spark.read.format("sparkweft_store").option("path", path).load().select("key", "size", "sha256")
+
+
+@query("""SELECT l_returnflag || l_linestatus AS model, count(*) AS calls, true AS near FROM lineitem GROUP BY 1
+UNION ALL SELECT NULL, count(*), true FROM lineitem""")
+def usage_sketches(b: Bound) -> DataFrame:
+    """Calls by model and in all from days' rows, and whether the estimate of distinct extractions
+    is within the stated error of the exact count."""
+    days = sketches.by_day(b.usage, "created_at", ["model"], {"extractions": "extraction_id"})
+    made = sketches.rolled(days, ["model"], ["extractions"], levels=True)
+    exact = b.usage.rollup("model").agg(F.countDistinct("extraction_id").alias("exact")).withColumnRenamed("model", "_model")
+    both = made.join(exact, F.col("model").eqNullSafe(F.col("_model")))
+    return both.select("model", F.col("n").alias("calls"), (F.abs(F.col("extractions") - F.col("exact")) <= sketches.error() * F.col("exact")).alias("near"))
