@@ -11,7 +11,7 @@ from ..operators.scope import Scope, in_application
 from ..scratch import Scratch
 from ..sources import store
 from ..sources.binding import Bound
-from ..streaming import leases
+from ..streaming import changes, leases
 from .registry import LEDGER, QUEUE, SOURCES, STRATEGY, TREE, _documents, _ledger, _queue, query
 
 OWNED_TREE = TREE + ", o AS (SELECT t.*, n_regionkey AS tenant FROM t JOIN nation ON n_nationkey = app)"
@@ -404,3 +404,20 @@ def usage_sketches(b: Bound) -> DataFrame:
     exact = b.usage.rollup("model").agg(F.countDistinct("extraction_id").alias("exact")).withColumnRenamed("model", "_model")
     both = made.join(exact, F.col("model").eqNullSafe(F.col("_model")))
     return both.select("model", F.col("n").alias("calls"), (F.abs(F.col("extractions") - F.col("exact")) <= sketches.error() * F.col("exact")).alias("near"))
+
+
+@query("""SELECT l_orderkey AS source_id, CAST(CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE o_custkey END AS bigint) AS subject_id, count(*) AS lines FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+WHERE l_orderkey % 7 <> 0 AND NOT (l_orderkey % 5 = 1 AND l_linenumber % 3 = 0) GROUP BY 1, 2""")
+def change_feed(b: Bound) -> DataFrame:
+    """The lines of all orders after a feed that deletes some orders, moves some and sends new
+    versions of some, delivered twice."""
+    scratch = Scratch(b.spark, "feed")
+    owners = b.sources.select(F.col("id").alias("l_orderkey"), "subject_id")
+    lines = b.raw("lineitem").join(owners, "l_orderkey").select(F.col("l_orderkey").alias("source_id"), "subject_id", (F.col("l_linenumber") % 3).cast("long").alias("version"))
+    changes.lay_out(lines, f"{scratch.base}/lines", 16)
+    i = F.col("id")
+    kinds = F.concat(*[F.when(when, F.array(F.lit(kind))).otherwise(F.array().cast("array<string>")) for kind, when in (("deleted", i % 7 == 0), ("moved", i % 3 == 0), ("version", i % 5 == 1))])
+    feed = scratch.save(b.sources.select(i.alias("source_id"), F.explode(kinds).alias("kind")).select(F.lit(1).cast("long").alias("seq"), "kind", "source_id", F.lit(1).cast("long").alias("subject_id"), F.lit(1).cast("long").alias("version")), "feed")
+    changes.change_stream(b.spark, f"{scratch.base}/feed", f"{scratch.base}/state", {"lines": f"{scratch.base}/lines"}, 16).awaitTermination()
+    changes.apply(b.spark, feed, {"lines": f"{scratch.base}/lines"}, 16)
+    return changes.current(b.spark, f"{scratch.base}/lines").groupBy("source_id", "subject_id").agg(F.count("*").alias("lines"))
