@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -57,18 +58,48 @@ def word(archive: zipfile.ZipFile) -> list[tuple[str, str]]:
     return [("document", "\n\n".join(out))]
 
 
+def _related(archive: zipfile.ZipFile, part: str) -> dict[str, str]:
+    """What a part's relations lead to, by their ids: names within the archive."""
+    base, name = posixpath.split(part)
+    rels = f"{base}/_rels/{name}.rels"
+    if rels not in archive.namelist():
+        return {}
+    full = lambda t: t.lstrip("/") if t.startswith("/") else posixpath.normpath(f"{base}/{t}")
+    return {x.attrib["Id"]: full(x.attrib["Target"]) for x in ElementTree.fromstring(archive.read(rels)).iter() if _local(x.tag) == "Relationship" and "Id" in x.attrib}
+
+
+def _shapes(node) -> Iterator[str]:
+    """Paragraphs and tables under a node, in order; a table's paragraphs are its cells."""
+    for child in node:
+        kind = _local(child.tag)
+        if kind == "tbl":
+            yield table_text([[_text(c) for c in row if _local(c.tag) == "tc"] for row in child if _local(row.tag) == "tr"])
+        elif kind == "p":
+            yield _text(child)
+        else:
+            yield from _shapes(child)
+
+
 def slides(archive: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """A reading for each slide: its text and tables in order, then its notes."""
     names = sorted((n for n in archive.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-    read = lambda n: [t for p in ElementTree.fromstring(archive.read(n)).iter() if _local(p.tag) == "p" and (t := _text(p)).strip()]
-    return [("slide", "\n\n".join(read(n))) for n in names]
+    text = lambda n: [t for t in _shapes(ElementTree.fromstring(archive.read(n))) if t.strip()]
+    notes = lambda n: [t for to in _related(archive, n).values() if "/notesSlides/" in to and to in archive.namelist() for t in text(to)]
+    return [("slide", "\n\n".join([*text(n), *(["Notes: " + "\n".join(said)] if (said := notes(n)) else [])])) for n in names]
 
 
 def sheets(archive: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """A reading for each sheet in the workbook's order; its relation says which file it is, and
+    where there are no relations files come by number."""
     shared = [_text(x) for x in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")) if _local(x.tag) == "si"] if "xl/sharedStrings.xml" in archive.namelist() else []
-    titles = [x.attrib.get("name", "") for x in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter() if _local(x.tag) == "sheet"]
-    names = sorted((n for n in archive.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+    by_number = sorted((n for n in archive.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+    related, listed = _related(archive, "xl/workbook.xml"), [x.attrib for x in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter() if _local(x.tag) == "sheet"]
+    own = [next((related[v] for k, v in x.items() if _local(k) == "id" and v in related), None) for x in listed]
+    names = [n or (by_number[k] if k < len(by_number) else None) for k, n in enumerate(own)]
     out = []
-    for title, name in zip(titles, names):
+    for title, name in zip((x.get("name", "") for x in listed), names):
+        if name not in archive.namelist():
+            continue
         rows = []
         for row in ElementTree.fromstring(archive.read(name)).iter():
             if _local(row.tag) == "row" and len(rows) < SHEET_ROWS:

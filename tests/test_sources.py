@@ -69,3 +69,27 @@ def test_resolution(spark):
     got = {(names[r["a"]], r["relation"], names[r["b"]], r["raw_relation"]) for r in facts.collect()}
     assert got == {("Orion", "PROVIDES_TO", "Vela Corporation", None), ("Vela Corporation", "USES", "Lumen", None), ("Vela Corporation", "OWNS", "Lumen", "OWNED_BY"), ("Ira", "LOCATED_IN", "Oslo", "LIVES_IN")}
     assert mentions.count() == 8
+
+
+def test_slides_with_tables_and_notes_and_sheets_by_relation():
+    import io
+    import zipfile
+
+    def packed(parts):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for name, text in parts.items():
+                z.writestr(name, text)
+        return zipfile.ZipFile(data)
+
+    p = lambda t: f"<p><r><t>{t}</t></r></p>"
+    table = "<tbl>" + "".join("<tr>" + "".join(f"<tc><txBody>{p(c)}</txBody></tc>" for c in row) + "</tr>" for row in (["a", "b"], ["1", "2"])) + "</tbl>"
+    deck = packed({
+        "ppt/slides/slide1.xml": f"<sld>{p('Title')}<frame>{table}</frame>{p('after')}</sld>", "ppt/slides/slide2.xml": f"<sld>{p('Second')}</sld>",
+        "ppt/slides/_rels/slide1.xml.rels": '<R><Relationship Id="r1" Target="../notesSlides/notesSlide7.xml"/></R>', "ppt/notesSlides/notesSlide7.xml": f"<n>{p('say this')}{p('and that')}</n>"})
+    assert files.slides(deck) == [("slide", "Title\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\nafter\n\nNotes: say this\nand that"), ("slide", "Second")]
+    sheet = lambda v: f"<w><row><c><v>{v}</v></c></row></w>"
+    book = packed({
+        "xl/workbook.xml": '<w xmlns:r="x"><sheet name="First" r:id="b"/><sheet name="Other" r:id="a"/><sheet name="Gone" r:id="z"/></w>', "xl/worksheets/sheet1.xml": sheet(1), "xl/worksheets/sheet2.xml": sheet(2),
+        "xl/_rels/workbook.xml.rels": '<R><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/sheet2.xml"/></R>'})
+    assert [t.split("\n\n") for _, t in files.sheets(book)] == [["## Sheet: First", "| 2 |\n| --- |"], ["## Sheet: Other", "| 1 |\n| --- |"]]
