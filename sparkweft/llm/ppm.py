@@ -33,7 +33,7 @@ from .simhash import _buckets
 
 END = b"\n"
 SIGN = -(1 << 63)
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 def word_key(word: bytes) -> int:
@@ -69,6 +69,16 @@ def _sum_by_key(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.nd
     return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
 
 
+def _merged(key: np.ndarray, n: np.ndarray, more: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of distinct ascending keys, with those of others, also distinct and ascending, added;
+    what is there isn't sorted again."""
+    at = np.searchsorted(key, more)
+    known = at < len(key)
+    known[known] = key[at[known]] == more[known]
+    n[at[known]] += m[known]
+    return np.insert(key, at[~known], more[~known]), np.insert(n, at[~known], m[~known])
+
+
 def _pieces(texts: list[bytes]):
     """Runs of texts of about PIECE bytes."""
     begin, size = 0, 0
@@ -85,7 +95,8 @@ class Listing:
     """The strings and words of a block, with their counts in training documents."""
 
     def __init__(self, order: int):
-        self.order, self.words, self.top, self.texts, self.size = order, Counter(), [], ([], []), 0
+        self.order, self.words, self.texts, self.size = order, Counter(), ([], []), 0
+        self.top = self.known = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def add(self, text: bytes, trains: bool) -> None:
         words = normal(text)
@@ -105,23 +116,16 @@ class Listing:
         for trains, texts in enumerate(self.texts):
             if texts:
                 key, n = np.unique(grams(texts, self.order)[0], return_counts=True)
-                self.top.append((key, n * trains))
+                self.top = _merged(*self.top, key, n * trains)
                 texts.clear()
-        self.size = 0
-        if len(self.top) > 8:
-            self.top = [_sum_by_key(*zip(*self.top))]
+        words = np.fromiter(map(word_key, self.words), np.int64, len(self.words))
+        self.known = _merged(*self.known, *_sum_by_key([words], [np.fromiter(self.words.values(), np.int64, len(self.words))]))
+        self.size, self.words = 0, Counter()
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+    def rows(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Keys and counts of the strings (from 0), then of the words (below 0)."""
         self._count()
-        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if self.top:
-            string, n = _sum_by_key(*zip(*self.top))
-            keys.append(string)
-            counts.append(n)
-        if self.words:
-            keys.append(np.fromiter(map(word_key, self.words), np.int64, len(self.words)))
-            counts.append(np.fromiter(self.words.values(), np.int64, len(self.words)))
-        return _sum_by_key(keys, counts)
+        return [self.top, self.known]
 
 
 def _list_blocks(order: int):
@@ -129,10 +133,10 @@ def _list_blocks(order: int):
         held: dict[int, Listing] = {}
 
         def emit(block):
-            key, n = held.pop(block).rows()
-            for k in range(0, len(key), 1 << 18):
-                part = slice(k, k + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), block, np.int64)), pa.array(key[part]), pa.array(n[part])], names=["block", "key", "n"])
+            for key, n in held.pop(block).rows():
+                for k in range(0, len(key), 1 << 18):
+                    part = slice(k, k + (1 << 18))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), block, np.int64)), pa.array(key[part]), pa.array(n[part])], names=["block", "key", "n"])
 
         for batch in small(batches):
             for block, trains, text in zip(*(batch[c].to_pylist() for c in ("block", "trains", "raw"))):
@@ -143,6 +147,7 @@ def _list_blocks(order: int):
                 held[block].add(text, trains)
         for block in [*held]:
             yield from emit(block)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
     return run
 
 
@@ -282,6 +287,8 @@ def _score_block(order: int, total: int, distinct: int):
             base += np.add.reduceat(np.log10((seen + 1) / (total + distinct + 1)), first).tolist()
             strings, starts = grams([b" ".join(x) + END for x in words], order)
             score += np.add.reduceat(value(strings), starts).tolist()
+        del value
+        pa.default_memory_pool().release_unused()  # the worker goes on to other groups and stages
         return pa.table({
             "doc_id": docs["doc_id"].cast(pa.int64()), "held_out": docs["trains"].to_numpy(zero_copy_only=False) == 0, "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
             "train_tokens": pa.array([total] * len(raws), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
