@@ -16,7 +16,8 @@ The trie grows with the corpus, so it is Spark tables, a level each, and never b
 contexts of at most one byte. Documents are dealt into blocks, ranges of doc_id. A block lists the
 distinct longest strings and words that it holds, with their counts in its training documents; the
 last symbol's probability is a property of a longest string, so it is computed once for each
-distinct one, and a join takes each block those that it listed.
+distinct one, and a join takes each block those that it listed, packed. They stand before the
+block's documents in a sorted partition, so these are scored as they stream by.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, WORD_HASHES, Scratch, raw, small
+from .parts import heads
 from .simhash import _buckets
 
 END = b"\n"
@@ -230,12 +232,14 @@ def string_scores(strings: DataFrame, order: int, scratch: Scratch) -> DataFrame
 
 
 class Values:
-    """A value for each of many distinct integers, in an open hash table that is looked up by arrays."""
+    """Values of distinct integers, in an open hash table of ``room`` that is filled and looked up by arrays."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(3 * len(keys) // 2).bit_length())
+    def __init__(self, room: int):
+        bits = max(4, int(3 * room // 2).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.full(1 << bits, SIGN, np.int64), np.zeros(1 << bits)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         left, at = np.arange(len(keys)), self._first(keys)
         while len(left):
             free = self.keys[at] == SIGN
@@ -266,35 +270,97 @@ class Values:
         return out
 
 
-def _score_block(order: int, total: int, distinct: int):
-    def run(docs: pa.Table, nodes: pa.Table) -> pa.Table:
-        value = Values(nodes["key"].to_numpy(), nodes["value"].to_numpy()).of
+NODES = "block long, n int, keys binary, nodes binary"
+
+
+def _pack_nodes(batches):
+    """For each block of a task's nodes (block, key, value) how many there are, their keys and
+    their values; compressed, as they are most of what the last shuffle moves."""
+    held, size = [], 0
+
+    def flush():
+        nodes = pa.Table.from_batches(held)
+        block, key, value = (nodes[c].to_numpy() for c in ("block", "key", "value"))
+        held.clear()
+        order = np.argsort(block, kind="stable")
+        block = block[order]
+        cuts = np.append(np.flatnonzero(heads(block)), len(block))
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own = order[x:y]  # a join gives keys in order, whose differences are short
+            keys, values = (pa.compress(k.tobytes(), codec="zstd", asbytes=True) for k in (np.diff(key[own], prepend=0), value[own]))
+            yield pa.RecordBatch.from_arrays([pa.array([block[x]], pa.int64()), pa.array([y - x], pa.int32()), pa.array([keys], pa.binary()), pa.array([values], pa.binary())], names=["block", "n", "keys", "nodes"])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= 1 << 20:
+            yield from flush()
+            size = 0
+    if size:
+        yield from flush()
+    pa.default_memory_pool().release_unused()
+
+
+def _table(packs: list[tuple[int, bytes, bytes]]) -> Values:
+    """Nodes of a block, packed; ``packs`` is emptied meanwhile."""
+    made = Values(sum(n for n, _, _ in packs))
+    while packs:
+        n, keys, values = packs.pop()
+        keys, values = (pa.decompress(x, 8 * n, codec="zstd") for x in (keys, values))
+        made.add(np.cumsum(np.frombuffer(keys, np.int64)), np.frombuffer(values, np.float64))
+    return made
+
+
+def _scores(docs: pa.RecordBatch, nodes: Values, order: int, total: int, distinct: int) -> pa.RecordBatch:
+    n_tokens, n_known, base, score = [], [], [], []
+    raws = docs["raw"].to_pylist()
+    for a, b in _pieces(raws):
+        words = [normal(text) for text in raws[a:b]]
+        sizes = np.array([len(x) + 1 for x in words])
+        ends = np.cumsum(sizes) - 1
+        hashes = np.full(int(sizes.sum()), WORD_HASHES[END], np.uint64)
+        inner = np.ones(len(hashes), bool)
+        inner[ends] = False
+        hashes[inner] = np.fromiter((h for x in words for h in map(WORD_HASHES.__getitem__, x)), np.uint64, int(inner.sum()))
+        seen = nodes.of((hashes >> np.uint64(1)).astype(np.int64) + np.int64(SIGN))
+        first = ends - sizes + 1
+        n_tokens += sizes.tolist()
+        n_known += np.add.reduceat((seen > 0).astype(np.int64), first).tolist()
+        base += np.add.reduceat(np.log10((seen + 1) / (total + distinct + 1)), first).tolist()
+        strings, starts = grams([b" ".join(x) + END for x in words], order)
+        score += np.add.reduceat(nodes.of(strings), starts).tolist()
+    return pa.RecordBatch.from_arrays([
+        docs["doc_id"], pa.array(docs["trains"].to_numpy() == 0), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
+        pa.array([total] * len(raws), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())],
+        names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+
+def _score_blocks(order: int, total: int, distinct: int):
+    """Scores of documents that come block after block, each block's packed nodes before its
+    documents. A task holds one block's table and few documents, never a block's texts."""
+    def run(batches):
+        now, packs, nodes = None, [], None
+        for batch in small(batches):
+            block, is_doc = batch["block"].to_numpy(), batch["trains"].is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.append(np.flatnonzero(heads(block, is_doc)), len(block))
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                part = batch.slice(x, y - x)
+                if block[x] != now:
+                    now, packs, nodes = block[x], [], None
+                if not is_doc[x]:
+                    packs += zip(*(part[c].to_pylist() for c in ("n", "keys", "nodes")))
+                    continue
+                if nodes is None:
+                    nodes = _table(packs)
+                yield _scores(part, nodes, order, total, distinct)
         del nodes
-        n_tokens, n_known, base, score = [], [], [], []
-        raws = docs["raw"].to_pylist()
-        for a, b in _pieces(raws):
-            words = [normal(text) for text in raws[a:b]]
-            sizes = np.array([len(x) + 1 for x in words])
-            ends = np.cumsum(sizes) - 1
-            hashes = np.full(int(sizes.sum()), WORD_HASHES[END], np.uint64)
-            inner = np.ones(len(hashes), bool)
-            inner[ends] = False
-            hashes[inner] = np.fromiter((h for x in words for h in map(WORD_HASHES.__getitem__, x)), np.uint64, int(inner.sum()))
-            seen = value((hashes >> np.uint64(1)).astype(np.int64) + np.int64(SIGN))
-            first = ends - sizes + 1
-            n_tokens += sizes.tolist()
-            n_known += np.add.reduceat((seen > 0).astype(np.int64), first).tolist()
-            base += np.add.reduceat(np.log10((seen + 1) / (total + distinct + 1)), first).tolist()
-            strings, starts = grams([b" ".join(x) + END for x in words], order)
-            score += np.add.reduceat(value(strings), starts).tolist()
-        del value
-        pa.default_memory_pool().release_unused()  # the worker goes on to other groups and stages
-        return pa.table({
-            "doc_id": docs["doc_id"].cast(pa.int64()), "held_out": docs["trains"].to_numpy(zero_copy_only=False) == 0, "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-            "train_tokens": pa.array([total] * len(raws), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
     return run
 
 
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
 def score_documents(docs: DataFrame, held_out: Column, order: int = 5, block_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
@@ -308,7 +374,7 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 5, block_byt
     scratch = Scratch(spark, "ppm")
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     if not size["n"]:
-        return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return spark.createDataFrame([], SCORES)
     block = _buckets(docs, "doc_id", max(1, size["n"] // max(1, -(-(size["bytes"] or 0) // block_bytes))))
     dealt = docs.select("doc_id", raw("text").alias("raw"), (~F.coalesce(held_out, F.lit(False))).cast("int").alias("trains"), block.alias("block"))
     listed = scratch.save(dealt.select("block", "trains", "raw").mapInArrow(_list_blocks(order), "block long, key long, n long"), "listed")
@@ -317,6 +383,9 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 5, block_byt
     known = words.where("cnt > 0").agg(F.sum("cnt").alias("total"), F.count("*").alias("n")).first()
     scored = string_scores(counts.where("key >= 0").select(F.col("key").alias("s"), "cnt"), order, scratch)
     values = words.select("key", F.col("cnt").cast("double").alias("value")).unionByName(scored.select(F.col("s").alias("key"), "value"))
-    nodes = listed.select("block", "key").join(values, "key")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(nodes.groupBy("block")).applyInArrow(_score_block(order, known["total"] or 0, known["n"]), schema)
+    nodes = listed.select("block", "key").join(values, "key").select("block", "key", "value").mapInArrow(_pack_nodes, NODES)
+    none = lambda kind: F.lit(None).cast(kind)
+    both = nodes.select("block", none("int").alias("trains"), none("long").alias("doc_id"), none("binary").alias("raw"), "n", "keys", "nodes").unionByName(
+        dealt.select("block", "trains", F.col("doc_id").cast("long").alias("doc_id"), "raw", none("int").alias("n"), none("binary").alias("keys"), none("binary").alias("nodes")))
+    # nodes stand first, as they have no trains
+    return both.repartition("block").sortWithinPartitions("block", F.asc_nulls_first("trains")).mapInArrow(_score_blocks(order, known["total"] or 0, known["n"]), SCORES)

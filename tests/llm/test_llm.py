@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -352,6 +353,31 @@ def test_ppm_scores(docs, rows, nothing):
     assert abs(alone["score"] + 4 * np.log10(256)) < 1e-9
 
 
+def test_ppm_scores_documents_as_they_stream_by(docs):
+    """A task never holds a block's documents or unpacked nodes as a whole."""
+    assert "CoGroup" not in ppm.score_documents(docs, F.lit(False))._jdf.queryExecution().toString()
+    text, read = b"one two", []
+    key = np.concatenate([[ppm.word_key(b"one"), ppm.END_KEY], np.unique(ppm.grams([text + ppm.END], 5)[0])])
+    value = np.concatenate([[3.0, 5.0], np.full(len(key) - 2, -0.5)])
+    listed = [pa.RecordBatch.from_pydict({"block": np.full(len(key), b), "key": key, "value": value * (b + 1)}) for b in (0, 1)]
+    packs = pa.Table.from_batches(ppm._pack_nodes(iter(listed))).to_pylist()
+    kinds = pa.schema([("block", pa.int64()), ("trains", pa.int32()), ("doc_id", pa.int64()), ("raw", pa.binary()), ("n", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary())])
+
+    def stream():
+        for b in (0, 1):
+            for k in range(4):
+                read.append((b, k))
+                rows = [x for x in packs if x["block"] == b] if k == 0 else [{"block": b, "trains": k % 2, "doc_id": 10 * b + k, "raw": text}]
+                yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in kinds.names} for r in rows], schema=kinds)
+
+    out = ppm._score_blocks(5, 100, 9)(stream())
+    first = next(out).to_pylist()
+    assert read == [(0, 0), (0, 1)] and first[0]["doc_id"] == 1
+    rows = {r["doc_id"]: r for b in out for r in b.to_pylist()} | {1: first[0]}
+    assert sorted(rows) == [1, 2, 3, 11, 12, 13] and [rows[k]["held_out"] for k in (1, 2, 3)] == [False, True, False]
+    assert all(abs(r["score"] + 4.0 * (i // 10 + 1)) < 1e-9 and r["n_known"] == 2 and r["n_tokens"] == 3 for i, r in rows.items())
+
+
 # 7
 
 def test_bpe_equals_the_library(spark, docs, rows):
