@@ -18,11 +18,13 @@ the Voronoi region of its nearest pivot and, as partners may lie across the boun
 all pivots within 2e of that distance: if x and y are linked and p is nearest to x, then
 d(y, p) <= d(x, p) + e <= d(x, q) + e <= d(y, q) + 2e for every pivot q. Nodes within e of a pivot
 are linked to it, and pivots, being compared with all of their region, leave it. A region that
-its windows don't make smaller stays whole and takes its next, more pivots, from its smallest
+its windows don't make smaller stays whole: up to ``PAIRED`` times ``small`` its chunks are joined
+two by two, as small regions; a larger one takes its next, more pivots, from its smallest
 components. Regions end when they are one component or small; small ones are joined in a task.
 
-Only links that join components are written, as chains, so no group's pairs are and no node has
-many; what a region holds besides its pivots is dealt into chunks of bounded size.
+Only links that join components are written: a task joins what it finds to one node of its own, so
+no group's pairs are and no node has more than a task's; what a region holds besides its pivots is
+dealt into chunks of bounded size.
 """
 
 from __future__ import annotations
@@ -30,13 +32,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, WORD_HASHES, Scratch, raw, small as slices
 from .parts import DEALT, KEY, deal, gathered, heads, held_twice, longs, packed, part_count, part_of, unpacked
 
 MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+PAIRED = 16  # chunks of a region that are joined two by two, at most
 HELD = 1 << 20  # shingles that a task holds before it deals them out
 
 
@@ -238,20 +241,20 @@ class Sets:
         return both * 100 >= (self.sizes + n - both) * percent
 
 
-def _forest(sets: Sets, nodes: np.ndarray, percent: int, comp: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a small region that join its components, at most one fewer than it has nodes."""
-    label = np.unique(comp, return_inverse=True)[1]
-    edges = []
-    for k in range(len(nodes)):
+def _forest(sets: Sets, percent: int, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a small region's components, each with the smallest of those that it is joined with."""
+    ids, own = np.unique(comp, return_inverse=True)
+    label = own.copy()
+    for k in range(len(own)):
         other = label != label[k]
         if not other.any():
-            continue
-        hit = np.flatnonzero(sets.linked(sets.sets[k], int(sets.sizes[k]), percent) & other)
-        for j in hit.tolist():
-            if label[j] != label[k]:
-                edges.append((int(nodes[k]), int(nodes[j])))
-                label[label == label[j]] = label[k]
-    return edges
+            break
+        for met in np.unique(label[sets.linked(sets.sets[k], int(sets.sizes[k]), percent) & other]).tolist():
+            label[label == met] = label[k]
+    now = np.empty(len(ids), np.int64)
+    now[own] = label
+    _, first, at = np.unique(now, return_index=True, return_inverse=True)
+    return [(a, b) for a, b in zip(ids[first[at]].tolist(), ids.tolist()) if a != b]
 
 
 def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -266,10 +269,10 @@ def _join_small(percent: int):
 
         def done():
             rows = pa.Table.from_batches(held)
-            nodes, comp = rows["node"].to_numpy(), rows["comp"].to_numpy()
-            if len(nodes) > 1 and (comp != comp[0]).any():
+            comp = rows["comp"].to_numpy()
+            if (comp != comp[0]).any():
                 sets = [unpacked(k) for k in rows["keys"].to_pylist()]
-                edges = _forest(Sets(sets, rows["n"].to_numpy()), nodes, percent, comp)
+                edges = _forest(Sets(sets, rows["n"].to_numpy()), percent, comp)
                 if edges:
                     yield _edges(edges)
 
@@ -294,8 +297,8 @@ SPLIT = "region long, node long, subs array<long>, many long, a long, b long"
 
 def _split(percent: int):
     """A chunk of a region's nodes against its pivots: a row (region, node, subs) with the Voronoi
-    regions that each node goes to, how many go to each (region, node, many), and links (a, b) as
-    chains."""
+    regions that each node goes to, how many go to each (region, node, many), and links (a, b) of
+    what is joined here with the smallest node of the chunk among it."""
     reach = 2 * (1 - percent / 100) + 1e-9
 
     def run(key: tuple[pa.Scalar, ...], chunk: pa.Table, pivots: pa.Table) -> pa.Table:
@@ -303,17 +306,26 @@ def _split(percent: int):
         if chunk.num_rows and pivots.num_rows:
             own = Sets([unpacked(k) for k in pivots["held"].to_pylist()], pivots["size"].to_numpy())
             ids = pivots["pivot"].to_numpy()
-            last: dict[int, int] = {}
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while root.setdefault(x, x) != x:
+                    root[x] = x = root[root[x]]
+                return x
+
             for x, n, keys in zip(chunk["node"].to_pylist(), chunk["n"].to_pylist(), chunk["keys"].to_pylist()):
                 both = own.common(unpacked(keys))
                 either = own.sizes + n - both
                 for p in ids[(both * 100 >= either * percent) & (ids != x)].tolist():
-                    edges.append((last.get(p, p), x))
-                    last[p] = x
+                    root[find(p)] = find(x)
                 if x not in ids:
                     d = 1 - both / either
                     node.append(x)
                     subs.append(ids[d <= d.min() + reach].tolist())
+            hub: dict[int, int] = {}
+            for x in sorted(set(chunk["node"].to_pylist()) & root.keys()):
+                hub.setdefault(find(x), x)
+            edges = [(hub[find(x)], x) for x in root if x != hub[find(x)]]
         sub, many = np.unique([p for x in subs for p in x], return_counts=True)
         m, k, e = len(node), len(sub), len(edges)
         none = lambda count: [None] * count
@@ -323,17 +335,22 @@ def _split(percent: int):
     return run
 
 
+def _starred(edges: DataFrame) -> bool:
+    """Whether each larger node a hangs on one smaller node b, which hangs on none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 1 or (up = 1 and n > 1)").count() == 0
+
+
 def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """node, root: the smallest node that is reachable, for every node of the edges (a, b).
 
-    Alternates two steps on the edges: larger neighbours are hung on a node's smallest one, then
-    smaller ones. Minima are combined before the shuffle, so a node may have any number of edges.
+    Alternates two steps on the edges, until they are stars: larger neighbours are hung on a
+    node's smallest one, then smaller ones. Minima are combined before the shuffle, so a node may
+    have any number of edges.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    now = scratch.save(now, f"{label}-0")
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-    k, before = 0, mark(now)
-    while True:
+    now, k = scratch.save(now, f"{label}-0"), 0
+    while not _starred(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -342,10 +359,8 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
         hung = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         after = scratch.save(hung.where("a != b").distinct(), f"{label}-{k + 1}")
         scratch.drop(f"{label}-{k}")
-        now, k, held = after, k + 1, mark(after)
-        if held == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = held
+        now, k = after, k + 1
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, small: int = 256, pivots: int = 32, sample: int = 4096) -> DataFrame:
@@ -415,46 +430,58 @@ class _Join:
         return df.join(self.comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
     def _open(self, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Regions that hold two components: small ones and large ones (region, node, comp, m)."""
+        """Regions that hold two components (region, node, comp, m): those to be joined in a task,
+        pairs of chunks of stuck ones among them, and large ones."""
         own = self._with_comp(regions)
         many = own.groupBy("region").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("region", "m")
-        own = self._save(own.join(many, "region").select("region", "node", "comp", "m"), "open")
-        return own.where(F.col("m") <= self.small), own.where(F.col("m") > self.small)
+        own = self._save(own.join(many, "region").select("region", "node", "comp", "m", "stuck"), "open")
+        few, paired = F.col("m") <= self.small, F.col("stuck") & (F.col("m") <= PAIRED * self.small)
+        chunk, last = self._chunk(), self._chunks() - 1
+        pairs = own.where(~few & paired).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+        pairs = pairs.withColumn("region", F.xxhash64("region", F.least(chunk, "with"), F.greatest(chunk, "with")))
+        return own.where(few).unionByName(pairs.drop("with")), own.where(~few & ~paired)
+
+    def _chunks(self) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.col("m") / self.small)).cast("int")
 
-    def _join_small(self, few: DataFrame) -> None:
+    def _chunk(self) -> Column:
+        return F.pmod(F.xxhash64("node"), self._chunks()).cast("int")
+
+    def _join_small(self, few: DataFrame) -> DataFrame:
         full = few.select("region", "node", "comp").join(self.live.select("node", "n", "keys"), "node").select("region", "node", "comp", "n", "keys")
-        edges = self._save(full.repartition("region").sortWithinPartitions("region").mapInArrow(_join_small(self.percent), "a long, b long"), "edges")
-        if not edges.isEmpty():
-            self._merge(edges)
+        return self._save(full.repartition("region").sortWithinPartitions("region").mapInArrow(_join_small(self.percent), "a long, b long"), "edges")
 
     def run(self, regions: DataFrame, pivots: int) -> None:
+        regions = regions.withColumn("stuck", F.lit(False))
         while True:
             few, many = self._open(regions)
-            self._join_small(few)
-            if many.isEmpty():
-                return
-            large = many.select("region", "node")
-            # pivots: nodes of a region's smallest components, in order of node ids, which are hashes
-            own = self._with_comp(large)
-            sized = own.join(own.groupBy("region", "comp").agg(F.count("*").alias("size")), ["region", "comp"])
-            chosen = _least(sized, pivots)
-            chosen = self._save(chosen, "chosen")
-            sets = self.live.select("node", "n", "keys")
-            chunks = F.greatest(F.lit(1), F.ceil(F.col("m") / self.small)).cast("int")
-            sides = chosen.select("region", "m", F.explode("p").alias("node")).join(sets, "node").select(F.explode(F.sequence(F.lit(0), chunks - 1)).alias("side_chunk"), F.col("region").alias("side_region"), F.col("node").alias("pivot"), F.col("n").alias("size"), F.col("keys").alias("held"))
-            members = large.join(chosen.select("region", "m"), "region").join(sets, "node").select("region", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), "node", "n", "keys")
-            made = self._save(members.groupBy("region", "chunk").cogroup(sides.groupBy("side_region", "side_chunk")).applyInArrow(_split(self.percent), SPLIT), "split")
-            edges = made.where("a is not null").select("a", "b")
+            edges = self._join_small(few)
+            more = not many.isEmpty()
+            if more:
+                regions, links = self._split(many, pivots)
+                edges = edges.unionByName(links)
+                pivots = min(4 * pivots, 512)
             if not edges.isEmpty():
                 self._merge(edges)
-            # a region is split where no part has more than half of it, and all have twice as much as it; else it stays, without its pivots
-            parts = made.where("many is not null").groupBy("region", "node").agg(F.sum("many").alias("part")).groupBy("region").agg(F.max("part").alias("most"), F.sum("part").alias("all"))
-            m = F.col("m")
-            fits = parts.join(chosen.select("region", "m"), "region").select("region", ((F.col("most") * 2 <= m) & (F.col("all") <= 2 * m)).alias("fits"))
-            both = made.where("subs is not null").select("region", "node", "subs").join(fits, "region")
-            after = F.when(F.col("fits"), F.transform("subs", lambda sub: F.xxhash64("region", sub))).otherwise(F.array("region"))
-            regions = self._save(both.select(F.explode(after).alias("region"), "node"), "next")
-            pivots = min(4 * pivots, 512)
+            if not more:
+                return
+
+    def _split(self, many: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
+        """The next regions of large ones (region, node, stuck), and links."""
+        # pivots: nodes of a region's smallest components, in order of node ids, which are hashes
+        sized = many.join(many.groupBy("region", "comp").agg(F.count("*").alias("size")), ["region", "comp"])
+        chosen = self._save(_least(sized, pivots), "chosen")
+        sets = self.live.select("node", "n", "keys")
+        sides = chosen.select("region", "m", F.explode("p").alias("node")).join(sets, "node").select(F.explode(F.sequence(F.lit(0), self._chunks() - 1)).alias("side_chunk"), F.col("region").alias("side_region"), F.col("node").alias("pivot"), F.col("n").alias("size"), F.col("keys").alias("held"))
+        members = many.join(sets, "node").select("region", self._chunk().alias("chunk"), "node", "n", "keys")
+        made = self._save(members.groupBy("region", "chunk").cogroup(sides.groupBy("side_region", "side_chunk")).applyInArrow(_split(self.percent), SPLIT), "split")
+        # a region is split where no part has more than half of it, and all have twice as much as it; else it stays, without its pivots
+        parts = made.where("many is not null").groupBy("region", "node").agg(F.sum("many").alias("part")).groupBy("region").agg(F.max("part").alias("most"), F.sum("part").alias("all"))
+        m = F.col("m")
+        fits = parts.join(chosen.select("region", "m"), "region").select("region", ((F.col("most") * 2 <= m) & (F.col("all") <= 2 * m)).alias("fits"))
+        both = made.where("subs is not null").select("region", "node", "subs").join(fits, "region")
+        after = F.when(F.col("fits"), F.transform("subs", lambda sub: F.xxhash64("region", sub))).otherwise(F.array("region"))
+        return self._save(both.select(F.explode(after).alias("region"), "node", (~F.col("fits")).alias("stuck")), "next"), made.where("a is not null").select("a", "b")
 
 
 def _least(sized: DataFrame, pivots: int) -> DataFrame:
@@ -463,5 +490,5 @@ def _least(sized: DataFrame, pivots: int) -> DataFrame:
 
     spread = sized.withColumn("_s", F.spark_partition_id())
     near = spread.withColumn("_k", F.row_number().over(W.partitionBy("region", "_s").orderBy("size", "node"))).where(F.col("_k") <= pivots)
-    best = near.groupBy("region").agg(F.slice(F.sort_array(F.collect_list(F.struct("size", "node"))), 1, pivots).alias("p"))
-    return best.join(sized.groupBy("region").agg(F.count("*").alias("m")), "region").select("region", F.col("p.node").alias("p"), "m")
+    best = near.groupBy("region").agg(F.slice(F.sort_array(F.collect_list(F.struct("size", "node"))), 1, pivots).alias("p"), F.max("m").alias("m"))
+    return best.select("region", F.col("p.node").alias("p"), "m")

@@ -156,6 +156,22 @@ def test_jaccard_of_many_near_copies(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in made.collect()} == brute_components(rows)
 
 
+def test_jaccard_of_a_region_that_no_pivot_splits(spark, monkeypatch):
+    """Sets that are near each other, but hardly linked: their chunks meet once, not by rounds of pivots."""
+    rng = random.Random(6)
+    base, rows = words(rng, 40), []
+    for i in range(60):
+        own = [*base, *(f"x{i}y{k}" for k in range(12))]
+        rows.append((2 * i, " ".join(own), "en", "s", 0))
+        if i % 20 == 0:
+            rows.append((2 * i + 1, " ".join([*own, f"z{i}"]), "en", "s", 0))
+    saved, save = [], jaccard.Scratch.save
+    monkeypatch.setattr(jaccard.Scratch, "save", lambda self, df, name, *by: (saved.append(name), save(self, df, name, *by))[1])
+    made = jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA), small=8, pivots=2)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in made.collect()} == brute_components(rows)
+    assert sum(x.startswith("split-") for x in saved) == 1
+
+
 def test_jaccard_of_nothing(nothing):
     assert jaccard.near_duplicates(nothing).count() == 0
 
