@@ -26,6 +26,13 @@ def l2_normalized(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double to so many places as SQL engines do it: scaled, half away from zero, scaled back, so a
+    small negative number stays a negative zero. (``F.round`` goes by decimals, which have none.)"""
+    size = 10.0 ** places
+    return F.when(F.abs(x) * size < 2.0 ** 52, F.signum(x) * F.floor(F.abs(x) * size + 0.5).cast("double") / size).otherwise(x)
+
+
 def preview(a: Column) -> Column:
     """First four and last two components, as text, of a longer vector."""
     shown = lambda v: F.transform(v, lambda x: F.format_string("%.6f", x.cast("double")))
