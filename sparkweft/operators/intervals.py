@@ -4,6 +4,10 @@ Every subject has an arc down to it and one up from it; each arc knows the next
 jumping, which doubles the steps known in every round, tells how far each is from the end. So a
 forest takes as many rounds as the logarithm of its size, however deep or wide it is. Ancestors,
 subtrees and checks of moves are comparisons of numbers after that; a move shifts them.
+
+Numbers in order take so little room in a file that the planner, which goes by the size of files,
+would send a table of millions of rows to every executor by way of the driver. So joins of two
+tables that grow with the tree are merge joins.
 """
 
 from __future__ import annotations
@@ -40,19 +44,19 @@ def numbered(subjects: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(subjects.sparkSession, "intervals")
     own = subjects.select("id", F.col("parent_subject_id").alias("_up"))
-    rows = own.join(own.select(F.col("id").alias("_up"), F.lit(True).alias("_there")), "_up", "left").select("id", F.when(F.col("_there"), F.col("_up")).alias("parent"))
+    rows = own.join(own.select(F.col("id").alias("_up"), F.lit(True).alias("_there")).hint("merge"), "_up", "left").select("id", F.when(F.col("_there"), F.col("_up")).alias("parent"))
     rows = scratch.save(siblings(rows, scratch), "siblings")
     heads = rows.where(F.col("first") & F.col("parent").isNotNull()).select(F.col("parent").alias("id"), F.col("id").alias("child"))
     # an arc is named by its subject and its way: down to it (0) or up from it (1)
     arc = lambda c, way: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("id"), F.lit(way).alias("way")))
-    down = rows.join(heads, "id", "left").select("id", F.lit(0).alias("way"), F.coalesce(arc("child", 0), arc("id", 1)).alias("next"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("rise"))
+    down = rows.join(heads.hint("merge"), "id", "left").select("id", F.lit(0).alias("way"), F.coalesce(arc("child", 0), arc("id", 1)).alias("next"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("rise"))
     up = rows.select("id", F.lit(1).alias("way"), F.coalesce(arc("after", 0), arc("parent", 1)).alias("next"), F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("rise"))
     arcs, k = scratch.save(down.unionByName(up), "arcs0"), 0
     total = arcs.count()
     while (1 << k) < total:  # n and rise: subjects begun and levels gained from an arc on, up to where it points
         ahead = arcs.select(F.struct("id", "way").alias("next"), F.col("next").alias("_next"), F.col("n").alias("_n"), F.col("rise").alias("_rise"))
-        step = arcs.join(ahead, "next", "left").select(
-            "id", "way", F.col("_next").alias("next"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), (F.col("rise") + F.coalesce("_rise", F.lit(0))).alias("rise"))
+        step = arcs.where("next is not null").join(ahead.hint("merge"), "next").select("id", "way", F.col("_next").alias("next"), (F.col("n") + F.col("_n")).alias("n"), (F.col("rise") + F.col("_rise")).alias("rise"))
+        step = step.unionByName(arcs.where("next is null"))  # those at the end stay as they are, and don't meet in one task
         k += 1
         arcs = scratch.save(step, f"arcs{k}")
         scratch.drop(f"arcs{k - 1}")
@@ -61,7 +65,7 @@ def numbered(subjects: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     ranked = arcs.where("next is null")  # what still points somewhere goes round in a cycle
     both = ranked.groupBy("id").agg(F.max(F.when(F.col("way") == 0, F.col("n"))).alias("_from"), F.max(F.when(F.col("way") == 1, F.col("n"))).alias("_to"), F.max(F.when(F.col("way") == 0, F.col("rise"))).alias("_rise"))
     count = both.agg(F.max("_from").alias("n")).first()["n"] or 0
-    out = both.join(rows.select("id", "parent"), "id").select(
+    out = both.join(rows.select("id", "parent").hint("merge"), "id").select(
         "id", "parent", (F.lit(count) - F.col("_from")).alias("first"), (F.lit(count) - F.col("_to") - 1).alias("last"), (-F.col("_rise")).alias("depth"))
     out = scratch.save(out, "numbered")
     scratch.keep("numbered")
@@ -70,7 +74,7 @@ def numbered(subjects: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
 def unreachable(subjects: DataFrame, numbers: DataFrame) -> DataFrame:
     """Subjects on a cycle or below one: those that the numbering lacks."""
-    return subjects.join(numbers.select("id"), "id", "left_anti")
+    return subjects.join(numbers.select("id").hint("merge"), "id", "left_anti")
 
 
 def subtree(numbers: DataFrame, subject_id) -> DataFrame:
@@ -112,19 +116,19 @@ def below(numbers: DataFrame, roots: DataFrame) -> DataFrame:
     A range join as an equal one: a subtree's range is cut into dyadic blocks, some two for each
     doubling, and a subject belongs to one block of each size that any range uses.
     """
-    asked = roots.select("id").distinct().join(numbers, "id").select(F.col("id").alias("root"), F.explode(_blocks(F.col("first"), F.col("last"))).alias("b")).select("root", "b.k", "b.block")
+    asked = roots.select("id").distinct().hint("merge").join(numbers, "id").select(F.col("id").alias("root"), F.explode(_blocks(F.col("first"), F.col("last"))).alias("b")).select("root", "b.k", "b.block")
     sizes = [r["k"] for r in asked.select("k").distinct().collect()]  # some forty at most
     if not sizes:
         return numbers.select(F.col("id").alias("root"), "id").limit(0)
     spread = numbers.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright("first", k).alias("block")) for k in sorted(sizes)])).alias("b")).select("id", "b.k", "b.block")
-    return asked.join(spread, ["k", "block"]).select("root", "id")
+    return asked.hint("merge").join(spread, ["k", "block"]).select("root", "id")
 
 
 def refused(numbers: DataFrame, moves: DataFrame) -> DataFrame:
     """Moves (id, to) that would make a subject its own ancestor: ``to`` is in its own subtree."""
     own = numbers.select("id", "first", "last")
     to = numbers.select(F.col("id").alias("to"), F.col("first").alias("_at"))
-    return moves.join(own, "id").join(to, "to").where(F.col("_at").between(F.col("first"), F.col("last"))).select("id", "to")
+    return moves.join(own.hint("merge"), "id").join(to.hint("merge"), "to").where(F.col("_at").between(F.col("first"), F.col("last"))).select("id", "to")
 
 
 def moved(numbers: DataFrame, subject_id, to) -> DataFrame:

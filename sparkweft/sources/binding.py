@@ -39,7 +39,8 @@ class Bound:
         rows = self.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("application_id"), F.col("c_name").alias("name"), (F.row_number().over(order) - 1).alias("n"))
         up = rows.select(F.col("id").alias("parent_subject_id"), F.col("application_id"), F.col("n").alias("up"))
         child = rows.withColumn("up", F.when(F.col("n") > 0, F.floor((F.col("n") - 1) / 4).cast("int")))
-        return child.join(up, ["application_id", "up"], "left").select("id", "application_id", "name", "parent_subject_id")
+        # a merge join: files of customers may be far smaller than their rows in the driver's memory
+        return child.join(up.hint("merge"), ["application_id", "up"], "left").select("id", "application_id", "name", "parent_subject_id")
 
     @property
     def sources(self) -> DataFrame:

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkweft.operators import catalog, intervals
+from sparkweft.plans import registry
+from sparkweft.scratch import Scratch
 
 TREE = "id long, parent_subject_id long"
 
@@ -92,3 +94,16 @@ def test_deep_and_wide(spark):
     star = spark.range(100_001).select("id", F.when(F.col("id") > 0, F.lit(0)).cast("long").alias("parent_subject_id"))
     numbers = intervals.numbered(star)
     assert numbers.where("first != id or depth != int(id > 0) or last != if(id = 0, 100000, id)").count() == 0 and numbers.count() == 100_001
+
+
+def test_no_table_that_grows_goes_through_the_driver(spark, monkeypatch):
+    """A tree's files are small for their rows; no join of what grows with it is a broadcast."""
+    plans, save = [], Scratch.save
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(Scratch, "save", lambda self, df, *more: plans.append(plan(df)) or save(self, df, *more))
+    tree = spark.range(3000).select("id", F.when(F.col("id") > 0, (F.col("id") - 1) / 4).cast("long").alias("parent_subject_id"))
+    numbers = intervals.numbered(tree)
+    pairs = intervals.below(numbers, numbers)
+    assert pairs.count() == numbers.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0]
+    plans += [plan(pairs), plan(intervals.refused(numbers, numbers.select("id", F.lit(0).cast("long").alias("to")))), plan(registry.Bound(spark, "/root/testdata/sf0.001").subjects)]
+    assert len(plans) > 10 and not [p for p in plans if "_part" not in p and "BroadcastHashJoin" in p]
