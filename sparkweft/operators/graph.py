@@ -5,6 +5,7 @@ Facts are rows (a, relation, b, source_id, ...), mentions rows (chunk_id, entity
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 
@@ -135,21 +136,59 @@ def rare_grams(names: DataFrame, threshold: float, counts: DataFrame | None = No
     return rare.select(*GRAM, "key").join(names, ["tenant_id", "entity_type", "key"])
 
 
+def _spelled(threshold: float) -> int:
+    """The length up to which a key loses at most two characters against a partner at the threshold,
+    so that ``_by_spelling`` has few spellings of it."""
+    h = threshold / 200
+    lost = 1 - h / (1 - h) if h < 0.5 else 0.0
+    return math.ceil(3 / lost - 1e-9) - 1 if lost > 0 else 1 << 30
+
+
+def _by_spelling(every: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """tenant_id, entity_type, key, to, score, to_at: for each key of age 1 the earlier keys that may be
+    its most similar, among keys of at most ``_spelled`` characters.
+
+    Two keys have a common subsequence of a length if both spell it when characters are left out. So
+    keys meet in what they spell, and of each length only the earliest key that spells something is
+    looked at: the score goes by lengths alone, and a nearer key is met in what is longer. Work is in
+    proportion to the keys, however many of them are alike.
+    """
+    name, n = ["tenant_id", "entity_type"], F.length("key")
+    lengths = every.groupBy(*name).agg(F.collect_set(n).alias("lengths"))
+    fits = lambda lost: F.exists("lengths", lambda m: (m >= n - lost) & (200.0 * (n - lost) / (n + m) >= threshold))
+    shorter = lambda v: F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(v.substr(F.lit(1), i - 1), v.substr(i + 1, F.length(v))))
+    one = F.array_distinct(shorter(F.col("key")))
+    two = F.array_distinct(F.flatten(F.transform(one, shorter)))
+    none = F.array().cast("array<string>")
+    spelled = F.concat(*[F.when(fits(lost), v).otherwise(none) for lost, v in enumerate((F.array("key"), one, two))])
+    cells = scratch.save(every.join(lengths, name).select(*name, "key", n.alias("n"), F.struct("age", "first").alias("at"), F.explode(spelled).alias("part")), "spelled")
+    heads = cells.groupBy(*name, "part", F.col("n").alias("to_n")).agg(F.min(F.struct("at", F.col("key").alias("to"))).alias("head"))
+    met = cells.where("at.age = 1").join(heads.hint("merge"), [*name, "part"]).where(F.col("head.at") < F.col("at"))
+    met = met.withColumn("score", 200.0 * F.length("part") / (F.col("n") + F.col("to_n"))).where(F.col("score") >= threshold)
+    return met.select(*name, "key", "head.to", "score", F.col("head.at").alias("to_at"))
+
+
 def _sharing(names: DataFrame, threshold: float, known=None) -> DataFrame:
-    """Pairs x, y of keys of a type, x of ``names``, with all that reach the ratio.
+    """Pairs of keys of a type (key, at, to, to_at: the places), key of ``names``, with all that reach
+    the ratio and of which one is longer than ``_spelled``.
 
     A key that loses at most m of its q-grams shares one of its m + 1 rarest with the partner's
     m + 1 rarest. Pairs of 16 characters and more meet by four, others by two. With ``known`` (a
-    ``KeyIndex``) y may be one of its keys as well, whose rare grams are stored.
+    ``KeyIndex``) to may be one of its keys as well, whose rare grams are stored.
     """
     h = threshold / 200
+    place = lambda side: F.struct(F.col(f"{side}.age").alias("age"), F.col(f"{side}.first").alias("first"))
+    pair = ["tenant_id", "entity_type", F.col("x.key").alias("key"), place("x").alias("at"), F.col("y.key").alias("to"), place("y").alias("to_at")]
     bound = F.abs(F.length("x.key") - F.length("y.key")) <= (1 - 2 * h) * (F.length("x.key") + F.length("y.key")) + 1e-9
+    every = names if known is None else names.unionByName(known.keys.select(*names.columns))
     if threshold < 90:  # the filter keeps too little then
-        every = names if known is None else names.unionByName(known.keys.select(*names.columns))
-        return names.alias("x").join(every.alias("y"), ["tenant_id", "entity_type"]).where(bound)
+        return names.alias("x").join(every.alias("y"), ["tenant_id", "entity_type"]).where(bound).select(*pair)
+    long, name = F.length("key") > _spelled(threshold), ["tenant_id", "entity_type"]
+    names = names.join(every.where(long).select(*name).distinct(), name, "left_semi")
     rare = rare_grams(names, threshold, known and known.counts)
     every = rare if known is None else rare.unionByName(known.rare.select(*rare.columns))
-    return rare.alias("x").join(every.alias("y"), GRAM).where(bound)
+    pairs = lambda x, y: x.alias("x").join(y.alias("y"), GRAM).where(bound).select(*pair)
+    return pairs(rare.where(long), every).unionByName(pairs(rare.where(~long), every.where(long)))
 
 
 class KeyIndex:
@@ -207,19 +246,21 @@ def aliases_of(names: DataFrame, threshold: float = 92.0, known: KeyIndex | None
     earlier one, the earliest of equals, if it is similar enough. No pair at the threshold is left
     out of the candidates. Keys of ``known`` are earlier than all names and stay as they are.
     """
-    own = names.groupBy("tenant_id", "entity_type", "key").agg(F.min("first").alias("first")).withColumn("age", F.lit(1))
+    scratch = Scratch(names.sparkSession, "names")
+    own = scratch.save(names.groupBy("tenant_id", "entity_type", "key").agg(F.min("first").alias("first")).withColumn("age", F.lit(1)), "own")
     every = own if known is None else own.unionByName(known.keys.select("tenant_id", "entity_type", "key", "first").withColumn("age", F.lit(0)))
-    place = lambda side="": F.struct(F.col(f"{side}age").alias("age"), F.col(f"{side}first").alias("first"))
-    organisations = every.where(F.col("entity_type").isin(*ORGANISATIONS)).select("tenant_id", "entity_type", "key", place().alias("at"))
+    organisations = every.where(F.col("entity_type").isin(*ORGANISATIONS)).select("tenant_id", "entity_type", "key", F.struct("age", "first").alias("at"))
     short = organisations.withColumn("short", acronym(F.col("key"))).where(F.length("short") >= 3).select("tenant_id", "entity_type", F.col("key").alias("long"), F.col("at").alias("at_long"), F.col("short").alias("key"))
     later = F.col("at") > F.col("at_long")
     by_letters = organisations.join(short, ["tenant_id", "entity_type", "key"]).where(F.greatest("at", "at_long")["age"] == 1).select(
         "tenant_id", "entity_type", F.when(later, F.col("key")).otherwise(F.col("long")).alias("key"), F.when(later, F.col("long")).otherwise(F.col("key")).alias("to"), F.lit(100.0).alias("score"), F.least("at", "at_long").alias("to_at"))
     long = own.where(F.length("key") >= 5).select("tenant_id", "entity_type", "key", "first")
-    near = _sharing(long.withColumn("age", F.lit(1)), threshold, known and _Aged(known)).where(place("y.") < place("x."))
-    near = near.select("tenant_id", "entity_type", F.col("x.key").alias("key"), F.col("y.key").alias("to"), place("y.").alias("to_at")).distinct()
+    near = _sharing(long.withColumn("age", F.lit(1)), threshold, known and _Aged(known)).where(F.col("to_at") < F.col("at")).drop("at").distinct()
     near = near.withColumn("score", similarity("key", "to")).where(F.col("score") >= threshold).select("tenant_id", "entity_type", "key", "to", "score", "to_at")
     both = by_letters.unionByName(near)
+    if threshold >= 90:
+        spelled = every.where(F.length("key").between(5, _spelled(threshold)) & ((F.col("age") == 1) | F.col("first").isNotNull()))
+        both = both.unionByName(_by_spelling(spelled, threshold, scratch))
     return both.groupBy("tenant_id", "entity_type", "key").agg(F.min_by("to", F.struct(-F.col("score"), "to_at", "to")).alias("to"))
 
 

@@ -167,6 +167,38 @@ def test_aliases_equal_brute_force(spark):
     assert want["bcdefghijklmn"] == "abcdefghijklm" and got == want
 
 
+def test_alike_keys_meet_without_pairs(spark, tmp_path):
+    """Numbered names, all much alike, and keys about the length where grams take over: as brute force
+    has it, also against known keys, with no more candidates than spellings."""
+    from sparkweft.scratch import Scratch
+
+    rng = np.random.default_rng(8)
+    keys = [f"supplier_{n:09d}" for n in range(0, 4000, 11)]
+    edges = []
+    for n in range(17, 25):
+        key = "".join(rng.choice(list("abc"), n))
+        edges += [key] + [key[:k] + c + key[k + d :] for k, c, d in zip(rng.choice(n, 6), "xy zab", (0, 1, 2, 0, 1, 2))] + [key[:2] + key[4:], key + "ab"]
+    rows = lambda some, at=0: spark.createDataFrame([(1, "CONCEPT", k, at + n) for n, k in enumerate(some)], "tenant_id int, entity_type string, key string, first long")
+
+    def plain(old, new):
+        out = {}
+        for n, key in enumerate(new):
+            best = max(((graph.indel_ratio(key, k), -m) for m, k in enumerate(old + new[:n])), default=(0, 0))
+            if best[0] >= 92:
+                out[key] = (old + new)[-best[1]]
+        return out
+
+    mixed = list(dict.fromkeys(keys[::5] + edges))
+    assert {r["key"]: r["to"] for r in graph.aliases_of(rows(mixed)).collect()} == plain([], mixed)
+    old, new = mixed[::2], mixed[1::2]
+    index = graph.KeyIndex(spark, str(tmp_path))
+    index.add(rows(old).selectExpr("*", "key as to"), 0)
+    assert {r["key"]: r["to"] for r in graph.aliases_of(rows(new, len(old)), known=index).collect()} == plain(old, new)
+    aged = rows(keys).selectExpr("*", "1 as age")
+    assert graph._sharing(aged, 92.0).count() == 0 and graph._by_spelling(aged, 92.0, Scratch(spark, "t")).count() <= 18 * len(keys)
+    assert {r["key"]: r["to"] for r in graph.aliases_of(rows(keys)).collect()} == plain([], keys)
+
+
 def test_chains_of_aliases_are_followed(spark):
     steps = spark.createDataFrame([(1, "CONCEPT", k, k - 1) for k in range(1, 8)], "tenant_id int, entity_type string, key int, to int")
     assert {r["key"]: r["to"] for r in graph.rooted(steps).collect()} == dict.fromkeys(range(1, 8), 0)
