@@ -105,3 +105,15 @@ def test_indel_ratio_is_that_of_a_plain_table():
             for j, y in enumerate(b, 1):
                 rows[i][j] = rows[i - 1][j - 1] + 1 if x == y else max(rows[i - 1][j], rows[i][j - 1])
         assert graph.indel_ratio(a, b) == (200.0 * rows[-1][-1] / (len(a) + len(b)) if a or b else 100.0)
+
+
+def test_suppliers_all_alike_are_resolved_in_order(spark):
+    """Numbered names, each near many others: the entities of a plain scan, and their links."""
+    rows = [("t", f"u{k}", k, k, json.dumps({"entities": [{"name": f"Supplier#{7 * k:09d}", "type": "vendor"}, {"name": "NATION_3", "type": "Country"}], "relationships": [{"source": f"Supplier#{7 * k:09d}", "relation": "basedIn", "target": "NATION_3"}]})) for k in range(150)]
+    rows = [(TENANT, *r[1:]) for r in rows]
+    names = [f"Supplier#{7 * k:09d}" for k in range(150)]
+    read = extraction.extractions(spark.createDataFrame(rows, UNITS))
+    entities, _, facts, keys = extraction.resolved_keys(read, BOUND_ONTOLOGY)
+    want = plain(names)
+    assert {r["key"]: r["to"] for r in keys.where("entity_type = 'COMPANY'").collect()} == want
+    assert entities.count() == len(set(want.values())) + 1 and facts.count() == 150
