@@ -376,15 +376,42 @@ def _within(max_entities: int):
     return run
 
 
+def _leading(facts: DataFrame, entities: DataFrame, most: int) -> DataFrame:
+    """entity, fact: of each entity's facts those that may be among the best ``most`` of a question.
+
+    A question has taken some facts before and has room for the rest of ``most``. Facts are taken out
+    by (a, relation, b, source_id), with all their confidences; so of an entity's ``most`` best
+    ones by that key enough are left, each with its ``most`` best confidences.
+    """
+    key = ["a", "relation", "b", "source_id"]
+    own = facts.join(entities.select(F.col("entity").alias("a")), "a", "left_semi").select(F.col("a").alias("entity"), *facts.columns).unionByName(
+        facts.join(entities.select(F.col("entity").alias("b")), "b", "left_semi").where("not (a <=> b)").select(F.col("b").alias("entity"), *facts.columns))
+    sure = F.coalesce("confidence", F.lit(0.0))
+    keyed = own.groupBy("entity", *key).agg(F.slice(F.sort_array(F.collect_set(F.struct(sure.alias("sure"), "confidence")), asc=False), 1, most).alias("_all"))
+    best = keyed.withColumn("_nth", F.row_number().over(W.partitionBy("entity").orderBy(F.col("_all")[0]["sure"].desc(), *key))).where(F.col("_nth") <= most)
+    return best.select("entity", *key, F.explode("_all").alias("_one")).select("entity", *key, "_one.confidence")
+
+
 def budgeted_search(facts: DataFrame, seeds: DataFrame, hops: int = 2, max_entities: int = 20, max_facts: int = 50) -> tuple[DataFrame, DataFrame]:
     """Entities (question_id, entity, hop) and facts (question_id, hop, a, relation, b, source_id,
     confidence) that each question meets within one to three hops of its seeds (question_id,
     entity), under two budgets. A hop's best facts come first; facts over a budget are left out,
     and a fact of no new entity still fits a full budget of entities.
 
-    All questions go a hop at once: a join of their frontiers with the facts.
+    All questions go a hop at once: a join of their frontiers with what ``_leading`` keeps of each
+    entity's facts, so a hub that many questions meet is read once and not once for each of them.
+    Questions of the same seeds meet the same; one of them is searched for all.
     """
     scratch = Scratch(facts.sparkSession, "search")
+    sets = seeds.groupBy("question_id").agg(F.sort_array(F.collect_set(F.struct("entity"))).alias("_seeds"))
+    alike = scratch.save(sets.join(sets.groupBy("_seeds").agg(F.min("question_id").alias("_as")), "_seeds").select("question_id", "_as"), "alike")
+    one = seeds.join(alike.select(F.col("_as").alias("question_id")).distinct(), "question_id", "left_semi")
+    met, taken = _searched(facts, one, hops, max_entities, max_facts, scratch)
+    every = lambda df: df.withColumnRenamed("question_id", "_as").join(alike, "_as").select(*df.columns)
+    return every(met), every(taken)
+
+
+def _searched(facts: DataFrame, seeds: DataFrame, hops: int, max_entities: int, max_facts: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     kinds = {f.name: f.dataType.simpleString() for f in (*seeds.schema, *facts.schema)}
     cols = ["a", "relation", "b", "source_id", "confidence"]
     schema = f"question_id {kinds['question_id']}, " + ", ".join(f"{c} {kinds[c]}" for c in cols) + f", kept boolean, added array<{kinds['entity']}>"
@@ -392,7 +419,8 @@ def budgeted_search(facts: DataFrame, seeds: DataFrame, hops: int = 2, max_entit
     taken = None
     for hop in range(1, max(1, min(hops, 3)) + 1):
         ends = met.where(F.col("hop") == hop - 1).select("question_id", "entity")
-        touching = ends.join(facts.select(*cols), F.col("entity") == F.col("a")).unionByName(ends.join(facts.select(*cols), F.col("entity") == F.col("b"))).select("question_id", *cols).distinct()
+        leading = scratch.save(_leading(facts.select(*cols), ends.select("entity").distinct(), max_facts), f"leading{hop}")
+        touching = ends.join(leading, "entity").select("question_id", *cols).distinct()
         if taken is not None:
             touching = touching.join(taken.select("question_id", "a", "relation", "b", "source_id"), ["question_id", "a", "relation", "b", "source_id"], "left_anti")
             used = taken.groupBy("question_id").agg(F.count("*").alias("used"))

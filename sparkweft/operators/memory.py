@@ -77,7 +77,7 @@ def chunks_in_scope(chunks: DataFrame, wanted: DataFrame, sources: DataFrame) ->
 
 def mentioned(mentions: DataFrame, sources: DataFrame) -> DataFrame:
     """entity_id, mentions: distinct chunks of the sources in scope that mention an entity."""
-    inside = mentions.join(sources.select("source_id").distinct(), "source_id", "left_semi")
+    inside = mentions.join(sources.select("source_id").distinct().hint("merge"), "source_id", "left_semi")
     return inside.groupBy("entity_id").agg(F.countDistinct("chunk_id").alias("mentions"))
 
 

@@ -16,8 +16,8 @@ k AS (SELECT id, kind || '_' || number AS canonical_key, kind || number AS alias
 n AS (SELECT entity_id, count(DISTINCT chunk_id) AS mentions FROM m GROUP BY 1)"""
 
 
-def _entities(b: Bound) -> DataFrame:
-    ids = _mentions(b).select(F.col("entity_id").alias("id")).distinct().where("id not like 'part:%'")
+def _entities(b: Bound, facts: DataFrame | None = None) -> DataFrame:
+    ids = _mentions(b, facts).select(F.col("entity_id").alias("id")).distinct().where("id not like 'part:%'")
     kind, number = (F.split("id", ":")[k] for k in (0, 1))
     return ids.select("id", F.concat(kind, F.lit("_"), number).alias("canonical_key"), F.array(F.concat(kind, number)).alias("alias_keys"), F.concat(kind, F.lit(" "), number).alias("search_text"))
 
@@ -64,10 +64,12 @@ def question_seeds(b: Bound) -> DataFrame:
 
 @query()
 def question_search(b: Bound) -> DataFrame:
-    """What every question meets within two hops and its budgets. The facts are written once, as each
-    hop joins them."""
-    facts = Scratch(b.spark, "facts").save(b.facts, "facts")
-    found = memory.seeds(_questions(b), _entities(b), memory.mentioned(_mentions(b), facts.select("source_id")))
+    """What every question meets within two hops and its budgets. The facts are written once, as the
+    seeds and each hop read them, and so are the counts of mentions."""
+    scratch = Scratch(b.spark, "facts")
+    facts = scratch.save(b.facts, "facts")
+    counts = scratch.save(memory.mentioned(_mentions(b, facts), facts.select("source_id")), "counts")
+    found = scratch.save(memory.seeds(_questions(b), _entities(b, facts), counts), "seeds")
     return graph.budgeted_search(facts, found.select("question_id", "entity"))[1]
 
 

@@ -74,7 +74,7 @@ class Bound:
         located = [self.raw(t).select(F.concat(F.lit(f"{t}:"), F.col(f"{p}key")).alias("a"), F.lit("LOCATED_IN").alias("relation"), F.concat(F.lit("nation:"), F.col(n)).alias("b"), F.lit(0).cast("bigint").alias("source_id"), F.lit(0.9).alias("confidence"))
                    for t, p, n in (("customer", "c_cust", "c_nationkey"), ("supplier", "s_supp", "s_nationkey"))]
         part_of = self.raw("nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey")).alias("a"), F.lit("PART_OF").alias("relation"), F.concat(F.lit("region:"), F.col("n_regionkey")).alias("b"), F.lit(0).cast("bigint").alias("source_id"), F.lit(1.0).alias("confidence"))
-        bought = self.raw("lineitem").join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        bought = self.raw("lineitem").join(self.raw("orders").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.concat(F.lit("customer:"), F.col("o_custkey")).alias("a"), F.lit("PURCHASED").alias("relation"), F.concat(F.lit("part:"), F.col("l_partkey")).alias("b"),
             F.col("o_orderkey").alias("source_id"), F.round(1 - F.col("l_discount"), 2).alias("confidence"))
         out = part_of

@@ -167,6 +167,41 @@ def test_aliases_equal_brute_force(spark):
     assert want["bcdefghijklmn"] == "abcdefghijklm" and got == want
 
 
+def test_hub_is_read_once_for_all_questions(spark):
+    """Questions that meet one hub, with facts that repeat under several confidences, against a plain
+    search; of the hub go on as many facts as a question may take."""
+    rng = np.random.default_rng(5)
+    facts = [("hub", "R", f"x{n:03d}", int(n % 3), float(rng.integers(1, 5)) / 10) for n in range(300) for _ in range(1 + n % 3)]
+    facts += [(f"x{n:03d}", "S", f"y{n % 7}", 1, float(rng.integers(1, 9)) / 10) for n in range(300)] + [("hub", "R", "hub", 1, 0.9), ("y1", "T", "hub", 2, None)]
+    seeds = [(q, "hub") for q in range(40)] + [(q, f"y{q % 5}") for q in range(20)]
+    df = spark.createDataFrame(facts, "a string, relation string, b string, source_id long, confidence double")
+    met, taken = graph.budgeted_search(df, spark.createDataFrame(seeds, "question_id int, entity string"), hops=2, max_entities=15, max_facts=20)
+    own, got = {}, {}
+    for q, e in seeds:
+        own.setdefault(q, set()).add(e)
+    for r in taken.collect():
+        got.setdefault(r["question_id"], []).append((r["hop"], r["a"], r["relation"], r["b"], r["source_id"], r["confidence"]))
+
+    def plain(start):
+        ends, seen, out, keys = set(start), set(start), [], set()
+        for hop in (1, 2):
+            near = sorted({f for f in facts if (f[0] in ends or f[2] in ends) and f[:4] not in keys}, key=lambda f: (-(f[4] or 0.0), *f[:4]))[: 20 - len(out)]
+            ends = set()
+            for f in near:
+                new = {f[0], f[2]} - seen
+                if len(seen) + len(new) <= 15:
+                    out.append((hop, *f))
+                    seen, ends = seen | new, ends | new
+            keys = {f[1:5] for f in out}
+        return out
+
+    for q, start in own.items():
+        assert sorted(got[q], key=repr) == sorted(plain(start), key=repr)
+    assert {r["question_id"] for r in met.collect()} == set(own)
+    led = graph._leading(df, spark.createDataFrame([("hub",)], "entity string"), 20)
+    assert led.select("a", "relation", "b", "source_id").distinct().count() == 20
+
+
 def test_alike_keys_meet_without_pairs(spark, tmp_path):
     """Numbered names, all much alike, and keys about the length where grams take over: as brute force
     has it, also against known keys, with no more candidates than spellings."""
