@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import render
+from ..scratch import Scratch
 from . import retrieval
 from .embedding import Strategy
 from .listing import with_filenames, wrong_text
@@ -76,14 +77,16 @@ def answered(
 
     ``chunks`` are the live candidates in scope: chunk_id, source_id, embedding, content,
     embedding_text, path, page_start, page_end. A question without candidates gets the stated
-    answer; without ``answer`` answers are empty; ``rerank`` may be None.
+    answer; without ``answer`` answers are empty; ``rerank`` may be None. What several steps read,
+    the comparison of all questions with all chunks above all, is written and made once.
     """
-    asked = embedded_questions(questions, s, embed)
-    near = retrieval.nearest_chunks(chunks, asked.select("query_id", "vector"), pool)
+    scratch = Scratch(questions.sparkSession, "answers")
+    asked = scratch.save(embedded_questions(questions, s, embed), "asked")
+    near = scratch.save(retrieval.nearest_chunks(chunks, asked.select("query_id", "vector"), pool), "near")
     counts = near.groupBy("query_id").agg(F.count("*").alias("candidates"))
-    picked = retrieval.diversified(near.join(chunks.select("chunk_id", "embedding"), "chunk_id"), picks)
+    picked = scratch.save(retrieval.diversified(near.join(chunks.select("chunk_id", "embedding"), "chunk_id"), picks), "picked")
     full = picked.join(chunks.drop("embedding"), "chunk_id").withColumns({"index": F.col("mmr_rank") - 1, "passage": F.coalesce("embedding_text", "content")})
-    final = with_filenames(final_chunks(full, rerank(asked, full) if rerank else None, k), sources)
+    final = scratch.save(with_filenames(final_chunks(full, rerank(asked, full) if rerank else None, k), sources), "final")
     lines = prompts(asked, final)
     if answer is None:
         said = lines.select("query_id", F.lit("").alias("answer"))

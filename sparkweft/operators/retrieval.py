@@ -10,14 +10,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
+
+class _Best:
+    """A task's k best chunks of each query of a block, ties to the smaller id. A batch is compared with
+    the least that a query has kept, so of most batches only few similarities are sorted."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.held: dict[int, pd.DataFrame] = {}
+
+    def add(self, first: int, sim: np.ndarray, ids: pa.Array) -> None:
+        """``sim`` has a row for each query from ``first`` on, ``ids`` the chunks of its columns."""
+        some, width = slice(first, first + len(sim)), sim.shape[1]
+        if np.isnan(sim.sum()):  # of vectors with such numbers; last of all
+            sim = np.where(np.isnan(sim), -np.inf, sim)
+        hit = sim >= self.least[some, None]
+        if width > self.k and np.count_nonzero(hit) > 4 * self.k * len(sim):
+            own = np.partition(sim, width - self.k, axis=1)[:, width - self.k]
+            hit = sim >= np.maximum(self.least[some], own)[:, None]
+        at, column = np.nonzero(hit)
+        if not len(at):
+            return
+        made = pd.DataFrame({"at": at + first, "chunk_id": ids.take(pa.array(column)).to_pandas(), "similarity": sim[at, column]})
+        both = pd.concat([self.held[first], made]) if first in self.held else made
+        kept = both.sort_values(["at", "similarity", "chunk_id"], ascending=[True, False, True]).groupby("at").head(self.k)
+        full = kept.groupby("at")["similarity"].agg(["size", "min"])
+        full = full[full["size"] == self.k]
+        self.least[full.index.to_numpy()] = full["min"].to_numpy()
+        self.held[first] = kept
+
+    @property
+    def rows(self) -> pd.DataFrame | None:
+        return pd.concat(self.held.values()).replace({"similarity": {-np.inf: np.nan}}) if self.held else None
+
 
 def nearest_chunks(chunks: DataFrame, queries: DataFrame, k: int = 50, query_block: int = 4096) -> DataFrame:
     """query_id, chunk_id, similarity, rank: each query's k chunks of greatest cosine.
 
     ``queries`` has query_id and vector. A scan of all chunks takes ``query_block`` queries,
     which are broadcast, as matrix products of 256 of them; each task keeps its own k for each
-    query, so what meets in the last step is k rows a task and query. With many queries the
-    chunks should be a written table, as each block reads them. Zero vectors have similarity 0; chunks and
+    query, so what meets in the last step is k rows a task and query. Queries of several blocks are
+    written once; the chunks should be a written table then, as each block reads them. Zero vectors have similarity 0; chunks and
     queries whose vector is null, holds nulls or has another dimension take no part.
     """
     spark = chunks.sparkSession
@@ -26,6 +61,8 @@ def nearest_chunks(chunks: DataFrame, queries: DataFrame, k: int = 50, query_blo
     usable = lambda c: (F.size(c) == (size["dim"] or 0)) & ~F.exists(c, lambda x: x.isNull())
     numbered, chunks = numbered.where(usable("vector")), chunks.where(usable("embedding"))
     parts = -(-size["n"] // query_block) or 1
+    if parts > 1:
+        numbered = Scratch(spark, "nearest").save(numbered, "queries")
     out = None
     for part in range(parts):
         block = numbered if parts == 1 else numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
@@ -35,24 +72,19 @@ def nearest_chunks(chunks: DataFrame, queries: DataFrame, k: int = 50, query_blo
         def run(batches, held=held):
             ids, q = held.value
             qn = np.linalg.norm(q, axis=1)
-            best = None
+            best = _Best(len(q), k)
             for batch in batches:
                 if not batch.num_rows or not len(q):
                     continue
-                batch = batch.take(pc.sort_indices(batch["chunk_id"]))  # a stable sort by similarity leaves ties by id
+                batch = batch.take(pc.sort_indices(batch["chunk_id"]))
                 v = batch["embedding"].flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
                 vn = np.linalg.norm(v, axis=1)
-                made = [best] if best is not None else []
                 for x in range(0, len(q), 256):
-                    some, size = slice(x, x + 256), qn[x : x + 256]
-                    scale = np.outer(vn, size)
-                    sim = np.divide(v @ q[some].T, scale, out=np.zeros_like(scale), where=scale > 0)
-                    at = np.argsort(-sim, axis=0, kind="stable")[:k]
-                    near = batch["chunk_id"].take(pa.array(at.T.ravel())).to_pandas()
-                    made.append(pd.DataFrame({"query_id": np.repeat(ids[some], len(at)), "chunk_id": near, "similarity": np.take_along_axis(sim, at, 0).T.ravel()}))
-                best = pd.concat(made).sort_values(["query_id", "similarity", "chunk_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            if best is not None:
-                yield pa.RecordBatch.from_pandas(best, preserve_index=False)
+                    scale = np.outer(vn, qn[x : x + 256])
+                    sim = np.divide(v @ q[x : x + 256].T, scale, out=np.zeros_like(scale), where=scale > 0)
+                    best.add(x, np.ascontiguousarray(sim.T), batch["chunk_id"])
+            if best.rows is not None:
+                yield pa.RecordBatch.from_pandas(best.rows.assign(query_id=ids[best.rows["at"].to_numpy()])[["query_id", "chunk_id", "similarity"]], preserve_index=False)
 
         kinds = {f.name: f.dataType.simpleString() for f in (*chunks.schema, *queries.schema)}
         made = chunks.select("chunk_id", "embedding").mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, similarity double")

@@ -1,9 +1,10 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sparkweft.operators import catalog, embedding, graph, ledger, retrieval
+from sparkweft.operators import answers, catalog, embedding, graph, ledger, retrieval
 from sparkweft.operators.scope import Scope
 
 
@@ -74,6 +75,35 @@ def test_nearest_equals_brute_force_with_ties(spark):
     assert got == sorted(want)
 
 
+def test_nearest_over_many_batches_is_made_once(spark):
+    """Batches after the first, ties across them and a vector that isn't a number; answers compare
+    questions with chunks once, however many steps read the outcome."""
+    rng = np.random.default_rng(2)
+    best, sim, ids = retrieval._Best(300, 7), np.round(rng.standard_normal((300, 900)), 1), rng.permutation(900)
+    sim[:, 5] = np.nan
+    for x in range(0, 900, 150):
+        own = np.sort(ids[x : x + 150])
+        at = x + np.argsort(ids[x : x + 150])
+        for q in (0, 256):
+            best.add(q, sim[q : q + 256][:, at], pa.array(own))
+    rows = best.rows
+    low = np.where(np.isnan(sim), -np.inf, sim)
+    for q in range(300):
+        assert rows[rows["at"] == q]["chunk_id"].tolist() == [int(ids[c]) for c in np.lexsort((ids, -low[q]))[:7]]
+
+    s = embedding.Strategy("s", "m", dimension=4)
+    embed, made = embedding.hashing_embedder(4), spark.sparkContext.accumulator(0)
+
+    def counted(texts):
+        made.add(len(texts))
+        return embed(texts)
+
+    asked = spark.createDataFrame([(n, f"word{n} and more") for n in range(9)], "query_id long, question string").coalesce(1)
+    chunks = spark.createDataFrame([(n, n % 2, embed([f"word{n}"])[0].tolist(), f"word{n}", f"word{n}", ["p"], 1, 1) for n in range(12)], "chunk_id long, source_id long, embedding array<double>, content string, embedding_text string, path array<string>, page_start int, page_end int")
+    out, evidence = answers.answered(asked, chunks, spark.createDataFrame([(0, "f"), (1, "g")], "id long, filename string"), s, counted)
+    assert out.count() == 9 and evidence.count() == 45 and made.value == 9
+
+
 def test_odd_vectors_take_no_part(spark):
     chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, [1.0]), (5, [0.0, 0.0]), (6, [])], "chunk_id int, embedding array<double>")
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [])], "query_id int, vector array<double>")
