@@ -270,6 +270,24 @@ def test_nearest_neighbours(spark):
     assert ann.nearest_neighbours(few.where("false"), lambda i: i == 0).count() == 0
 
 
+def test_graph_in_slices_is_the_same(spark):
+    """Lists made in slices of few bytes give the graph that lists made at once give, and what they
+    were made from is freed."""
+    import glob
+
+    from sparkweft.scratch import Scratch
+
+    rng = np.random.default_rng(4)
+    nodes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(rng.standard_normal((700, 6)))], "node long, v binary")
+    made = []
+    for most in (4 << 30, 200_000):
+        scratch = Scratch(spark, "sliced")
+        graph = ann.build_graph(nodes, scratch, degree=8, leaf_rows=20, trees=2, rounds=2, settled=0.0, slice_bytes=most)
+        made.append(sorted((r["a"], r["b"], r["d"]) for r in graph.collect()))
+        assert [x.rsplit("/", 1)[1] for x in glob.glob(f"{scratch.base}/*")] == ["graph2"]
+    assert made[0] and made[0] == made[1]
+
+
 def test_links_are_the_nearest(spark):
     graph = spark.createDataFrame([(0, b, float(100 - b)) for b in range(1, 33)] + [(b, 0, float(200 - b)) for b in range(33, 101)], "a long, b long, d float")
     to = {b for a, b in ann.nearest_links(graph).collect() if a == 0}
